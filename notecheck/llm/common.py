@@ -75,6 +75,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+# For word_hashes(plain=True): ASCII other than letters and digits parts words too.
+_PLAIN = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _GROW = 1 << 16
 
 
@@ -104,12 +106,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(text: str | None, lower: bool) -> np.ndarray:
-    """A 64-bit value for each word of a text, in order; A-Z count as a-z if `lower`."""
+def word_hashes(text: str | None, lower: bool, plain: bool = False) -> np.ndarray:
+    """A 64-bit value for each word of a text, in order; A-Z count as a-z if `lower`, ASCII punctuation as white space if `plain`."""
     raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
     if not len(raw):
         return np.empty(0, np.uint64)
-    gap = np.concatenate(([True], _SPACE[raw], [True]))
+    gap = np.concatenate(([True], (_PLAIN if plain else _SPACE)[raw], [True]))
     starts = np.flatnonzero(gap[:-1] & ~gap[1:])
     ends = np.flatnonzero(~gap[:-1] & gap[1:])
     if not len(starts):
