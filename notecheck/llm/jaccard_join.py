@@ -249,6 +249,24 @@ def link_documents(documents: DataFrame, params: JoinParams = JoinParams()) -> D
     return out.unionByName(lost)
 
 
+def keep_one(documents: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
+    """The rows of documents without all but the smallest doc_id of each component, all their columns as they were.
+
+    Rows without words or with a null doc_id stay; of rows that repeat a doc_id one stays (the one with the most words, then the last by text).
+    """
+    found = link_documents(documents, params).where("doc_id is not null")
+    gone = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")), "jaccard-gone")
+    kept = documents.join(_small(gone), documents["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+    ids = documents.where("doc_id is not null").groupBy(F.col("doc_id").alias("__again")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__again")
+    again = materialize(ids, "jaccard-repeated")
+    if again.isEmpty():
+        return kept
+    once = kept.join(_small(again), F.col("doc_id") == F.col("__again"), "left_anti")
+    row = kept.join(_small(again), F.col("doc_id") == F.col("__again"), "left_semi").select("doc_id", F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("__row"))
+    one = row.groupBy("doc_id").agg(F.max_by("__row", F.struct(F.size(F.split(F.coalesce("__row.text", F.lit("")), " ")), F.coalesce("__row.text", F.lit("")))).alias("__row"))
+    return once.unionByName(one.select("__row.*"))
+
+
 def _dense_pairs(full: DataFrame, params: JoinParams) -> DataFrame:
     """a, b: pairs of different cells among documents given by whole sets (h, id, n, cell) that may link."""
     num, hot = params.num, params.hot

@@ -7,11 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard_join, license_scan, mixing, packing, quality_cnn, quality_rules, toxicity, url_filter
+from . import audio_prints, chat, jaccard_join, license_scan, mixing, packing, quality_cnn, quality_rules, toxicity, url_filter
 from .common import table
 from .oracles import ORACLES  # noqa: F401
 
 
+def op1_audio_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings are turns of conversations, sounded word by word; queries are those whose conv_id 20 divides."""
+    ids = ["conv_id", "turn"]
+    media = audio_prints.recordings_of(table(spark, sf_dir, "conversations"), ids)
+    return audio_prints.align(audio_prints.fingerprint(media, ids), ids, F.col("conv_id") % 20 == 0)
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
@@ -51,4 +58,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", *quality_rules.BASE, "base_failed", "kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_url_filter, op3_mixing, op4_toxicity, op5_packing, op6_chat, op7_jaccard_join, op8_license_scan, op9_quality_cnn, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_audio_prints, op2_url_filter, op3_mixing, op4_toxicity, op5_packing, op6_chat, op7_jaccard_join, op8_license_scan, op9_quality_cnn, op10_quality_rules)}
