@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,9 +12,14 @@ from ..params import DEFAULT, Params
 MONTHS = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), with x computed once however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def some(x: Column) -> Column:
     """Null for empty."""
-    return F.nullif(x, F.lit(""))
+    return let(x, lambda v: F.when(v != "", v))
 
 
 def collapse(x: Column) -> Column:
@@ -51,7 +58,7 @@ def normalize_port(x: Column) -> Column:
 
 def normalize_vessel_name(x: Column) -> Column:
     cleaned = collapse(F.regexp_replace(F.trim(x), r"(?i)^(M\.?V\.?|M\.?T\.?)\s+", ""))
-    return some(F.when((cleaned == F.upper(cleaned)) & (cleaned != F.lower(cleaned)) & (F.length(cleaned) > 2), title(cleaned)).otherwise(cleaned))
+    return some(let(cleaned, lambda c: F.when((c == F.upper(c)) & (c != F.lower(c)) & (F.length(c) > 2), title(c)).otherwise(c)))
 
 
 def normalize_barge_name(x: Column, p: Params = DEFAULT) -> Column:
@@ -64,8 +71,7 @@ def to_number(x: Column) -> Column:
 
 
 def normalize_density(x: Column) -> Column:
-    v = to_number(x)
-    return F.round(F.when(v > 10, v / 1000).otherwise(v), 4)
+    return let(to_number(x), lambda v: F.round(F.when(v > 10, v / 1000).otherwise(v), 4))
 
 
 def clean_ocr_text(x: Column) -> Column:
@@ -152,10 +158,10 @@ def parse_pumping_times(start: Column, end: Column, alongside: Column) -> Column
     pairs = [(name, f(start), f(end)) for name, f in (("ISO", parse_iso), ("US_DATE", parse_slashed), ("HRS_AT", parse_hrs_at), ("DATE_AT_HRS", parse_date_at_hrs))]
     day = alongside_day(alongside) * 86400
     pairs.append(("INHERITED", day + parse_time_only(start) * 60, day + parse_time_only(end) * 60))
-    made = [F.when(a.isNotNull() & b.isNotNull(), F.struct(a.alias("s"), b.alias("e"), F.lit(n).alias("m"))) for n, a, b in pairs]
-    found = F.coalesce(*made)
-    crossed = found["e"] < found["s"]
-    return F.struct(found["s"].cast("long").alias("start_s"), (found["e"] + F.when(crossed, 86400).otherwise(0)).cast("long").alias("end_s"), F.coalesce(found["m"], F.lit("FAILED")).alias("method"), F.coalesce(crossed, F.lit(False)).alias("crossed"))
+    tried = F.array(*[F.struct(a.cast("long").alias("s"), b.cast("long").alias("e"), F.lit(n).alias("m")) for n, a, b in pairs])
+    read = F.filter(tried, lambda t: t["s"].isNotNull() & t["e"].isNotNull())
+    late = lambda t: F.coalesce(t["e"] < t["s"], F.lit(False))
+    return let(F.get(read, F.lit(0)), lambda t: F.struct(t["s"].alias("start_s"), (t["e"] + F.when(late(t), 86400).otherwise(0)).alias("end_s"), F.coalesce(t["m"], F.lit("FAILED")).alias("method"), late(t).alias("crossed")))
 
 
 def normalize_time_only(x: Column) -> Column:
@@ -175,11 +181,14 @@ def normalize_timestamp(x: Column) -> Column:
     """The date as written and the time as HH:MM by the number of its digits; else as it was."""
     flat = F.regexp_replace(F.trim(x), r"\s+", " ")
     flat = F.regexp_replace(flat, rf"(?i)^(\d{{1,2}})({MONTHS})[a-z]*(\d{{4}}).*$", "$1 $2 $3")
-    date = _part(flat, _DATE, 1)
-    digits = F.regexp_replace(F.substring(flat, F.length(date) + 1, F.lit(1 << 30)), "[^0-9]", "")
-    n = F.length(digits)
-    time = F.when(n == 0, "00:00").when(n == 1, F.concat(F.lit("0"), digits, F.lit(":00"))).when(n == 2, F.concat(digits, F.lit(":00"))).when(n == 3, F.concat(F.lit("0"), F.substring(digits, 1, 1), F.lit(":"), F.substring(digits, 2, 2))).otherwise(F.concat(F.substring(digits, 1, 2), F.lit(":"), F.substring(digits, 3, 2)))
-    return some(F.when(date != "", F.concat(date, F.lit(" "), time)).otherwise(F.trim(x)))
+
+    def clock(d: Column) -> Column:
+        n = F.length(d)
+        return F.when(n == 0, "00:00").when(n == 1, F.concat(F.lit("0"), d, F.lit(":00"))).when(n == 2, F.concat(d, F.lit(":00"))).when(n == 3, F.concat(F.lit("0"), F.substring(d, 1, 1), F.lit(":"), F.substring(d, 2, 2))).otherwise(F.concat(F.substring(d, 1, 2), F.lit(":"), F.substring(d, 3, 2)))
+
+    rest = lambda t, date: F.regexp_replace(F.substr(t, F.length(date) + 1), "[^0-9]", "")
+    dated = lambda t, date: F.when(date != "", F.concat(date, F.lit(" "), let(rest(t, date), clock)))
+    return F.coalesce(let(flat, lambda t: let(F.regexp_extract(t, _DATE, 1), lambda date: dated(t, date))), some(F.trim(x)))
 
 
 def duration_hours(start: Column, end: Column) -> Column:
