@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import history, resolving, texts, tracks  # noqa: F401
+from . import history, resolving, ruling, texts, tracks  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
@@ -12,4 +12,4 @@ __all__ = ["ORACLES", "QUERIES", "flagship"]
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship query."""
-    return QUERIES["ag_09_features"](spark, sf_dir)
+    return QUERIES["rl_15_note_to_verdict"](spark, sf_dir)
