@@ -200,9 +200,9 @@ def align(prints: DataFrame, ids: list[str], is_query: Column, params: PrintPara
     both = both.withColumn("overlap", length).where(F.col("overlap") >= params.overlap)
     bits = F.aggregate(F.zip_with(F.slice("q_codes", start + 1, F.col("overlap")), F.slice("r_codes", start + F.col("offset") + 1, F.col("overlap")), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
     heard = both.withColumn("error", bits / (32.0 * F.col("overlap"))).where(F.col("error") <= params.error)
-    matched = heard.groupBy("r").agg(F.count(F.lit(1)).alias("matches"), F.min_by(F.struct("q_first", "offset", "votes", "error"), F.struct("error", -F.col("votes"), "q_first")).alias("b"))
-    named = klass.select("__key", "__first").join(matched, F.col("__key") == F.col("r"), "left")
-    return keyed.select(*ids, "__key", F.size("codes").alias("n_codes")).join(named.withColumnRenamed("__key", "__k"), F.col("__key") == F.col("__k"), "left").select(*ids, F.greatest(F.lit(0), F.col("n_codes")).alias("n_codes"), *[F.col(f"__first.{c}").alias(f"class_{c}") for c in ids], F.coalesce("matches", F.lit(0)).alias("matches"), *[F.col(f"b.q_first.{c}").alias(f"best_{c}") for c in ids], F.col("b.offset").alias("best_offset"), F.col("b.votes").alias("best_votes"), F.col("b.error").alias("best_error"))
+    matched = heard.groupBy(F.col("r").alias("__r")).agg(F.count(F.lit(1)).alias("__m"), F.min_by(F.struct("q_first", "offset", "votes", "error"), F.struct("error", -F.col("votes"), "q_first")).alias("__b"))
+    named = klass.select("__key", "__first").join(matched, F.col("__key") == F.col("__r"), "left")
+    return keyed.select(*ids, "__key", F.size("codes").alias("__n")).join(named.withColumnRenamed("__key", "__k"), F.col("__key") == F.col("__k"), "left").select(*ids, F.greatest(F.lit(0), F.col("__n")).alias("n_codes"), *[F.col(f"__first.{c}").alias(f"class_{c}") for c in ids], F.coalesce("__m", F.lit(0)).alias("matches"), *[F.col(f"__b.q_first.{c}").alias(f"best_{c}") for c in ids], F.col("__b.offset").alias("best_offset"), F.col("__b.votes").alias("best_votes"), F.col("__b.error").alias("best_error"))
 
 
 _TONE = np.arange(HOP, dtype=np.float32) / RATE

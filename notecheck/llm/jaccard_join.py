@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, shingle_hashes, word_hashes
+from .common import materialize, mix, shingle_hashes, word_hashes, words
 
 #: Rows of ids that may be broadcast (16 MB); beyond, joins shuffle.
 BROADCAST_IDS = 500_000
@@ -256,15 +256,18 @@ def keep_one(documents: DataFrame, params: JoinParams = JoinParams()) -> DataFra
     """
     found = link_documents(documents, params).where("doc_id is not null")
     gone = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")), "jaccard-gone")
-    kept = documents.join(_small(gone), documents["doc_id"].cast("long") == F.col("__gone"), "left_anti")
-    ids = documents.where("doc_id is not null").groupBy(F.col("doc_id").alias("__again")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__again")
-    again = materialize(ids, "jaccard-repeated")
+    # Rows travel packed, so that no column of theirs meets a name used here.
+    row = documents.select(F.col("doc_id").cast("long").alias("__id"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("__row"))
+    kept = row.join(_small(gone), F.col("__id") == F.col("__gone"), "left_anti")
+    again = row.where("__id is not null").groupBy("__id").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(F.col("__id").alias("__again"))
+    again = materialize(again, "jaccard-repeated")
     if again.isEmpty():
-        return kept
-    once = kept.join(_small(again), F.col("doc_id") == F.col("__again"), "left_anti")
-    row = kept.join(_small(again), F.col("doc_id") == F.col("__again"), "left_semi").select("doc_id", F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("__row"))
-    one = row.groupBy("doc_id").agg(F.max_by("__row", F.struct(F.size(F.split(F.coalesce("__row.text", F.lit("")), " ")), F.coalesce("__row.text", F.lit("")))).alias("__row"))
-    return once.unionByName(one.select("__row.*"))
+        return kept.select("__row.*")
+    once = kept.join(_small(again), F.col("__id") == F.col("__again"), "left_anti").select("__row")
+    more = kept.join(_small(again), F.col("__id") == F.col("__again"), "left_semi")
+    text = F.coalesce("__row.text", F.lit(""))
+    one = more.groupBy("__id").agg(F.max_by("__row", F.struct(F.size(words(text)), text)).alias("__row")).select("__row")
+    return once.unionByName(one).select("__row.*")
 
 
 def _dense_pairs(full: DataFrame, params: JoinParams) -> DataFrame:
