@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import history, resolving, ruling, texts, tracks  # noqa: F401
+from . import history, resolving, rest, ruling, texts, tracks, wording  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]

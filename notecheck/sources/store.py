@@ -5,18 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes a stage's rows into the folder that driver and executors share, and reads them: later stages plan from there."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not folder:  # only where the session names none, as in tests
         folder = getattr(spark.sparkContext, "_own_stage_dir", None) or tempfile.mkdtemp(prefix="spark-stages-")
         spark.sparkContext._own_stage_dir = folder
-    path = f"{folder.rstrip('/')}/stages/{name}-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Writes a stage's rows into the shared folder and reads them: later stages plan from there."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/stages/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
