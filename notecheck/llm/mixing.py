@@ -38,8 +38,9 @@ def size_of(text: Column) -> Column:
 
 
 def _hash(doc_id: Column, seed: int) -> Column:
-    """20 bits, the same in any run and any partitioning."""
-    return F.pmod(F.xxhash64(doc_id, F.lit(seed)), F.lit(1 << (2 * BITS))).cast("int")
+    """20 bits of MD5, the same in any run, partitioning and engine."""
+    name = F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(name), 1, 2 * BITS // 4), 16, 10).cast("int")
 
 
 def _targets(sizes: DataFrame, params: MixParams) -> DataFrame:

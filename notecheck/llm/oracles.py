@@ -1 +1,80 @@
-ORACLES: dict[str, str] = {}
+"""Oracle SQL (DuckDB) of the operators that SQL can express."""
+
+from __future__ import annotations
+
+WORD = "[^\\x20\\x09-\\x0D]+"
+SPACE = "[\\x20\\x09-\\x0D]+"
+
+_OP2 = r"""
+with u as (select page_id, lower(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1)) as host, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) as path from pages),
+r as (select *, case when (host = 'example.net' or ends_with(host, '.example.net')) and starts_with(path, '/en/') then 'example.net/en/' when (host = 'example.com' or ends_with(host, '.example.com')) and starts_with(path, '/de/') then 'example.com/de/'
+  when (host = 'org' or ends_with(host, '.org')) and starts_with(path, '/fr/') then 'org/fr/' when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/') then 'net/' end as rule from u),
+s as (select *, case when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow' end as label, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: regexp_replace(x, '[0-9]+', '#', 'g')) as segs from r),
+leaves as (select host, array_to_string(segs, '/') as leaf, any_value(segs) as segs, count(*) as n, count(label) as labelled, count(*) filter (label = 'block') as blocked from s group by 1, 2),
+seg as (select host, leaf, n, unnest(range(len(segs))) as d, unnest(segs) as seg, segs from leaves),
+seg2 as (select host, leaf, n, d, seg, array_to_string(segs[1:d], '/') as parent from seg),
+kids as (select host, d, parent, count(distinct seg) as kids, sum(n) as n from seg2 group by all),
+named as (select seg2.host, leaf, seg2.d, case when kids >= 12 and 2 * kids >= kids.n then '*' else seg end as seg from seg2 join kids on kids.host = seg2.host and kids.d = seg2.d and kids.parent = seg2.parent),
+tpl as (select host, leaf, list(seg order by d) as t from named group by all),
+whole as (select l.host, l.leaf, n, labelled, blocked, coalesce(t[1], '') as branch, coalesce(array_to_string(t[2:], '/'), '') as tail from leaves l left join tpl on tpl.host = l.host and tpl.leaf = l.leaf),
+part as (select host, branch, tail, sum(n) as n, sum(labelled) as labelled, sum(blocked) as blocked from whole group by all),
+sums as (select host, branch, sum(n) as alln, sum(labelled) as lab, sum(blocked) as blk from whole group by all),
+shares as (select p.host, p.branch, tail, cast(floor((8 * n + alln) / (2.0 * alln)) as bigint) as q from part p join sums s on s.host = p.host and s.branch = p.branch),
+profile as (select host, branch, string_agg(cast(q as string) || ' ' || tail, chr(10) order by cast(q as string) || ' ' || tail) as profile from shares where q > 0 group by all),
+br as (select s.host, s.branch, case when lab = 0 then 'none' when 10 * blk >= 9 * lab then 'block' when 10 * blk <= lab then 'allow' else 'mixed' end as kind, coalesce(profile, '') as profile from sums s left join profile p on p.host = s.host and p.branch = s.branch),
+grp as (select host, profile, kind, min(branch) as g, count(*) as merged from br group by all),
+grouped as (select br.host, branch, g, merged from br join grp on grp.host = br.host and grp.profile = br.profile and grp.kind = br.kind),
+mg as (select p.host, g, merged, tail, sum(labelled) as labelled, sum(blocked) as blocked from part p join grouped x on x.host = p.host and x.branch = p.branch group by all),
+judged as (select host, g, tail, blocked + 1 >= 0.9e0 * (labelled + 2) as reject, '/' || g || case when merged > 1 then '|' || cast(merged - 1 as string) else '' end || case when tail = '' then '' else '/' || tail end as template from mg),
+leafv as (select w.host, w.leaf, template, case when reject then 'block' else 'allow' end as tv from whole w join grouped x on x.host = w.host and x.branch = w.branch join judged j on j.host = w.host and j.g = x.g and j.tail = w.tail)
+select page_id, s.host, path, rule, coalesce(label, tv, 'allow') as verdict, template from s left join leafv v on v.host = s.host and v.leaf = array_to_string(s.segs, '/')
+"""
+
+_OP3 = f"""
+with sz as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) as bigint) as size, cast('0x' || substr(md5(coalesce(cast(doc_id as string), '') || ':17'), 1, 5) as int) as h from documents),
+src as (select source, cast(sum(size) as bigint) as ss from sz group by source),
+w as (select *, cast(1 + (row_number() over (order by source nulls last) - 1) % 3 as double) as w from src),
+f as (select *, cast(sum(ss) over () - coalesce(sum(3 * ss) over (order by 3e0 * ss / w, source nulls last rows between unbounded preceding and 1 preceding), 0) as bigint) as lft, sum(w) over () - coalesce(sum(w) over (order by 3e0 * ss / w, source nulls last rows between unbounded preceding and 1 preceding), 0) as wl,
+  row_number() over (order by 3e0 * ss / w, source nulls last) as rk from w),
+g as (select *, lft / wl as level, lft / wl * w > 3 * ss as capped from f),
+t as (select source, ss, case when capped or (select arg_min(level, rk) from g where not capped) is null then cast(3 * ss as double) else (select arg_min(level, rk) from g where not capped) * w end as target from g),
+p as (select *, case when ss > 0 then cast(floor(target / ss) as bigint) else 0 end as passes from t),
+q as (select *, greatest(0e0, target - passes * ss) as rest from p),
+c as (select source, h, sum(size) as words, sum(sum(size)) over (partition by source order by h) as upto from sz group by source, h),
+b as (select q.source, min(h) as h0 from c join q on q.source is not distinct from c.source where upto > rest group by q.source),
+cut as (select q.*, case when b.h0 is null then case when rest > 0 then 1048576 else 0 end else b.h0 + case when c.upto - rest < rest - (c.upto - c.words) then 1 else 0 end end as cut
+  from q left join b on b.source is not distinct from q.source left join c on c.source is not distinct from b.source and c.h = b.h0)
+select doc_id, size, ss as source_size, target, cast((passes + case when h < cut then 1 else 0 end) * size as bigint) as taken, cast(passes + case when h < cut then 1 else 0 end as bigint) as copies from sz join cut on cut.source is not distinct from sz.source
+"""
+
+_OP6 = r"""
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all select -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' union all select -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+e as (select *, 24 + length(replace(replace(role, '\', '\\'), '<|', '<\|')) + length(replace(replace(text, '\', '\\'), '<|', '<\|')) as n from t),
+c as (select *, sum(n) over (partition by conv_id order by turn, role, text rows unbounded preceding) as upto, row_number() over (partition by conv_id order by turn desc, role desc, text desc) as last from e)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256, cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256, cast(sum(case when role = 'assistant' or last = 1 then upto else 0 end) as bigint) as formatted_chars from c group by conv_id
+"""
+
+_RULES = ("symbols", "shouting", "capitals", "repeats", "lines")
+_OP10 = f"""
+with b as (select doc_id, lang as stratum, coalesce(text, '') as t from documents),
+d as (select row_number() over () as k, doc_id, stratum, t, regexp_extract_all(t, '{WORD}') as w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as l from b),
+g as (select k, i, w[i:i + 7] as x from (select k, w, unnest(range(1, len(w) - 6)) as i from d where len(w) > 8) z),
+rep as (select k, i from (select k, i, count(*) over (partition by k, x) as c from g) z where c > 1),
+cov as (select k, sum(least(8, coalesce(nxt - i, 8))) as n from (select k, i, lead(i) over (partition by k order by i) as nxt from rep) z group by k),
+m as (select doc_id, stratum, cast(len(w) as bigint) as n_words, cast(length(regexp_replace(t, '{SPACE}', '', 'g')) as bigint) as word_chars, cast(length(t) - length(translate(t, '#*$%&|<>', '')) as bigint) as n_symbols, cast(len(l) - len(list_distinct(l)) as bigint) as n_dup_lines, cast(coalesce(cov.n, 0) as bigint) as n_repeat_words,
+  length(t) - length(translate(t, '!', '')) as n_ex, length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) as n_cap, len(l) as n_lines from d left join cov using (k)),
+r as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, least(1000, 1000 * n_symbols // greatest(word_chars, 1)) as symbols, least(1000, 1000 * n_ex // greatest(n_words, 1)) as shouting, least(1000, 1000 * n_cap // greatest(word_chars, 1)) as capitals,
+  least(1000, 1000 * n_repeat_words // greatest(n_words, 1)) as repeats, least(1000, 1000 * n_dup_lines // greatest(n_lines, 1)) as lines from m),
+y as (select doc_id, max(quality) as q from labels where doc_id is not null and quality is not null group by doc_id),
+lg as (select stratum, q, unnest(['{"', '".join(_RULES)}']) as rule, unnest([{', '.join(_RULES)}]) as pm from r join y using (doc_id) where not base_failed),
+cnt as (select stratum, rule, pm, sum(q) as good, sum(1 - q) as bad from lg group by all),
+n as (select stratum, rule, sum(good) as n from cnt group by all),
+crit as (select n.stratum, n.rule, coalesce((select max(k) from (select k, sum(exp(lgamma(n.n + 1) - lgamma(k + 1) - lgamma(n.n - k + 1) + k * ln(0.01e0) + (n.n - k) * ln(0.99e0))) over (order by k) as cdf from (select unnest(range(0, cast(floor(n.n * 0.01e0) as bigint) + 1)) as k) z) zz where cdf <= 0.05e0 / (select count(*) from n)), -1) as most from n),
+tried as (select *, sum(good) over (partition by stratum, rule order by pm desc) as k, sum(bad) over (partition by stratum, rule order by pm desc) as caught, coalesce(lead(pm) over (partition by stratum, rule order by pm desc), -1) as nxt from cnt),
+best as (select t.stratum, t.rule, arg_max(greatest(1, cast(floor((pm + nxt) / 2) as bigint) + 1), (caught - 10 * k, pm)) as cutoff, max(caught - 10 * k) as gain from tried t join crit c on c.stratum is not distinct from t.stratum and c.rule = t.rule where k <= most and caught > 0 and pm > 0 group by t.stratum, t.rule),
+lim as (select stratum, {', '.join(f"max(cutoff) filter (rule = '{x}') as c_{x}" for x in _RULES)} from best where gain > 0 group by stratum)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not ({' or '.join(f'coalesce({x} >= c_{x}, false)' for x in _RULES)}) as kept from r left join lim on lim.stratum is not distinct from r.stratum
+"""
+
+ORACLES: dict[str, str] = {"op2_url_filter": _OP2.strip(), "op3_mixing": _OP3.strip(), "op6_chat": _OP6.strip(), "op10_quality_rules": _OP10.strip()}
