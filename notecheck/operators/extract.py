@@ -123,3 +123,24 @@ def anchored_times(extracted: DataFrame) -> DataFrame:
     """For handwritten notes: bare times inherit the delivery date."""
     bare = lambda c: (F.col("doc_type") == "HANDWRITTEN") & F.col(c).rlike(X.TIME_ONLY) & F.col("delivery_date").isNotNull()
     return extracted.withColumns({c: F.when(bare(c), F.concat_ws(" ", "delivery_date", X.normalize_time_only(F.col(c)))).otherwise(F.col(c)) for c in ("start_time", "end_time")})
+
+
+def find_fuzzy(notes: DataFrame, labels: dict[str, list[str]], threshold: float = 80.0, ahead: int = 3) -> DataFrame:
+    """note_id, field, value, score, line: for each field the line whose label is most like one of its labels; the first of equals.
+
+    A line is `label: value`; where the value is empty, the next non-empty line within `ahead` stands for it. Labels are a short literal list.
+    """
+    lines = F.split(F.coalesce("raw_text", F.lit("")), "\n")
+    at = notes.select("note_id", lines.alias("lines")).select("note_id", "lines", F.posexplode("lines").alias("line", "text"))
+    own = X.some(F.trim(F.regexp_extract("text", r"^[^:]*:(.*)$", 1)))
+    later = [F.when(F.trim(F.get("lines", F.col("line") + k)) != "", F.trim(F.get("lines", F.col("line") + k))) for k in range(1, ahead + 1)]
+    split = at.select("note_id", "line", F.lower(F.trim(F.regexp_extract("text", "^([^:]*):", 1))).alias("label"), F.coalesce(own, *later).alias("value")).where("label <> ''")
+    known = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(x).alias("known")) for f, xs in labels.items() for x in xs])
+    tried = split.withColumn("k", F.explode(known)).select("note_id", "line", "value", "k.field", (100 * (1 - F.levenshtein("label", "k.known") / F.greatest(F.length("label"), F.length("k.known")))).alias("score"))
+    best = tried.where((F.col("score") >= threshold) & F.col("value").isNotNull()).groupBy("note_id", "field").agg(F.max_by(F.struct("value", "score", "line"), F.struct("score", (-F.col("line")).alias("l"))).alias("b"))
+    return best.select("note_id", "field", "b.value", rounded(F.col("b.score"), 3).alias("score"), "b.line")
+
+
+def aligned(notes: DataFrame, labels: dict[str, str]) -> DataFrame:
+    """Each field's value where label and value stand apart by two blanks or more instead of a colon."""
+    return notes.select("note_id", *[X.some(F.regexp_extract("raw_text", rf"(?im)^[ \t]*(?:{p})[ \t]{{2,}}([^\n]*[^\s])[ \t]*$", 1)).alias(f) for f, p in labels.items()])

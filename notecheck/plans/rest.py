@@ -144,3 +144,31 @@ def snk_04_position_archive(spark: SparkSession, d: str) -> DataFrame:
     path = f"{store.shared_folder(spark)}/archives/{uuid.uuid4().hex}"
     store.archive_positions(frame(spark, d, "positions"), path)
     return spark.read.parquet(path).groupBy(F.datediff("position_date", F.lit("1970-01-01").cast("date")).cast("long").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _as_documents(spark: SparkSession, rows: DataFrame, key: str, name: str) -> str:
+    """Rows as JSON documents, each a list of the rows of one of 16 buckets."""
+    path = f"{store.shared_folder(spark)}/{name}/{uuid.uuid4().hex}"
+    bucket = F.pmod(F.xxhash64(key), F.lit(16)).alias("bucket")
+    rows.groupBy(bucket).agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value")).write.partitionBy("bucket").text(path)
+    return path
+
+
+@query("select imo, name, mmsi, flag from vessel_registry")
+def src_02_vessel_files(spark: SparkSession, d: str) -> DataFrame:
+    path = _as_documents(spark, frame(spark, d, "vessel_registry"), "imo", "vessels")
+    return S.read_vessels(spark, path).select("imo", "name", "mmsi", "flag")
+
+
+@query("select sb_number, name, mmsi, imo from barge_registry")
+def src_05_barge_files(spark: SparkSession, d: str) -> DataFrame:
+    path = _as_documents(spark, frame(spark, d, "barge_registry").select("name", "sb_number", "mmsi", "imo"), "sb_number", "barges")
+    return S.read_barges(spark, path).select("sb_number", "name", "mmsi", "imo")
+
+
+@query("select mmsi, name, cast(cast(imo as bigint) % 40 as double) as distance from vessel_registry")
+def src_04_radius_files(spark: SparkSession, d: str) -> DataFrame:
+    v = frame(spark, d, "vessel_registry").select(F.struct(F.lit(1.264).alias("lat"), F.lit(103.84).alias("lon"), F.lit(50.0).alias("radius")).alias("point"), "imo", F.struct("name", "mmsi", "imo", (F.col("imo").cast("long") % 40).cast("double").alias("distance")).alias("v"))
+    one = v.groupBy("point", (F.col("imo").cast("long") % 16).alias("b")).agg(F.collect_list("v").alias("vessels"), F.count(F.lit(1)).alias("total"))
+    path = _as_documents(spark, one, "b", "radius")
+    return S.read_radius(spark, path).select("mmsi", "name", "distance")

@@ -194,3 +194,15 @@ def mth_03_cosine(spark: SparkSession, d: str) -> DataFrame:
 def mth_04_rounding(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("o_totalprice")
     return frame(spark, d, "orders").select("o_orderkey", rounded(c / 7, 2).alias("two"), rounded(c / 7000, 4).alias("four"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c / 100000)).alias("held"))
+
+
+@query(f"""select id as note_id, field, value, score from (select id, 'vessel_name' as field, vessel_name as value, case when id % 2 = 0 then {sql_round('100 * (1 - 1 / 11e0)', 3)} else 100e0 end as score from note_fields union all select id, 'port', port, 100e0 from note_fields union all select id, 'supplier', supplier, 100e0 from note_fields) x""")
+def wn_08_fuzzy_labels(spark: SparkSession, d: str) -> DataFrame:
+    n = frame(spark, d, "notes").withColumn("raw_text", F.when(F.col("note_id") % 2 == 0, F.replace("raw_text", F.lit("Vessel Name"), F.lit("Vesel Name"))).otherwise(F.replace("raw_text", F.lit("Port: "), F.lit("Port:\n\n"))))
+    return E.find_fuzzy(n, {"vessel_name": ["vessel name", "name of vessel"], "port": ["port", "port of delivery"], "supplier": ["supplier", "supplied by"]}).select("note_id", "field", "value", "score")
+
+
+@query("select id as note_id, vessel_name, port, supplier from note_fields")
+def ex_03_aligned_labels(spark: SparkSession, d: str) -> DataFrame:
+    n = frame(spark, d, "notes").withColumn("raw_text", F.replace("raw_text", F.lit(": "), F.lit("    ")))
+    return E.aligned(n, {"vessel_name": "vessel name", "port": "port", "supplier": "supplier"})
