@@ -146,5 +146,7 @@ def keep_good(documents: DataFrame, labels: DataFrame, params: RiskParams = Risk
     table = materialize(measures(documents.select("doc_id", F.col("lang").alias("stratum"), "text"), "text", ["doc_id", "stratum"]), "quality-measures")
     cuts = materialize(learn_cutoffs(table, labels, params), "quality-cutoffs")
     inner = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("__row"), F.col("lang").alias("stratum"), F.col("text").alias("__text"))
-    judged = join_small(measures(inner, "__text", ["__row", "stratum"]), cuts, ["stratum"], F.xxhash64("__row.doc_id"), "left")
-    return judged.where(~base_failed() & ~_rejected()).select("__row.*")
+    # The fence keeps the optimizer from moving the condition below the measures, where each mention would compute them again.
+    fenced = measures(inner, "__text", ["__row", "stratum"]).withColumn("__fence", F.spark_partition_id())
+    judged = join_small(fenced, cuts, ["stratum"], F.xxhash64("__row.doc_id"), "left")
+    return judged.where(~base_failed() & ~_rejected() & (F.col("__fence") >= 0)).select("__row.*")
