@@ -3,9 +3,10 @@
 1. Lexicon. From a bounded sample of labelled documents, terms (whole words, and stems: the first 4 to 6 letters) are counted in
    toxic and in clean documents. A term is kept if it stands in at least `support` toxic documents, after as many different
    words (copies of one text have only one), and if its smoothed share of toxic documents, at the natural class shares, is at
-   least `precision`. Words that a kept stem covers are left out.
+   least `precision`. Of what a kept stem covers, only words and stems shorter than `fuzzy_from` are left out: they add no match.
 2. Matching. Words are run through the intersection of the trie with the Levenshtein automaton of distance 1 (0 for terms shorter than
-   `fuzzy_from`); it is determinised as words need it. Stems must fit exactly.
+   `fuzzy_from`); it is determinised as words need it. A stem fits the start of a word, with an edit before its last letter at most:
+   an edit of the last letter would leave the next shorter stem, which step 1 judged itself.
 3. Context. A hit inside quotation marks, or near a word of saying, counts as quoted. A window of `window` words around each hit
    sums the other abusive hits.
 4. Score. Logistic regression over counts of exact, misspelt and quoted hits, the largest window sum and the hits per 100 words.
@@ -57,6 +58,7 @@ class LexiconAutomaton:
 
     MOST_STATES = 100_000
     MOST_WORDS = 200_000
+    DONE = 1  # the node of a completed stem, whatever follows
 
     def __init__(self, words: list[str], stems: list[str], fuzzy_from: int):
         self.words, self.stems, self.fuzzy_from = words, stems, fuzzy_from
@@ -70,12 +72,12 @@ class LexiconAutomaton:
         self._build()
 
     def _build(self) -> None:
-        self.next: list[dict[str, int]] = [{}]
-        self.ends: list[int] = [-1]  # edits allowed at a word's end
-        self.stem: list[bool] = [False]
-        self.below: list[int] = [0]  # most edits allowed by any term below
+        self.next: list[dict[str, int]] = [{}, {}]
+        self.ends: list[int] = [-1, 1]  # edits allowed at a word's end
+        self.stem: list[int] = [-1, -1]  # edits allowed at a stem's end
+        self.below: list[int] = [0, 1]  # most edits allowed by any term below
         for term, is_stem in [*((w, False) for w in self.words), *((s, True) for s in self.stems)]:
-            allowed = 0 if is_stem or len(term) < self.fuzzy_from else 1
+            allowed = 0 if len(term) < self.fuzzy_from else 1
             node = 0
             self.below[0] = max(self.below[0], allowed)
             for ch in term:
@@ -83,14 +85,12 @@ class LexiconAutomaton:
                     self.next[node][ch] = len(self.next)
                     self.next.append({})
                     self.ends.append(-1)
-                    self.stem.append(False)
+                    self.stem.append(-1)
                     self.below.append(0)
                 node = self.next[node][ch]
                 self.below[node] = max(self.below[node], allowed)
-            if is_stem:
-                self.stem[node] = True
-            else:
-                self.ends[node] = max(self.ends[node], allowed)
+            to = self.stem if is_stem else self.ends
+            to[node] = max(to[node], allowed)
         self._clear()
 
     def _clear(self) -> None:
@@ -98,7 +98,7 @@ class LexiconAutomaton:
         self.sets: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
         self.final: list[int | None] = []  # edits of the best match if the word ends here
-        self.stop: list[bool] = []  # a stem is complete
+        self.stop: list[bool] = []  # a stem is complete without edits
         self.cache: dict[str, int | None] = {}
         self.start = self._state(self._closed({(0, 0)}))
 
@@ -119,22 +119,27 @@ class LexiconAutomaton:
             self.moves.append({})
             hits = [e for n, e in items if e <= self.ends[n]]
             self.final.append(min(hits) if hits else None)
-            self.stop.append(any(self.stem[n] and e == 0 for n, e in items))
+            self.stop.append((self.DONE, 0) in items)
         return found
 
     def _move(self, state: int, ch: str) -> int:
         items: set[tuple[int, int]] = set()
         for node, edits in self.sets[state]:
+            if node == self.DONE:
+                items.add((node, edits))
+                continue
             to = self.next[node].get(ch)
             if to is not None:
                 items.add((to, edits))
+                if edits <= self.stem[to]:
+                    items.add((self.DONE, edits))
             if edits == 0 and self.below[node] > 0:
                 items.add((node, 1))  # one letter too many
                 items.update((c, 1) for x, c in self.next[node].items() if x != ch)  # another letter
         return self._state(self._closed(items)) if items else -1
 
     def match(self, word: str) -> int | None:
-        """0: a term or a word with a known stem; 1: one edit away; None: neither."""
+        """0: a term or a word with a known stem; 1: one edit away from either; None: neither."""
         if word in self.cache:
             return self.cache[word]
         if len(self.sets) > self.MOST_STATES or len(self.cache) > self.MOST_WORDS:
@@ -212,12 +217,18 @@ def learn_lexicon(sample: DataFrame, share: float, sizes: dict[int, int], params
     good = (F.col("good") + 0.1) * ((1 - share) / max(1, sizes.get(0, 0)))
     kept = by_term.where((F.col("bad") >= params.support) & (F.col("contexts") >= params.support) & (bad / (bad + good) >= params.precision))
     rows = kept.orderBy(F.desc("bad"), "term").limit(params.terms).select("term").collect()
-    stems: list[str] = []
-    for s in sorted((r[0][:-1] for r in rows if r[0].endswith("*")), key=lambda s: (len(s), s)):
-        if not any(s.startswith(k) for k in stems):
-            stems.append(s)
+    return lexicon_of([r[0] for r in rows], params.fuzzy_from)
+
+
+def lexicon_of(terms: list[str], fuzzy_from: int) -> LexiconAutomaton:
+    """terms: words, and stems with a `*`. A covered term stays if misspellings of it can be matched."""
+    stems = sorted(t[:-1] for t in terms if t.endswith("*"))
     covered = tuple(stems)
-    return LexiconAutomaton([r[0] for r in rows if not r[0].endswith("*") and not (covered and r[0].startswith(covered))], stems, params.fuzzy_from)
+
+    def adds(term: str, by: tuple[str, ...]) -> bool:
+        return len(term) >= fuzzy_from or not term.startswith(by)
+
+    return LexiconAutomaton([t for t in terms if not t.endswith("*") and adds(t, covered)], [s for s in stems if adds(s, tuple(x for x in covered if x != s))], fuzzy_from)
 
 
 def hash_of(word: str) -> int:

@@ -144,6 +144,23 @@ def test_automaton():
         assert lex.match(w) == (d if d <= 1 else None)
 
 
+def test_learnt_lexicon_misspellings(spark):
+    rng, insults = random.Random(3), ["idiot", "stupid", "disgusting", "clown", "worthless"]
+    rows = [(y, " ".join(f"w{rng.randrange(900)} {rng.choice(insults) if y else 'fine'}" for _ in range(12))) for y in (0, 1) * 60]
+    sample = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, label int, text string")
+    lex = toxicity.learn_lexicon(sample, 0.5, {0: 60, 1: 60}, toxicity.ToxicParams())
+    assert [lex.match(w) for w in insults] == [0] * 5 and any("idiot".startswith(s) for s in lex.stems)
+    for w in insults:
+        for i in range(len(w)):
+            assert lex.match(w[:i] + "0" + w[i + 1 :]) is not None and lex.match(w[:i] + w[i + 1 :]) is not None and lex.match(w[:i] + "0" + w[i:]) is not None
+    assert [lex.match(w) for w in ("1diot", "fine", "ediiot", "w12")] == [1, None, None, None]
+
+
+def test_stem_edits():
+    lex = toxicity.LexiconAutomaton([], ["stupi"], 5)
+    assert [lex.match(w) for w in ("stupidly", "stpidly", "sdupidest", "xstupid", "stup", "stupor", "stxxid", "stpi")] == [0, 1, 1, 1, None, None, None, 1]
+
+
 def test_context():
     lex = toxicity.LexiconAutomaton(["idiot"], [], 5)
     open_, quoted = toxicity.features("you idiot you idiot", lex, 10), toxicity.features('he said "idiot" then', lex, 10)
