@@ -4,11 +4,13 @@
    pitch classes and scaled to sum 1.
 2. Over the integral image of a recording's frames, 16 filters compare sums of two sets of rectangles, WIDTH frames wide;
    each gives 2 bits, Gray-coded, and the filters together a 32-bit code per position. Shorter recordings are repeated to WIDTH frames.
-3. Recordings with equal codes are one class. Each class sends landmarks to the index: the codes whose hash is the least of any
-   run of `run` positions, so that a common run of codes of that length always has a common landmark.
-4. Landmarks of the query classes meet those of all classes; the differences of positions are counted, and the
-   offset with most votes (ties: nearest to 0, then the smaller) aligns the two. Over the overlap, the share of differing bits must not exceed
-   `error`.
+3. Recordings with equal codes are one class. Each class sends its positions to the index, marking as landmarks the codes whose
+   hash is the least of any run of `run` positions. Of a run of equal codes its first and last position stand for all.
+4. Queries ask for every position's code, also with any of its `weak` least certain bits flipped; those of fewer than `run` codes meet
+   all positions, others the landmarks. So a common run of `run` codes, or of a shorter query, always meets.
+5. Every offset met is tried: over an overlap of `overlap` positions, or the shorter recording if it has fewer, the share of
+   differing bits must not exceed `error`. Of those that pass, the offset with most votes (then least error, nearest to 0, the smaller)
+   aligns the two. One vote is enough: overlap and error decide.
 
 Classes keep a group of equal recordings of any size to one row of the join. Nulls and edges: null, empty or unreadable media
 have no codes, no class and no match; a recording without sound has codes like any other but no landmarks; null ids are kept as they
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 from .common import materialize, mix
 
 RATE, FRAME, HOP, WIDTH = 2000, 256, 64, 16
+STEP_ROWS = 500  # rows that a task fingerprints before it sends them on
 
 
 @dataclass(frozen=True)
@@ -37,7 +40,7 @@ class PrintParams:
     run: int = 8
     error: float = 0.3
     overlap: int = 8
-    votes: int = 2
+    weak: int = 4
 
 
 def to_wav(samples: np.ndarray, rate: int = RATE) -> bytes:
@@ -120,16 +123,21 @@ _STEP = 0.35
 
 def codes(samples: np.ndarray, rate: int) -> np.ndarray:
     """A uint32 per position."""
+    return codes_and_margins(samples, rate)[0]
+
+
+def codes_and_margins(samples: np.ndarray, rate: int) -> tuple[np.ndarray, np.ndarray]:
+    """A uint32 per position, and (positions, 32): how far each bit's level is from where the bit changes, highest bit first."""
     frames = chroma(samples, rate)
     if not len(frames):
-        return np.empty(0, np.uint32)
+        return np.empty(0, np.uint32), np.empty((0, 32), np.float32)
     if len(frames) < WIDTH:
         frames = frames[np.arange(WIDTH) % len(frames)]
     image = np.zeros((len(frames) + 1, 13), np.float64)
     image[1:, 1:] = frames.cumsum(0).cumsum(1)
     n = len(frames) - WIDTH + 1
-    out = np.zeros(n, np.uint32)
-    for parts in _BANK:
+    out, margins = np.zeros(n, np.uint32), np.empty((n, 32), np.float32)
+    for f, parts in enumerate(_BANK):
         plus, minus = np.full(n, 1e-2), np.full(n, 1e-2)
         for sign, t0, t1, y0, y1 in parts:
             area = image[t1 : t1 + n, y1] - image[t0 : t0 + n, y1] - image[t1 : t1 + n, y0] + image[t0 : t0 + n, y0]
@@ -140,68 +148,122 @@ def codes(samples: np.ndarray, rate: int) -> np.ndarray:
         level = np.log(plus / minus)
         quarter = (level > -_STEP).astype(np.uint32) + (level > 0) + (level > _STEP)
         out = (out << np.uint32(2)) | (quarter ^ (quarter >> 1)).astype(np.uint32)
-    return out
+        margins[:, 2 * f], margins[:, 2 * f + 1] = np.abs(level), np.abs(np.abs(level) - _STEP)
+    return out, margins
+
+
+def weak_bits(margins: np.ndarray, weak: int) -> np.ndarray:
+    """(positions * weak): the numbers of each position's least certain bits (0: the lowest bit), least certain first."""
+    return (31 - np.argsort(margins, 1, kind="stable")[:, :weak]).astype(np.int8).ravel()
 
 
-def landmarks(found: np.ndarray, run: int) -> np.ndarray:
-    """Positions whose code has the least hash of any run of `run` positions; of equal neighbours the first; silence has none."""
+def positions(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and last position of each run of equal codes, and for every position the number of its run; silence has none."""
+    edge = found[1:] != found[:-1]
+    runs = np.concatenate(([0], edge.cumsum()))
+    at = np.flatnonzero(np.concatenate(([True], edge)) | np.concatenate((edge, [True])))
+    return at[found[at] != _silent()], runs
+
+
+def landmarks(found: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions, and whether their code has the least hash of any run of `run` positions."""
     if not len(found):
-        return np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, bool)
     order = mix(found.astype(np.uint64))
-    width = min(run, len(found))
-    windows = np.lib.stride_tricks.sliding_window_view(order, width)
-    at = np.unique(windows.argmin(1) + np.arange(len(windows)))
-    silent = codes(np.zeros(FRAME, np.float32), RATE)[0]
-    at = at[found[at] != silent]
-    return at[np.concatenate(([True], found[at][1:] != found[at][:-1]))] if len(at) else at
+    windows = np.lib.stride_tricks.sliding_window_view(order, min(run, len(found)))
+    at, runs = positions(found)
+    return at, np.isin(runs[at], runs[np.unique(windows.argmin(1) + np.arange(len(windows)))])
+
+
+_SILENT: list[np.uint32] = []
 
 
-def fingerprint(recordings: DataFrame, ids: list[str]) -> DataFrame:
-    """ids and codes (array of int, the 32 bits of each) for every row of recordings (ids, media)."""
+def _silent() -> np.uint32:
+    if not _SILENT:
+        _SILENT.append(codes(np.zeros(FRAME, np.float32), RATE)[0])
+    return _SILENT[0]
+
+
+def probes(found: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and codes to ask for: each code with every set of its weak bits flipped. bits: as weak_bits() gives them."""
+    if not len(found):
+        return np.empty(0, np.int64), np.empty(0, np.uint32)
+    at, _ = positions(found)
+    each = np.uint32(1) << bits.reshape(len(found), -1)[at].astype(np.uint32)
+    flips = np.zeros((len(at), 1), np.uint32)
+    for k in range(each.shape[1]):
+        flips = np.concatenate((flips, flips ^ each[:, k : k + 1]), 1)
+    return np.repeat(at, flips.shape[1]), (found[at][:, None] ^ flips).ravel()
+
+
+def fingerprint(recordings: DataFrame, ids: list[str], params: PrintParams = PrintParams()) -> DataFrame:
+    """ids, codes (array of int, the 32 bits of each) and weak (their weak_bits) for every row of recordings (ids, media)."""
+    weak = params.weak
+
+    def of(media: object) -> tuple[np.ndarray, np.ndarray]:
+        found, margins = codes_and_margins(*from_wav(media))
+        return found.view(np.int32), weak_bits(margins, weak)
 
     def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = b[[f"__{c}" for c in ids]].copy()
-            out["codes"] = [codes(*from_wav(x)).view(np.int32) for x in b["media"]]
-            yield out
+            for lo in range(0, len(b), STEP_ROWS):
+                part = b.iloc[lo : lo + STEP_ROWS]
+                out = part[[f"__{c}" for c in ids]].copy()
+                made = [of(x) for x in part["media"]]
+                out["codes"], out["weak"] = [c for c, _ in made], [w for _, w in made]
+                yield out
 
     sent = recordings.select(*[F.col(c).cast("string").alias(f"__{c}") for c in ids], "media")
     kinds = {c: recordings.schema[c].dataType for c in ids}
-    return sent.mapInPandas(prints, ", ".join([*(f"__{c} string" for c in ids), "codes array<int>"])).select(*[F.col(f"__{c}").cast(kinds[c]).alias(c) for c in ids], "codes")
+    return sent.mapInPandas(prints, ", ".join([*(f"__{c} string" for c in ids), "codes array<int>", "weak array<tinyint>"])).select(*[F.col(f"__{c}").cast(kinds[c]).alias(c) for c in ids], "codes", "weak")
 
 
 def align(prints: DataFrame, ids: list[str], is_query: Column, params: PrintParams = PrintParams()) -> DataFrame:
     """One row per recording: ids, n_codes, class_<id> (its class's first member), matches (classes of queries that align with its class),
     best_<id>, best_offset, best_votes and best_error (the closest of them; offset: own position less the query's)."""
     keyed = prints.withColumn("__key", F.when(F.size("codes") > 0, F.sha2(F.array_join("codes", ","), 256))).withColumn("__ask", F.coalesce(is_query, F.lit(False)) & F.col("__key").isNotNull())
-    keyed = materialize(keyed, "audio-prints")
-    klass = keyed.where("__key is not null").groupBy("__key").agg(F.min(F.struct(*ids)).alias("__first"), F.max("__ask").alias("__asked"), F.first("codes").alias("codes"))
+    keyed = materialize(keyed.withColumn("weak", F.when(F.col("__ask"), F.col("weak"))), "audio-prints")
+    klass = keyed.where("__key is not null").groupBy("__key").agg(F.min(F.struct(*ids)).alias("__first"), F.max("__ask").alias("__asked"), F.first("codes").alias("codes"), F.min("weak").alias("weak")).withColumn("__c", F.monotonically_increasing_id())
     klass = materialize(klass, "audio-classes")
     run = params.run
 
+    def rows_of(parts: list[tuple], kinds: dict[str, type]) -> pd.DataFrame:
+        return pd.DataFrame({c: np.concatenate([np.empty(0, k), *(np.asarray(p[i]) for p in parts)]).astype(k) for i, (c, k) in enumerate(kinds.items())})
+
     def marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for key, asked, found in zip(b["__key"], b["__asked"], b["codes"], strict=True):
+            parts = []
+            for c, found in zip(b["__c"], b["codes"], strict=True):
+                found = np.asarray(found, np.int32)
+                at, mark = landmarks(found.view(np.uint32), run)
+                parts.append((np.full(len(at), c), at, found[at], mark))
+            yield rows_of(parts, {"r": np.int64, "pos": np.int32, "code": np.int32, "mark": np.bool_})
+
+    def asks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            parts = []
+            for c, found, bits in zip(b["__c"], b["codes"], b["weak"], strict=True):
                 found = np.asarray(found, np.int32).view(np.uint32)
-                rows += [(key, asked, int(p), int(np.int32(found[p].astype(np.int32)))) for p in landmarks(found, run)]
-            yield pd.DataFrame(rows, columns=["__key", "__asked", "pos", "code"])
-
-    index = materialize(klass.select("__key", "__asked", "codes").mapInPandas(marks, "__key string, __asked boolean, pos int, code int"), "audio-landmarks")
-    asked = index.where("__asked").select(F.col("__key").alias("q"), F.col("pos").alias("q_pos"), "code")
-    voted = asked.join(index.select(F.col("__key").alias("r"), "pos", "code"), "code").where("q <> r").groupBy("q", "r", (F.col("pos") - F.col("q_pos")).alias("offset")).agg(F.count(F.lit(1)).cast("int").alias("votes"))
-    best = voted.groupBy("q", "r").agg(F.max_by(F.struct("offset", "votes"), F.struct("votes", -F.abs("offset"), -F.col("offset"))).alias("x")).select("q", "r", "x.*").where(F.col("votes") >= params.votes)
-    best = materialize(best, "audio-aligned")
-    one, two = klass.select(F.col("__key").alias("q"), F.col("codes").alias("q_codes"), F.col("__first").alias("q_first")), klass.select(F.col("__key").alias("r"), F.col("codes").alias("r_codes"))
-    both = best.join(one, "q").join(two, "r")
+                at, code = probes(found, np.asarray(bits, np.int8))
+                parts.append((np.full(len(at), c), at, code.view(np.int32), np.full(len(at), len(found) < run)))
+            yield rows_of(parts, {"q": np.int64, "q_pos": np.int32, "code": np.int32, "short": np.bool_})
+
+    index = klass.select("__c", "codes").mapInPandas(marks, "r long, pos int, code int, mark boolean")
+    asked = klass.where("__asked").select("__c", "codes", "weak").mapInPandas(asks, "q long, q_pos int, code int, short boolean")
+    voted = asked.join(index, "code").where("q <> r and (mark or short)").groupBy("q", "r", (F.col("pos") - F.col("q_pos")).alias("offset")).agg(F.count(F.lit(1)).cast("int").alias("votes"))
+    # At most as many offsets as the two recordings have positions.
+    met = materialize(voted.groupBy("q", "r").agg(F.collect_list(F.struct("offset", "votes")).alias("__o")), "audio-aligned")
+    one, two = klass.select(F.col("__c").alias("q"), F.col("codes").alias("q_codes"), F.col("__first").alias("q_first")), klass.select(F.col("__c").alias("r"), F.col("codes").alias("r_codes"))
+    both = met.join(one, "q").join(two, "r").select("q", "r", "q_codes", "r_codes", "q_first", F.inline("__o"))
     # Overlap of the query with the other recording, shifted by the offset.
     start = F.greatest(F.lit(0), -F.col("offset"))
     length = F.least(F.size("q_codes") - start, F.size("r_codes") - start - F.col("offset"))
-    both = both.withColumn("overlap", length).where(F.col("overlap") >= params.overlap)
+    both = both.withColumn("overlap", length).where(F.col("overlap") >= F.least(F.lit(params.overlap), F.size("q_codes"), F.size("r_codes")))
     bits = F.aggregate(F.zip_with(F.slice("q_codes", start + 1, F.col("overlap")), F.slice("r_codes", start + F.col("offset") + 1, F.col("overlap")), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
     heard = both.withColumn("error", bits / (32.0 * F.col("overlap"))).where(F.col("error") <= params.error)
+    heard = heard.groupBy("q", "r").agg(F.min_by(F.struct("q_first", "offset", "votes", "error"), F.struct(-F.col("votes"), "error", F.abs("offset"), "offset")).alias("x")).select("q", "r", "x.*")
     matched = heard.groupBy(F.col("r").alias("__r")).agg(F.count(F.lit(1)).alias("__m"), F.min_by(F.struct("q_first", "offset", "votes", "error"), F.struct("error", -F.col("votes"), "q_first")).alias("__b"))
-    named = klass.select("__key", "__first").join(matched, F.col("__key") == F.col("__r"), "left")
+    named = klass.select("__key", "__c", "__first").join(matched, F.col("__c") == F.col("__r"), "left")
     return keyed.select(*ids, "__key", F.size("codes").alias("__n")).join(named.withColumnRenamed("__key", "__k"), F.col("__key") == F.col("__k"), "left").select(*ids, F.greatest(F.lit(0), F.col("__n")).alias("n_codes"), *[F.col(f"__first.{c}").alias(f"class_{c}") for c in ids], F.coalesce("__m", F.lit(0)).alias("matches"), *[F.col(f"__b.q_first.{c}").alias(f"best_{c}") for c in ids], F.col("__b.offset").alias("best_offset"), F.col("__b.votes").alias("best_votes"), F.col("__b.error").alias("best_error"))
 
 

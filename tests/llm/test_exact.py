@@ -227,3 +227,31 @@ def test_fingerprints_of_noise():
     clean, other = audio_prints.codes(x, 2000), audio_prints.codes(audio_prints.from_wav(audio_prints.sonify(" ".join(f"m{i}" for i in range(200))))[0], 2000)
     rate = lambda a, b: np.unpackbits((a ^ b).view(np.uint8)).mean()
     assert rate(clean, noisy) < 0.1 < 0.3 < rate(clean, other)
+
+
+def aligned_pairs(spark, copies):
+    """Share of wholes that some query matches, by kind, of copies (kind, query samples, whole samples)."""
+    rows = [(2 * i + j, 0, audio_prints.to_wav(x)) for i, c in enumerate(copies) for j, x in enumerate(c[1:])]
+    prints = audio_prints.fingerprint(spark.createDataFrame(rows, "a int, b int, media binary"), ["a", "b"])
+    got = {r.a: r for r in audio_prints.align(prints, ["a", "b"], F.col("a") % 2 == 0).collect()}
+    by = {}
+    for i, c in enumerate(copies):
+        by.setdefault(c[0], []).append(got[2 * i + 1].matches > 0 or got[2 * i + 1].class_a == 2 * i)
+    return {k: sum(v) / len(v) for k, v in by.items()}
+
+
+def test_audio_recall(spark):
+    rng, copies = np.random.default_rng(4), []
+    hop = audio_prints.HOP
+    for i in range(20):
+        x = audio_prints.from_wav(audio_prints.sonify(" ".join(f"r{i}n{k}" for k in range(90))))[0]
+        cut = int(rng.integers(5, 40))
+        copies.append(("clipped", x[cut * hop : (cut + 30) * hop], x))  # 12 codes
+        copies.append(("short", x[cut * hop : (cut + 23) * hop], x))  # 5 codes
+        copies.append(("one end", x[: 27 * hop], x[: 35 * hop]))
+        copies.append(("noisy", x + rng.normal(0, 0.03, len(x)), x))
+        copies.append(("short noisy", (y := x[: 22 * hop]) + rng.normal(0, 0.01, len(y)), y))
+        tone = np.sin(2 * np.pi * (31.25 * (2 + i)) * np.arange(60 * hop) / audio_prints.RATE) * 0.9
+        copies.append(("steady", tone[: 40 * hop], tone))
+    got = aligned_pairs(spark, copies)
+    assert min(got.values()) >= 0.9, got
