@@ -4,8 +4,10 @@ Texts and templates are lower-cased (A-Z), cut at white space and ASCII punctuat
 (a template with fewer words is one shingle, as are its windows). Every run of `window` shingles of a template, or all of a
 shorter one, is a template window; the windows of a text are all its runs of the same length. A window's MinHash signature has `bands` bands of `rows` minima; a
 text window with Jaccard similarity J to a template window shares a band with probability 1 - (1 - J^rows)^bands, 0.99996 at
-J = 0.8 with the defaults, and 1 for an equal window. A template that shares a band is a candidate at that place; it is
-verified there by the exact share of its shingles found in the text, `containment` at least.
+J = 0.8 with the defaults, and 1 for an equal window. A template that shares a band is a candidate at that place; so is, where
+its shingles stand, one of which the text holds enough shingles in all: texts shorter than a window and windows broken by inserted words
+share no band for certain. Candidates are verified by the exact share of their shingles found in the text, `containment` at least,
+within the template's length / `containment` + `slack` shingles. A shingle met again begins another place.
 
 A signature's minimum is the hash of one of the window's shingles, so a window none of whose shingles stands in a template
 cannot share a band: only windows around known shingles are hashed, whatever the length of the text.
@@ -54,6 +56,7 @@ class ScanParams:
     bands: int = 10
     rows: int = 2
     containment: float = 0.8
+    slack: int = 16
     seed: int = 5
 
 
@@ -70,7 +73,7 @@ class TemplateIndex:
         for t, name in enumerate(self.names):
             words = word_hashes(templates[name], True, plain=True)
             shingles = shingle_hashes(words, K)
-            self.sets.append((np.unique(shingles), len(words)))
+            self.sets.append((*np.unique(shingles, return_counts=True), len(words)))
             width = min(params.window, len(shingles))
             if not width:
                 continue
@@ -78,7 +81,11 @@ class TemplateIndex:
             for row in self.signatures(shingles, width):
                 for key in row.tolist():
                     by_key.setdefault(key, set()).add(t)
-        self.known = {k: np.unique(np.concatenate([s for s, n in self.sets if len(s) and min(K, n) == k])) for k in {k for k, _ in self.bands}}
+        self.known = {k: np.unique(np.concatenate([s for s, _, n in self.sets if len(s) and min(K, n) == k])) for k in {k for k, _ in self.bands}}
+        self.holders: dict[tuple[int, int], list[int]] = {}
+        for t, (own, _, n) in enumerate(self.sets):
+            for x in own.tolist():
+                self.holders.setdefault((min(K, n), x), []).append(t)
 
     def signatures(self, shingles: np.ndarray, width: int) -> np.ndarray:
         """A row per window of `width` shingles, with a key per band."""
@@ -116,44 +123,64 @@ class TemplateIndex:
                     continue
                 starts = np.unique((hits[:, None] - np.arange(width)[None, :]).ravel())
                 starts = starts[(starts >= 0) & (starts + width <= len(shingles))]
-                if len(shingles) < width:
-                    starts, width_here = np.array([0]), len(shingles)
-                else:
-                    width_here = width
                 for run in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
                     if len(run):
-                        for s, row in zip(run.tolist(), self.signatures(shingles[run[0] : run[-1] + width_here], width_here), strict=True):
+                        for s, row in zip(run.tolist(), self.signatures(shingles[run[0] : run[-1] + width], width), strict=True):
                             for t in set().union(*(by_key.get(key, ()) for key in row.tolist())):
                                 places.setdefault(t, []).append(s)
+            standing: dict[int, list[int]] = {}
+            for s in hits.tolist():
+                for t in self.holders[k, int(shingles[s])]:
+                    standing.setdefault(t, []).append(s)
+            for t, at_t in standing.items():
+                if len(at_t) >= self.p.containment * len(self.sets[t][0]):
+                    places.setdefault(t, []).extend(at_t)
             for t, starts_t in places.items():
                 found += self._verify(t, sorted(set(starts_t)), shingles, k)
         return sorted(found, key=lambda x: (x[2], x[0]))
 
     def _verify(self, t: int, starts: list[int], shingles: np.ndarray, k: int) -> Iterator[tuple[str, float, int, int]] | list:
-        own, n_words = self.sets[t]
+        own, times, n_words = self.sets[t]
         reach = max(1, n_words - k + 1)
-        out, done = [], -1
-        groups = np.split(np.array(starts), np.flatnonzero(np.diff(starts) > reach) + 1)
+        span = int(np.ceil(reach / self.p.containment)) + self.p.slack
+        out, done = [], 0
+        groups = np.split(np.array(starts), np.flatnonzero(np.diff(starts) > span) + 1)
         for g in groups:
-            lo, hi = max(0, int(g[0]) - reach, done), min(len(shingles), int(g[-1]) + 2 * reach)
+            lo, hi = max(int(g[0]) - span, done), min(len(shingles), int(g[-1]) + 2 * span)
+            if lo >= hi:
+                continue
             part = shingles[lo:hi]
             inside = np.flatnonzero(np.isin(part, own))
+            which, at = np.searchsorted(own, part[inside]).tolist(), inside.tolist()
+
+            def place(i: int) -> tuple[float, int, int, int]:
+                """Share, length (negative), first and last shingle of what begins at the i-th own shingle here."""
+                seen: dict[int, int] = {}
+                last = at[i]
+                for j in range(i, len(at)):
+                    w = which[j]
+                    if at[j] >= at[i] + span or seen.get(w, 0) >= times[w]:
+                        break
+                    if w not in seen:
+                        last = at[j]
+                    seen[w] = seen.get(w, 0) + 1
+                return len(seen) / len(own), at[i] - last, at[i], last
+
             i = 0
-            while i < len(inside):
-                # The best place among those that begin within a template's length of here.
-                best = (0.0, 0, 0)
-                for s in inside[(inside >= inside[i]) & (inside < inside[i] + reach)].tolist():
-                    run = inside[(inside >= s) & (inside < s + reach)]
-                    share = len(np.unique(part[run])) / len(own)
-                    if share > best[0]:
-                        best = (share, s, int(run[-1]))
-                if best[0] >= self.p.containment:
-                    out.append((self.names[t], float(best[0]), lo + best[1], lo + best[2] + k))
-                    nxt = best[2] + 1
-                    done = lo + nxt
-                else:
-                    nxt = int(inside[i]) + 1
-                i = int(np.searchsorted(inside, nxt))
+            while i < len(at):
+                best = place(i)
+                if best[0] < self.p.containment:
+                    i += 1
+                    continue
+                # The best of those that begin before this one ends.
+                end = best[3]
+                i += 1
+                while i < len(at) and at[i] <= end:
+                    best = max(best, place(i), key=lambda x: x[:2])
+                    i += 1
+                out.append((self.names[t], float(best[0]), lo + best[2], lo + best[3] + k))
+                done = lo + best[3] + 1
+                i = int(np.searchsorted(inside, best[3] + 1))
         return out
 
 

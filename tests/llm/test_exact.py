@@ -123,6 +123,31 @@ def test_license_places(spark):
     assert [(r.license, 0.8 <= r.containment < 1) for r in near] == [("GPL-notice", True)]
 
 
+def test_license_cuts_and_insertions():
+    index, rng = license_scan.TemplateIndex(license_scan.TEMPLATES, license_scan.ScanParams()), random.Random(8)
+    got = index.scan("This work is licensed under the GNU General Public License, version")
+    assert [(x[0], x[1]) for x in got] == [("GPL-3.0", 7 / 8)]
+    tried = 0
+    for n in range(600):
+        name = rng.choice(sorted(license_scan.TEMPLATES))
+        words = license_scan.TEMPLATES[name].split()
+        own = set(shingle_hashes(word_hashes(license_scan.TEMPLATES[name], True, plain=True), 5).tolist())
+        words = words[rng.randrange(3) : len(words) - rng.randrange(3)]
+        for _ in range(rng.randrange(3)):
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = [f"new{n}"] * rng.randrange(1, 4)
+        around = [f"x{i}" for i in range(rng.choice((0, 0, 40)))]
+        text = " ".join(around + words + around)
+        share = len(own & set(shingle_hashes(word_hashes(text, True, plain=True), 5, whole_if_short=False).tolist())) / len(own)
+        best = max((x[1] for x in index.scan(text) if x[0] == name), default=0.0)
+        tried += share >= 0.8
+        assert best == (share if share >= 0.8 else 0.0), text
+    assert tried > 150
+    notice = license_scan.TEMPLATES["GPL-notice"]
+    twice = index.scan(f"{notice.replace('Foundation', 'x')} {notice}")
+    assert [x[0] for x in twice] == ["GPL-notice"] * 2
+
+
 def test_automaton():
     lex = toxicity.LexiconAutomaton(["idiot", "scum", "moron"], ["vequ"], 5)
     assert [lex.match(w) for w in ("idiot", "idiott", "idot", "idoit", "1diot", "scum", "scumm", "vequee", "vexuee", "moron", "mo", "")] == [0, 1, 1, None, 1, 0, None, 0, None, 0, None, None]
