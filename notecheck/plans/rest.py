@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import rounded
@@ -94,13 +94,18 @@ def sm_04_judge_notes(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema("id long, label string").parquet(f"{folder}/out").select("id", "label")
 
 
-def _archived(spark: SparkSession, d: str) -> str:
-    """Positions written as archive files (one JSON document per ship), for the readers."""
+DOCUMENT_ROWS = 5000  # rows that a written document holds
+
+
+def _archived(spark: SparkSession, p: DataFrame) -> str:
+    """Positions written as archive files (JSON documents of a ship and day, of DOCUMENT_ROWS positions at most), for the readers."""
     path = f"{store.shared_folder(spark)}/archives/{uuid.uuid4().hex}"
-    p = frame(spark, d, "positions")
     item = F.struct("lat", "lon", "speed", "heading", F.col("ts").alias("last_position_epoch"))
-    # An archive holds one ship's days by its format.
-    p.groupBy("mmsi").agg(F.collect_list(item).alias("positions")).write.json(path)
+    day = F.floor(F.col("ts") / 86400).alias("day")
+    rows = p.select("mmsi", day, item.alias("item"))
+    at = F.row_number().over(Window.partitionBy("mmsi", "day").orderBy("item"))
+    chunk = F.floor((at - 1) / DOCUMENT_ROWS).alias("chunk")
+    rows.select("mmsi", "day", "item", chunk).groupBy("mmsi", "day", "chunk").agg(F.collect_list("item").alias("positions")).select("mmsi", "positions").write.json(path)
     return path
 
 
@@ -111,12 +116,12 @@ def _lines_reader(spark: SparkSession, path: str) -> DataFrame:
 
 @query("select mmsi, count(*) as n, min(ts) as first_ts from positions group by mmsi")
 def src_01_archives(spark: SparkSession, d: str) -> DataFrame:
-    return _lines_reader(spark, _archived(spark, d)).groupBy("mmsi").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"))
+    return _lines_reader(spark, _archived(spark, frame(spark, d, "positions"))).groupBy("mmsi").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"))
 
 
 @query("select mmsi, ts, count(*) as n from positions where ts is not null group by mmsi, ts")
 def prj_01_normalized_positions(spark: SparkSession, d: str) -> DataFrame:
-    return _lines_reader(spark, _archived(spark, d)).groupBy("mmsi", "ts").agg(F.count(F.lit(1)).alias("n"))
+    return _lines_reader(spark, _archived(spark, frame(spark, d, "positions"))).groupBy("mmsi", "ts").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("select mmsi, case when seq % 3 = 0 then null else ts end as ts, count(*) as n from positions group by 1, 2")
@@ -146,29 +151,34 @@ def snk_04_position_archive(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path).groupBy(F.datediff("position_date", F.lit("1970-01-01").cast("date")).cast("long").alias("day")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _as_documents(spark: SparkSession, rows: DataFrame, key: str, name: str) -> str:
-    """Rows as JSON documents, each a list of the rows of one of 16 buckets."""
+def _buckets(rows: DataFrame, each: int) -> int:
+    """How many buckets leave about `each` rows to a bucket, 16 at least."""
+    return max(16, -(-rows.count() // each))
+
+
+def _as_documents(spark: SparkSession, rows: DataFrame, name: str, each: int = DOCUMENT_ROWS) -> str:
+    """Rows as JSON documents, each a list of about `each` rows, or fewer."""
     path = f"{store.shared_folder(spark)}/{name}/{uuid.uuid4().hex}"
-    bucket = F.pmod(F.xxhash64(key), F.lit(16)).alias("bucket")
+    bucket = F.pmod(F.xxhash64(*rows.columns), F.lit(_buckets(rows, each))).alias("bucket")
     rows.groupBy(bucket).agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value")).write.partitionBy("bucket").text(path)
     return path
 
 
 @query("select imo, name, mmsi, flag from vessel_registry")
 def src_02_vessel_files(spark: SparkSession, d: str) -> DataFrame:
-    path = _as_documents(spark, frame(spark, d, "vessel_registry"), "imo", "vessels")
+    path = _as_documents(spark, frame(spark, d, "vessel_registry"), "vessels")
     return S.read_vessels(spark, path).select("imo", "name", "mmsi", "flag")
 
 
 @query("select sb_number, name, mmsi, imo from barge_registry")
 def src_05_barge_files(spark: SparkSession, d: str) -> DataFrame:
-    path = _as_documents(spark, frame(spark, d, "barge_registry").select("name", "sb_number", "mmsi", "imo"), "sb_number", "barges")
+    path = _as_documents(spark, frame(spark, d, "barge_registry").select("name", "sb_number", "mmsi", "imo"), "barges")
     return S.read_barges(spark, path).select("sb_number", "name", "mmsi", "imo")
 
 
 @query("select mmsi, name, cast(cast(imo as bigint) % 40 as double) as distance from vessel_registry")
 def src_04_radius_files(spark: SparkSession, d: str) -> DataFrame:
     v = frame(spark, d, "vessel_registry").select(F.struct(F.lit(1.264).alias("lat"), F.lit(103.84).alias("lon"), F.lit(50.0).alias("radius")).alias("point"), "imo", F.struct("name", "mmsi", "imo", (F.col("imo").cast("long") % 40).cast("double").alias("distance")).alias("v"))
-    one = v.groupBy("point", (F.col("imo").cast("long") % 16).alias("b")).agg(F.collect_list("v").alias("vessels"), F.count(F.lit(1)).alias("total"))
-    path = _as_documents(spark, one, "b", "radius")
+    one = v.groupBy("point", F.pmod(F.xxhash64("imo"), F.lit(_buckets(v, DOCUMENT_ROWS))).alias("b")).agg(F.collect_list("v").alias("vessels"), F.count(F.lit(1)).alias("total"))
+    path = _as_documents(spark, one, "radius", 1)
     return S.read_radius(spark, path).select("mmsi", "name", "distance")

@@ -89,3 +89,16 @@ def test_forest_finds_shifted_rows(spark):
     assert max(s, key=lambda r: r.anomaly_score).id == 1000
     again = anomaly.fit_forest(f.repartition(7), "id", ["a", "b"], p)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, anomaly.fit_forest(f, "id", ["a", "b"], p).collect()))
+
+
+def test_written_documents_are_bounded(spark):
+    from notecheck.plans import rest
+
+    p = spark.range(14000).select(F.when(F.col("id") < 12000, 1).otherwise(2).alias("mmsi"), F.lit(1.0).alias("lat"), F.lit(2.0).alias("lon"), F.lit(3.0).alias("speed"), F.lit(4.0).alias("heading"), (F.col("id") * 20).alias("ts"))
+    path = rest._archived(spark, p)
+    sizes = [r[0] for r in spark.read.schema("positions array<struct<lat:double>>").json(path).select(F.size("positions")).collect()]
+    assert max(sizes) <= 5000 and sum(sizes) == 14000
+    v = spark.range(120000).select(F.col("id").cast("string").alias("imo"), F.lit("n").alias("name"))
+    docs = spark.read.text(rest._as_documents(spark, v, "vessels-test")).select(F.size(F.from_json("value", "array<struct<imo:string>>")))
+    sizes = [r[0] for r in docs.collect()]
+    assert max(sizes) <= 6000 and sum(sizes) == 120000
