@@ -38,27 +38,27 @@ TABLES: dict[str, str] = {
         1.264e0 + (user_id % 5) * 2e-4 + ((event_id * 7919) % 1001 - 500) * 2e-6 + case when user_id % 11 = 0 then 0.9e0 else 0e0 end as lat,
         103.84e0 + ((event_id * 6151) % 1001 - 500) * 2e-6 as lon, value / 100 as speed,
         cast(case when event_id % 97 = 0 then 511 else (event_id * 37) % 360 end as double) as heading from {events}""",
-    "deliveries": f"""select o_orderkey as id, o_custkey as custkey, cast(200000000 + o_custkey % u as string) as vessel_mmsi,
-        cast(200000000 + (o_custkey * 7 + 3) % u as string) as barge_mmsi, {EPOCH0} + (o_orderkey * 5 % 648) * 3600 as start_s,
+    "deliveries": f"""select o_orderkey as id, o_custkey as custkey, cast(200000000 + o_custkey % (select u from {{users}}) as string) as vessel_mmsi,
+        cast(200000000 + (o_custkey * 7 + 3) % (select u from {{users}}) as string) as barge_mmsi, {EPOCH0} + (o_orderkey * 5 % 648) * 3600 as start_s,
         {EPOCH0} + (o_orderkey * 5 % 648) * 3600 + (12 + o_orderkey % 60) * 3600 as end_s, 60 * q as quantity_mt
-        from {{orders}} join (select l_orderkey, sum(l_quantity) as q from {{lineitem}} group by l_orderkey) t on l_orderkey = o_orderkey cross join {{users}}""",
+        from {{orders}} join (select l_orderkey, sum(l_quantity) as q from {{lineitem}} group by l_orderkey) t on l_orderkey = o_orderkey""",
     "ports": """select * from (values (1, 'Singapore', 'Asia/Singapore', 8, 1.264e0, 103.84e0), (2, 'Rotterdam', 'Europe/Amsterdam', 1, 51.922e0, 4.479e0),
         (3, 'Fujairah', 'Asia/Dubai', 4, 25.128e0, 56.326e0), (4, 'Houston', 'America/Chicago', -6, 29.735e0, -95.265e0),
         (5, 'Hong Kong', 'Asia/Hong_Kong', 8, 22.302e0, 114.177e0)) as p(ord, port, timezone, utc_offset, lat, lon)""",
-    "part_names": "select p_partkey as k, upper(p_name) as n, count(*) over () as c from {part}",
-    "vessel_registry": """select cast(1000000 + c_custkey as string) as imo, n || ' ' || cast(c_custkey % 100 as string) as name, cast(200000000 + c_custkey % u as string) as mmsi,
+    "part_names": "select p_partkey as k, upper(p_name) as n from {part}",
+    "vessel_registry": """select cast(1000000 + c_custkey as string) as imo, n || ' ' || cast(c_custkey % 100 as string) as name, cast(200000000 + c_custkey % (select u from {users}) as string) as mmsi,
         case when c_mktsegment in ('MACHINERY', 'AUTOMOBILE') then 'Bunkering Tanker' else c_mktsegment end as type_specific, cast(c_nationkey as string) as flag
-        from {customer} cross join {users} join {part_names} on k = 1 + c_custkey % c""",
+        from (select *, 1 + c_custkey % (select count(*) from {part}) as pk from {customer}) c join {part_names} on k = pk""",
     "barge_registry": """select 'SB' || lpad(cast(s_suppkey as string), 4, '0') || chr(cast(65 + s_suppkey % 26 as int)) as sb_number, n || ' ' || cast(s_suppkey % 50 as string) as name,
-        case when s_suppkey % 9 = 0 then null else cast(200000000 + (s_suppkey * 7 + 3) % u as string) end as mmsi, cast(9000000 + s_suppkey as string) as imo, s_suppkey as suppkey, s_name as supplier
-        from {supplier} cross join {users} join {part_names} on k = 1 + (s_suppkey * 3) % c""",
+        case when s_suppkey % 9 = 0 then null else cast(200000000 + (s_suppkey * 7 + 3) % (select u from {users}) as string) end as mmsi, cast(9000000 + s_suppkey as string) as imo, s_suppkey as suppkey, s_name as supplier
+        from (select *, 1 + (s_suppkey * 3) % (select count(*) from {part}) as pk from {supplier}) c join {part_names} on k = pk""",
     "suppliers": "select count(*) as s from {supplier}",
     "note_fields": f"""select id, v.name as registry_name, case when id % 7 = 0 then substr(v.name, 1, 1) || substr(v.name, 3) else v.name end as vessel_name,
         case when id % 19 = 0 then cast(cast(v.imo as bigint) + 1 as string) else v.imo end as imo, case when id % 13 = 0 then null else b.name end as barge_name, b.sb_number, b.supplier,
         case id % 4 when 0 then 'Singapore' when 1 then 'ROTTERDAM' when 2 then 'Port of Hong  Kong' else 'Fujairah' end as port,
         case when id % 23 = 0 then end_s else start_s end as from_s, case when id % 23 = 0 then start_s else end_s end as to_s, cast(quantity_mt as bigint) as q,
         case when id % 4 = 0 then 'HANDWRITTEN' else 'DIGITAL' end as doc_type, 0.6e0 + (id % 40) / 100e0 as ocr_confidence, cast((id * 13) % 500 as double) as font_variance, custkey, d.start_s, d.end_s, d.vessel_mmsi, d.barge_mmsi
-        from {{deliveries}} d join {{vessel_registry}} v on v.imo = cast(1000000 + custkey as string) cross join {{suppliers}} join {{barge_registry}} b on b.suppkey = 1 + (id * 7 + 3) % s""",
+        from (select *, 1 + (id * 7 + 3) % (select s from {{suppliers}}) as sk from {{deliveries}}) d join {{vessel_registry}} v on v.imo = cast(1000000 + custkey as string) join {{barge_registry}} b on b.suppkey = sk""",
     "notes": f"""select id as note_id, doc_type, ocr_confidence, font_variance, custkey, start_s, end_s, vessel_mmsi, barge_mmsi,
         'BUNKER DELIVERY NOTE' || chr(10) || 'BDN No: BDN-' || cast(id as string) || chr(10) || 'Vessel Name: ' || vessel_name || chr(10) || 'IMO No: ' || imo || chr(10)
         || case when barge_name is null then '' else 'Barge Name: ' || barge_name || chr(10) end || 'SB No: ' || sb_number || chr(10) || 'Port: ' || port || chr(10)
