@@ -14,6 +14,8 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 GAP = "[\\x20\\x09-\\x0D]+"
 #: Rows of a table that may be broadcast; beyond it `join_small` shuffles.
 BROADCAST_ROWS = 20_000
+#: Rows of one key that one task joins, and the most keys that are split (a broadcast of that many rows).
+SPLIT_ROWS, HOT_KEYS = 20_000, 50_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,12 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none (tests)."""
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share; on a local master that names none, one of our own (tests)."""
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir", None) or getattr(context, "_own_shared_dir", None)
     if not found:
-        found = getattr(spark.sparkContext, "_own_shared_dir", None) or tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext._own_shared_dir = found
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = context._own_shared_dir = tempfile.mkdtemp(prefix="spark-shared-")
     return found.rstrip("/")
 
 
@@ -46,17 +49,44 @@ def words(text: Column) -> Column:
 def join_small(df: DataFrame, small: DataFrame, keys: list[str], salt: Column, how: str = "inner") -> DataFrame:
     """Joins a table with one row per key; null keys meet null keys.
 
-    Up to BROADCAST_ROWS rows, counted first, are broadcast. Beyond that both sides shuffle, and the
-    large side's keys are salted sixteenfold, so that a hot key does not land in one task.
+    Up to BROADCAST_ROWS rows, counted first, are broadcast. Beyond that both sides shuffle, and a key with
+    more than SPLIT_ROWS rows of the large side is dealt by `salt` over as many parts as it needs.
     """
     small = small.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], *[c for c in small.columns if c not in keys])
-    on = [df[k].eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
     drop = [f"__k{i}" for i in range(len(keys))]
+    on = [df[k].eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
     if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return df.join(F.broadcast(small), on=_all(on), how=how).drop(*drop)
-    left = df.withColumn("__salt", F.pmod(salt, F.lit(16)))
-    right = small.withColumn("__salt_r", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    return left.join(right, on=_all([*on, F.col("__salt") == F.col("__salt_r")]), how=how).drop(*drop, "__salt", "__salt_r")
+    hot = _hot_keys(df, keys)
+    left = _with_parts(df, hot, keys).withColumn("__part", F.pmod(salt, F.col("__parts")).cast("int")).drop("__parts")
+    right = _with_parts(small, hot, drop).withColumn("__part_r", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).drop("__parts")
+    on = [left[k].eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    return left.join(right, on=_all([*on, F.col("__part") == F.col("__part_r")]), how=how).drop(*drop, "__part", "__part_r")
+
+
+def _hot_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys with more than SPLIT_ROWS rows and how many parts they need; the HOT_KEYS largest if there are more."""
+    sizes = df.groupBy(*[F.col(k).alias(f"__h{i}") for i, k in enumerate(keys)]).agg(F.count(F.lit(1)).alias("__c")).where(F.col("__c") > SPLIT_ROWS)
+    return materialize(sizes.orderBy(F.desc("__c")).limit(HOT_KEYS).withColumn("__parts", F.ceil(F.col("__c") / SPLIT_ROWS).cast("int")).drop("__c"), "hot-keys")
+
+
+def _with_parts(df: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
+    on = [df[k].eqNullSafe(F.col(f"__h{i}")) for i, k in enumerate(keys)]
+    return df.join(F.broadcast(hot), on=_all(on), how="left").withColumn("__parts", F.coalesce("__parts", F.lit(1))).drop(*[f"__h{i}" for i in range(len(keys))])
+
+
+def join_split(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner equi-join in which no key's rows of `right` need fit one task.
+
+    A key with more than SPLIT_ROWS rows of `right` is dealt by a hash of the whole row over parts; rows of `left` have a copy in
+    each part of their key. Keys that are not among the HOT_KEYS largest are joined as they are. `right` is counted first, so it should be a written table.
+    """
+    hot = _hot_keys(right, keys)
+    if hot.isEmpty():
+        return left.join(right, keys)
+    dealt = _with_parts(right, hot, keys).withColumn("__part", F.pmod(F.xxhash64(*right.columns), F.col("__parts")).cast("int")).drop("__parts")
+    copied = _with_parts(left, hot, keys).withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).drop("__parts")
+    return copied.join(dealt, [*keys, "__part"]).drop("__part")
 
 
 def _all(conditions: list[Column]) -> Column:

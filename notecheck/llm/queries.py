@@ -13,9 +13,10 @@ from .oracles import ORACLES  # noqa: F401
 
 
 def op1_audio_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recordings are turns of conversations, sounded word by word; queries are those whose conv_id 20 divides."""
+    """Recordings are turns of conversations, sounded word by word over a hiss, each from the last words of the turn before it on; so
+    neighbours share a passage. Queries are those whose conv_id 20 divides."""
     ids = ["conv_id", "turn"]
-    media = audio_prints.recordings_of(table(spark, sf_dir, "conversations"), ids)
+    media = audio_prints.recordings_of(audio_prints.rolling_turns(table(spark, sf_dir, "conversations")), ids, noise=0.01)
     return audio_prints.align(audio_prints.fingerprint(media, ids), ids, F.col("conv_id") % 20 == 0)
 
 

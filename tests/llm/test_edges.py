@@ -118,3 +118,15 @@ def test_audio(spark):
     assert got[26].matches == 1 and got[26].best_error < 0.1 and got[27].matches == 0 and got[23].n_codes == 0 and got[23].class_a is None and got[24].n_codes == 0
     bad = spark.createDataFrame([(1, 1, bytearray(b"RIFFxx")), (2, 1, None)], "a long, b long, media binary")
     assert [r.n_codes for r in audio_prints.align(audio_prints.fingerprint(bad, ids), ids, F.lit(True)).collect()] == [0, 0]
+
+
+def test_audio_edges(spark):
+    ids = ["codes_of", "__key"]
+    long = " ".join(f"z{i * 31 % 9973}" for i in range(9000))
+    rows = [(20, 1, long, "x"), (1, 1, " ".join(long.split()[4000:4100]), "x"), (None, 1, "lone " * 50, "x"), (None, 1, "lone " * 50, "x")]
+    turns = spark.createDataFrame(rows, "codes_of long, __key long, text string, q_codes string")
+    got = audio_prints.align(audio_prints.fingerprint(audio_prints.recordings_of(turns, ids), ids), ids, F.col("codes_of") == 20).collect()
+    by = {r.codes_of: r for r in got}
+    assert len(got) == 4 and by[1].matches == 1 and by[1].best_offset == -4000 and by[20].n_codes == 9000 - 18 and by[None].class___key == 1
+    none = spark.createDataFrame([], "codes_of long, __key long, media binary")
+    assert audio_prints.align(audio_prints.fingerprint(none, ids), ids, F.lit(True)).count() == 0

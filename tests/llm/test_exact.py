@@ -280,3 +280,29 @@ def test_audio_recall(spark):
         copies.append(("steady", tone[: 40 * hop], tone))
     got = aligned_pairs(spark, copies)
     assert min(got.values()) >= 0.9, got
+
+
+def brute_aligned(a, b, p):
+    """Whether some offset of b against a keeps within the error, by trying every one."""
+    for off in range(1 - len(a), len(b)):
+        lo = max(0, -off)
+        n = min(len(a) - lo, len(b) - lo - off)
+        if n >= min(p.overlap, len(a), len(b)) and np.unpackbits((a[lo : lo + n] ^ b[lo + off : lo + off + n]).view(np.uint8)).mean() <= p.error * min(1, n / p.full):
+            return True
+    return False
+
+
+def test_audio_query_recall(spark):
+    rng, p = random.Random(5), audio_prints.PrintParams()
+    turns = [(c, t, " ".join(f"w{rng.randrange(3000)}" for _ in range(rng.randrange(3, 90)))) for c in range(24) for t in range(5)]
+    turns += [(30, 0, turns[0][2]), (31, 0, turns[0][2])]
+    rolled = audio_prints.rolling_turns(spark.createDataFrame(turns, "conv_id long, turn long, text string"))
+    media = audio_prints.recordings_of(rolled, ["conv_id", "turn"], noise=0.01)
+    got = {(r.conv_id, r.turn): r for r in audio_prints.align(audio_prints.fingerprint(media, ["conv_id", "turn"]), ["conv_id", "turn"], F.col("conv_id") % 3 == 0).collect()}
+    codes = {(r.conv_id, r.turn): audio_prints.measure([audio_prints.from_wav(bytes(r.media))])[0][0] for r in media.collect()}
+    asked = {c.tobytes(): c for k, c in codes.items() if k[0] % 3 == 0}
+    want = {k: sum(q != c.tobytes() and brute_aligned(x, c, p) for q, x in asked.items()) for k, c in codes.items()}
+    assert all(got[k].matches <= want[k] for k in want)
+    assert sum(want.values()) > 30 and sum(r.matches for r in got.values()) >= 0.9 * sum(want.values())
+    long = [k for k in codes if k[0] % 3 == 0 and k[0] < 24 and 0 < k[1] and len(turns[k[0] * 5 + k[1] - 1][2].split()) >= 40]
+    assert all(got[k].matches > 0 for k in long)
