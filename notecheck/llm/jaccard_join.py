@@ -8,20 +8,25 @@ Documents x and y with |x & y| >= o differ in at most |x| - o shingles of x, so
 are documents:
 
 1. Texts become sets of 64-bit shingle hashes; equal sets are one class from here on.
-2. Every class sends its lowest hashes (half as many again as it needs, and a few) to their regions. The smallest document id of a region is its
+2. Every class sends its lowest hashes (half as many again as it needs, and a few) to their regions. The smallest class of a region is its
    pivot; documents that share enough of their hashes with it are compared exactly, and those within the radius join its cell.
 3. Regions are counted in cells. Shingles with more than `hot` cells are ordered last. Documents keep the regions they need in
-   that order, and meet the documents of other cells there. A pair goes on if the number of common regions allows it.
-4. Documents for which frequent shingles leave too few regions join each other again, recursively, by whole sets and frequencies
-   among themselves. There, pairs that share no rare shingle are held by the triangle inequality: with c rare shingles and h
-   others, |x ^ y| >= c_x + c_y - 2 * (rare ones shared) + |h_x - h_y|.
+   that order. Documents for which frequent shingles leave too few regions meet each other by whole sets, rarest first among themselves.
+4. A region that would make more than `crowd` pairs of different cells a document is split: up to PIVOTS documents of its largest cells
+   become pivots, every member is measured against them exactly and goes to its nearest pivot's Voronoi region; it has a copy in each
+   other whose pivot is no further than the nearest plus twice the radius. Inside, rings of one radius around the pivot hold a document and
+   a copy of it in the next ring. Members within the radius of a pivot join its cell. What is still crowded is split again, with other
+   pivots, as long as the pairs left become fewer; after that the pairs are made in blocks.
 5. Remaining pairs are compared exactly, text against text. Links join cells into components.
 
-No step drops a pair that could link: all bounds are exact. Hot regions and pivots are split over salts.
+No step drops a pair that could link: all bounds are exact. Frequent shingles, pivots and regions are split over tasks. Where many
+documents lie at nearly the same distance, just beyond the radius, from each other, no pivot separates them, and step 4 ends in as many
+comparisons as they have pairs; they are dealt over tasks, but nothing makes them fewer.
 
 Nulls and edges: texts without words have n_shingles 0 and link with nothing; a text with fewer words than `k` is one shingle
-of them all; rows with a null doc_id are not linked and have a null component; rows with equal doc_id count as one document,
-with the largest of their sets; an empty table gives an empty result; other columns are ignored.
+of them all; rows with a null doc_id have the size of their set, link with nothing and have a null component; rows with equal doc_id are
+one document: what links with one of them is linked with all; very long texts are sets like any other; ties of distance go to the smaller
+pivot; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,10 +40,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, shingle_hashes, word_hashes, words
+from .common import _hot_keys, _with_parts, join_small, join_split, materialize, mix, shingle_hashes, word_hashes, words
 
-#: Rows of ids that may be broadcast (16 MB); beyond, joins shuffle.
-BROADCAST_IDS = 500_000
+#: Rows of ids that may be broadcast (about 8 MB in memory); beyond, joins shuffle.
+BROADCAST_IDS = 100_000
+PIVOTS = 8
+BLOCK = 2000  # documents of a region that one task holds against the others
 
 
 @dataclass(frozen=True)
@@ -46,7 +53,7 @@ class JoinParams:
     k: int = 4
     num: int = 85  # link if 100 * |x & y| >= num * |x | y|
     hot: int = 32
-    cell: int = 2000  # documents compared with one copy of a pivot
+    crowd: int = 64  # pairs a document above which a region is split by pivots
 
 
 def text_set(text: object, k: int) -> np.ndarray:
@@ -79,7 +86,7 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def hashed_sets(documents: DataFrame, params: JoinParams) -> DataFrame:
-    """doc_id, n, d1, d2 (digests of the set), lows (its lowest hashes)."""
+    """doc_id, n, d1, d2 (digests of the set), lows (its lowest hashes) for every row."""
     k, num = params.k, params.num
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -92,12 +99,13 @@ def hashed_sets(documents: DataFrame, params: JoinParams) -> DataFrame:
                 rows.append((i, n, *digest(s), s[:take].view(np.int64)))
             yield pd.DataFrame(rows, columns=["doc_id", "n", "d1", "d2", "lows"])
 
-    thin = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return thin.mapInPandas(hashed, "doc_id long, n int, d1 long, d2 long, lows array<long>")
+    # Ids travel as text: pandas would turn a column of longs with a null into doubles.
+    thin = documents.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text")
+    return thin.mapInPandas(hashed, "doc_id string, n int, d1 long, d2 long, lows array<long>").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def whole_sets(documents: DataFrame, chosen: DataFrame, params: JoinParams) -> DataFrame:
-    """id, n, h for every shingle of the chosen classes (id, n, d1)."""
+    """id, n, h for every shingle of the chosen classes (id, doc, n, d1)."""
     k = params.k
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -110,25 +118,24 @@ def whole_sets(documents: DataFrame, chosen: DataFrame, params: JoinParams) -> D
             yield pd.DataFrame(rows, columns=["id", "n", "hs"])
 
     texts = documents.select(F.col("doc_id").cast("long").alias("__doc"), "text")
-    rows = texts.join(_small(chosen.select("id", "d1")), F.col("__doc") == F.col("id")).select("id", "d1", "text")
+    rows = texts.join(_small(chosen.select("id", "doc", "d1")), F.col("__doc") == F.col("doc")).select("id", "d1", "text")
     return rows.mapInPandas(hashed, "id long, n int, hs array<long>").select("id", "n", F.explode("hs").alias("h")).distinct()
 
 
-def verify(documents: DataFrame, pairs: DataFrame, classes: DataFrame, params: JoinParams, name: str) -> DataFrame:
-    """The pairs (a, b) that link, by exact comparison of their texts' sets.
+def compare(documents: DataFrame, pairs: DataFrame, classes: DataFrame, params: JoinParams, name: str, every: bool = False) -> DataFrame:
+    """a, b, distance of the pairs (a, b) of classes that link, or of every pair, by exact comparison of their texts' sets.
 
-    Each b travels to its a; an a with many pairs has a copy for every `cell` of them.
+    Each b travels to its a; an a with many pairs has several copies.
     """
     k, num = params.k, params.num
-    many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / params.cell).cast("int").alias("salts"))
-    salted = pairs.join(_small(many), "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
+    salted = _with_parts(pairs.select("a", "b"), _hot_keys(pairs, ["a"]), ["a"]).withColumn("salt", F.pmod(F.xxhash64("b"), F.col("__parts")).cast("int")).drop("__parts")
     asked = salted.select("a", "salt", F.col("b").alias("id"), F.lit(1).alias("member")).unionByName(salted.select("a", "salt", F.col("a").alias("id"), F.lit(0).alias("member")).distinct())
-    asked = materialize(asked.join(_small(classes.select("id", "d1").join(_small(asked.select("id").distinct()), "id", "left_semi")), "id"), f"{name}-asked")
+    asked = materialize(asked.join(_small(classes.select("id", "doc", "d1").join(_small(asked.select("id").distinct()), "id", "left_semi")), "id"), f"{name}-asked")
     texts = documents.select(F.col("doc_id").cast("long").alias("__doc"), "text")
-    sent = texts.join(_small(asked), F.col("__doc") == F.col("id")).select("a", "salt", "member", "id", "d1", "text")
+    sent = texts.join(_small(asked), F.col("__doc") == F.col("doc")).select("a", "salt", "member", "id", "d1", "text")
     dealt = sent.repartition("a", "salt").sortWithinPartitions("a", "salt", "member", "id")
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, pivot = None, np.empty(0, np.uint64)
         for b in batches:
             rows = []
@@ -140,11 +147,12 @@ def verify(documents: DataFrame, pairs: DataFrame, classes: DataFrame, params: J
                     at, pivot = (a, salt), s
                 elif at == (a, salt):
                     common = len(np.intersect1d(pivot, s, assume_unique=True))
-                    if 100 * common >= num * (len(pivot) + len(s) - common):
-                        rows.append((a, i))
-            yield pd.DataFrame(rows, columns=["a", "b"])
+                    union = len(pivot) + len(s) - common
+                    if every or 100 * common >= num * union:
+                        rows.append((a, i, 1 - common / union, 100 * common >= num * union))
+            yield pd.DataFrame(rows, columns=["a", "b", "distance", "linked"])
 
-    return materialize(dealt.mapInPandas(compare, "a long, b long").distinct(), f"{name}-links")
+    return materialize(dealt.mapInPandas(measured, "a long, b long, distance double, linked boolean").distinct(), f"{name}-measured")
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -176,77 +184,171 @@ def _celled(rows: DataFrame, cells: DataFrame) -> DataFrame:
     return rows.join(_small(cells.select("id", F.col("component").alias("cell"))), "id", "left").withColumn("cell", F.coalesce("cell", "id"))
 
 
-def _met(postings: DataFrame, num: int) -> DataFrame:
-    """a, b, na, nb, shared: pairs of different cells and fitting sizes that meet in a region (h), and in how many.
+def _frequent(postings: DataFrame) -> DataFrame:
+    """Shingles (h) that, by a sixteenth of the documents, stand in a thousand or more; 50,000 at most. What is missed is only not split."""
+    part = postings.where(F.pmod(F.xxhash64("id"), F.lit(16)) == 0).groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c >= 64")
+    return materialize(part.orderBy(F.desc("c")).limit(50_000).select("h"), "jaccard-frequent")
 
-    Regions have at most `hot` cells, or were left with the documents that need them.
+
+def _regions(postings: DataFrame) -> DataFrame:
+    """h, id, n, rank, pivot, pivot_n: postings (h, id, n, rank) of shingles with more than one class, and the smallest class there."""
+    frequent = F.broadcast(_frequent(postings))
+    least = F.min(F.struct("id", "n"))
+    region = W.partitionBy("h")
+    seldom = postings.join(frequent, "h", "left_anti").withColumn("size", F.count(F.lit(1)).over(region)).withColumn("pivot", least.over(region)).where("size > 1").drop("size")
+    often = postings.join(frequent, "h", "left_semi")
+    pivots = often.groupBy("h").agg(least.alias("pivot"))  # a row per frequent shingle
+    every = seldom.unionByName(often.join(F.broadcast(pivots), "h"))
+    return every.select("h", "id", "n", "rank", F.col("pivot.id").alias("pivot"), F.col("pivot.n").alias("pivot_n"))
+
+
+def _crowds(members: DataFrame, name: str) -> DataFrame:
+    """g, size, pairs (of different cells), big (the largest cell) of every region with two cells or more."""
+    cells = members.groupBy("g", "cell").agg(F.count(F.lit(1)).alias("c"))
+    found = cells.groupBy("g").agg(F.sum("c").alias("size"), F.sum(F.col("c").cast("double") * F.col("c")).alias("same"), F.max_by("cell", F.struct("c", "cell")).alias("big"), F.count(F.lit(1)).alias("cells"))
+    return materialize(found.where("cells > 1").select("g", "size", ((F.col("size").cast("double") * F.col("size") - F.col("same")) / 2).alias("pairs"), "big"), f"{name}-crowds")
+
+
+def _in_regions(members: DataFrame, crowds: DataFrame) -> DataFrame:
+    """Members with their region's columns; large regions are split over tasks."""
+    return join_split(crowds, members, ["g"])
+
+
+def _met(members: DataFrame, crowds: DataFrame, num: int) -> DataFrame:
+    """a, b, na, nb, g: pairs of different cells and fitting sizes of the regions in crowds; not of two members of kind 2.
+
+    All members of a region lie in blocks; those outside its largest cell have a copy in every block.
     """
-    x = postings.select("h", F.col("id").alias("a"), F.col("n").alias("na"), F.col("cell").alias("ca"))
-    y = postings.select("h", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("cell").alias("cb"))
-    fit = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _sizes_fit(F.col("na"), F.col("nb"), num)
-    return x.join(y, "h").where(fit).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).cast("int").alias("shared"))
+    inside = _in_regions(members, crowds).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    y = inside.select("g", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int").alias("block"), F.col("id").alias("y"), F.col("n").alias("ny"), F.col("cell").alias("cy"), F.col("place").alias("py"), F.col("kind").alias("ky"), "big")
+    x = inside.where("cell <> big").select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("id").alias("x"), F.col("n").alias("nx"), F.col("cell").alias("cx"), F.col("place").alias("px"), F.col("kind").alias("kx"))
+    least = _least(F.col("nx"), F.col("ny"), num)
+    fit = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("big")) | (F.col("x") < F.col("y"))) & _sizes_fit(F.col("nx"), F.col("ny"), num) & ~((F.col("kx") == 2) & (F.col("ky") == 2)) & (F.col("nx") - F.col("px") >= least) & (F.col("ny") - F.col("py") >= least)
+    met = x.join(y, ["g", "block"]).where(fit)
+    first = F.col("x") < F.col("y")
+    pick = lambda p, q: F.when(first, F.col(p)).otherwise(F.col(q))
+    return met.select("g", pick("x", "y").alias("a"), pick("y", "x").alias("b"), pick("nx", "ny").alias("na"), pick("ny", "nx").alias("nb"))
+
+
+def region_join(documents: DataFrame, members: DataFrame, classes: DataFrame, links: DataFrame, params: JoinParams, name: str, counted: bool) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of different cells that may link, and the links found on the way.
+
+    members: g (region), id, n, cell, place (in the region's order; 0: unknown), kind. counted: members of one pair meet in every
+    region among their first, so the number of common regions bounds the intersection.
+    """
+    num = params.num
+    crowds = _crowds(members, name)
+    crowded = F.col("pairs") > params.crowd * F.col("size")
+    pairs = _met(members, crowds.where(~crowded), num)
+    if counted:
+        # The set whose kept regions end first has met all it shares of them: need - shared of them are its own alone. A pair that
+        # also meets in a crowded region, which is not counted here, is met again there.
+        least = _least(F.col("na"), F.col("nb"), num)
+        enough = F.col("shared") >= F.least(_need(F.col("na"), num) - F.col("na") + least, _need(F.col("nb"), num) - F.col("nb") + least)
+        pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).cast("int").alias("shared")).where(enough)
+    pairs = pairs.select("a", "b")
+    before, level = float("inf"), 0
+    while True:
+        # The crowded regions left to split, and how many pairs they have.
+        left = crowds.where(crowded)
+        now = left.agg(F.sum("pairs")).first()[0]
+        if now is None:
+            return pairs, links
+        if now > before / 2:
+            return pairs.unionByName(_met(members, left, num).select("a", "b")), links
+        before, level = now, level + 1
+        members, links = _split(documents, materialize(_in_regions(members, left), f"{name}-crowded"), classes, links, params, f"{name}-{level}", level)
+        crowds = _crowds(members, name)
+        pairs = pairs.unionByName(_met(members, crowds.where(~crowded), num).select("a", "b"))
+
+
+def _split(documents: DataFrame, members: DataFrame, classes: DataFrame, links: DataFrame, params: JoinParams, name: str, level: int) -> tuple[DataFrame, DataFrame]:
+    """Members dealt to Voronoi regions and rings of pivots of their region, with copies at the boundaries; and all links so far."""
+    radius = 1 - params.num / 100
+    chosen = members.groupBy("g", "cell").agg(F.min_by("id", F.xxhash64("id", F.lit(level))).alias("pivot"), F.count(F.lit(1)).alias("c"))
+    place = F.row_number().over(W.partitionBy("g").orderBy(F.desc("c"), F.xxhash64("cell", F.lit(level))))
+    pivots = materialize(chosen.withColumn("place", place).where(F.col("place") <= PIVOTS).select("g", "pivot"), f"{name}-pivots")
+    asked = materialize(join_split(pivots, members, ["g"]).select("g", "pivot", "id"), f"{name}-pairs")
+    distances = compare(documents, asked.where("pivot <> id").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), classes, params, name, every=True)
+    links = materialize(links.unionByName(distances.where("linked").select("a", "b")).distinct(), f"{name}-links")
+    cells = materialize(components(links, name), f"{name}-cells")
+    measured = join_split(distances.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "distance"), asked, ["pivot", "id"]).unionByName(asked.where("pivot = id").select("pivot", "id", F.lit(0.0).alias("distance"), "g"))
+    nearest = measured.groupBy("g", "id").agg(F.min("distance").alias("least"), F.collect_list(F.struct("pivot", "distance")).alias("to"))  # PIVOTS entries at most
+    slack = 1e-9
+    kept = nearest.select("g", "id", F.explode(F.filter("to", lambda t: t["distance"] <= F.col("least") + 2 * radius + slack)).alias("t"))
+    ring = F.floor(F.col("t.distance") / (radius + slack))
+    ringed = kept.select("g", "id", F.col("t.pivot").alias("pivot"), F.explode(F.array(ring, ring + 1)).alias("ring")).select(F.xxhash64("g", "pivot", "ring").alias("g2"), "g", "id")
+    back = members.select("g", "id", "n", "kind")
+    dealt = join_split(ringed, back, ["g", "id"]).select(F.col("g2").alias("g"), "id", "n", F.lit(0).alias("place"), "kind")
+    return materialize(_celled(dealt, cells).select("g", "id", "n", "cell", "place", "kind"), f"{name}-members"), links
 
 
 def link_documents(documents: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
-    """doc_id, n_shingles, class_id, component_id: one row per document (per row for null doc_ids)."""
+    """doc_id, n_shingles, class_id (smallest doc_id of equal sets), component_id: one row per row of documents."""
     num, hot = params.num, params.hot
-    table = materialize(hashed_sets(documents, params), "jaccard-sets")
-    docs = table.groupBy("doc_id").agg(F.max(F.struct("n", "d1", "d2")).alias("x")).select("doc_id", "x.*")
-    ids = docs.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("id"))
-    members = materialize(docs.join(ids, ["n", "d1", "d2"]).select("doc_id", "n", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("id")).alias("id"), "d1"), "jaccard-members")
-    classes = members.where("doc_id = id and n > 0").select("id", "n", "d1")
-
-    # Regions of the lowest hashes; a region with one class is of no use.
-    others = members.where("doc_id <> id or n = 0").select(F.col("doc_id").alias("__other"))
-    lows = table.join(_small(others), F.col("doc_id") == F.col("__other"), "left_anti")
-    lows = lows.groupBy("doc_id").agg(F.max(F.struct("n", "d1", "lows")).alias("x")).select("doc_id", "x.*") if table.count() != docs.count() else lows
-    postings = lows.where("n > 0").select(F.col("doc_id").alias("id"), "n", F.posexplode("lows").alias("rank", "h"))
-    region = W.partitionBy("h")
-    shared = postings.withColumn("size", F.count(F.lit(1)).over(region)).withColumn("pivot", F.min(F.struct("id", "n")).over(region)).where("size > 1")
-    shared = materialize(shared.select("h", "id", "n", "rank", F.col("pivot.id").alias("pivot"), F.col("pivot.n").alias("pivot_n")), "jaccard-regions")
+    table = materialize(hashed_sets(documents, params).withColumn("uid", F.monotonically_increasing_id()), "jaccard-sets")
+    able = table.where("doc_id is not null and n > 0")
+    # A class is known by the smallest uid of its rows.
+    classes = materialize(able.groupBy("n", "d1", "d2").agg(F.min(F.struct("uid", "doc_id")).alias("x"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")).select(F.col("x.uid").alias("id"), F.col("x.doc_id").alias("doc"), "n", "d1", "d2", "least", "rows"), "jaccard-classes")
+    same = _same_documents(able, classes)
+
+    # Regions of the lowest hashes.
+    firsts = able if classes.where("rows > 1").isEmpty() else able.join(_small(classes.select(F.col("id").alias("uid"))), "uid", "left_semi")
+    postings = firsts.select(F.col("uid").alias("id"), "n", F.posexplode("lows").alias("rank", "h"))
+    shared = materialize(_regions(postings), "jaccard-regions")
 
     # Cells around pivots. The share asked for only saves comparisons: what it leaves out is met again below.
     near = shared.where("id <> pivot").where(_sizes_fit(F.col("n"), F.col("pivot_n"), num)).groupBy("pivot", "id").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
     near = near.where(F.col("c") >= 0.4 * F.col("n") * (100 - num) / 100).select(F.col("pivot").alias("a"), F.col("id").alias("b"))
-    links = verify(documents, materialize(near, "jaccard-near"), classes, params, "jaccard-cells")
+    links = compare(documents, materialize(near, "jaccard-near"), classes, params, "jaccard-cells").select("a", "b").unionByName(same)
+    links = materialize(links, "jaccard-links")
     cells = materialize(components(links, "jaccard-cells"), "jaccard-cells")
 
     celled = materialize(_celled(shared.select("h", "id", "n", "rank"), cells), "jaccard-celled")
-    kinds = celled.groupBy("h", "cell").agg(F.count(F.lit(1)).alias("c")).groupBy("h").agg(F.count(F.lit(1)).alias("cells")).where("cells > 1").withColumn("hot", F.col("cells") > hot)
-    known = celled.join(materialize(kinds.select("h", "hot"), "jaccard-kinds"), "h")
+    kinds = celled.groupBy("h", "cell").agg(F.count(F.lit(1)).alias("c")).groupBy("h").agg(F.count(F.lit(1)).alias("cells")).where("cells > 1").select("h", (F.col("cells") > hot).alias("hot"))
+    known = join_split(materialize(kinds, "jaccard-kinds"), celled, ["h"])
     by_doc = W.partitionBy("id").orderBy("rank")
     counted = known.withColumn("hot_before", F.sum(F.col("hot").cast("int")).over(by_doc)).withColumn("hot_all", F.sum(F.col("hot").cast("int")).over(W.partitionBy("id")))
     sent = F.least(F.col("n"), F.floor(_need(F.col("n"), num) * 3 / 2).cast("int") + 16)
-    counted = counted.withColumn("sent", sent).withColumn("need", _need(F.col("n"), num))
-    cold_all = F.col("sent") - F.col("hot_all")
-    counted = materialize(counted.withColumn("short", cold_all < F.col("need")), "jaccard-counted")
-    # Position in the fixed order: cold ones by hash, then hot ones by hash.
-    place = F.when(F.col("hot"), F.col("sent") - F.col("hot_all") + F.col("hot_before") - 1).otherwise(F.col("rank") - F.col("hot_before"))
-    plain = counted.where(~F.col("short") & ~F.col("hot") & (place < F.col("need"))).select("h", "id", "n", "cell")
-
-    # Documents with too few cold regions: whole sets.
+    counted = counted.withColumn("need", _need(F.col("n"), num))
+    counted = materialize(counted.withColumn("short", sent - F.col("hot_all") < F.col("need")), "jaccard-counted")
+    plain = counted.where(~F.col("short") & ~F.col("hot") & (F.col("rank") - F.col("hot_before") < F.col("need"))).select(F.col("h").alias("g"), "id", "n", "cell", F.lit(0).alias("place"), F.lit(1).alias("kind"))
+
+    # Documents with too few regions of seldom shingles: whole sets, against the others in the same order (seldom ones by hash) ...
     dense = materialize(counted.where("short").select("id").distinct().join(classes, "id"), "jaccard-dense")
-    full = materialize(whole_sets(documents, dense, params), "jaccard-dense-sets")
-    hot_h = counted.where("hot").select("h").distinct()
-    # Against the others: their first regions in the same order, which are cold ones unless the set has no more.
-    cold_full = full.join(_small(hot_h), "h", "left_anti").withColumn("place", F.row_number().over(W.partitionBy("id").orderBy(F.shiftrightunsigned("h", 1), "h")) - 1)
-    dense_cold = _celled(cold_full.where(F.col("place") < _need(F.col("n"), num)).select("h", "id", "n"), cells)
-    wanted = dense_cold.join(plain.select("h").distinct(), "h", "left_semi")
-    x = plain.select("h", F.col("id").alias("a"), F.col("n").alias("na"), F.col("cell").alias("ca"))
-    y = wanted.select("h", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("cell").alias("cb"))
-    mixed = x.join(y, "h").where((F.col("ca") != F.col("cb")) & _sizes_fit(F.col("na"), F.col("nb"), num)).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).cast("int").alias("shared"))
-    # The set whose kept regions end first has met all it shares of them: need - shared of them are its own alone.
-    least = _least(F.col("na"), F.col("nb"), num)
-    enough = F.col("shared") >= F.least(_need(F.col("na"), num) - F.col("na") + least, _need(F.col("nb"), num) - F.col("nb") + least)
-    pairs = _met(plain, num).where(enough).select("a", "b").unionByName(mixed.where(enough).select("a", "b"))
-
-    pairs = pairs.unionByName(_dense_pairs(_celled(full, cells), params))
-    ordered = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-pairs")
-    more = verify(documents, ordered, classes, params, "jaccard-last")
+    full = materialize(_celled(whole_sets(documents, dense, params), cells), "jaccard-dense-sets")
+    seldom = full.join(_small(counted.where("hot").select("h").distinct()), "h", "left_anti").withColumn("place", F.row_number().over(W.partitionBy("id").orderBy(F.shiftrightunsigned("h", 1), "h")) - 1)
+    wanted = seldom.where(F.col("place") < _need(F.col("n"), num)).join(plain.select(F.col("g").alias("h")).distinct(), "h", "left_semi")
+    both = plain.unionByName(wanted.select(F.col("h").alias("g"), "id", "n", "cell", F.lit(0).alias("place"), F.lit(2).alias("kind")))
+    first, links = region_join(documents, materialize(both, "jaccard-plain"), classes, links, params, "jaccard-plain", True)
+    # ... and against each other, rarest among themselves first.
+    sizes = materialize(full.groupBy("h").agg(F.count(F.lit(1)).alias("c")), "jaccard-dense-sizes")
+    rarest = W.partitionBy("id").orderBy("c", "h")
+    ordered = join_split(sizes, full, ["h"]).withColumn("place", F.row_number().over(rarest) - 1).where((F.col("place") < _need(F.col("n"), num)) & (F.col("c") > 1))
+    second, links = region_join(documents, materialize(ordered.select(F.col("h").alias("g"), "id", "n", "cell", "place", F.lit(1).alias("kind")), "jaccard-ordered"), classes, links, params, "jaccard-dense", False)
+
+    pairs = materialize(first.unionByName(second).distinct(), "jaccard-pairs")
+    more = compare(documents, pairs, classes, params, "jaccard-last").select("a", "b")
     final = materialize(components(links.unionByName(more), "jaccard-final"), "jaccard-components")
-    out = members.join(_small(final), "id", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component_id"))
-    lost = documents.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("component_id"))
-    return out.unionByName(lost)
+    # Only classes of several rows, or with links, need more than their own row's doc_id.
+    rooted = classes.join(_small(final), "id", "left").withColumn("root", F.coalesce("component", "id"))
+    smallest = rooted.where("component is not null").groupBy("root").agg(F.min("least").alias("smallest"))
+    named = join_split(smallest, materialize(rooted.where("component is not null"), "jaccard-rooted"), ["root"]).select("n", "d1", "d2", "least", "smallest")
+    named = named.unionByName(classes.where("rows > 1").join(_small(final), "id", "left_anti").select("n", "d1", "d2", "least", F.col("least").alias("smallest")))
+    out = join_small(table.select("doc_id", "n", "d1", "d2", "uid"), materialize(named, "jaccard-named"), ["n", "d1", "d2"], F.xxhash64("uid"), "left")
+    known_id = F.col("doc_id").isNotNull()
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(known_id, F.coalesce("least", "doc_id")).alias("class_id"), F.when(known_id, F.coalesce("smallest", "doc_id")).alias("component_id"))
+
+
+def _same_documents(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b: classes of which rows have the same doc_id; none where ids are unique."""
+    several = materialize(rows.groupBy("doc_id").agg(F.min(F.struct("n", "d1", "d2")).alias("lo"), F.max(F.struct("n", "d1", "d2")).alias("hi")).where("lo <> hi").select("doc_id"), "jaccard-several")
+    if several.isEmpty():
+        return several.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
+    held = rows.select("doc_id", "n", "d1", "d2").join(_small(several), "doc_id", "left_semi").distinct().join(classes.select("id", "n", "d1", "d2"), ["n", "d1", "d2"])
+    held = materialize(held.select("doc_id", "id"), "jaccard-held")
+    least = held.groupBy("doc_id").agg(F.min("id").alias("a"))
+    return join_split(least, held, ["doc_id"]).where("a <> id").select("a", F.col("id").alias("b"))
 
 
 def keep_one(documents: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
@@ -255,7 +357,7 @@ def keep_one(documents: DataFrame, params: JoinParams = JoinParams()) -> DataFra
     Rows without words or with a null doc_id stay; of rows that repeat a doc_id one stays (the one with the most words, then the last by text).
     """
     found = link_documents(documents, params).where("doc_id is not null")
-    gone = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")), "jaccard-gone")
+    gone = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "jaccard-gone")
     # Rows travel packed, so that no column of theirs meets a name used here.
     row = documents.select(F.col("doc_id").cast("long").alias("__id"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("__row"))
     kept = row.join(_small(gone), F.col("__id") == F.col("__gone"), "left_anti")
@@ -268,29 +370,3 @@ def keep_one(documents: DataFrame, params: JoinParams = JoinParams()) -> DataFra
     text = F.coalesce("__row.text", F.lit(""))
     one = more.groupBy("__id").agg(F.max_by("__row", F.struct(F.size(words(text)), text)).alias("__row")).select("__row")
     return once.unionByName(one).select("__row.*")
-
-
-def _dense_pairs(full: DataFrame, params: JoinParams) -> DataFrame:
-    """a, b: pairs of different cells among documents given by whole sets (h, id, n, cell) that may link."""
-    num, hot = params.num, params.hot
-    sizes = full.groupBy("h", "cell").agg(F.count(F.lit(1)).alias("c")).groupBy("h").agg(F.count(F.lit(1)).alias("cells"), F.sum("c").alias("size"))
-    known = full.join(sizes.select("h", "cells", "size", (F.col("cells") > hot).alias("hot")), "h")
-    known = materialize(known, "jaccard-dense-known")
-    stats = materialize(known.groupBy("id", "n", "cell").agg(F.count_if("hot").cast("int").alias("hots")), "jaccard-dense-stats")
-    # |x ^ y| may be na + nb - 2 * least at most.
-    room = F.col("na") + F.col("nb") - 2 * _least(F.col("na"), F.col("nb"), num)
-    bound = (F.col("na") - F.col("ha")) + (F.col("nb") - F.col("hb")) + F.abs(F.col("ha") - F.col("hb"))
-    a = stats.select(F.col("id").alias("a"), F.col("hots").alias("ha"))
-    b = stats.select(F.col("id").alias("b"), F.col("hots").alias("hb"))
-    rare = _met(known.where("not hot and cells > 1"), num)
-    rare = rare.join(a, "a").join(b, "b").where(bound - 2 * F.col("shared") <= room).select("a", "b")
-    # No rare shingle in common: all but few shingles are hot ones, and a common one is among the first in the order by frequency.
-    able = F.col("n") - F.col("hots") <= F.col("n") - F.floor((num * F.col("n") + 99) / 100)
-    place = F.row_number().over(W.partitionBy("id").orderBy("hot", "size", "h")) - 1
-    first = known.join(stats.where(able).select("id", "hots"), "id").withColumn("place", place).where(F.col("hot") & (F.col("place") < _need(F.col("n"), num)))
-    x = first.select("h", F.col("id").alias("a"), F.col("n").alias("na"), F.col("cell").alias("ca"), F.col("hots").alias("ha"), F.col("place").alias("pa"))
-    y = first.select("h", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("cell").alias("cb"), F.col("hots").alias("hb"), F.col("place").alias("pb"))
-    least = _least(F.col("na"), F.col("nb"), num)
-    fit = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _sizes_fit(F.col("na"), F.col("nb"), num) & (bound <= room) & (F.col("na") - F.col("pa") >= least) & (F.col("nb") - F.col("pb") >= least)
-    common = x.join(y, "h").where(fit).select("a", "b").distinct()
-    return rare.unionByName(common)

@@ -53,14 +53,48 @@ def brute_components(texts, k, num):
     return [find(i) for i in range(len(sets))]
 
 
-@pytest.mark.parametrize(("seed", "k", "num", "hot"), [(1, 4, 85, 32), (2, 5, 80, 3), (3, 4, 70, 1)])
-def test_jaccard_components(spark, seed, k, num, hot):
+@pytest.mark.parametrize(("seed", "k", "num", "hot", "crowd"), [(1, 4, 85, 32, 64), (2, 5, 80, 3, 0), (3, 4, 70, 1, 1)])
+def test_jaccard_components(spark, seed, k, num, hot, crowd):
     texts = near_copies(seed)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in jaccard_join.link_documents(docs, jaccard_join.JoinParams(k=k, num=num, hot=hot)).collect()}
+    got = {r.doc_id: r.component_id for r in jaccard_join.link_documents(docs, jaccard_join.JoinParams(k=k, num=num, hot=hot, crowd=crowd)).collect()}
     assert [got[i] for i in range(len(texts))] == brute_components(texts, k, num)
 
 
+def families(seed, size):
+    """Two families of near-equal texts around one stem, and texts that share only a passage with half of all."""
+    rng, stem, out = random.Random(seed), [f"s{i}" for i in range(80)], []
+    for tail in ("a", "b"):
+        own = stem[:60] + [f"{tail}{i}" for i in range(20)]
+        for _ in range(size):
+            t = list(own)
+            for _ in range(rng.randrange(4)):
+                t[rng.randrange(80)] = f"e{rng.randrange(9999)}"
+            out.append(" ".join(t))
+    shared = [f"c{i}" for i in range(6)]
+    return out + [" ".join([f"u{j}x{i}" for i in range(20)] + shared) for j in range(2 * size)]
+
+
+@pytest.mark.parametrize(("hot", "crowd"), [(32, 64), (4, 2), (500, 0)])
+def test_jaccard_crowds(spark, hot, crowd, monkeypatch):
+    from notecheck.llm import common
+
+    monkeypatch.setattr(common, "SPLIT_ROWS", 20)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 25)
+    texts = families(7, 60)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_join.link_documents(docs, jaccard_join.JoinParams(hot=hot, crowd=crowd)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(texts, 4, 85)
+
+
+def test_jaccard_ids(spark):
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, long), (1, "x"), (2, "x"), (3, long + " y"), (None, "a b c d e f"), (4, "a b c d e f"), (5, None)]
+    got = jaccard_join.link_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 7 and {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (3, 1), (None, None), (4, 4), (5, 5)}
+    assert [r.n_shingles for r in got if r.doc_id is None] == [3] and sorted(r.n_shingles for r in got if r.doc_id == 1) == [1, 37]
+
+
 def test_jaccard_query(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()
     got = {r.doc_id: r.component_id for r in QUERIES["op7_jaccard_join"](spark, SF).collect()}
