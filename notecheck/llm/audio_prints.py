@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import join_split, materialize, mix, words
 
 RATE, FRAME, HOP, WIDTH = 2000, 256, 64, 16
-STEP_ROWS = 500  # rows that a task fingerprints together before it sends them on
+STEP_ROWS = 200  # rows that a task works on together before it sends what it made on
 BLOCK = 4096  # frames whose spectra are in memory at once
 UNIT = 1 << 16  # the energy of a frame, in whole parts: sums are exact, so codes do not depend on what is measured together
 
@@ -221,18 +221,23 @@ def probes(found: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.repeat(at, flips.shape[1]), (found[at][:, None] ^ flips).ravel()
 
 
+def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches of STEP_ROWS rows at most: what a task makes of them is much larger than they are."""
+    for b in batches:
+        for lo in range(0, len(b), STEP_ROWS):
+            yield b.iloc[lo : lo + STEP_ROWS]
+
+
 def fingerprint(recordings: DataFrame, ids: list[str], params: PrintParams = PrintParams()) -> DataFrame:
     """ids, codes (array of int, the 32 bits of each) and weak (their weak_bits) for every row of recordings (ids, media)."""
     weak = params.weak
 
     def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for lo in range(0, len(b), STEP_ROWS):
-                part = b.iloc[lo : lo + STEP_ROWS]
-                out = part[[f"__{c}" for c in ids]].copy()
-                made = measure([from_wav(x) for x in part["media"]])
-                out["codes"], out["weak"] = [c.view(np.int32) for c, _ in made], [weak_bits(m, weak) for _, m in made]
-                yield out
+        for part in chunks(batches):
+            out = part[[f"__{c}" for c in ids]].copy()
+            made = measure([from_wav(x) for x in part["media"]])
+            out["codes"], out["weak"] = [c.view(np.int32) for c, _ in made], [weak_bits(m, weak) for _, m in made]
+            yield out
 
     sent = recordings.select(*[F.col(c).cast("string").alias(f"__{c}") for c in ids], "media")
     kinds = {c: recordings.schema[c].dataType for c in ids}
@@ -253,7 +258,7 @@ def align(prints: DataFrame, ids: list[str], is_query: Column, params: PrintPara
         return pd.DataFrame({c: np.concatenate([np.empty(0, k), *(np.asarray(p[i]) for p in parts)]).astype(k) for i, (c, k) in enumerate(kinds.items())})
 
     def marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in chunks(batches):
             parts = []
             for c, found in zip(b["__c"], b["codes"], strict=True):
                 found = np.asarray(found, np.int32)
@@ -262,7 +267,7 @@ def align(prints: DataFrame, ids: list[str], is_query: Column, params: PrintPara
             yield rows_of(parts, {"r": np.int64, "pos": np.int32, "code": np.int32, "mark": np.bool_})
 
     def asks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in chunks(batches):
             parts = []
             for c, found, bits in zip(b["__c"], b["codes"], b["weak"], strict=True):
                 found = np.asarray(found, np.int32).view(np.uint32)
