@@ -5,30 +5,44 @@ from __future__ import annotations
 WORD = "[^\\x20\\x09-\\x0D]+"
 SPACE = "[\\x20\\x09-\\x0D]+"
 
-_OP2 = r"""
-with u as (select page_id, lower(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1)) as host, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) as path from pages),
-r as (select *, case when (host = 'example.net' or ends_with(host, '.example.net')) and starts_with(path, '/en/') then 'example.net/en/' when (host = 'example.com' or ends_with(host, '.example.com')) and starts_with(path, '/de/') then 'example.com/de/'
-  when (host = 'org' or ends_with(host, '.org')) and starts_with(path, '/fr/') then 'org/fr/' when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/') then 'net/' end as rule from u),
-s as (select *, case when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow' end as label, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: regexp_replace(x, '[0-9]+', '#', 'g')) as segs from r),
-leaves as (select host, array_to_string(segs, '/') as leaf, any_value(segs) as segs, count(*) as n, count(label) as labelled, count(*) filter (label = 'block') as blocked from s group by 1, 2),
-seg as (select host, leaf, n, unnest(range(len(segs))) as d, unnest(segs) as seg, segs from leaves),
-seg2 as (select host, leaf, n, d, seg, array_to_string(segs[1:d], '/') as parent from seg),
-kids as (select host, d, parent, count(distinct seg) as kids, sum(n) as n from seg2 group by all),
-named as (select seg2.host, leaf, seg2.d, case when kids >= 12 and 2 * kids >= kids.n then '*' else seg end as seg from seg2 join kids on kids.host = seg2.host and kids.d = seg2.d and kids.parent = seg2.parent),
-tpl as (select host, leaf, list(seg order by d) as t from named group by all),
-whole as (select l.host, l.leaf, n, labelled, blocked, coalesce(t[1], '') as branch, coalesce(array_to_string(t[2:], '/'), '') as tail from leaves l left join tpl on tpl.host = l.host and tpl.leaf = l.leaf),
-part as (select host, branch, tail, sum(n) as n, sum(labelled) as labelled, sum(blocked) as blocked from whole group by all),
-sums as (select host, branch, sum(n) as alln, sum(labelled) as lab, sum(blocked) as blk from whole group by all),
-shares as (select p.host, p.branch, tail, cast(floor((8 * n + alln) / (2.0 * alln)) as bigint) as q from part p join sums s on s.host = p.host and s.branch = p.branch),
-profile as (select host, branch, string_agg(cast(q as string) || ' ' || tail, chr(10) order by cast(q as string) || ' ' || tail) as profile from shares where q > 0 group by all),
-br as (select s.host, s.branch, case when lab = 0 then 'none' when 10 * blk >= 9 * lab then 'block' when 10 * blk <= lab then 'allow' else 'mixed' end as kind, coalesce(profile, '') as profile from sums s left join profile p on p.host = s.host and p.branch = s.branch),
-grp as (select host, profile, kind, min(branch) as g, count(*) as merged from br group by all),
-grouped as (select br.host, branch, g, merged from br join grp on grp.host = br.host and grp.profile = br.profile and grp.kind = br.kind),
-mg as (select p.host, g, merged, tail, sum(labelled) as labelled, sum(blocked) as blocked from part p join grouped x on x.host = p.host and x.branch = p.branch group by all),
-judged as (select host, g, tail, blocked + 1 >= 0.9e0 * (labelled + 2) as reject, '/' || g || case when merged > 1 then '|' || cast(merged - 1 as string) else '' end || case when tail = '' then '' else '/' || tail end as template from mg),
-leafv as (select w.host, w.leaf, template, case when reject then 'block' else 'allow' end as tv from whole w join grouped x on x.host = w.host and x.branch = w.branch join judged j on j.host = w.host and j.g = x.g and j.tail = w.tail)
-select page_id, s.host, path, rule, coalesce(label, tv, 'allow') as verdict, template from s left join leafv v on v.host = s.host and v.leaf = array_to_string(s.segs, '/')
-"""
+_URL = "'(?s)^.*?://([^/?#]*)([^?#]*)'"
+
+
+def _op2(levels: int = 6, kids: int = 12, support: int = 8, bound: float = 1.0729830131446736) -> str:
+    """The template tree, its levels written out."""
+    out = [
+        f"u as (select page_id, translate(regexp_extract(coalesce(url, ''), {_URL}, 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(coalesce(url, ''), {_URL}, 2) as path from pages)",
+        """r as materialized (select *, case when (host = 'example.net' or ends_with(host, '.example.net')) and starts_with(path, '/en/') then 'example.net/en/' when (host = 'example.com' or ends_with(host, '.example.com')) and starts_with(path, '/de/') then 'example.com/de/'
+  when (host = 'org' or ends_with(host, '.org')) and starts_with(path, '/fr/') then 'org/fr/' when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/') then 'net/' end as rule from u)""",
+        "l as (select distinct host, path, rule is not null as lab, rule in ('net/', 'example.com/de/') as blk, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: case when x = '*' then chr(92) || x else x end) as s from r)",
+        f"t0 as materialized (select host, path, lab, coalesce(blk, false) as blk, '' as node, case when len(s) > {levels} then list_concat(s[1:{levels - 1}], [array_to_string(s[{levels}:], '/')]) else s end as segs from l)",
+    ]
+
+    def named(to: str, of: str, d: int) -> None:
+        out.append(f"{to}i as (select host, node, seg, count(*) as n from (select host, node, segs[{d}] as seg from {of} where len(segs) >= {d}) z group by host, node, seg)")
+        out.append(f"{to}k as (select *, sum(n) over (partition by host, node) as a from {to}i)")
+        out.append(f"{to}h as (select *, count(*) filter ({kids} * n < a) over (partition by host, node) as lights from {to}k)")
+        out.append(f"{to} as materialized (select t.*, case when len(segs) >= {d} then case when {kids} * n < a and lights >= {kids} then '*' else segs[{d}] end end as branch from {of} t left join {to}h h on h.host = t.host and h.node = t.node and h.seg = t.segs[{d}])")
+
+    for d in range(1, levels + 1):
+        named(f"n{d}", f"t{d - 1}", d)
+        out.append(f"g{d} as (select host, path, segs, node as parent, branch as over_, concat_ws('/', node, branch) as node from n{d} where branch is not null)")
+        named(f"b{d}", f"g{d}", d + 1)
+        out.append(f"p{d} as materialized (select host, parent as node, over_ as branch, coalesce(branch || case when len(segs) > {d + 1} then '/' else '' end, '/') as child, count(*) as n from b{d} group by all)")
+        out.append(f"s{d} as materialized (select host, node, branch, sum(n) as n from p{d} group by all)")
+        out.append(f"""c{d} as (select x.host, x.node, x.branch as a, y.branch as b, any_value(y.n) as nb, max(abs(coalesce(pa.n, 0) / cast(x.n as double) - coalesce(pb.n, 0) / cast(y.n as double))) as gap, any_value({bound!r}e0 * (1 / sqrt(cast(x.n as double)) + 1 / sqrt(cast(y.n as double)))) as lim
+  from s{d} x join s{d} y on x.host = y.host and x.node = y.node and (y.n > x.n or (y.n = x.n and y.branch < x.branch)) join (select distinct host, node, child from p{d}) k on k.host = x.host and k.node = x.node
+  left join p{d} pa on pa.host = x.host and pa.node = x.node and pa.branch = x.branch and pa.child = k.child left join p{d} pb on pb.host = y.host and pb.node = y.node and pb.branch = y.branch and pb.child = k.child
+  where x.n >= {support} and y.n >= {support} group by x.host, x.node, x.branch, y.branch)""")
+        out.append(f"sim{d} as materialized (select * from c{d} where gap <= lim)")
+        out.append(f"led{d} as (select host, node, a as branch, arg_min(b, (-nb, b)) as leader from sim{d} z where not exists (select 1 from sim{d} w where w.host = z.host and w.node = z.node and w.a = z.b) group by all)")
+        out.append(f"w{d} as (select s.host, s.node, s.branch, coalesce(leader, s.branch) as leader from s{d} s left join led{d} e on e.host = s.host and e.node = s.node and e.branch = s.branch)")
+        out.append(f"name{d} as (select host, node, leader, case when count(*) > 1 then '(' || string_agg(branch, '|' order by branch) || ')' else leader end as title from w{d} group by host, node, leader)")
+        out.append(f"t{d} as materialized (select n.host, n.path, n.lab, n.blk, case when n.branch is null then n.node else concat_ws('/', n.node, title) end as node, n.segs from n{d} n left join w{d} w on w.host = n.host and w.node = n.node and w.branch = n.branch left join name{d} m on m.host = w.host and m.node = w.node and m.leader = w.leader)")
+    out.append(f"j as (select host, node, sum(case when blk then 1 else 0 end) + 1 >= 0.9e0 * (sum(case when lab then 1 else 0 end) + 2) as reject from t{levels} group by host, node)")
+    out.append(f"v as (select t.host, t.path, case when t.node = '' then '/' else t.node end as template, reject from t{levels} t join j on j.host = t.host and j.node = t.node)")
+    return "with " + ",\n".join(out) + "\nselect page_id, r.host, r.path, rule, case when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow' when reject then 'block' else 'allow' end as verdict, template from r join v on v.host = r.host and v.path = r.path"
+
 
 _OP3 = f"""
 with sz as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) as bigint) as size, cast('0x' || substr(md5(coalesce(cast(doc_id as string), '') || ':17'), 1, 5) as int) as h from documents),
@@ -77,4 +91,4 @@ lim as (select stratum, {', '.join(f"max(cutoff) filter (rule = '{x}') as c_{x}"
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not ({' or '.join(f'coalesce({x} >= c_{x}, false)' for x in _RULES)}) as kept from r left join lim on lim.stratum is not distinct from r.stratum
 """
 
-ORACLES: dict[str, str] = {"op2_url_filter": _OP2.strip(), "op3_mixing": _OP3.strip(), "op6_chat": _OP6.strip(), "op10_quality_rules": _OP10.strip()}
+ORACLES: dict[str, str] = {"op2_url_filter": _op2(), "op3_mixing": _OP3.strip(), "op6_chat": _OP6.strip(), "op10_quality_rules": _OP10.strip()}

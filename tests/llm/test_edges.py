@@ -89,11 +89,25 @@ def test_urls(spark):
 
 
 def test_url_templates(spark):
-    pages = [(i, f"http://h.com/bad/{i}.html") for i in range(40)] + [(100 + i, f"http://h.com/new/a{chr(97 + i % 26)}{chr(97 + i // 26)}/x") for i in range(40)] + [(200, "http://h.com/other")]
-    params = url_filter.UrlParams(rules=(("h.com", "/bad/1", "block"), ("h.com", "/bad/2", "block")))
-    got = {r.page_id: r for r in url_filter.filter_urls(spark.createDataFrame(pages, "page_id long, url string"), params).collect()}
-    assert got[5].rule is None and got[5].verdict == "block" and got[5].template == "/bad/#.html"
-    assert got[105].template.endswith("/*/x") and got[105].verdict == "allow" and got[200].verdict == "allow"
+    pages = [(i, f"http://h.com/bad/{i}.html") for i in range(40)] + [(100 + i, f"http://h.com/new/a{i}/x/{'y' if i % 2 else 'z'}/{i}") for i in range(40)] + [(200, "http://h.com/other")]
+    pages += [(300 + i, f"http://u.com/u{i % 20}/p{i}") for i in range(100)]
+    # Branches alike: only one of them has labels. Another shape has none.
+    pages += [(1000 + 100 * b + i, f"http://s.com/{b}/{'xyz'[i % 3]}/{i}") for b in range(3) for i in range(60)] + [(2000 + i, f"http://s.com/q/{i}") for i in range(60)]
+    params = url_filter.UrlParams(rules=(("h.com", "/bad/1", "block"), ("h.com", "/bad/2", "block"), ("s.com", "/1/", "block")))
+    run = lambda rows: {r.page_id: r for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), params).collect()}
+    got = run(pages)
+    assert got[5].rule is None and got[5].verdict == "block" and got[5].template == "/bad/*"
+    assert got[105].template == "/new/*/x/(y|z)/*" and got[105].verdict == "allow" and got[200].verdict == "allow"
+    assert {got[300 + i].template for i in range(100)} == {"/*/*"}
+    assert got[1007].template == "/(0|1|2)/(x|y|z)/*" and got[1007].rule is None and got[1007].verdict == "block" and got[1207].verdict == "block"
+    assert got[2007].template == "/q/*" and got[2007].verdict == "allow"
+    assert run(pages * 3) == got
+
+
+def test_url_edges(spark):
+    rows = [(1, "http://a.b/" + "x/" * 5000 + "end", 1, "c", 2), (2, "http://a.b/*/*", 1, "c", 2), (2, "http://a.b/*/*", 1, "c", 2), (3, None, 1, "c", 2)]
+    got = url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, segs int, node string, host int")).collect()
+    assert len(got) == 4 and {r.verdict for r in got} == {"allow"} and max(len(r.path) for r in got) == 10004
 
 
 def test_chat(spark):
