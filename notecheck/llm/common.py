@@ -15,7 +15,7 @@ GAP = "[\\x20\\x09-\\x0D]+"
 #: Rows of a table that may be broadcast; beyond it `join_small` shuffles.
 BROADCAST_ROWS = 20_000
 #: Rows of one key that one task joins, and the most keys that are split (a broadcast of that many rows).
-SPLIT_ROWS, HOT_KEYS = 20_000, 50_000
+SPLIT_ROWS, HOT_KEYS = 4_000, 50_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

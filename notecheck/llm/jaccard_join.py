@@ -8,7 +8,7 @@ Documents x and y with |x & y| >= o differ in at most |x| - o shingles of x, so
 are documents:
 
 1. Texts become sets of 64-bit shingle hashes; equal sets are one class from here on.
-2. Every class sends its lowest hashes (half as many again as it needs, and a few) to their regions. The smallest class of a region is its
+2. Every class sends its lowest hashes (a quarter more than it needs, and a few) to their regions. The smallest class of a region is its
    pivot; documents that share enough of their hashes with it are compared exactly, and those within the radius join its cell.
 3. Regions are counted in cells. Shingles with more than `hot` cells are ordered last. Documents keep the regions they need in
    that order. Documents for which frequent shingles leave too few regions meet each other by whole sets, rarest first among themselves.
@@ -42,8 +42,8 @@ from pyspark.sql import functions as F
 
 from .common import _hot_keys, _with_parts, join_small, join_split, materialize, mix, shingle_hashes, word_hashes, words
 
-#: Rows of ids that may be broadcast (about 8 MB in memory); beyond, joins shuffle.
-BROADCAST_IDS = 100_000
+#: Rows of ids that may be broadcast (about 2 MB in memory); beyond, joins shuffle.
+BROADCAST_IDS = 20_000
 PIVOTS = 8
 BLOCK = 2000  # documents of a region that one task holds against the others
 
@@ -53,7 +53,7 @@ class JoinParams:
     k: int = 4
     num: int = 85  # link if 100 * |x & y| >= num * |x | y|
     hot: int = 32
-    crowd: int = 64  # pairs a document above which a region is split by pivots
+    crowd: int = 8  # pairs a document above which a region is split by pivots
 
 
 def text_set(text: object, k: int) -> np.ndarray:
@@ -95,7 +95,7 @@ def hashed_sets(documents: DataFrame, params: JoinParams) -> DataFrame:
             for i, text in zip(b["doc_id"], b["text"], strict=True):
                 s = text_set(text, k)
                 n = len(s)
-                take = min(n, (n - -(-num * n // 100) + 1) * 3 // 2 + 16)
+                take = min(n, (n - -(-num * n // 100) + 1) * 5 // 4 + 12)
                 rows.append((i, n, *digest(s), s[:take].view(np.int64)))
             yield pd.DataFrame(rows, columns=["doc_id", "n", "d1", "d2", "lows"])
 
@@ -309,7 +309,7 @@ def link_documents(documents: DataFrame, params: JoinParams = JoinParams()) -> D
     known = join_split(materialize(kinds, "jaccard-kinds"), celled, ["h"])
     by_doc = W.partitionBy("id").orderBy("rank")
     counted = known.withColumn("hot_before", F.sum(F.col("hot").cast("int")).over(by_doc)).withColumn("hot_all", F.sum(F.col("hot").cast("int")).over(W.partitionBy("id")))
-    sent = F.least(F.col("n"), F.floor(_need(F.col("n"), num) * 3 / 2).cast("int") + 16)
+    sent = F.least(F.col("n"), F.floor(_need(F.col("n"), num) * 5 / 4).cast("int") + 12)
     counted = counted.withColumn("need", _need(F.col("n"), num))
     counted = materialize(counted.withColumn("short", sent - F.col("hot_all") < F.col("need")), "jaccard-counted")
     plain = counted.where(~F.col("short") & ~F.col("hot") & (F.col("rank") - F.col("hot_before") < F.col("need"))).select(F.col("h").alias("g"), "id", "n", "cell", F.lit(0).alias("place"), F.lit(1).alias("kind"))
