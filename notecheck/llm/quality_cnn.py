@@ -4,9 +4,11 @@ A text's UTF-8 bytes are embedded, `filters` learnt filters of `width` bytes sli
 response of each filter is kept for every chunk. Chunks of `chunk` bytes overlap by half and cover the whole text. A hidden
 layer turns a chunk's responses into a logit; the mean over a text's chunks, calibrated on the labels, gives the probability.
 
-The model is fitted on the driver on at most `per_class` labelled documents of each class and `sample_chunks` chunks of each
-(evenly spaced over the text), so its input has a fixed bound whatever the table; the sample is drawn by a hash of doc_id, and
-seeds are fixed, so reruns agree. Class shares are counted over all labelled rows of the training part.
+At most `per_class` labelled documents of each class are drawn by a hash of doc_id, whatever the table. One of `kept_back` of them is not
+trained on: its whole text's logit calibrates. The network is fitted on the driver on `sample_chunks` chunks of each of the others (evenly
+spaced over the text). Seeds are fixed, so reruns agree. Class shares are counted over all labelled rows of the training part.
+A very long text is scored in blocks, all its chunks counting alike; of filter responses that tie the first wins in training, and ties of
+score have no order to keep.
 
 Nulls and edges: a null or empty text has no chunks and scores as a text with logit 0, calibrated; a null doc_id is never held
 out and never labelled; rows whose label is null are not used; with no labels, or one class alone, every score is the smoothed
@@ -23,13 +25,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 STRIDE = 2
 
 
 @dataclass(frozen=True)
 class CnnParams:
     folds: int = 5
-    per_class: int = 1500
+    per_class: int = 1900
+    kept_back: int = 5  # one of so many sampled documents calibrates
     sample_chunks: int = 3
     chunk: int = 512
     width: int = 8
@@ -185,10 +190,13 @@ def labelled(labels: DataFrame, label: str, folds: int, fold: int) -> DataFrame:
 
 
 def bounded_sample(documents: DataFrame, known: DataFrame, per_class: int, seed: int) -> DataFrame:
-    """doc_id, label, text of at most per_class documents of each class, chosen by a hash of doc_id; the choice is broadcast (2 * per_class rows)."""
+    """doc_id, label, text of at most per_class documents of each class, chosen by a hash of doc_id; the choice is broadcast (2 * per_class rows).
+
+    Of rows that repeat a doc_id the least text stands for all.
+    """
     order = F.xxhash64("doc_id", F.lit(seed))
     picked = known.where("label = 1").orderBy(order, "doc_id").limit(per_class).unionByName(known.where("label = 0").orderBy(order, "doc_id").limit(per_class))
-    return documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    return documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
 def train(documents: DataFrame, labels: DataFrame, params: CnnParams = CnnParams()) -> ByteCnn | float:
@@ -199,23 +207,29 @@ def train(documents: DataFrame, labels: DataFrame, params: CnnParams = CnnParams
     if len(counts) < 2:
         return share
     most, chunk = params.sample_chunks, params.chunk
+    kept_back = F.pmod(F.xxhash64("doc_id", F.lit(params.seed + 1)), F.lit(params.kept_back)) == 0
+    sample = materialize(bounded_sample(documents, known, params.per_class, params.seed).withColumn("kept_back", kept_back), "cnn-sample")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [(i, y, x) for i, y, t in zip(b["doc_id"], b["label"], b["text"], strict=True) for x in sample_of(_raw(t), chunk, most)]
             yield pd.DataFrame(rows, columns=["doc_id", "label", "chunk"])
 
-    drawn = bounded_sample(documents, known, params.per_class, params.seed).mapInPandas(cut, "doc_id long, label int, chunk binary").collect()
+    drawn = sample.where("not kept_back").mapInPandas(cut, "doc_id long, label int, chunk binary").collect()
     drawn.sort(key=lambda r: (r[0], r[1], bytes(r[2])))
     if len({r[1] for r in drawn}) < 2:
         return share
     model = ByteCnn(params)
-    y = np.array([r[1] for r in drawn], np.float32)
-    chunks = [bytes(r[2]) for r in drawn]
-    model.fit(chunks, y)
-    logits = np.array([model.logit(x.decode("utf-8", "ignore")) for x in chunks])
-    model.a, model.b = calibrate(logits, y, np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9)))
-    model._tables = None
+    model.fit([bytes(r[2]) for r in drawn], np.array([r[1] for r in drawn], np.float32))
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(int(y), model.logit(t)) for y, t in zip(b["label"], b["text"], strict=True)], columns=["label", "logit"])
+
+    judged = sorted(tuple(r) for r in sample.where("kept_back").mapInPandas(judge, "label int, logit double").collect())
+    y, logits = np.array([r[0] for r in judged], float), np.array([r[1] for r in judged], float)
+    if len(set(y)) == 2:  # too few labels to keep any back: uncalibrated
+        model.a, model.b = calibrate(logits, y, np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean())))
     return model
 
 

@@ -3,25 +3,29 @@
 1. Lexicon. From a bounded sample of labelled documents, terms (whole words, and stems: the first 4 to 6 letters) are counted in
    toxic and in clean documents. A term is kept if it stands in at least `support` toxic documents, after as many different
    words (copies of one text have only one), and if its smoothed share of toxic documents, at the natural class shares, is at
-   least `precision`. Of what a kept stem covers, only words and stems shorter than `fuzzy_from` are left out: they add no match.
-2. Matching. Words are run through the intersection of the trie with the Levenshtein automaton of distance 1 (0 for terms shorter than
-   `fuzzy_from`); it is determinised as words need it. A stem fits the start of a word, with an edit before its last letter at most:
-   an edit of the last letter would leave the next shorter stem, which step 1 judged itself.
-3. Context. A hit inside quotation marks, or near a word of saying, counts as quoted. A window of `window` words around each hit
-   sums the other abusive hits.
+   least `precision`; a stem answers for all words of the sample that begin with it. Of what a kept stem covers, only words and stems
+   shorter than `fuzzy_from` are left out: they add no match.
+2. Matching. Words are run through the intersection of the trie with the Levenshtein automaton: no edit for terms shorter than
+   `fuzzy_from`, two for those of `far_from` letters or more, else one; an edit is a letter more, less or other, or two neighbours
+   swapped. It is determinised as words need it. A stem fits the start of a word, with an edit before its last letter at most: an edit of
+   the last letter would leave the next shorter stem, which step 1 judged itself. Words with marks inside (`id*ot`) and letters set apart
+   (`i d i o t`) are also tried as one word.
+3. Context. A hit between an opening and a closing quotation mark, SPAN characters apart at most, or just after a word of saying,
+   counts as quoted; a mark without its partner means nothing. A window of `window` words around each hit sums the other abusive hits.
 4. Score. Logistic regression over counts of exact, misspelt and quoted hits, the largest window sum and the hits per 100 words.
 
-Fitting uses at most `per_class` documents of each class (chosen by a hash of doc_id); the lexicon has at most `terms` terms.
-Every text is scored whole.
+Fitting uses at most `per_class` documents of each class (chosen by a hash of doc_id), and of rows that repeat a doc_id the least text.
+Every text is scored whole, whatever its length.
 
 Nulls and edges: a null or empty text has no hits and gets the score of such texts; a null doc_id is never held out and never
 labelled; null labels are not used; with no labels, or one class alone, every score is the smoothed share of class 1; repeated
-rows are scored alike; an empty table gives an empty result; other columns are ignored.
+rows are scored alike; a word that two terms match counts by the fewer edits; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,10 +34,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
 from .quality_cnn import bounded_sample, held_out, labelled
 
-QUOTES = '"“”„«»'
-TOKEN = re.compile(rf"\w+|[{QUOTES}]")
+TOKEN = re.compile(r"\w+")
+SPAN = 400
+QUOTED = re.compile("|".join([rf'(?:(?<=[\s(\[])|^)"(?=\S)[^"]{{1,{SPAN}}}?(?<=\S)"(?!\w)', *(rf"{a}[^{a}{b}]{{1,{SPAN}}}{b}" for a, b in ("“”", "„“", "«»"))]))
+MARKED = re.compile(r"\w+(?:[*@$#!.+-]\w+)+")
+SPACED = re.compile(r"\b(?:\w[ .*_-]){3,}\w\b")
 # Words of saying.
 SAYING = frozenset("said says say saying quote quoted quotes called calls wrote word term sagte sagt nannte zitat wort dit disait cite citation mot dijo dice cita palabra".split())
 FEATURES = ["exact", "misspelt", "quoted", "window", "rate"]
@@ -44,40 +52,43 @@ class ToxicParams:
     folds: int = 3
     fold: int = 1
     per_class: int = 4000
-    terms: int = 4000
     support: int = 3
     precision: float = 0.9
     fuzzy_from: int = 5
+    far_from: int = 9
     window: int = 10
     seed: int = 23
     threshold: float = 0.7
 
 
 class LexiconAutomaton:
-    """The words within the edit limits of any term. States are sets of (trie node, edits), made when first needed."""
+    """The words within the edit limits of any term. States are sets of (trie node, edits, letter read before its turn), made when first needed."""
 
     MOST_STATES = 100_000
     MOST_WORDS = 200_000
     DONE = 1  # the node of a completed stem, whatever follows
 
-    def __init__(self, words: list[str], stems: list[str], fuzzy_from: int):
-        self.words, self.stems, self.fuzzy_from = words, stems, fuzzy_from
+    def __init__(self, words: list[str], stems: list[str], fuzzy_from: int, far_from: int = 9):
+        self.words, self.stems, self.fuzzy_from, self.far_from = words, stems, fuzzy_from, far_from
         self._build()
 
     def __getstate__(self) -> dict:
-        return {"words": self.words, "stems": self.stems, "fuzzy_from": self.fuzzy_from}
+        return {"words": self.words, "stems": self.stems, "fuzzy_from": self.fuzzy_from, "far_from": self.far_from}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
         self._build()
 
+    def allowed(self, term: str) -> int:
+        return 0 if len(term) < self.fuzzy_from else 1 if len(term) < self.far_from else 2
+
     def _build(self) -> None:
         self.next: list[dict[str, int]] = [{}, {}]
-        self.ends: list[int] = [-1, 1]  # edits allowed at a word's end
+        self.ends: list[int] = [-1, 2]  # edits allowed at a word's end
         self.stem: list[int] = [-1, -1]  # edits allowed at a stem's end
-        self.below: list[int] = [0, 1]  # most edits allowed by any term below
+        self.below: list[int] = [0, 2]  # most edits allowed by any term below
         for term, is_stem in [*((w, False) for w in self.words), *((s, True) for s in self.stems)]:
-            allowed = 0 if len(term) < self.fuzzy_from else 1
+            allowed = self.allowed(term)
             node = 0
             self.below[0] = max(self.below[0], allowed)
             for ch in term:
@@ -100,16 +111,20 @@ class LexiconAutomaton:
         self.final: list[int | None] = []  # edits of the best match if the word ends here
         self.stop: list[bool] = []  # a stem is complete without edits
         self.cache: dict[str, int | None] = {}
-        self.start = self._state(self._closed({(0, 0)}))
-
-    def _closed(self, items: set[tuple[int, int]]) -> frozenset:
-        """With a letter of the term left out in the word."""
-        more = {(c, 1) for node, edits in items if edits == 0 for c in self.next[node].values() if self.below[c] > 0}
-        best: dict[int, int] = {}
-        for node, edits in items | more:
-            if edits <= self.below[node]:
-                best[node] = min(edits, best.get(node, edits))
-        return frozenset(best.items())
+        self.start = self._state(self._closed({(0, 0, "")}))
+
+    def _closed(self, items: set[tuple[int, int, str]]) -> frozenset:
+        """With letters of the term left out in the word; of one place only the fewest edits."""
+        best: dict[tuple[int, str], int] = {}
+        todo = list(items)
+        while todo:
+            node, edits, early = todo.pop()
+            if edits > self.below[node] or edits >= best.get((node, early), 9):
+                continue
+            best[node, early] = edits
+            if not early and node != self.DONE:
+                todo += [(c, edits + 1, "") for c in self.next[node].values()]
+        return frozenset((n, e, early) for (n, early), e in best.items())
 
     def _state(self, items: frozenset) -> int:
         found = self.states.get(items)
@@ -117,29 +132,41 @@ class LexiconAutomaton:
             found = self.states[items] = len(self.sets)
             self.sets.append(items)
             self.moves.append({})
-            hits = [e for n, e in items if e <= self.ends[n]]
+            hits = [e for n, e, early in items if not early and e <= self.ends[n]]
             self.final.append(min(hits) if hits else None)
-            self.stop.append((self.DONE, 0) in items)
+            self.stop.append((self.DONE, 0, "") in items)
         return found
 
     def _move(self, state: int, ch: str) -> int:
-        items: set[tuple[int, int]] = set()
-        for node, edits in self.sets[state]:
+        items: set[tuple[int, int, str]] = set()
+
+        def reach(node: int, edits: int, read: bool) -> None:
+            items.add((node, edits, ""))
+            if read and edits <= self.stem[node]:
+                items.add((self.DONE, edits, ""))
+
+        for node, edits, early in self.sets[state]:
             if node == self.DONE:
-                items.add((node, edits))
+                items.add((node, edits, ""))
                 continue
             to = self.next[node].get(ch)
+            if early:  # the letter that the last one stood before
+                if to is not None and early in self.next[to]:
+                    reach(self.next[to][early], edits, True)
+                continue
             if to is not None:
-                items.add((to, edits))
-                if edits <= self.stem[to]:
-                    items.add((self.DONE, edits))
-            if edits == 0 and self.below[node] > 0:
-                items.add((node, 1))  # one letter too many
-                items.update((c, 1) for x, c in self.next[node].items() if x != ch)  # another letter
+                reach(to, edits, True)
+            if edits < self.below[node]:
+                items.add((node, edits + 1, ""))  # one letter too many
+                for x, c in self.next[node].items():
+                    if x != ch:
+                        reach(c, edits + 1, False)  # another letter
+                        if ch in self.next[c]:
+                            items.add((node, edits + 1, ch))  # two letters swapped
         return self._state(self._closed(items)) if items else -1
 
     def match(self, word: str) -> int | None:
-        """0: a term or a word with a known stem; 1: one edit away from either; None: neither."""
+        """0: a term or a word with a known stem; 1, 2: so many edits away from one; None: neither."""
         if word in self.cache:
             return self.cache[word]
         if len(self.sets) > self.MOST_STATES or len(self.cache) > self.MOST_WORDS:
@@ -161,25 +188,44 @@ class LexiconAutomaton:
         return out
 
 
+def tokens_of(text: str, lexicon: LexiconAutomaton) -> list[tuple[str, int, int | None]]:
+    """Words with their place in the text and how they match; marked or spaced-out words that match stand for their parts."""
+    whole: dict[int, tuple[int, str, int]] = {}
+    for pattern in (MARKED, SPACED):
+        for m in pattern.finditer(text):
+            word = m[0] if pattern is MARKED else re.sub("[ .*_-]", "", m[0])
+            if len(word) >= lexicon.fuzzy_from and (hit := lexicon.match(word)) is not None:
+                whole.setdefault(m.start(), (m.end(), word, max(1, hit)))
+    out, end = [], 0
+    for m in TOKEN.finditer(text):
+        if m.start() < end:
+            continue
+        if m.start() in whole:
+            end, word, hit = whole[m.start()]
+            out.append((word, m.start(), hit))
+        else:
+            out.append((m[0], m.start(), lexicon.match(m[0])))
+    return out
+
+
 def features(text: object, lexicon: LexiconAutomaton, window: int) -> tuple[float, ...]:
     """The FEATURES of a whole text."""
-    tokens = TOKEN.findall(text.lower()) if isinstance(text, str) else []
-    hits = {w: m for w in set(tokens) if (m := lexicon.match(w)) is not None}
-    if not hits:
+    text = text.lower() if isinstance(text, str) else ""
+    tokens = tokens_of(text, lexicon)
+    if all(hit is None for _, _, hit in tokens):
         return (0.0,) * len(FEATURES)
-    inside, n, counts, abusive, said = False, 0, [0, 0, 0], [], -10**9
+    spans = [m.span() for m in QUOTED.finditer(text)]
+    starts, said, counts = [a for a, _ in spans], -(10**9), [0, 0, 0]
     found: list[tuple[int, int, bool]] = []
-    for w in tokens:
-        if w in QUOTES:
-            inside = not inside
-            continue
-        n += 1
-        if w in SAYING:
-            said = n
-        if w in hits:
-            quoted = inside or n - said <= 3
-            counts[2 if quoted else hits[w]] += 1
-            found.append((n, hits[w], quoted))
+    n = len(tokens)
+    for at, (word, place, hit) in enumerate(tokens):
+        if word in SAYING:
+            said = at
+        if hit is not None:
+            span = bisect_right(starts, place) - 1
+            quoted = (span >= 0 and place < spans[span][1]) or at - said <= 3
+            counts[2 if quoted else min(hit, 1)] += 1
+            found.append((at, hit, quoted))
     abusive = [(at, 0.5 if m else 1.0) for at, m, quoted in found if not quoted]
     best, total, lo = 0.0, 0.0, 0
     for hi, (at, weight) in enumerate(abusive):
@@ -216,11 +262,11 @@ def learn_lexicon(sample: DataFrame, share: float, sizes: dict[int, int], params
     bad = F.col("bad") * (share / max(1, sizes.get(1, 0)))
     good = (F.col("good") + 0.1) * ((1 - share) / max(1, sizes.get(0, 0)))
     kept = by_term.where((F.col("bad") >= params.support) & (F.col("contexts") >= params.support) & (bad / (bad + good) >= params.precision))
-    rows = kept.orderBy(F.desc("bad"), "term").limit(params.terms).select("term").collect()
-    return lexicon_of([r[0] for r in rows], params.fuzzy_from)
+    rows = kept.select("term").orderBy("term").collect()  # of the sample's terms, those that several of its documents hold
+    return lexicon_of([r[0] for r in rows], params.fuzzy_from, params.far_from)
 
 
-def lexicon_of(terms: list[str], fuzzy_from: int) -> LexiconAutomaton:
+def lexicon_of(terms: list[str], fuzzy_from: int, far_from: int = 9) -> LexiconAutomaton:
     """terms: words, and stems with a `*`. A covered term stays if misspellings of it can be matched."""
     stems = sorted(t[:-1] for t in terms if t.endswith("*"))
     covered = tuple(stems)
@@ -228,7 +274,7 @@ def lexicon_of(terms: list[str], fuzzy_from: int) -> LexiconAutomaton:
     def adds(term: str, by: tuple[str, ...]) -> bool:
         return len(term) >= fuzzy_from or not term.startswith(by)
 
-    return LexiconAutomaton([t for t in terms if not t.endswith("*") and adds(t, covered)], [s for s in stems if adds(s, tuple(x for x in covered if x != s))], fuzzy_from)
+    return LexiconAutomaton([t for t in terms if not t.endswith("*") and adds(t, covered)], [s for s in stems if adds(s, tuple(x for x in covered if x != s))], fuzzy_from, far_from)
 
 
 def hash_of(word: str) -> int:
@@ -266,7 +312,7 @@ def train(documents: DataFrame, labels: DataFrame, params: ToxicParams = ToxicPa
     if len(counts) < 2:
         return share
     sizes = {k: min(v, params.per_class) for k, v in counts.items()}
-    sample = bounded_sample(documents, known, params.per_class, params.seed)
+    sample = materialize(bounded_sample(documents, known, params.per_class, params.seed), "toxic-sample")
     lexicon = learn_lexicon(sample, share, sizes, params)
     window = params.window
 

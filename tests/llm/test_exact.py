@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from notecheck.llm import audio_prints, chat, jaccard_join, license_scan, mixing, packing, quality_rules, toxicity
+from notecheck.llm import audio_prints, chat, jaccard_join, license_scan, mixing, packing, quality_cnn, quality_rules, toxicity
 from notecheck.llm.common import shingle_hashes, word_hashes
 from notecheck.llm.queries import QUERIES
 
@@ -182,25 +182,58 @@ def test_license_cuts_and_insertions():
     assert [x[0] for x in twice] == ["GPL-notice"] * 2
 
 
+def edits(a, b):
+    """Letters more, less, other, or neighbours swapped (and not edited again)."""
+    d = {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
+    for i, x in enumerate(a, 1):
+        for j, y in enumerate(b, 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
+
+
 def test_automaton():
     lex = toxicity.LexiconAutomaton(["idiot", "scum", "moron"], ["vequ"], 5)
-    assert [lex.match(w) for w in ("idiot", "idiott", "idot", "idoit", "1diot", "scum", "scumm", "vequee", "vexuee", "moron", "mo", "")] == [0, 1, 1, None, 1, 0, None, 0, None, 0, None, None]
-    terms, rng = ["abcde", "abxyz", "bcdef"], random.Random(0)
+    assert [lex.match(w) for w in ("idiot", "idiott", "idot", "idoit", "1diot", "scum", "scumm", "vequee", "vexuee", "moron", "mo", "")] == [0, 1, 1, 1, 1, 0, None, 0, None, 0, None, None]
+    rng = random.Random(0)
+    for terms, letters, most in ((["abcde", "abxyz", "bcdef", "abc"], "abcdefxyz", 8), (["abcabcabc", "acbacbacbb", "abcab"], "abc", 13)):
+        lex = toxicity.LexiconAutomaton(terms, [], 5)
+        for _ in range(4000):
+            w = "".join(rng.choice(letters) for _ in range(rng.randrange(2, most)))
+            if rng.random() < 0.5:
+                t = list(rng.choice(terms))
+                for _ in range(rng.randrange(3)):
+                    t[rng.randrange(len(t))] = rng.choice([*letters, "", "aa"])
+                w = "".join(t)
+            near = [d for t in terms if (d := edits(w, t)) <= lex.allowed(t)]
+            assert lex.match(w) == (min(near) if near else None), w
+
+
+def plain_features(text, terms, window):
+    """The features of a text for whole words, by edit distances and a scan of every window."""
+    words = [(m[0], m.start()) for m in re.finditer(r"\w+", text.lower())]
+    allowed = lambda t: 0 if len(t) < 5 else 1 if len(t) < 9 else 2
+    hits = []
+    for i, (w, at) in enumerate(words):
+        near = [d for t in terms if (d := edits(w, t)) <= allowed(t)]
+        if near:
+            open_ = text[:at].count("“") > text[:at].count("”")
+            hits.append((i, min(near), open_ or any(x in toxicity.SAYING for x, _ in words[max(0, i - 3) : i + 1])))
+    counts = [sum(not q and d == 0 for _, d, q in hits), sum(not q and d > 0 for _, d, q in hits), sum(q for _, _, q in hits)]
+    free = [(i, 0.5 if d else 1.0) for i, d, q in hits if not q]
+    best = max((sum(v for j, v in free if i - window <= j <= i) for i, _ in free), default=0.0)
+    rate = min(10.0, 100 * sum(v for _, v in free) / len(words)) if hits else 0.0
+    return (*(float(np.log1p(c)) for c in counts), best, rate)
+
+
+def test_features_brute_force():
+    rng, terms = random.Random(12), ["idiot", "scum", "disgusting", "clown"]
     lex = toxicity.LexiconAutomaton(terms, [], 5)
-
-    def lev(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            new = [i]
-            for j, y in enumerate(b, 1):
-                new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
-            row = new
-        return row[-1]
-
-    for _ in range(3000):
-        w = "".join(rng.choice("abcdefxyz") for _ in range(rng.randrange(3, 8)))
-        d = min(lev(w, t) for t in terms)
-        assert lex.match(w) == (d if d <= 1 else None)
+    pool = ["idiot", "idoit", "scum", "scun", "disgusting", "disgustnig", "clwon", "tree", "said", "river", "“stone”", "“clown idiot”", "of", "the"]
+    for _ in range(300):
+        text = " ".join(rng.choice(pool) for _ in range(rng.randrange(0, 60)))
+        assert toxicity.features(text, lex, 10) == pytest.approx(plain_features(text, terms, 10)), text
 
 
 def test_learnt_lexicon_misspellings(spark):
@@ -222,8 +255,37 @@ def test_stem_edits():
 
 def test_context():
     lex = toxicity.LexiconAutomaton(["idiot"], [], 5)
-    open_, quoted = toxicity.features("you idiot you idiot", lex, 10), toxicity.features('he said "idiot" then', lex, 10)
+    of = lambda t: toxicity.features(t, lex, 10)
+    open_, quoted = of("you idiot you idiot"), of('he said "idiot" then')
     assert open_[0] > 0 and open_[3] == 2 and quoted[0] == 0 and quoted[2] > 0
+    # A lone mark quotes nothing; a pair far apart neither.
+    assert of('a 5" pipe and you idiot you idiot you idiot')[3] == 3 and of('"you idiot' + " x" * 300 + '"')[0] > 0
+    assert of('they wrote: "what an idiot" to me')[2] > 0 and of("« idiot »")[2] > 0
+    assert of("you id*ot")[1] > 0 and of("you i d i o t")[1] > 0 and of("you i.d.i.o.t!")[1] > 0 and of("you idoit")[1] > 0
+    assert of("")[0] == 0 and of(None) == (0.0,) * 5 and of("idiot " * 50_000)[4] == 10
+
+
+def test_plain_convolution():
+    """The network's logit by lookup tables and half chunks, against a plain convolution over every overlapping chunk."""
+    p = quality_cnn.CnnParams(chunk=64, width=8, dims=3, filters=5, hidden=4)
+    model, rng = quality_cnn.ByteCnn(p), random.Random(2)
+    model.c[:] = np.random.default_rng(3).normal(0, 0.3, 5)
+
+    def plain(text):
+        raw = list(text.encode())
+        raw += [0] * max(0, p.width + 1 - len(raw))
+        n = -(-(len(raw) - p.width + 1) // quality_cnn.STRIDE)
+        at = lambda j: np.concatenate([model.E[raw[j + i] if j + i < len(raw) else 0] for i in range(p.width)]) @ model.W
+        y = np.array([at(j * quality_cnn.STRIDE) for j in range(n)])
+        half = p.chunk // 2 // quality_cnn.STRIDE
+        halves = [y[i : i + half].max(0) for i in range(0, n, half)]
+        chunks = [np.maximum(a, b) for a, b in zip(halves, halves[1:], strict=False)] or halves
+        out = [np.maximum(np.maximum(c + model.c, 0) @ model.H + model.d, 0) @ model.o + model.e for c in chunks]
+        return float(np.mean(out))
+
+    for n in (1, 5, 8, 9, 31, 64, 65, 200, 32 * 64 - 1, 32 * 64, 32 * 64 + 1, 32 * 64 + 7, 5000):
+        text = "".join(rng.choice("abcdefghij é") for _ in range(n))
+        assert model.logit(text) == pytest.approx(plain(text), abs=1e-4), n
 
 
 @pytest.mark.parametrize(("name", "label", "least"), [("op4_toxicity", "toxic", 0.9), ("op9_quality_cnn", "quality", 0.9)])
