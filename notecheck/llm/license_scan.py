@@ -15,8 +15,8 @@ cannot share a band: only windows around known shingles are hashed, whatever the
 `templates` are a parameter of at most MAX_TEMPLATES texts, sent with the task. Nothing is shuffled.
 
 Nulls and edges: null and empty texts match nothing; doc_ids are kept as they are, null and repeated ones too; several places
-of one template in a text are several rows, overlapping ones one row (the best); a text with several templates has a row
-each; an empty table gives an empty result; other columns are ignored.
+of one template in a text are several rows, overlapping ones one row (the best; of ties the longer, then the first); a text with several templates has a row
+each; a very long text costs one pass and the windows around known shingles; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,26 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix, shingle_hashes, word_hashes
+from .license_texts import TEMPLATES
 
 MAX_TEMPLATES = 10_000
 K = 5
 SCHEMA = "doc_id string, license string, containment double, start_word int, end_word int"
 
-# Notices of public licenses.
-TEMPLATES = {
-    "MIT": "Released under the MIT License.",
-    "MIT-notice": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "BSD-notice": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-}
-
-
 @dataclass(frozen=True)
 class ScanParams:
     window: int = 12

@@ -150,7 +150,7 @@ def test_license_places(spark):
     body = " ".join(f"w{i}" for i in range(300))
     text = f"{body} Released under the MIT License. {body} licensed under the APACHE license, version 2.0! {body}"
     got = license_scan.scan_licenses(spark.createDataFrame([(1, text), (2, body), (3, "licensed under the")], "doc_id long, text string")).collect()
-    assert [(r.doc_id, r.license, r.start_word, r.end_word) for r in got] == [(1, "MIT", 300, 305), (1, "Apache-2.0", 605, 613)]
+    assert [(r.doc_id, r.license, r.start_word, r.end_word) for r in got] == [(1, "MIT-line", 300, 305), (1, "Apache-2.0-line", 605, 613)]
     notice = license_scan.TEMPLATES["GPL-notice"].split()
     notice[4] = "changed"
     near = license_scan.scan_licenses(spark.createDataFrame([(1, f"{body} {' '.join(notice)} {body}")], "doc_id long, text string")).collect()
@@ -160,7 +160,7 @@ def test_license_places(spark):
 def test_license_cuts_and_insertions():
     index, rng = license_scan.TemplateIndex(license_scan.TEMPLATES, license_scan.ScanParams()), random.Random(8)
     got = index.scan("This work is licensed under the GNU General Public License, version")
-    assert [(x[0], x[1]) for x in got] == [("GPL-3.0", 7 / 8)]
+    assert [(x[0], x[1]) for x in got] == [("GPL-3.0-line", 7 / 8)]
     tried = 0
     for n in range(600):
         name = rng.choice(sorted(license_scan.TEMPLATES))
@@ -193,6 +193,39 @@ def edits(a, b):
     return d[len(a), len(b)]
 
 
+def brute_license(text, template, p):
+    """The largest share of the template's shingles in any run of the text as long as a match may be, trying every start."""
+    own = set(shingle_hashes(word_hashes(template, True, plain=True), 5).tolist())
+    words = word_hashes(template, True, plain=True)
+    span = int(np.ceil(max(1, len(words) - min(5, len(words)) + 1) / p.containment)) + p.slack
+    s = shingle_hashes(word_hashes(text, True, plain=True), min(5, len(words)), whole_if_short=False).tolist()
+    return max((len(own & set(s[i : i + span])) / len(own) for i in range(len(s))), default=0.0)
+
+
+def test_license_brute_force():
+    """Every window and every template: edited copies of long texts are found just where their containment is reached."""
+    p, rng = license_scan.ScanParams(), random.Random(21)
+    index, names = license_scan.TemplateIndex(license_scan.TEMPLATES, p), sorted(license_scan.TEMPLATES)
+    assert len(names) >= 30
+    hits = missed = 0
+    for n in range(150):
+        words = license_scan.TEMPLATES[names[n % len(names)]].split()
+        for _ in range(rng.randrange(1 + len(words) // 15)):
+            at = rng.randrange(len(words))
+            words[at : at + 1] = rng.choice(([f"e{n}"], [], [words[at], f"e{n}"], [words[at], "of", "the"]))
+        around = [f"x{rng.randrange(500)}" for _ in range(rng.choice((0, 3, 60)))]
+        text = " ".join(around + words + around)
+        got = {}
+        for name, share, *_ in index.scan(text):
+            got[name] = max(share, got.get(name, 0))
+        for name in names:
+            best = brute_license(text, license_scan.TEMPLATES[name], p)
+            assert got.get(name, 0) <= best + 1e-9
+            hits += best >= p.containment
+            missed += best >= p.containment and name not in got
+    assert hits > 150 and missed <= hits * 0.01, (hits, missed)
+
+
 def test_automaton():
     lex = toxicity.LexiconAutomaton(["idiot", "scum", "moron"], ["vequ"], 5)
     assert [lex.match(w) for w in ("idiot", "idiott", "idot", "idoit", "1diot", "scum", "scumm", "vequee", "vexuee", "moron", "mo", "")] == [0, 1, 1, 1, 1, 0, None, 0, None, 0, None, None]
