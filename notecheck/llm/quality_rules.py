@@ -13,7 +13,8 @@ per-mille, reaches the rule's cutoff in the document's stratum (its `lang`). Cut
 
 Nulls and edges: a null text counts as empty and fails the base rule; a null `lang` is a stratum of its own; a null or
 repeated doc_id is kept as it is, row by row (labels meet rows by doc_id; several labels of one document count as their
-largest quality, null labels are ignored); empty tables give empty results; other columns are ignored.
+largest quality, null labels are ignored); very long texts are measured whole, as arrays of their words; of cutoffs that gain the same
+the larger is taken; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -143,10 +144,9 @@ def quality_rules(documents: DataFrame, labels: DataFrame, params: RiskParams =
 
 def keep_good(documents: DataFrame, labels: DataFrame, params: RiskParams = RiskParams()) -> DataFrame:
     """The rows of documents that the rules keep, all their columns as they were."""
-    table = materialize(measures(documents.select("doc_id", F.col("lang").alias("stratum"), "text"), "text", ["doc_id", "stratum"]), "quality-measures")
-    cuts = materialize(learn_cutoffs(table, labels, params), "quality-cutoffs")
+    # Each text is measured once: its row travels packed beside the counts through one written table.
     inner = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("__row"), F.col("lang").alias("stratum"), F.col("text").alias("__text"))
-    # The fence keeps the optimizer from moving the condition below the measures, where each mention would compute them again.
-    fenced = measures(inner, "__text", ["__row", "stratum"]).withColumn("__fence", F.spark_partition_id())
-    judged = join_small(fenced, cuts, ["stratum"], F.xxhash64("__row.doc_id"), "left")
-    return judged.where(~base_failed() & ~_rejected() & (F.col("__fence") >= 0)).select("__row.*")
+    table = materialize(measures(inner, "__text", ["__row", "stratum"]), "quality-rows")
+    cuts = materialize(learn_cutoffs(table.withColumn("doc_id", F.col("__row.doc_id")), labels, params), "quality-cutoffs")
+    judged = join_small(table, cuts, ["stratum"], F.xxhash64("__row.doc_id"), "left")
+    return judged.where(~base_failed() & ~_rejected()).select("__row.*")
