@@ -12,7 +12,7 @@ are documents:
    pivot; documents that share enough of their hashes with it are compared exactly, and those within the radius join its cell.
 3. Regions are counted in cells. Shingles with more than `hot` cells are ordered last. Documents keep the regions they need in
    that order. Documents for which frequent shingles leave too few regions meet each other by whole sets, rarest first among themselves.
-4. A region that would make more than `crowd` pairs of different cells a document is split: up to PIVOTS documents of its largest cells
+4. A region of more than `small` documents that would make more than `crowd` pairs of different cells a document is split: up to PIVOTS documents of its largest cells
    become pivots, every member is measured against them exactly and goes to its nearest pivot's Voronoi region; it has a copy in each
    other whose pivot is no further than the nearest plus twice the radius. Inside, rings of one radius around the pivot hold a document and
    a copy of it in the next ring. Members within the radius of a pivot join its cell. What is still crowded is split again, with other
@@ -53,7 +53,8 @@ class JoinParams:
     k: int = 4
     num: int = 85  # link if 100 * |x & y| >= num * |x | y|
     hot: int = 32
-    crowd: int = 8  # pairs a document above which a region is split by pivots
+    crowd: int = 8  # pairs a document above which a region of more than `small` documents is split by pivots
+    small: int = 256
 
 
 def text_set(text: object, k: int) -> np.ndarray:
@@ -223,7 +224,9 @@ def _met(members: DataFrame, crowds: DataFrame, num: int) -> DataFrame:
     y = inside.select("g", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int").alias("block"), F.col("id").alias("y"), F.col("n").alias("ny"), F.col("cell").alias("cy"), F.col("place").alias("py"), F.col("kind").alias("ky"), "big")
     x = inside.where("cell <> big").select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("id").alias("x"), F.col("n").alias("nx"), F.col("cell").alias("cx"), F.col("place").alias("px"), F.col("kind").alias("kx"))
     least = _least(F.col("nx"), F.col("ny"), num)
-    fit = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("big")) | (F.col("x") < F.col("y"))) & _sizes_fit(F.col("nx"), F.col("ny"), num) & ~((F.col("kx") == 2) & (F.col("ky") == 2)) & (F.col("nx") - F.col("px") >= least) & (F.col("ny") - F.col("py") >= least)
+    # If this is the first region in which they meet, what stands before it is held by one of them alone.
+    alone = F.col("px") + F.col("py") + F.abs((F.col("nx") - F.col("px")) - (F.col("ny") - F.col("py")))
+    fit = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("big")) | (F.col("x") < F.col("y"))) & _sizes_fit(F.col("nx"), F.col("ny"), num) & ~((F.col("kx") == 2) & (F.col("ky") == 2)) & (alone <= F.col("nx") + F.col("ny") - 2 * least)
     met = x.join(y, ["g", "block"]).where(fit)
     first = F.col("x") < F.col("y")
     pick = lambda p, q: F.when(first, F.col(p)).otherwise(F.col(q))
@@ -238,7 +241,7 @@ def region_join(documents: DataFrame, members: DataFrame, classes: DataFrame, li
     """
     num = params.num
     crowds = _crowds(members, name)
-    crowded = F.col("pairs") > params.crowd * F.col("size")
+    crowded = (F.col("pairs") > params.crowd * F.col("size")) & (F.col("size") > params.small)
     pairs = _met(members, crowds.where(~crowded), num)
     if counted:
         # The set whose kept regions end first has met all it shares of them: need - shared of them are its own alone. A pair that
@@ -278,8 +281,8 @@ def _split(documents: DataFrame, members: DataFrame, classes: DataFrame, links:
     kept = nearest.select("g", "id", F.explode(F.filter("to", lambda t: t["distance"] <= F.col("least") + 2 * radius + slack)).alias("t"))
     ring = F.floor(F.col("t.distance") / (radius + slack))
     ringed = kept.select("g", "id", F.col("t.pivot").alias("pivot"), F.explode(F.array(ring, ring + 1)).alias("ring")).select(F.xxhash64("g", "pivot", "ring").alias("g2"), "g", "id")
-    back = members.select("g", "id", "n", "kind")
-    dealt = join_split(ringed, back, ["g", "id"]).select(F.col("g2").alias("g"), "id", "n", F.lit(0).alias("place"), "kind")
+    back = members.select("g", "id", "n", "place", "kind")
+    dealt = join_split(ringed, back, ["g", "id"]).select(F.col("g2").alias("g"), "id", "n", "place", "kind")
     return materialize(_celled(dealt, cells).select("g", "id", "n", "cell", "place", "kind"), f"{name}-members"), links
 
 

@@ -57,7 +57,7 @@ def brute_components(texts, k, num):
 def test_jaccard_components(spark, seed, k, num, hot, crowd):
     texts = near_copies(seed)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in jaccard_join.link_documents(docs, jaccard_join.JoinParams(k=k, num=num, hot=hot, crowd=crowd)).collect()}
+    got = {r.doc_id: r.component_id for r in jaccard_join.link_documents(docs, jaccard_join.JoinParams(k=k, num=num, hot=hot, crowd=crowd, small=4)).collect()}
     assert [got[i] for i in range(len(texts))] == brute_components(texts, k, num)
 
 
@@ -83,7 +83,7 @@ def test_jaccard_crowds(spark, hot, crowd, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", 25)
     texts = families(7, 60)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in jaccard_join.link_documents(docs, jaccard_join.JoinParams(hot=hot, crowd=crowd)).collect()}
+    got = {r.doc_id: r.component_id for r in jaccard_join.link_documents(docs, jaccard_join.JoinParams(hot=hot, crowd=crowd, small=16)).collect()}
     assert [got[i] for i in range(len(texts))] == brute_components(texts, 4, 85)
 
 
