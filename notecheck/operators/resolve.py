@@ -1,6 +1,6 @@
 """Vessels, barges and ports of notes, resolved against registries.
 
-Similarity joins never compare all pairs: names meet on blocking keys (their tokens), then a score decides.
+Similarity joins never compare all pairs: names meet on blocking keys (letter pairs, tokens), then a score decides.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.numbers import haversine_km, rounded
 from ..params import DEFAULT, Params
+from ..sources.store import staged
 
 
 def first_per(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -43,16 +44,46 @@ def containing(queries: DataFrame, registry: DataFrame) -> DataFrame:
     return q.join(r, "token").where(fit).select("query", "imo").distinct()
 
 
+def _forms(name: Column, prefixes: bool) -> Column:
+    """The sorted upper-case tokens of a name, and of its stripped form, which the score compares."""
+    tokens = lambda x: F.array_join(F.array_sort(F.split(F.trim(F.upper(x)), r"\s+")), " ")
+    kinds = [tokens(name)] + ([tokens(X.barge_key(name))] if prefixes else [])
+    return F.array(*[F.struct(F.lit(i).alias("kind"), k.alias("form")) for i, k in enumerate(kinds)])
+
+
+def _pairs_of_letters(form: Column) -> Column:
+    return F.when(F.length(form) > 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(form) - 1), lambda i: F.substr(form, i, F.lit(2))))).otherwise(F.array().cast("array<string>"))
+
+
+def candidates_by_letters(queries: DataFrame, registry: DataFrame, threshold: float, indel: bool, prefixes: bool) -> DataFrame:
+    """query, key, name: all pairs that may reach the threshold, and others.
+
+    A form of n letters that is similar enough differs by d edits at most, which a bound on the other's length gives. Each edit breaks two letter
+    pairs at most, so of any 2 * d + 1 different ones the other name holds one: the query asks with those that stand in fewest names of the
+    registry. Forms with too few letter pairs meet the forms of all lengths that may be similar.
+    """
+    t = threshold / 100 - 1e-5  # scores are rounded before they are compared
+    most = F.floor(F.length("form") * ((2 if indel else 1) * (1 - t) / t) + 1e-9).cast("int")
+    r = registry.select("key", "name", F.explode(_forms(F.col("name"), prefixes)).alias("f")).select("key", "name", "f.*")
+    grams = r.select("key", "name", "kind", F.explode(_pairs_of_letters(F.col("form"))).alias("gram"))
+    often = grams.groupBy("kind", "gram").agg(F.count(F.lit(1)).alias("n"))
+    q = queries.select("query").distinct().select("query", F.explode(_forms(F.col("query"), prefixes)).alias("f")).select("query", "f.*").where("form <> ''").withColumn("need", 2 * most + 1).withColumn("grams", _pairs_of_letters(F.col("form")))
+    asked = q.where(F.size("grams") >= F.col("need")).select("query", "kind", "need", F.explode("grams").alias("gram")).join(often, ["kind", "gram"], "left")
+    seldom = asked.withColumn("place", F.row_number().over(W.partitionBy("query", "kind").orderBy(F.coalesce("n", F.lit(0)), "gram"))).where("place <= need and n is not null")
+    by_gram = seldom.select("query", "kind", "gram").join(grams, ["kind", "gram"]).select("query", "key", "name")
+    reach = F.sequence(F.greatest(F.lit(1), F.floor(F.length("form") * t / (2 - t if indel else 1)).cast("int")), F.ceil(F.length("form") * ((2 - t) if indel else 1) / t).cast("int"))
+    short = q.where(F.size("grams") < F.col("need")).select("query", "kind", F.explode(reach).alias("length"))
+    by_length = short.join(r.withColumn("length", F.length("form")), ["kind", "length"]).select("query", "key", "name")
+    return by_gram.unionByName(by_length).distinct()
+
+
 def similar_names(queries: DataFrame, registry: DataFrame, threshold: float, most: int | None = 5, indel: bool = False, prefixes: bool = True) -> DataFrame:
     """query, key, name, score (0..100), place: registry names (key, name) at least that similar, best first, ties by key.
 
-    Candidates share a token of the name, or its first three letters; the score is the better of the raw and the stripped name.
+    The score is the better of the raw and the stripped name. No pair that reaches the threshold is lost (`candidates_by_letters`).
     """
     score = X.token_sort_ratio if indel else lambda a, b: 100 * X.similarity(a, b)
-    keyed = lambda c: F.explode(F.array_distinct(F.flatten(F.transform(F.split(F.upper(F.trim(c)), r"\s+"), lambda t: F.array(t, F.substring(t, 1, 3)))))).alias("block")
-    q = queries.select("query").distinct().select("query", keyed(F.col("query")))
-    r = registry.select("key", "name", keyed(F.col("name")))
-    pairs = q.join(r, "block").select("query", "key", "name").distinct()
+    pairs = candidates_by_letters(queries, registry, threshold, indel, prefixes)
     best = score(F.upper("query"), F.upper("name"))
     if prefixes:
         best = F.greatest(best, score(X.barge_key(F.col("query")), X.barge_key(F.col("name"))))
@@ -61,6 +92,32 @@ def similar_names(queries: DataFrame, registry: DataFrame, threshold: float, mos
     return placed if most is None else placed.where(F.col("place") <= most)
 
 
+def historical_match(queries: DataFrame, history: DataFrame, p: Params = DEFAULT, indel: bool = False) -> DataFrame:
+    """query, name, mmsi, score: the barge of the newest past verdict (id, name, mmsi, validated_s) whose name is similar enough."""
+    newest = history.groupBy("name").agg(F.max_by(F.struct("mmsi", "validated_s", "id"), F.struct("validated_s", "id")).alias("h")).select("name", F.col("name").alias("key"), "h.*")
+    hits = similar_names(queries, newest.select("key", "name"), p.history_threshold, None, indel, prefixes=False)
+    found = hits.select("query", "name", "score").join(newest.select("name", "mmsi", "validated_s", "id"), "name")
+    return found.groupBy("query").agg(F.max_by(F.struct("name", "mmsi", "score"), F.struct("validated_s", "id")).alias("h")).select("query", "h.*")
+
+
+def vessel_search(queries: DataFrame, vessels: DataFrame, p: Params = DEFAULT, indel: bool = False) -> DataFrame:
+    """query, name, mmsi, score: the registry's vessel of that name (equal slugs), tankers first, then by IMO; kept if similar enough."""
+    tanker = F.when(F.contains(F.lower("type_specific"), F.lit("tanker")), 0).otherwise(1)
+    first = first_per(vessels.select(X.slug(F.col("name")).alias("slug"), "name", "mmsi", "imo", tanker.alias("after")), ["slug"], ["after", "imo"])
+    found = queries.select("query").distinct().withColumn("slug", X.slug(F.col("query"))).join(first.where("slug <> ''"), "slug")
+    score = X.token_sort_ratio(F.upper("query"), F.upper("name")) if indel else 100 * X.similarity(F.col("query"), F.col("name"))
+    return found.select("query", "name", "mmsi", rounded(score, 3).alias("score")).where(F.col("score") >= 100 * p.search_threshold)
+
+
+def radius_search(queries: DataFrame, ships: DataFrame, radius_km: float = 5.0, p: Params = DEFAULT, indel: bool = False) -> DataFrame:
+    """query, place, name, mmsi, score: the nearest ship (mmsi, name, lat, lon) around a place (query, place, lat, lon) whose name is similar enough; ties by MMSI."""
+    places = queries.select(F.col("place").alias("point_id"), "lat", "lon").distinct()
+    near = within_radius(places, ships.select(F.col("mmsi").alias("ship_id"), F.col("lat").alias("ship_lat"), F.col("lon").alias("ship_lon")), radius_km, p).select(F.col("point_id").alias("place"), F.col("ship_id").alias("key"), "km")
+    named = similar_names(queries.select("query"), ships.select(F.col("mmsi").alias("key"), "name"), 100 * p.search_threshold, None, indel, prefixes=False).select("query", "key", "name", "score")
+    hits = queries.select("query", "place").distinct().join(named, "query").join(near, ["place", "key"])
+    return hits.groupBy("query", "place").agg(F.min_by(F.struct("name", F.col("key").alias("mmsi"), "score"), F.struct("km", "key")).alias("s")).select("query", "place", "s.*")
+
+
 def vessel_identity(notes: DataFrame, registry: DataFrame, p: Params = DEFAULT, indel: bool = False) -> DataFrame:
     """note_id, method, confidence, confirmed_imo, confirmed_mmsi, confirmed_name, unresolved, flags: eight outcomes, the first that fits."""
     n = by_name(by_imo(notes.select("note_id", "vessel_name", F.regexp_replace(F.coalesce("imo", F.lit("")), "[^0-9]", "").alias("imo")), registry), registry)
@@ -122,30 +179,42 @@ def resolve_port(notes: DataFrame, ports: DataFrame) -> DataFrame:
     return notes.withColumn("port_name", F.coalesce(*exact, *either, F.lit("DEFAULT")))
 
 
-def barge_identity(notes: DataFrame, barges: DataFrame, history: DataFrame, p: Params = DEFAULT, indel: bool = False) -> DataFrame:
-    """note_id, method, confidence, barge_mmsi, barge_name, flags: missing, history, SB number, SB conflict, registry name, not found.
+def barge_identity(notes: DataFrame, barges: DataFrame, history: DataFrame, vessels: DataFrame | None = None, ships: DataFrame | None = None, p: Params = DEFAULT, indel: bool = False) -> DataFrame:
+    """note_id, method, confidence, barge_mmsi, barge_name, flags: missing, history, SB number, SB conflict, registry name, vessel search,
+    radius, not found; the first that fits.
 
-    history: key, name, mmsi (past confirmed barges). Costly name searches see only the notes that no earlier step resolved.
+    notes: note_id, barge_name, barge_sb_number, and for the radius place, lat, lon. history: id, name, mmsi, validated_s. Costly name
+    searches see only the names of notes that no earlier step resolved.
     """
-    n = by_sb_number(notes.select("note_id", "barge_name", "barge_sb_number"), barges)
+    where = [c for c in ("place", "lat", "lon") if c in notes.columns]
+    # Each step asks for the names that those before left open: written once, not planned again.
+    n = staged(by_sb_number(notes.select("note_id", "barge_name", "barge_sb_number", *where), barges), "barge-numbers")
     score = lambda a, b: X.token_sort_ratio(F.upper(a), F.upper(b)) if indel else 100 * X.similarity(a, b)
-    named = n.where("barge_name is not null")
-    past = similar_names(named.select(F.col("barge_name").alias("query")), history.select("key", "name"), p.history_threshold, 1, indel, prefixes=False)
-    past = past.join(history.select("key", F.col("mmsi").alias("h_mmsi")), "key").select(F.col("query").alias("barge_name"), F.col("name").alias("h_name"), "h_mmsi", F.col("score").alias("h_score"))
-    n = n.join(past, "barge_name", "left")
-    rest = n.where("barge_name is not null and h_name is null and sb_hit is null")
-    found = similar_names(rest.select(F.col("barge_name").alias("query")), barges.select(F.col("sb_number").alias("key"), "name"), p.registry_threshold, 1, indel)
-    found = found.join(barges.select(F.col("sb_number").alias("key"), F.col("mmsi").alias("r_mmsi")), "key").select(F.col("query").alias("barge_name"), F.col("name").alias("r_name"), "r_mmsi", F.col("score").alias("r_score"))
-    n = n.join(found, "barge_name", "left").withColumn("sb_score", rounded(score(F.col("barge_name"), F.col("sb_hit.name")), 3))
-    out = lambda method, confidence, mmsi, name, flag: F.struct(F.lit(method).alias("method"), confidence.cast("double").alias("confidence"), mmsi.cast("string").alias("mmsi"), name.cast("string").alias("name"), F.lit(flag).cast("string").alias("flag"))
-    null = F.lit(None)
+    as_ = lambda found, x: found.select(F.col("query").alias("barge_name"), *[F.col(c) for c in found.columns if c == "place"], *[F.col(c).alias(f"{x}_{c}") for c in ("name", "mmsi", "score")])
+    empty = lambda df, x: df.withColumns({f"{x}_name": F.lit(None).cast("string"), f"{x}_mmsi": F.lit(None).cast("string"), f"{x}_score": F.lit(None).cast("double")})
+    asking = lambda df, done: df.where("barge_name is not null" + "".join(f" and {c} is null" for c in done)).select(F.col("barge_name").alias("query"), *where)
+    done: list[str] = []
+    n = staged(n.join(as_(historical_match(asking(n, done), history, p, indel), "h"), "barge_name", "left"), "barge-history")
+    done += ["h_name", "sb_hit"]
+    found = similar_names(asking(n, done), barges.select(F.col("sb_number").alias("key"), "name"), p.registry_threshold, 1, indel).drop("place")
+    found = found.join(barges.select(F.col("sb_number").alias("key"), "mmsi"), "key")
+    n = staged(n.join(as_(found, "r"), "barge_name", "left"), "barge-registry")
+    done.append("r_name")
+    n = staged(n.join(as_(vessel_search(asking(n, done), vessels, p, indel), "v"), "barge_name", "left"), "barge-vessels") if vessels is not None else empty(n, "v")
+    done.append("v_name")
+    n = n.join(as_(radius_search(asking(n, done).where("lat is not null"), ships, p=p, indel=indel), "s"), ["barge_name", "place"], "left") if ships is not None else empty(n, "s")
+    n = n.withColumn("sb_score", rounded(score(F.col("barge_name"), F.col("sb_hit.name")), 3))
+    out = lambda method, confidence, mmsi, name, flag: F.struct(F.lit(method).alias("method"), confidence.cast("double").alias("confidence"), mmsi.cast("string").alias("mmsi"), name.cast("string").alias("name"), (F.lit(flag) if isinstance(flag, (str, type(None))) else flag).cast("string").alias("flag"))
+    null, c = F.lit(None), F.col
     ladder = (
-        F.when(F.col("barge_name").isNull(), out("unresolved", F.lit(0.0), null, null, "barge_name_missing"))
-        .when(F.col("h_name").isNotNull(), out("historical", F.col("h_score") / 100, F.col("h_mmsi"), F.col("h_name"), None))
-        .when(F.col("sb_hit").isNotNull() & (F.col("sb_score") >= 60), out("mpa_registry_sb", F.greatest(F.col("sb_score") / 100, F.lit(0.8)), F.col("sb_hit.mmsi"), F.col("sb_hit.name"), None))
-        .when(F.col("sb_hit").isNotNull(), out("mpa_registry_sb_conflict", F.greatest(F.col("sb_score") / 100, F.lit(0.4)), F.col("sb_hit.mmsi"), F.col("sb_hit.name"), "barge_name_mismatch"))
-        .when(F.col("r_name").isNotNull(), out("mpa_registry_name", F.col("r_score") / 100, F.col("r_mmsi"), F.col("r_name"), None))
-        .otherwise(out("unresolved", F.lit(0.0), null, F.col("barge_name"), "barge_not_found"))
+        F.when(c("barge_name").isNull(), out("unresolved", F.lit(0.0), null, null, "barge_name_missing"))
+        .when(c("h_name").isNotNull(), out("historical", c("h_score") / 100, c("h_mmsi"), c("h_name"), None))
+        .when(c("sb_hit").isNotNull() & (c("sb_score") >= 60), out("mpa_registry_sb", F.greatest(c("sb_score") / 100, F.lit(0.8)), c("sb_hit.mmsi"), c("sb_hit.name"), None))
+        .when(c("sb_hit").isNotNull(), out("mpa_registry_sb_conflict", F.greatest(c("sb_score") / 100, F.lit(0.4)), c("sb_hit.mmsi"), c("sb_hit.name"), "barge_name_mismatch"))
+        .when(c("r_name").isNotNull(), out("mpa_registry_name", c("r_score") / 100, c("r_mmsi"), c("r_name"), None))
+        .when(c("v_name").isNotNull(), out("vessel_search", c("v_score") / 100, c("v_mmsi"), c("v_name"), F.when(c("v_score") < 75, "barge_low_confidence")))
+        .when(c("s_name").isNotNull(), out("radius", c("s_score") / 100, c("s_mmsi"), c("s_name"), None))
+        .otherwise(out("unresolved", F.lit(0.0), null, c("barge_name"), "barge_not_found"))
     )
     r = n.select("note_id", ladder.alias("r"))
     return r.select("note_id", "r.method", rounded(F.col("r.confidence"), 3).alias("confidence"), F.col("r.mmsi").alias("barge_mmsi"), F.col("r.name").alias("barge_name"), F.filter(F.array("r.flag"), lambda f: f.isNotNull()).alias("flags"), F.col("r.mmsi").isNull().alias("barge_ais_missing"))

@@ -78,49 +78,75 @@ def jn_05_by_sb_number(spark: SparkSession, d: str) -> DataFrame:
 
 
 _BKEY = "replace(replace(regexp_replace(upper(trim({})), '^(MT |MV |M/V |M/T |BT )', ''), ' ', ''), '-', '')"
-_SIMILAR = f"""q as (select distinct vessel_name as query from note_fields where id % 7 = 0), qb as (select distinct query, unnest(list_concat(regexp_split_to_array(upper(trim(query)), '\\s+'), list_transform(regexp_split_to_array(upper(trim(query)), '\\s+'), lambda t: t[1:3]))) as b from q),
-  r as (select sb_number as key, name, unnest(list_concat(regexp_split_to_array(upper(trim(name)), '\\s+'), list_transform(regexp_split_to_array(upper(trim(name)), '\\s+'), lambda t: t[1:3]))) as b from barge_registry),
-  p as (select distinct query, key, name from qb join r using (b)), s as (select *, {sql_round('greatest(100 * ' + sim('query', 'name') + ', 100 * ' + sim(_BKEY.format('query'), _BKEY.format('name')) + ')', 3)} as score from p)"""
+_SIMILAR = f"""q as (select distinct vessel_name as query from note_fields), s as (select query, sb_number as key, {sql_round('greatest(100 * ' + sim('query', 'name') + ', 100 * ' + sim(_BKEY.format('query'), _BKEY.format('name')) + ')', 3)} as score from q cross join barge_registry)"""
+
+
+def _similar(spark: SparkSession, d: str, most: int | None) -> DataFrame:
+    q = frame(spark, d, "note_fields").select(F.col("vessel_name").alias("query"))
+    return R.similar_names(q, frame(spark, d, "barge_registry").select(F.col("sb_number").alias("key"), "name"), 75, most)
 
 
 @query(f"with {_SIMILAR} select query, key, score, place from (select *, row_number() over (partition by query order by score desc, key) as place from s where score >= 75) x where place <= 5")
 def jn_06_similar_names(spark: SparkSession, d: str) -> DataFrame:
-    q = frame(spark, d, "note_fields").where("id % 7 = 0").select(F.col("vessel_name").alias("query"))
-    return R.similar_names(q, frame(spark, d, "barge_registry").select(F.col("sb_number").alias("key"), "name"), 75).select("query", "key", "score", "place")
+    return _similar(spark, d, 5).select("query", "key", "score", "place")
 
 
-@query(f"with {_SIMILAR} select query, count(*) as n from (select * from s where score >= 60) x group by query")
+@query(f"with {_SIMILAR} select query, count(*) as n, min(key) filter (place = 1) as best from (select *, row_number() over (partition by query order by score desc, key) as place from s where score >= 75) x group by query")
 def wn_03_top_candidates(spark: SparkSession, d: str) -> DataFrame:
-    q = frame(spark, d, "note_fields").where("id % 7 = 0").select(F.col("vessel_name").alias("query"))
-    every = R.similar_names(q, frame(spark, d, "barge_registry").select(F.col("sb_number").alias("key"), "name"), 60, None)
-    return every.groupBy("query").agg(F.max("place").cast("long").alias("n"))
+    return _similar(spark, d, None).groupBy("query").agg(F.max("place").cast("long").alias("n"), F.min_by("key", "place").alias("best"))
 
 
-def _history(spark: SparkSession, d: str) -> DataFrame:
-    return frame(spark, d, "barge_registry").where("suppkey % 4 = 0 and mmsi is not null").select(F.col("suppkey").cast("string").alias("key"), "name", "mmsi")
+_BARGE_NOTES = """bn as (select id as note_id, case when id % 8 = 1 then registry_name when id % 8 = 3 then 'FEEDER ' || lpad(cast(id % 50 as string), 4, '0') else barge_name end as barge_name,
+  case when id % 5 = 0 then null else sb_number end as sb, case when id % 3 = 0 then 'Fujairah' else 'Singapore' end as place from note_fields)"""
 
 
-def jn_07_historical_match(spark: SparkSession, d: str) -> DataFrame:
-    q = _notes(spark, d).where("barge_name is not null").select(F.col("barge_name").alias("query"))
-    return R.similar_names(q, _history(spark, d).select("key", "name"), 85, 1, indel=True, prefixes=False).select("query", "name", "score")
+def _barge_notes(spark: SparkSession, d: str) -> DataFrame:
+    """Notes whose barge is also named like a vessel or a ship near the port."""
+    n = frame(spark, d, "note_fields").selectExpr("id as note_id", "case when id % 8 = 1 then registry_name when id % 8 = 3 then 'FEEDER ' || lpad(cast(id % 50 as string), 4, '0') else barge_name end as barge_name", "case when id % 5 = 0 then null else sb_number end as barge_sb_number", "case when id % 3 = 0 then 'Fujairah' else 'Singapore' end as place")
+    return n.join(frame(spark, d, "ports").select(F.col("port").alias("place"), "lat", "lon"), "place", "left")
 
 
-query()(jn_07_historical_match)
+# Of equal names the newest; then of the similar enough the newest. The score is by edits; the operator's other score is tested in Python.
+_PAST = f"""hist as (select name, max(validated_s) as at, arg_max(mmsi, (validated_s, id)) as mmsi, max((validated_s, id)) as last from barge_history group by name), bnames as (select distinct barge_name from bn where barge_name is not null),
+  past as (select barge_name, arg_max(name, last) as name, arg_max(mmsi, last) as mmsi, arg_max(score, last) as score from (select *, {sql_round('100 * ' + sim('barge_name', 'name'), 3)} as score from bnames cross join hist) x where score >= 85 group by barge_name)"""
+
+
+@query(f"with {_BARGE_NOTES}, {_PAST} select barge_name as query, name, mmsi, score from past")
+def jn_07_historical_match(spark: SparkSession, d: str) -> DataFrame:
+    q = _barge_notes(spark, d).where("barge_name is not null").select(F.col("barge_name").alias("query"))
+    return R.historical_match(q, frame(spark, d, "barge_history"))
 
 
 def jn_10_barge_identity(spark: SparkSession, d: str) -> DataFrame:
-    return R.barge_identity(_notes(spark, d), frame(spark, d, "barge_registry"), _history(spark, d)).select("note_id", "method", "confidence", "barge_mmsi", F.get("flags", F.lit(0)).alias("flag"))
+    t = lambda name: frame(spark, d, name)
+    return R.barge_identity(_barge_notes(spark, d), t("barge_registry"), t("barge_history"), t("vessel_registry"), t("ships")).select("note_id", "method", "confidence", "barge_mmsi", F.get("flags", F.lit(0)).alias("flag"))
+
+
+_VESSELS = f"""vs as (select barge_name, name, mmsi, {sql_round('100 * ' + sim('barge_name', 'name'), 3)} as score from bnames join (select {SLUG.format('name')} as slug, arg_min(name, (case when contains(lower(type_specific), 'tanker') then 0 else 1 end, imo)) as name, arg_min(mmsi, (case when contains(lower(type_specific), 'tanker') then 0 else 1 end, imo)) as mmsi from vessel_registry group by 1) v on v.slug = {SLUG.format('barge_name')} and slug <> ''),
+  rs as (select barge_name, place, arg_min(name, (km, mmsi)) as name, arg_min(mmsi, (km, mmsi)) as mmsi, arg_min(score, (km, mmsi)) as score from (select x.barge_name, x.place, s.name, s.mmsi, {sql_round('100 * ' + sim('x.barge_name', 's.name'), 3)} as score, {sql_km('p.lat', 'p.lon', 's.lat', 's.lon')} as km
+    from (select distinct barge_name, place from bn where barge_name is not null) x join ports p on p.port = x.place cross join ships s) y where km <= 5 and score >= 70 group by barge_name, place)"""
+
+
+@query(f"with {_BARGE_NOTES}, bnames as (select distinct barge_name from bn where barge_name is not null), {_VESSELS} select barge_name as query, name, mmsi, score from vs where score >= 70")
+def jn_08_vessel_search(spark: SparkSession, d: str) -> DataFrame:
+    return R.vessel_search(_barge_notes(spark, d).select(F.col("barge_name").alias("query")).where("query is not null"), frame(spark, d, "vessel_registry"))
+
+
+@query(f"with {_BARGE_NOTES}, bnames as (select distinct barge_name from bn where barge_name is not null), {_VESSELS} select barge_name as query, place, name, mmsi, score from rs")
+def jn_09_radius_search(spark: SparkSession, d: str) -> DataFrame:
+    return R.radius_search(_barge_notes(spark, d).select(F.col("barge_name").alias("query"), "place", "lat", "lon").where("query is not null"), frame(spark, d, "ships"))
 
 
-_H = "h as (select distinct name, suppkey from barge_registry where suppkey % 4 = 0 and mmsi is not null)"
 query(
-    f"""with {NOTES}, {_H}, names as (select distinct barge_name from n where barge_name is not null), past as (select barge_name, arg_max(score, score) as score, arg_min(name, (-score, cast(suppkey as string))) as name, arg_min(suppkey, (-score, cast(suppkey as string))) as k from (select *, {sql_round('100 * ' + sim('barge_name', 'name'), 3)} as score from names, h) x where score >= 85 group by barge_name),
-  j as (select n.*, past.score as hs, past.k, b.name as bname, b.mmsi as bmmsi, {sql_round('100 * ' + sim('n.barge_name', 'b.name'), 3)} as ss from n left join past using (barge_name) left join barge_registry b on b.sb_number = n.sb),
-  found as (select barge_name, arg_min(sb_number, (-score, sb_number)) as sbn, max(score) as score from (select barge_name, sb_number, {sql_round('greatest(100 * ' + sim('barge_name', 'name') + ', 100 * ' + sim(_BKEY.format('barge_name'), _BKEY.format('name')) + ')', 3)} as score from names, barge_registry) x where score >= 75 group by barge_name)
-  select note_id, case when j.barge_name is null then 'unresolved' when hs is not null then 'historical' when bname is not null and ss >= 60 then 'mpa_registry_sb' when bname is not null then 'mpa_registry_sb_conflict' when f.sbn is not null then 'mpa_registry_name' else 'unresolved' end as method,
-    {sql_round("case when j.barge_name is null then 0 when hs is not null then hs / 100 when bname is not null and ss >= 60 then greatest(ss / 100, 0.8) when bname is not null then greatest(ss / 100, 0.4) when f.sbn is not null then f.score / 100 else 0 end", 3)} as confidence,
-    case when j.barge_name is null then null when hs is not null then (select mmsi from barge_registry b2 where b2.suppkey = j.k) when bname is not null then bmmsi when f.sbn is not null then (select mmsi from barge_registry b3 where b3.sb_number = f.sbn) end as barge_mmsi,
-    case when j.barge_name is null then 'barge_name_missing' when hs is not null then null when bname is not null and ss >= 60 then null when bname is not null then 'barge_name_mismatch' when f.sbn is not null then null else 'barge_not_found' end as flag from j left join found f using (barge_name)"""
+    f"""with {_BARGE_NOTES}, {_PAST}, {_VESSELS},
+  found as (select barge_name, arg_min(sb_number, (-score, sb_number)) as sbn, max(score) as score from (select barge_name, sb_number, {sql_round('greatest(100 * ' + sim('barge_name', 'name') + ', 100 * ' + sim(_BKEY.format('barge_name'), _BKEY.format('name')) + ')', 3)} as score from bnames cross join barge_registry) x where score >= 75 group by barge_name),
+  j as (select bn.*, past.name as hname, past.mmsi as hmmsi, past.score as hs, b.name as bname, b.mmsi as bmmsi, {sql_round('100 * ' + sim('bn.barge_name', 'b.name'), 3)} as ss, f.sbn, f.score as fs, vs.name as vname, vs.mmsi as vmmsi, vs.score as vsc, rs.name as rname, rs.mmsi as rmmsi, rs.score as rsc
+    from bn left join past using (barge_name) left join barge_registry b on b.sb_number = bn.sb left join found f using (barge_name) left join (select * from vs where score >= 70) vs using (barge_name) left join rs on rs.barge_name = bn.barge_name and rs.place = bn.place),
+  k as (select *, case when barge_name is null then 0 when hname is not null then 1 when bname is not null and ss >= 60 then 2 when bname is not null then 3 when sbn is not null then 4 when vname is not null then 5 when rname is not null then 6 else 7 end as step from j)
+  select note_id, ['unresolved', 'historical', 'mpa_registry_sb', 'mpa_registry_sb_conflict', 'mpa_registry_name', 'vessel_search', 'radius', 'unresolved'][step + 1] as method,
+    {sql_round("case step when 1 then hs / 100 when 2 then greatest(ss / 100, 0.8) when 3 then greatest(ss / 100, 0.4) when 4 then fs / 100 when 5 then vsc / 100 when 6 then rsc / 100 else 0 end", 3)} as confidence,
+    case step when 1 then hmmsi when 2 then bmmsi when 3 then bmmsi when 4 then (select mmsi from barge_registry b3 where b3.sb_number = k.sbn) when 5 then vmmsi when 6 then rmmsi end as barge_mmsi,
+    case step when 0 then 'barge_name_missing' when 3 then 'barge_name_mismatch' when 5 then case when vsc < 75 then 'barge_low_confidence' end when 7 then 'barge_not_found' end as flag from k"""
 )(jn_10_barge_identity)
 
 
@@ -151,9 +177,12 @@ def jn_11_port(spark: SparkSession, d: str) -> DataFrame:
     return R.resolve_port(_notes(spark, d), frame(spark, d, "ports")).select("note_id", "port_name")
 
 
-@query("select ord, port, coalesce(timezone, 'UTC') as timezone, lat, lon from ports")
+@query("select ord, p.port, coalesce(timezone, 'UTC') as timezone, lat, lon, count(n.id) as notes from ports p left join note_fields n on lower(n.port) = lower(p.port) group by all")
 def src_06_ports(spark: SparkSession, d: str) -> DataFrame:
-    return F.broadcast(frame(spark, d, "ports")).select("ord", "port", F.coalesce("timezone", F.lit("UTC")).alias("timezone"), "lat", "lon")
+    """The port reference, with the notes of each port."""
+    named = frame(spark, d, "note_fields").groupBy(F.lower("port").alias("key")).agg(F.count(F.lit(1)).alias("notes"))
+    ports = frame(spark, d, "ports").join(named, F.lower("port") == F.col("key"), "left")
+    return ports.select("ord", "port", F.coalesce("timezone", F.lit("UTC")).alias("timezone"), "lat", "lon", F.coalesce("notes", F.lit(0)).alias("notes"))
 
 
 @query("select imo, name, 'local_registry' as source from vessel_registry where cast(imo as bigint) % 10 = 0 union all select imo, name, 'registry' from vessel_registry where cast(imo as bigint) % 10 <> 0")

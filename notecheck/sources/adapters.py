@@ -76,6 +76,8 @@ TABLES: dict[str, str] = {
         when o_orderpriority = '2-HIGH' then 'REVIEW_REQUIRED' when o_orderpriority = '5-LOW' then 'REJECTED' else 'SUSPICIOUS' end as classification, o_orderpriority in ('1-URGENT', '2-HIGH', '5-LOW') as human_review_required,
         cast(1000000 + o_custkey as string) as confirmed_imo, case when o_orderkey % 4 = 0 then null else cast(1000000 + (o_orderkey * 11) % 97 as string) end as extracted_imo, cast(200000000 + (o_custkey * 7 + 3) % 500 as string) as barge_mmsi,
         o_totalprice as quantity, cast(o_orderkey % 1000 as double) / 1000 as confidence from {orders}""",
+    "barge_history": """select v.id, b.name, b.mmsi, v.validated_s from (select *, 4 * (1 + id % greatest(1, cast(floor((select s from {suppliers}) / 4) as bigint))) as sk from {verdicts}) v join {barge_registry} b on b.suppkey = sk where b.mmsi is not null""",
+    "ships": """select mmsi, lat, lon, 'FEEDER ' || substr(mmsi, 6) as name from (select *, row_number() over (partition by mmsi order by ts desc, seq desc) as r from {positions}) x where r = 1""",
     "edits": "select user_id as id, event_type as field, cast(cast(floor(value) as bigint) as string) as new_value, EPOCH(ts) as edited_s, event_id as seq from {events}",
     "alerts": """select l_orderkey as id, l_linenumber as n, case l_linenumber % 8 when 0 then 'VESSEL_NOT_FOUND' when 1 then 'BARGE_MISSING' when 2 then 'BARGE_NAME_MISMATCH' when 3 then 'MISSING_SEAL_NUMBERS'
         when 4 then 'AIS_UNAVAILABLE' when 5 then 'QUANTITY_INFEASIBLE' when 6 then 'DUPLICATE_BDN' else 'SOMETHING_ELSE' end as alert_type from {lineitem} where l_linenumber % 2 = l_orderkey % 2 or l_linenumber > 5""",
