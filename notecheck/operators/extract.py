@@ -22,7 +22,7 @@ def _line(labels: str, value: str = r"([^\n]*[^\s])") -> str:
 _NUMBER = r"([0-9][0-9,]*\.?[0-9]*)[^\n]*"
 #: field: patterns.
 FIELDS: dict[str, list[str]] = {
-    "vessel_name": [_line("vessel(?:'s)? name|name of vessel|receiving vessel|ship(?:'s)? name|vessel")],
+    "vessel_name": [_line("vessel(?:'s)? name|name of vessel|receiving vessel|ship(?:'s)? name"), r"(?im)^[ \t]*(?:vessel|ship)[ \t]*:[ \t]*([^\n]*[^\s])[ \t]*$"],
     "imo": [_line(r"(?:vessel )?imo(?: no\.?| number)?", r"([0-9]{7})"), r"(?i)\bimo[^0-9\n]{0,12}([0-9]{7})\b"],
     "barge_name": [_line("barge(?: name)?|bunker (?:barge|tanker)(?: name)?|delivered by|name of barge")],
     "barge_sb_number": [_line(r"(?:barge )?sb(?: no\.?| number)?|licen[cs]e no", r"(SB[ \t-]?[0-9]+[A-Z]?)")],
@@ -125,22 +125,37 @@ def anchored_times(extracted: DataFrame) -> DataFrame:
     return extracted.withColumns({c: F.when(bare(c), F.concat_ws(" ", "delivery_date", X.normalize_time_only(F.col(c)))).otherwise(F.col(c)) for c in ("start_time", "end_time")})
 
 
-def find_fuzzy(notes: DataFrame, labels: dict[str, list[str]], threshold: float = 80.0, ahead: int = 3) -> DataFrame:
+def find_fuzzy(notes: DataFrame, labels: dict[str, list[str]], threshold: float | Column = 80.0, ahead: int = 3) -> DataFrame:
     """note_id, field, value, score, line: for each field the line whose label is most like one of its labels; the first of equals.
 
     A line is `label: value`; where the value is empty, the next non-empty line within `ahead` stands for it. Labels are a short literal list.
     """
     lines = F.split(F.coalesce("raw_text", F.lit("")), "\n")
-    at = notes.select("note_id", lines.alias("lines")).select("note_id", "lines", F.posexplode("lines").alias("line", "text"))
+    limit = threshold if isinstance(threshold, Column) else F.lit(threshold)
+    at = notes.select("note_id", lines.alias("lines"), limit.alias("limit")).select("note_id", "lines", "limit", F.posexplode("lines").alias("line", "text"))
     own = X.some(F.trim(F.regexp_extract("text", r"^[^:]*:(.*)$", 1)))
     later = [F.when(F.trim(F.get("lines", F.col("line") + k)) != "", F.trim(F.get("lines", F.col("line") + k))) for k in range(1, ahead + 1)]
-    split = at.select("note_id", "line", F.lower(F.trim(F.regexp_extract("text", "^([^:]*):", 1))).alias("label"), F.coalesce(own, *later).alias("value")).where("label <> ''")
+    split = at.select("note_id", "line", "limit", F.lower(F.trim(F.regexp_extract("text", "^([^:]*):", 1))).alias("label"), F.coalesce(own, *later).alias("value")).where("label <> ''")
     known = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(x).alias("known")) for f, xs in labels.items() for x in xs])
-    tried = split.withColumn("k", F.explode(known)).select("note_id", "line", "value", "k.field", (100 * (1 - F.levenshtein("label", "k.known") / F.greatest(F.length("label"), F.length("k.known")))).alias("score"))
-    best = tried.where((F.col("score") >= threshold) & F.col("value").isNotNull()).groupBy("note_id", "field").agg(F.max_by(F.struct("value", "score", "line"), F.struct("score", (-F.col("line")).alias("l"))).alias("b"))
+    tried = split.withColumn("k", F.explode(known)).select("note_id", "line", "value", "limit", "k.field", (100 * (1 - F.levenshtein("label", "k.known") / F.greatest(F.length("label"), F.length("k.known")))).alias("score"))
+    best = tried.where((F.col("score") >= F.col("limit")) & F.col("value").isNotNull()).groupBy("note_id", "field").agg(F.max_by(F.struct("value", "score", "line"), F.struct("score", (-F.col("line")).alias("l"))).alias("b"))
     return best.select("note_id", "field", "b.value", rounded(F.col("b.score"), 3).alias("score"), "b.line")
 
 
 def aligned(notes: DataFrame, labels: dict[str, str]) -> DataFrame:
     """Each field's value where label and value stand apart by two blanks or more instead of a colon."""
     return notes.select("note_id", *[X.some(F.regexp_extract("raw_text", rf"(?im)^[ \t]*(?:{p})[ \t]{{2,}}([^\n]*[^\s])[ \t]*$", 1)).alias(f) for f, p in labels.items()])
+
+
+#: Labels that a misread label is compared with.
+FUZZY = {"vessel_name": ["vessel name", "name of vessel"], "barge_name": ["barge name", "name of barge"], "port": ["port", "port of delivery"], "supplier": ["supplier", "supplied by"], "delivery_date": ["delivery date", "date of delivery"], "start_time": ["commenced pumping", "start time"], "end_time": ["completed pumping", "end time"]}
+
+
+def routed(notes: DataFrame, digital: float = 80.0, handwritten: float = 65.0) -> DataFrame:
+    """Fields by patterns; text fields that no pattern finds by the most similar label, with the limit of the note's kind; bare times of
+    handwritten notes take the delivery date."""
+    limit = F.when(F.col("doc_type") == "HANDWRITTEN", handwritten).otherwise(digital)
+    found = find_fuzzy(notes, FUZZY, limit).groupBy("note_id").pivot("field", sorted(FUZZY)).agg(F.first("value"))
+    found = found.select("note_id", *[_checked(cap_words(F.col(f), LONGEST[f]), plausible_text, f).alias(f"__{f}") for f in FUZZY])
+    x = extract(notes).join(found, "note_id", "left")
+    return anchored_times(x.withColumns({f: F.coalesce(f, f"__{f}") for f in FUZZY}).drop(*[f"__{f}" for f in FUZZY]))

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..params import DEFAULT, Params
+from ..sources.store import staged
 
 CLOSED = ("VALID", "REJECTED", "MANUALLY_APPROVED")
 
@@ -59,11 +60,23 @@ def upsert_vessels(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.where(F.col("known") | ((F.length("imo") == 7) & F.col("n_name").isNotNull())).select("imo", *[F.coalesce(f"n_{c}", c).alias(c) for c in ("name", "mmsi", "vessel_type")])
 
 
-def apply_decisions(verdicts: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Verdicts with the last decision (id, action, seq): approve or reject, which ends the review."""
-    last = latest_per(decisions, "id", [F.col("seq")]).select("id", "action")
+def apply_decisions(verdicts: DataFrame, decisions: DataFrame, edited: list[str] | None = None) -> DataFrame:
+    """Verdicts with the last decision (id, action, seq): approve or reject, which ends the review; and of each edited column the last value given."""
+    given = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(f"__{c}") for c in edited or []]
+    last = decisions.groupBy("id").agg(F.max_by("action", F.when(F.col("action").isin("approve", "reject"), F.col("seq"))).alias("action"), F.count_if(F.col("action").isin("approve", "reject")).alias("n"), *given).withColumn("action", F.when(F.col("n") > 0, F.col("action"))).drop("n")
     after = F.when(F.col("action") == "approve", "VALID").when(F.col("action") == "reject", "REJECTED")
-    return verdicts.join(last, "id", "left").select(*[c for c in verdicts.columns if c not in ("classification", "human_review_required")], F.coalesce(after, "classification").alias("classification"), (F.col("human_review_required") & after.isNull()).alias("human_review_required"))
+    kept = [F.coalesce(f"__{c}", c).alias(c) if c in (edited or []) else F.col(c) for c in verdicts.columns if c not in ("classification", "human_review_required")]
+    return verdicts.join(last, "id", "left").select(*kept, F.coalesce(after, "classification").alias("classification"), (F.col("human_review_required") & after.isNull()).alias("human_review_required"))
+
+
+def numbered(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """rows with `place`, their number in that order: ranges of the order are numbered apart, after the counts of those before."""
+    placed = staged(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+    sizes = placed.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row per range
+    start = sizes.select("__range", before.alias("__before"))
+    inside = F.row_number().over(W.partitionBy("__range").orderBy(*order))
+    return placed.withColumn("__r", inside).join(F.broadcast(start), "__range").withColumn("place", F.col("__before") + F.col("__r")).drop("__range", "__r", "__before")
 
 
 def edit_log(edits: DataFrame) -> DataFrame:

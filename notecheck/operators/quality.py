@@ -21,12 +21,12 @@ def vessel_rules() -> dict[str, Column]:
 
 
 def position_rules() -> dict[str, Column]:
-    return {"mmsi_format": F.col("mmsi").rlike("^[0-9]{9}$"), "lat_range": F.abs("lat") <= 90, "lon_range": F.abs("lon") <= 180, "speed_sign": F.col("speed") >= 0, "heading_range": F.col("heading").between(0, 360)}
+    return {"mmsi_format": F.col("mmsi").rlike("^[0-9]{9}$"), "lat_range": F.abs("lat") <= 90, "lon_range": F.abs("lon") <= 180, "speed_sign": F.col("speed") >= 0, "heading_range": F.col("heading").between(0, 360), "course_range": F.col("course").between(0, 360)}
 
 
 def transaction_rules() -> dict[str, Column]:
     classes = ("VALID", "SUSPICIOUS", "HIGH_RISK", "REVIEW_REQUIRED", "REJECTED", "MANUALLY_APPROVED")
-    return {"time_order": F.col("end_s") >= F.col("start_s"), "quantity_sign": F.col("quantity") >= 0, "class_domain": F.col("classification").isin(*classes), "confidence_range": F.col("confidence").between(0, 1)}
+    return {"time_order": F.col("end_s") >= F.col("start_s"), "quantity_sign": F.col("quantity") >= 0, "density_sign": F.col("density") > 0, "sulphur_sign": F.col("sulphur_content") >= 0, "flashpoint_sign": F.col("flashpoint") >= 0, "class_domain": F.col("classification").isin(*classes), "confidence_range": F.col("confidence").between(0, 1), "credibility_range": F.col("credibility_score").between(0, 100)}
 
 
 def split(checked: DataFrame) -> tuple[DataFrame, DataFrame]:

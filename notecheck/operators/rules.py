@@ -212,7 +212,35 @@ def check_list(rows: DataFrame, p: Params = DEFAULT) -> DataFrame:
     return rows.select("note_id", F.explode(made).alias("x")).select("note_id", "x.*")
 
 
-def describe_flag(code: Column, known: dict[str, str]) -> Column:
+#: Texts for codes; others are shown with blanks for underscores.
+DESCRIPTIONS = {
+    "VESSEL_NOT_FOUND": "Vessel is in no registry",
+    "IMO_MISMATCH": "Name differs from the one registered for the IMO",
+    "VESSEL_IDENTITY_UNRESOLVED": "IMO and name belong to different vessels",
+    "BARGE_MISSING": "Barge could not be identified",
+    "BARGE_NAME_MISMATCH": "Barge name differs from the registered one",
+    "MISSING_SEAL_NUMBERS": "No seal numbers on the note",
+    "AIS_UNAVAILABLE": "No positions for the delivery window",
+    "QUANTITY_INFEASIBLE": "Pump rate is not possible",
+    "DUPLICATE_BDN": "Same vessel, port and date as another note",
+    "low_ocr_confidence": "Text was hard to read",
+    "low_extraction_confidence": "Few fields were found",
+    "missing_required_fields": "Required fields are missing",
+    "invalid_imo_format": "IMO is not seven digits",
+    "contains_correction_keywords": "Text mentions corrections",
+    "marpol_viscosity_violation": "Viscosity is above the limit",
+    "marpol_water_content_violation": "Water content is above the limit",
+    "reversed_timestamps": "End lies before start",
+    "suspicious_pumping_duration": "Pumping was unusually short or long",
+    "quantity_physically_impossible": "Quantity does not fit the time",
+    "font_inconsistency": "Fonts vary",
+    "handwritten_document": "Note is handwritten",
+    "missing_seal_numbers": "No seal numbers",
+    "duplicate_bdn_detected": "Another note is the same",
+}
+
+
+def describe_flag(code: Column, known: dict[str, str] = DESCRIPTIONS) -> Column:
     table = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
     return F.coalesce(F.try_element_at(table, code), F.replace(code, F.lit("_"), F.lit(" ")))
 

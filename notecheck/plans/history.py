@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import history as H
+from ..sources import store
 from ..sources.adapters import frame
+from ..sources.store import staged
 from .base import query
 
 AS_OF = 902016000  # 1998-08-02
@@ -33,9 +37,9 @@ def sl_01_limit_then_filter(spark: SparkSession, d: str) -> DataFrame:
     return H.list_transactions(_v(spark, d), human_review_only=True).select("id", "classification")
 
 
-@query("select id, row_number() over (order by validated_s desc, id) as place from verdicts where id % 50 = 0")
+@query("select id, row_number() over (order by validated_s desc, id) as place from verdicts")
 def sl_02_newest_first(spark: SparkSession, d: str) -> DataFrame:
-    return _v(spark, d).where("id % 50 = 0").select("id", F.row_number().over(W.orderBy(F.desc("validated_s"), "id")).alias("place"))
+    return H.numbered(_v(spark, d).select("id", "validated_s"), [F.desc("validated_s"), F.col("id")]).select("id", "place")
 
 
 @query("select id, confidence from verdicts order by confidence desc, id limit 100")
@@ -48,11 +52,17 @@ def sl_04_positions_by_time(spark: SparkSession, d: str) -> DataFrame:
     return frame(spark, d, "positions").select("mmsi", "seq", F.row_number().over(W.partitionBy("mmsi").orderBy("ts", "seq")).alias("place"))
 
 
-@query("select custkey, array_to_string(list_sort(list(id))[1:3], ',') as first_ids, count(*) as n from verdicts group by custkey")
+#: How many a list shows: duplicates, further candidates (after the first), reasons, archive results, audit entries, word confidences.
+CAPS = {"duplicates": (1, 5), "candidates": (2, 2), "reasons": (1, 3), "archives": (1, 5), "audit": (1, 50), "confidences": (1, 200)}
+
+
+@query("select custkey, " + ", ".join(f"array_to_string(ids[{a}:{a + n - 1}], ',') as {k}" for k, (a, n) in CAPS.items()) + ", n from (select custkey, list_sort(list(id)) as ids, count(*) as n from verdicts group by custkey) x")
 def sl_05_caps(spark: SparkSession, d: str) -> DataFrame:
-    v = _v(spark, d)
-    top = v.withColumn("r", F.row_number().over(W.partitionBy("custkey").orderBy("id")))
-    return top.groupBy("custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("r") <= 3, F.col("id")))), lambda x: x.cast("string")), ",").alias("first_ids"), F.count(F.lit(1)).alias("n"))
+    """The caps over each customer's verdicts; no more ids are gathered than the longest list shows."""
+    longest = max(a + n - 1 for a, n in CAPS.values())
+    top = _v(spark, d).select("custkey", "id", F.row_number().over(W.partitionBy("custkey").orderBy("id")).alias("r"))
+    ids = top.groupBy("custkey").agg(F.array_sort(F.collect_list(F.when(F.col("r") <= longest, F.col("id")))).alias("ids"), F.count(F.lit(1)).alias("n"))
+    return ids.select("custkey", *[F.array_join(F.transform(F.slice("ids", a, n), lambda x: x.cast("string")), ",").alias(k) for k, (a, n) in CAPS.items()], "n")
 
 
 @query(f"select id, classification from verdicts where {OPEN}")
@@ -140,9 +150,11 @@ def jn_18_not_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select id, classification, confirmed_imo, cast(floor(validated_s / 86400) as bigint) as validated_day from (select *, row_number() over (partition by confirmed_imo order by validated_s desc, id desc) as r from verdicts) x where r = 1 and confirmed_imo is not null")
 def snk_01_verdict_rows(spark: SparkSession, d: str) -> DataFrame:
-    """The rows that the sink writes for a keyed overwrite by vessel: resolved ones, latest wins."""
+    """A keyed overwrite by vessel, written by the sink and read back: resolved rows, latest wins."""
     rows = H.latest_per(_v(spark, d).where("confirmed_imo is not null"), "confirmed_imo", [F.col("validated_s"), F.col("id")])
-    return rows.select("id", "classification", "confirmed_imo", F.floor(F.col("validated_s") / 86400).alias("validated_day"))
+    path = f"{store.shared_folder(spark)}/verdicts/{uuid.uuid4().hex}"
+    store.write_verdicts(rows, path)
+    return spark.read.parquet(path).select("id", "classification", "confirmed_imo", F.datediff("validated_date", F.lit("1970-01-01").cast("date")).cast("long").alias("validated_day"))
 
 
 @query("""with n as (select confirmed_imo as imo, arg_max(case when id % 5 = 0 then '' else 'NEW ' || cast(id as string) end, id) as name, arg_max(barge_mmsi, id) as mmsi, arg_max(case when id % 2 = 0 then '' else classification end, id) as vessel_type from verdicts group by confirmed_imo)
@@ -154,14 +166,16 @@ def snk_02_upsert(spark: SparkSession, d: str) -> DataFrame:
     return H.upsert_vessels(old, new)
 
 
-_DEC = "select id, case when seq % 3 = 0 then 'approve' when seq % 3 = 1 then 'reject' else 'note' end as action, seq from edits"
+_ACT = "case when seq % 3 = 0 then 'approve' when seq % 3 = 1 then 'reject' else 'edit' end"
+_DEC = f"select id, {_ACT} as action, case when seq % 3 = 2 then new_value end as note, case when seq % 3 = 2 and seq % 2 = 0 then 'X' || new_value end as barge_mmsi, seq from edits"
 
 
-@query(f"""select id, case action when 'approve' then 'VALID' when 'reject' then 'REJECTED' else classification end as classification, human_review_required and coalesce(action, 'note') = 'note' as human_review_required
-  from verdicts left join (select id, arg_max(action, seq) as action from ({_DEC}) x group by id) y using (id)""")
+@query(f"""select id, case action when 'approve' then 'VALID' when 'reject' then 'REJECTED' else classification end as classification, human_review_required and coalesce(action, 'edit') = 'edit' as human_review_required, note, coalesce(y.barge_mmsi, v.barge_mmsi) as barge_mmsi
+  from verdicts v left join (select id, arg_max(action, seq) filter (action <> 'edit') as action, arg_max(note, seq) filter (note is not null) as note, arg_max(barge_mmsi, seq) filter (barge_mmsi is not null) as barge_mmsi from ({_DEC}) x group by id) y using (id)""")
 def snk_03_decisions(spark: SparkSession, d: str) -> DataFrame:
-    e = frame(spark, d, "edits").select("id", F.expr("case when seq % 3 = 0 then 'approve' when seq % 3 = 1 then 'reject' else 'note' end").alias("action"), "seq")
-    return H.apply_decisions(_v(spark, d), e).select("id", "classification", "human_review_required")
+    e = frame(spark, d, "edits").selectExpr("id", f"{_ACT} as action", "case when seq % 3 = 2 then new_value end as note", "case when seq % 3 = 2 and seq % 2 = 0 then 'X' || new_value end as barge_mmsi", "seq")
+    merged = staged(H.apply_decisions(_v(spark, d).withColumn("note", F.lit(None).cast("string")), e, ["note", "barge_mmsi"]), "decided")
+    return merged.select("id", "classification", "human_review_required", "note", "barge_mmsi")
 
 
 @query("select id, case when id % 2 = 0 then 'VALID' else 'REJECTED' end as classification, false as human_review_required, case when id % 2 = 0 then 'approved' else 'rejected' end || ' by reviewer' as reason from verdicts where human_review_required")

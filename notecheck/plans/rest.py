@@ -9,12 +9,17 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import rounded
 from ..operators import anomaly as A
+from ..operators import extract as E
+from ..operators import resolve as R
+from ..operators import rules as U
 from ..operators import tracks as T
 from ..sources import readers as S
 from ..sources import store
 from ..sources.adapters import frame
 from ..streaming import jobs as J
 from .base import query
+from .resolving import _IDENT, NOTES
+from .ruling import _CRED
 
 
 def _features(spark: SparkSession, d: str) -> DataFrame:
@@ -85,43 +90,60 @@ def sm_03_sessions(spark: SparkSession, d: str) -> DataFrame:
     return out.select("mmsi", _seconds("first_at").alias("first_s"), _seconds("last_at").alias("last_s"), "n")
 
 
-@query("select o_orderkey as id, case when o_totalprice > 200000 then 'HIGH_RISK' else 'VALID' end as label from orders")
+def _sm_04() -> str:
+    """Credibility and identity of every note, from the batch queries' texts."""
+    notes = "n as (select id as note_id, vessel_name, imo, barge_name, sb_number as sb, port from note_fields)"
+    return f"with {_CRED}, {_IDENT.replace(NOTES, notes)} select cred.note_id, score, method from cred join ident on ident.note_id = cred.note_id"
+
+
+@query(_sm_04())
 def sm_04_judge_notes(spark: SparkSession, d: str) -> DataFrame:
+    """Notes as a stream of files, each micro-batch judged against the static registry and written by the sink."""
     folder = f"{store.shared_folder(spark)}/streams/{uuid.uuid4().hex}"
-    rows = spark.readStream.schema(frame(spark, d, "orders").schema).parquet(f"{d}/orders*")
-    label = lambda b: b.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_totalprice") > 200000, "HIGH_RISK").otherwise("VALID").alias("label"))
-    J.judge_notes(rows, label, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
-    return spark.read.schema("id long, label string").parquet(f"{folder}/out").select("id", "label")
+    notes = frame(spark, d, "notes")
+    notes.write.parquet(f"{folder}/in")
+    registry = store.staged(frame(spark, d, "vessel_registry"), "registry")
+
+    def judge(batch: DataFrame) -> DataFrame:
+        x = U.credibility(E.extract(batch).withColumn("extraction_confidence", E.extraction_confidence()))
+        who = R.vessel_identity(x.select("note_id", "vessel_name", "imo"), registry).select("note_id", "method")
+        return x.select("note_id", F.col("credibility_score").alias("score")).join(who, "note_id")
+
+    J.judge_notes(spark.readStream.schema(notes.schema).parquet(f"{folder}/in"), judge, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.schema("note_id long, score double, method string").parquet(f"{folder}/out").select("note_id", "score", "method")
 
 
 DOCUMENT_ROWS = 5000  # rows that a written document holds
 
 
 def _archived(spark: SparkSession, p: DataFrame) -> str:
-    """Positions written as archive files (JSON documents of a ship and day, of DOCUMENT_ROWS positions at most), for the readers."""
-    path = f"{store.shared_folder(spark)}/archives/{uuid.uuid4().hex}"
+    """Positions written as archive files (lists of JSON documents, each of a ship and day and of DOCUMENT_ROWS positions at most), for the readers."""
     item = F.struct("lat", "lon", "speed", "heading", F.col("ts").alias("last_position_epoch"))
     day = F.floor(F.col("ts") / 86400).alias("day")
     rows = p.select("mmsi", day, item.alias("item"))
     at = F.row_number().over(Window.partitionBy("mmsi", "day").orderBy("item"))
     chunk = F.floor((at - 1) / DOCUMENT_ROWS).alias("chunk")
-    rows.select("mmsi", "day", "item", chunk).groupBy("mmsi", "day", "chunk").agg(F.collect_list("item").alias("positions")).select("mmsi", "positions").write.json(path)
-    return path
-
-
-def _lines_reader(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.schema(S.HISTORY).json(path).withColumn("file", F.lit("a"))
-    return S.normalize_positions(rows.select("mmsi", "file", F.explode("positions").alias("p")).select("mmsi", "file", "p.*"))
+    documents = rows.select("mmsi", "day", "item", chunk).groupBy("mmsi", "day", "chunk").agg(F.collect_list("item").alias("positions")).select("mmsi", "positions")
+    return _as_documents(spark, store.staged(documents, "archives"), "archives", 200)
 
 
 @query("select mmsi, count(*) as n, min(ts) as first_ts from positions group by mmsi")
 def src_01_archives(spark: SparkSession, d: str) -> DataFrame:
-    return _lines_reader(spark, _archived(spark, frame(spark, d, "positions"))).groupBy("mmsi").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"))
+    return S.read_history(spark, _archived(spark, frame(spark, d, "positions"))).groupBy("mmsi").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"))
 
 
 @query("select mmsi, ts, count(*) as n from positions where ts is not null group by mmsi, ts")
 def prj_01_normalized_positions(spark: SparkSession, d: str) -> DataFrame:
-    return _lines_reader(spark, _archived(spark, frame(spark, d, "positions"))).groupBy("mmsi", "ts").agg(F.count(F.lit(1)).alias("n"))
+    return S.read_history(spark, _archived(spark, frame(spark, d, "positions"))).groupBy("mmsi", "ts").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select md5(text) as digest, length(text) as n, count(*) as files from benchmark group by all")
+def src_08_note_files(spark: SparkSession, d: str) -> DataFrame:
+    """Texts written as a folder of files, one each, and read by kind."""
+    path = f"{store.shared_folder(spark)}/notes/{uuid.uuid4().hex}"
+    frame(spark, d, "benchmark").select("item_id", "text").write.partitionBy("item_id").text(path)
+    text = F.regexp_replace("raw_text", "\n$", "")
+    return S.read_notes(spark, path).select(F.md5(text).alias("digest"), F.length(text).alias("n")).groupBy("digest", "n").agg(F.count(F.lit(1)).alias("files"))
 
 
 @query("select mmsi, case when seq % 3 = 0 then null else ts end as ts, count(*) as n from positions group by 1, 2")

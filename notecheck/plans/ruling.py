@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.numbers import rounded
+from ..operators import anomaly as A
 from ..operators import extract as E
+from ..operators import history as H
 from ..operators import resolve as R
 from ..operators import rules as U
 from ..operators import tracks as T
@@ -193,32 +195,48 @@ def rl_12_barge_missing(spark: SparkSession, d: str) -> DataFrame:
     return U.verdicts(U.with_alerts(_staged(spark, d))).select("id", "barge_missing")
 
 
-DESCRIPTIONS = {"VESSEL_NOT_FOUND": "Vessel is in no registry", "BARGE_MISSING": "Barge could not be identified"}
+_TEXTS = " ".join(f"when '{k}' then '{v}'" for k, v in U.DESCRIPTIONS.items())
 
 
-@query("select distinct alert_type, case alert_type when 'VESSEL_NOT_FOUND' then 'Vessel is in no registry' when 'BARGE_MISSING' then 'Barge could not be identified' else replace(alert_type, '_', ' ') end as description from alerts")
+@query(f"with {_CRED}, codes as (select distinct alert_type as code from alerts union select distinct x.f from (select unnest(string_split(flags, ',')) as f from cred) x where x.f <> '') select code, case code {_TEXTS} else replace(code, '_', ' ') end as description from codes")
 def rl_14_descriptions(spark: SparkSession, d: str) -> DataFrame:
-    return frame(spark, d, "alerts").select("alert_type").distinct().select("alert_type", U.describe_flag(F.col("alert_type"), DESCRIPTIONS).alias("description"))
+    """Texts of the codes that alerts and documents carry."""
+    codes = frame(spark, d, "alerts").select(F.col("alert_type").alias("code")).union(U.credibility(_fields(spark, d)).select(F.explode("credibility_flags"))).distinct()
+    return codes.select("code", U.describe_flag(F.col("code")).alias("description"))
+
+
+def judged_notes(spark: SparkSession, d: str, notes: DataFrame) -> DataFrame:
+    """Notes to verdicts: fields, duplicates, credibility, vessel, barge, tracks in the port's delivery window, anomaly score, alerts, verdict."""
+    t = lambda name: frame(spark, d, name)
+    fields = staged(E.extract(notes).withColumn("extraction_confidence", E.extraction_confidence()), "fields")
+    again = H.duplicates(fields).select("note_id", F.lit(True).alias("again"))
+    x = U.credibility(fields.join(again, "note_id", "left"), duplicate=F.col("again"))
+    times = X.parse_pumping_times(F.col("start_time"), F.col("end_time"), F.lit(None).cast("string"))
+    x = R.resolve_port(x.withColumn("t", times), t("ports")).join(t("ports").select(F.col("port").alias("port_name"), "timezone", "utc_offset", "lat", "lon"), "port_name", "left")
+    utc = lambda c: X.to_utc(F.col(f"t.{c}"), F.col("timezone"), F.col("utc_offset"))
+    x = staged(x.withColumns({"start_s": utc("start_s"), "end_s": utc("end_s")}).withColumnRenamed("port_name", "place"), "credibility")
+    ident = staged(R.vessel_identity(x.select("note_id", "vessel_name", "imo"), t("vessel_registry")), "vessels")
+    barge = staged(R.barge_identity(x.select("note_id", "barge_name", "barge_sb_number", "place", "lat", "lon"), t("barge_registry"), t("barge_history"), t("vessel_registry"), t("ships")), "barges")
+    asked = x.join(ident.select("note_id", F.col("confirmed_mmsi").alias("vessel_mmsi")), "note_id").join(barge.select("note_id", "barge_mmsi"), "note_id").where("start_s is not null").select(F.col("note_id").alias("id"), "vessel_mmsi", "barge_mmsi", "start_s", "end_s", "quantity_mt")
+    feats = staged(T.build_features(staged(asked, "asked"), t("positions")), "features")
+    ais = T.ais_outcome(feats, ident.select(F.col("note_id").alias("id"), F.col("unresolved").alias("vessel_identity_unresolved")))
+    # Only tracks that are there are scored, by a forest of their own kind.
+    tracked = staged(feats.join(ais.where("not ais_unavailable").select("id"), "id", "left_semi"), "tracked")
+    scores = A.anomaly_scores(staged(A.raw_scores(tracked, "id", T.FEATURES, A.fit_forest(tracked, "id", T.FEATURES)), "raw-scores")).select("id", "anomaly_score", "is_anomaly")
+    outcome = ais.join(scores, "id", "left").withColumnRenamed("id", "note_id")
+    rows = (
+        x.join(ident.select("note_id", F.col("method").alias("identity_method"), F.col("flags").alias("identity_flags"), F.col("unresolved").alias("identity_unresolved"), F.col("confidence").alias("identity_confidence")), "note_id")
+        .join(barge.select("note_id", F.col("method").alias("barge_method"), F.col("flags").alias("barge_flags"), F.col("confidence").alias("barge_confidence"), "barge_ais_missing"), "note_id")
+        .join(outcome, "note_id", "left")
+        .withColumns({"ais_unavailable": F.coalesce("ais_unavailable", F.lit(True)), "anomaly_flags": F.coalesce("anomaly_flags", F.array(F.lit("ais_unavailable"))), "is_anomaly": F.coalesce("is_anomaly", F.lit(False))})
+    )
+    return U.verdicts(U.with_alerts(rows))
 
 
 def rl_15_note_to_verdict(spark: SparkSession, d: str) -> DataFrame:
-    """Notes to verdicts: fields, credibility, vessel, barge, tracks, alerts, score; one row per note."""
-    vessels, barges, positions = frame(spark, d, "vessel_registry"), frame(spark, d, "barge_registry"), frame(spark, d, "positions")
-    history = barges.where("suppkey % 4 = 0 and mmsi is not null").select(F.col("suppkey").cast("string").alias("key"), "name", "mmsi")
-    x = staged(U.credibility(_fields(spark, d)), "fields")
-    ident = staged(R.vessel_identity(x.select("note_id", "vessel_name", "imo"), vessels), "vessels")
-    barge = staged(R.barge_identity(x.select("note_id", "barge_name", "barge_sb_number"), barges, history), "barges")
-    times = x.select("note_id", "quantity_mt", X.parse_pumping_times(F.col("start_time"), F.col("end_time"), F.lit(None).cast("string")).alias("t"))
-    asked = times.join(ident.select("note_id", F.col("confirmed_mmsi").alias("vessel_mmsi")), "note_id").join(barge.select("note_id", "barge_mmsi"), "note_id").where("t.start_s is not null").select(F.col("note_id").alias("id"), "vessel_mmsi", "barge_mmsi", "t.start_s", "t.end_s", "quantity_mt")
-    feats = staged(T.build_features(staged(asked, "asked"), positions), "features")
-    ais = T.ais_outcome(feats, ident.select(F.col("note_id").alias("id"), F.col("unresolved").alias("vessel_identity_unresolved"))).withColumnRenamed("id", "note_id")
-    rows = (
-        x.join(ident.select("note_id", F.col("flags").alias("identity_flags"), F.col("unresolved").alias("identity_unresolved"), F.col("confidence").alias("identity_confidence")), "note_id")
-        .join(barge.select("note_id", F.col("flags").alias("barge_flags"), F.col("confidence").alias("barge_confidence"), "barge_ais_missing"), "note_id")
-        .join(ais, "note_id", "left")
-        .withColumns({"ais_unavailable": F.coalesce("ais_unavailable", F.lit(True)), "anomaly_flags": F.coalesce("anomaly_flags", F.array(F.lit("ais_unavailable"))), "is_anomaly": F.lit(False), "anomaly_score": F.lit(0.5)})
-    )
-    return U.verdicts(U.with_alerts(rows)).select("note_id", "classification", "confidence", "human_review_required", "overall_fraud_risk", "credibility_score", "verdict_reason")
+    """One verdict per note, with what it rests on."""
+    v = judged_notes(spark, d, frame(spark, d, "notes"))
+    return v.select("note_id", "classification", "confidence", "human_review_required", "overall_fraud_risk", "credibility_score", "verdict_reason", "identity_method", "identity_confidence", "identity_unresolved", "barge_method", "barge_confidence", "barge_missing", "ais_unavailable", "is_anomaly", "anomaly_score", "ocr_confidence", "extraction_confidence", F.array_join("anomaly_flags", ",").alias("anomaly_flags"), F.array_contains("credibility_flags", "duplicate_bdn_detected").alias("duplicate"))
 
 
 query()(rl_15_note_to_verdict)

@@ -14,7 +14,7 @@ TRACK = """days as (select id, role, mmsi, unnest(range(cast(floor(start_s / 864
     (select id, 'vessel' as role, vessel_mmsi as mmsi, start_s, end_s from deliveries union all select id, 'barge', barge_mmsi, start_s, end_s from deliveries) x),
   track as (select d.id, d.role, p.* from days d join positions p on p.mmsi = d.mmsi and cast(floor(p.ts / 86400) as bigint) = d.day),
   placed as (select *, row_number() over (partition by id, role order by ts, seq) as rn from track),
-  pairs as (select v.id, v.rn, v.lat as vlat, v.lon as vlon, v.heading as vh, b.lat as blat, b.lon as blon, b.heading as bh from placed v join placed b on v.id = b.id and v.rn = b.rn and v.role = 'vessel' and b.role = 'barge')"""
+  pairs as (select id, rn, max(lat) filter (role = 'vessel') as vlat, max(lon) filter (role = 'vessel') as vlon, max(heading) filter (role = 'vessel') as vh, max(lat) filter (role = 'barge') as blat, max(lon) filter (role = 'barge') as blon, max(heading) filter (role = 'barge') as bh from placed group by id, rn having count(*) = 2)"""
 DIST = f"(1000 * {sql_km('vlat', 'vlon', 'blat', 'blon')})"
 PAIRSTAT = f"""pairstat as (select id, count(*) as pairs, avg(d) as mean_d, case when count(*) >= 2 then var_pop(d) else 0 end as var_d, avg(case when d <= 200 then 1e0 else 0e0 end) as ratio,
     case when stddev_pop(vh) * stddev_pop(bh) > 0 then greatest(-1e0, least(1e0, covar_pop(vh, bh) / (stddev_pop(vh) * stddev_pop(bh)))) else 0e0 end as corr from (select *, {DIST} as d from pairs) q group by id)"""

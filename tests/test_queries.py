@@ -26,7 +26,7 @@ def plain(v):
     return float(v) if isinstance(v, float) else v
 
 
-#: Slow ones run in bench and in the correctness gate.
+#: The flagship has a test of its own; the other slow ones run in bench and in the correctness gate.
 SLOW = {"rl_15_note_to_verdict", "ml_02_scores", "ml_03_plain_scores", "ag_14_score_range", "jn_04_indel"}
 
 
@@ -45,5 +45,32 @@ def test_query(spark, duck, name):
         assert sum(rows.values()) > 0
 
 
+def test_note_to_verdict(spark):
+    """Every verdict of the flagship follows from its own columns by the plain rules; documents' parts equal the single queries."""
+    rows = entry.queries()["rl_15_note_to_verdict"](spark, SF).collect()
+    notes = {r.note_id: r for r in entry.queries()["rl_01_credibility"](spark, SF).collect()}
+    assert {r.note_id for r in rows} == set(notes) and len(rows) == len(notes)
+    label = collections.Counter()
+    for r in rows:
+        geo = 0.9 if r.ais_unavailable else max(0.0, 1 - (r.anomaly_score or 0.5))
+        parts = (r.ocr_confidence or 0) * 0.2 + (r.extraction_confidence or 0) * 0.2 + (r.identity_confidence or 0) * 0.2 + (r.barge_confidence or 0.5) * 0.15 + geo * 0.25
+        assert abs(parts - r.confidence) < 0.00051
+        only = r.ais_unavailable and not r.is_anomaly and set(r.anomaly_flags.split(",")) <= {"ais_unavailable", "barge_ais_missing", "synthetic_ais_demo"}
+        if r.identity_unresolved or r.overall_fraud_risk == "HIGH" or r.is_anomaly:
+            want = "HIGH_RISK"
+        elif r.barge_missing:
+            want = "SUSPICIOUS"
+        elif only and r.overall_fraud_risk != "MEDIUM":
+            want = "REVIEW_REQUIRED"
+        else:
+            want = "VALID" if r.confidence >= 0.75 else "SUSPICIOUS" if r.confidence >= 0.5 else "HIGH_RISK"
+        assert r.classification == want
+        assert r.anomaly_score is None or (0 <= r.anomaly_score <= 1 and not r.ais_unavailable)
+        assert r.is_anomaly <= (r.anomaly_score is not None and r.anomaly_score > 0.5)
+        assert r.duplicate or r.credibility_score == notes[r.note_id].score
+        label[r.classification] += 1
+    assert len(label) >= 3, label
+
+
 def test_every_query_is_named():
     assert set(entry.oracle_sql()) <= set(entry.queries())
