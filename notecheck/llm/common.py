@@ -64,10 +64,15 @@ def join_small(df: DataFrame, small: DataFrame, keys: list[str], salt: Column, h
     return left.join(right, on=_all([*on, F.col("__part") == F.col("__part_r")]), how=how).drop(*drop, "__part", "__part_r")
 
 
-def _hot_keys(df: DataFrame, keys: list[str]) -> DataFrame:
-    """The keys with more than SPLIT_ROWS rows and how many parts they need; the HOT_KEYS largest if there are more."""
-    sizes = df.groupBy(*[F.col(k).alias(f"__h{i}") for i, k in enumerate(keys)]).agg(F.count(F.lit(1)).alias("__c")).where(F.col("__c") > SPLIT_ROWS)
-    return materialize(sizes.orderBy(F.desc("__c")).limit(HOT_KEYS).withColumn("__parts", F.ceil(F.col("__c") / SPLIT_ROWS).cast("int")).drop("__c"), "hot-keys")
+def _hot_keys(df: DataFrame, keys: list[str], sizes: str | None = None) -> DataFrame:
+    """The keys with more than SPLIT_ROWS rows and how many parts they need; the HOT_KEYS largest if there are more.
+
+    sizes: the column of df that holds the rows of each key, where df has a row per key already.
+    """
+    named = [F.col(k).alias(f"__h{i}") for i, k in enumerate(keys)]
+    counted = df.groupBy(*named).agg(F.count(F.lit(1)).alias("__c")) if sizes is None else df.select(*named, F.col(sizes).alias("__c"))
+    hot = counted.where(F.col("__c") > SPLIT_ROWS).orderBy(F.desc("__c")).limit(HOT_KEYS)
+    return materialize(hot.withColumn("__parts", F.ceil(F.col("__c") / SPLIT_ROWS).cast("int")).drop("__c"), "hot-keys")
 
 
 def _with_parts(df: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
@@ -75,13 +80,14 @@ def _with_parts(df: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(F.broadcast(hot), on=_all(on), how="left").withColumn("__parts", F.coalesce("__parts", F.lit(1))).drop(*[f"__h{i}" for i in range(len(keys))])
 
 
-def join_split(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+def join_split(left: DataFrame, right: DataFrame, keys: list[str], sizes: str | None = None) -> DataFrame:
     """Inner equi-join in which no key's rows of `right` need fit one task.
 
     A key with more than SPLIT_ROWS rows of `right` is dealt by a hash of the whole row over parts; rows of `left` have a copy in
-    each part of their key. Keys that are not among the HOT_KEYS largest are joined as they are. `right` is counted first, so it should be a written table.
+    each part of their key. Keys that are not among the HOT_KEYS largest are joined as they are. `right` is counted first, so it should be a
+    written table, unless `left` has a row per key with the column `sizes`.
     """
-    hot = _hot_keys(right, keys)
+    hot = _hot_keys(right, keys) if sizes is None else _hot_keys(left, keys, sizes)
     if hot.isEmpty():
         return left.join(right, keys)
     dealt = _with_parts(right, hot, keys).withColumn("__part", F.pmod(F.xxhash64(*right.columns), F.col("__parts")).cast("int")).drop("__parts")

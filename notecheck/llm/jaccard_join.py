@@ -42,8 +42,8 @@ from pyspark.sql import functions as F
 
 from .common import _hot_keys, _with_parts, join_small, join_split, materialize, mix, shingle_hashes, word_hashes, words
 
-#: Rows of ids that may be broadcast (about 2 MB in memory); beyond, joins shuffle.
-BROADCAST_IDS = 20_000
+#: Rows of a few longs that may be broadcast (about 16 MB in memory), counted first; beyond, joins shuffle.
+BROADCAST_IDS = 200_000
 PIVOTS = 8
 BLOCK = 2000  # documents of a region that one task holds against the others
 
@@ -159,10 +159,10 @@ def compare(documents: DataFrame, pairs: DataFrame, classes: DataFrame, params:
 def components(edges: DataFrame, name: str) -> DataFrame:
     """id, component (the smallest id reachable) for every id of the edges (a, b).
 
-    Alternating large-star and small-star steps, each a written table, until the edges stay as they are.
+    Alternating large-star and small-star steps, each a written table, until every node points to its root. A node with very many
+    neighbours is a plain equi-join of two longs a row, which adaptive execution splits.
     """
     e = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), f"{name}-edges")
-    state = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -172,10 +172,9 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         e = materialize(small, f"{name}-star")
-        now = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if state == tuple(now):
+        # Each node has one edge by now; done when no edge leads to a node that has one itself.
+        if e.join(e.select(F.col("u").alias("v")), "v", "left_semi").isEmpty() and e.groupBy("u").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty():
             break
-        state = tuple(now)
     roots = e.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
 
@@ -193,11 +192,11 @@ def _frequent(postings: DataFrame) -> DataFrame:
 
 def _regions(postings: DataFrame) -> DataFrame:
     """h, id, n, rank, pivot, pivot_n: postings (h, id, n, rank) of shingles with more than one class, and the smallest class there."""
-    frequent = F.broadcast(_frequent(postings))
+    marked = postings.join(F.broadcast(_frequent(postings).withColumn("often", F.lit(True))), "h", "left")
     least = F.min(F.struct("id", "n"))
     region = W.partitionBy("h")
-    seldom = postings.join(frequent, "h", "left_anti").withColumn("size", F.count(F.lit(1)).over(region)).withColumn("pivot", least.over(region)).where("size > 1").drop("size")
-    often = postings.join(frequent, "h", "left_semi")
+    seldom = marked.where("often is null").drop("often").withColumn("size", F.count(F.lit(1)).over(region)).withColumn("pivot", least.over(region)).where("size > 1").drop("size")
+    often = marked.where("often").drop("often")
     pivots = often.groupBy("h").agg(least.alias("pivot"))  # a row per frequent shingle
     every = seldom.unionByName(often.join(F.broadcast(pivots), "h"))
     return every.select("h", "id", "n", "rank", F.col("pivot.id").alias("pivot"), F.col("pivot.n").alias("pivot_n"))
@@ -212,7 +211,7 @@ def _crowds(members: DataFrame, name: str) -> DataFrame:
 
 def _in_regions(members: DataFrame, crowds: DataFrame) -> DataFrame:
     """Members with their region's columns; large regions are split over tasks."""
-    return join_split(crowds, members, ["g"])
+    return join_split(crowds, members, ["g"], "size")
 
 
 def _met(members: DataFrame, crowds: DataFrame, num: int) -> DataFrame:
@@ -270,19 +269,20 @@ def _split(documents: DataFrame, members: DataFrame, classes: DataFrame, links:
     radius = 1 - params.num / 100
     chosen = members.groupBy("g", "cell").agg(F.min_by("id", F.xxhash64("id", F.lit(level))).alias("pivot"), F.count(F.lit(1)).alias("c"))
     place = F.row_number().over(W.partitionBy("g").orderBy(F.desc("c"), F.xxhash64("cell", F.lit(level))))
-    pivots = materialize(chosen.withColumn("place", place).where(F.col("place") <= PIVOTS).select("g", "pivot"), f"{name}-pivots")
-    asked = materialize(join_split(pivots, members, ["g"]).select("g", "pivot", "id"), f"{name}-pairs")
+    pivots = chosen.withColumn("place", place).where(F.col("place") <= PIVOTS).groupBy("g").agg(F.collect_list("pivot").alias("pivots"))  # PIVOTS entries at most
+    sized = pivots.join(members.groupBy("g").agg(F.first("size").alias("size")), "g")
+    asked = materialize(join_split(materialize(sized, f"{name}-pivots"), members.drop("size"), ["g"], "size").select("g", F.explode("pivots").alias("pivot"), "id"), f"{name}-pairs")
     distances = compare(documents, asked.where("pivot <> id").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), classes, params, name, every=True)
     links = materialize(links.unionByName(distances.where("linked").select("a", "b")).distinct(), f"{name}-links")
     cells = materialize(components(links, name), f"{name}-cells")
-    measured = join_split(distances.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "distance"), asked, ["pivot", "id"]).unionByName(asked.where("pivot = id").select("pivot", "id", F.lit(0.0).alias("distance"), "g"))
+    measured = asked.join(distances.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "distance"), ["pivot", "id"]).unionByName(asked.where("pivot = id").select("pivot", "id", F.lit(0.0).alias("distance"), "g"))
     nearest = measured.groupBy("g", "id").agg(F.min("distance").alias("least"), F.collect_list(F.struct("pivot", "distance")).alias("to"))  # PIVOTS entries at most
     slack = 1e-9
     kept = nearest.select("g", "id", F.explode(F.filter("to", lambda t: t["distance"] <= F.col("least") + 2 * radius + slack)).alias("t"))
     ring = F.floor(F.col("t.distance") / (radius + slack))
     ringed = kept.select("g", "id", F.col("t.pivot").alias("pivot"), F.explode(F.array(ring, ring + 1)).alias("ring")).select(F.xxhash64("g", "pivot", "ring").alias("g2"), "g", "id")
     back = members.select("g", "id", "n", "place", "kind")
-    dealt = join_split(ringed, back, ["g", "id"]).select(F.col("g2").alias("g"), "id", "n", "place", "kind")
+    dealt = ringed.join(back, ["g", "id"]).select(F.col("g2").alias("g"), "id", "n", "place", "kind")
     return materialize(_celled(dealt, cells).select("g", "id", "n", "cell", "place", "kind"), f"{name}-members"), links
 
 
@@ -308,8 +308,8 @@ def link_documents(documents: DataFrame, params: JoinParams = JoinParams()) -> D
     cells = materialize(components(links, "jaccard-cells"), "jaccard-cells")
 
     celled = materialize(_celled(shared.select("h", "id", "n", "rank"), cells), "jaccard-celled")
-    kinds = celled.groupBy("h", "cell").agg(F.count(F.lit(1)).alias("c")).groupBy("h").agg(F.count(F.lit(1)).alias("cells")).where("cells > 1").select("h", (F.col("cells") > hot).alias("hot"))
-    known = join_split(materialize(kinds, "jaccard-kinds"), celled, ["h"])
+    kinds = celled.groupBy("h", "cell").agg(F.count(F.lit(1)).alias("c")).groupBy("h").agg(F.count(F.lit(1)).alias("cells"), F.sum("c").alias("size")).where("cells > 1").select("h", (F.col("cells") > hot).alias("hot"), "size")
+    known = join_split(materialize(kinds, "jaccard-kinds"), celled, ["h"], "size").drop("size")
     by_doc = W.partitionBy("id").orderBy("rank")
     counted = known.withColumn("hot_before", F.sum(F.col("hot").cast("int")).over(by_doc)).withColumn("hot_all", F.sum(F.col("hot").cast("int")).over(W.partitionBy("id")))
     sent = F.least(F.col("n"), F.floor(_need(F.col("n"), num) * 5 / 4).cast("int") + 12)
@@ -327,7 +327,7 @@ def link_documents(documents: DataFrame, params: JoinParams = JoinParams()) -> D
     # ... and against each other, rarest among themselves first.
     sizes = materialize(full.groupBy("h").agg(F.count(F.lit(1)).alias("c")), "jaccard-dense-sizes")
     rarest = W.partitionBy("id").orderBy("c", "h")
-    ordered = join_split(sizes, full, ["h"]).withColumn("place", F.row_number().over(rarest) - 1).where((F.col("place") < _need(F.col("n"), num)) & (F.col("c") > 1))
+    ordered = join_split(sizes, full, ["h"], "c").withColumn("place", F.row_number().over(rarest) - 1).where((F.col("place") < _need(F.col("n"), num)) & (F.col("c") > 1))
     second, links = region_join(documents, materialize(ordered.select(F.col("h").alias("g"), "id", "n", "cell", "place", F.lit(1).alias("kind")), "jaccard-ordered"), classes, links, params, "jaccard-dense", False)
 
     pairs = materialize(first.unionByName(second).distinct(), "jaccard-pairs")
