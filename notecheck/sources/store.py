@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not folder:  # only where the session names none, as in tests
-        folder = getattr(spark.sparkContext, "_own_stage_dir", None) or tempfile.mkdtemp(prefix="spark-stages-")
-        spark.sparkContext._own_stage_dir = folder
+    """The folder that driver and executors share; on a local master that names none, as in tests, one of our own."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir", None) or getattr(context, "_own_stage_dir", None)
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = context._own_stage_dir = tempfile.mkdtemp(prefix="spark-stages-")
     return folder.rstrip("/")
 
 
