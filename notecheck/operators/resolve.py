@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.numbers import haversine_km, rounded
+from ..functions.numbers import cosine, haversine_km, rounded
 from ..params import DEFAULT, Params
 from ..sources.store import staged
 
@@ -118,16 +118,26 @@ def radius_search(queries: DataFrame, ships: DataFrame, radius_km: float = 5.0,
     return hits.groupBy("query", "place").agg(F.min_by(F.struct("name", F.col("key").alias("mmsi"), "score"), F.struct("km", "key")).alias("s")).select("query", "place", "s.*")
 
 
-def vessel_identity(notes: DataFrame, registry: DataFrame, p: Params = DEFAULT, indel: bool = False) -> DataFrame:
-    """note_id, method, confidence, confirmed_imo, confirmed_mmsi, confirmed_name, unresolved, flags: eight outcomes, the first that fits."""
+def vessel_identity(notes: DataFrame, registry: DataFrame, p: Params = DEFAULT, indel: bool = False, vectors: DataFrame | None = None) -> DataFrame:
+    """note_id, method, confidence, confirmed_imo, confirmed_mmsi, confirmed_name, unresolved, flags: the outcomes in order, the first that fits.
+
+    vectors: name and embedding, one row a name; without them no name matches by its vector.
+    """
     n = by_name(by_imo(notes.select("note_id", "vessel_name", F.regexp_replace(F.coalesce("imo", F.lit("")), "[^0-9]", "").alias("imo")), registry), registry)
     ratio = X.token_sort_ratio(F.upper("vessel_name"), F.upper("imo_hit.name")) / 100 if indel else X.similarity(F.col("vessel_name"), F.col("imo_hit.name"))
     n = n.withColumn("ratio", F.when(F.col("vessel_name").isNotNull() & F.col("imo_hit").isNotNull(), rounded(ratio, 3))).withColumn("best", F.get("name_hits", F.lit(0)))
+    if vectors is None:
+        n = n.withColumn("near", F.lit(None).cast("double"))
+    else:
+        mine, theirs = (vectors.select(F.col("name").alias(k), F.col("embedding").alias(v)) for k, v in (("__mine", "__v"), ("__theirs", "__w")))
+        n = n.join(mine, F.col("vessel_name") == F.col("__mine"), "left").join(theirs, F.col("imo_hit.name") == F.col("__theirs"), "left")
+        n = n.withColumn("near", rounded(cosine(F.col("__v"), F.col("__w")), 3)).drop("__mine", "__theirs", "__v", "__w")
     no_imo, no_name, hit, named = F.col("imo") == "", F.col("vessel_name").isNull(), F.col("imo_hit").isNotNull(), F.col("best").isNotNull()
     out = lambda method, confidence, of, flag, unresolved=False: F.struct(F.lit(method).alias("method") if isinstance(method, str) else method.alias("method"), (F.lit(confidence) if isinstance(confidence, float) else confidence).cast("double").alias("confidence"), F.lit(None).cast("string").alias("imo") if of is None else F.col(f"{of}.imo").alias("imo"), F.lit(None).cast("string").alias("mmsi") if of is None else F.col(f"{of}.mmsi").alias("mmsi"), F.lit(None).cast("string").alias("name") if of is None else F.col(f"{of}.name").alias("name"), F.lit(unresolved).alias("unresolved"), (F.lit(flag) if isinstance(flag, (str, type(None))) else flag).cast("string").alias("flag"))
     ladder = (
         F.when(no_imo & no_name, out("unresolved", 0.0, None, "missing_vessel_identity", True))
         .when(F.col("ratio") >= p.name_threshold, out(F.when(F.col("ratio") < 1, "fuzzy").otherwise("exact"), F.col("ratio"), "imo_hit", F.when(F.col("ratio") < 1, "vessel_name_fuzzy_match")))
+        .when(F.col("near") >= p.embedding_threshold, out("embedding", F.col("near"), "imo_hit", "vessel_name_embedding_match"))
         .when(named & ~no_imo & (F.col("best.imo") == F.col("imo")), out("reverse", 0.85, "best", None))
         .when(named & ~no_imo, out("unresolved", 0.0, None, "vessel_identity_unresolved", True))
         .when(hit & no_name, out("exact", 0.9, "imo_hit", None))

@@ -43,20 +43,25 @@ def jn_03_containment(spark: SparkSession, d: str) -> DataFrame:
     return R.containing(frame(spark, d, "part").select(F.upper("p_name").alias("query")).distinct(), frame(spark, d, "vessel_registry"))
 
 
-_IDENT = f"""{NOTES}, hits as (select {SLUG.format('name')} as s, imo, name, mmsi from (select *, row_number() over (partition by {SLUG.format('name')} order by imo) as r from vessel_registry) x where r = 1),
-  j as (select n.*, v.imo as vimo, v.name as vname, v.mmsi as vmmsi, h.imo as himo, h.name as hname, h.mmsi as hmmsi, case when v.imo is not null and vessel_name is not null then {sql_round(sim('vessel_name', 'v.name'), 3)} end as ratio
-    from n left join vessel_registry v on v.imo = n.imo and length(n.imo) = 7 left join hits h on h.s = {SLUG.format('vessel_name')}),
-  ident as (select note_id, case when imo = '' and vessel_name is null then 'unresolved' when ratio >= 0.8 then case when ratio < 1 then 'fuzzy' else 'exact' end when himo = imo and imo <> '' then 'reverse' when himo is not null and imo <> '' then 'unresolved'
+_LADDER = f"""{NOTES}, hits as (select {SLUG.format('name')} as s, imo, name, mmsi from (select *, row_number() over (partition by {SLUG.format('name')} order by imo) as r from vessel_registry) x where r = 1),
+  j as (select n.*, v.imo as vimo, v.name as vname, v.mmsi as vmmsi, h.imo as himo, h.name as hname, h.mmsi as hmmsi, case when v.imo is not null and vessel_name is not null then {sql_round(sim('vessel_name', 'v.name'), 3)} end as ratio, VECTOR as es
+    from n left join vessel_registry v on v.imo = n.imo and length(n.imo) = 7 left join hits h on h.s = {SLUG.format('vessel_name')} JOINS),
+  ident as (select note_id, case when imo = '' and vessel_name is null then 'unresolved' when ratio >= 0.8 then case when ratio < 1 then 'fuzzy' else 'exact' end when es >= 0.72 then 'embedding' when himo = imo and imo <> '' then 'reverse' when himo is not null and imo <> '' then 'unresolved'
       when vimo is not null and vessel_name is null then 'exact' when himo is not null then 'reverse' when vimo is not null then 'imo_only_partial' else 'unresolved' end as method,
-    case when imo = '' and vessel_name is null then 0 when ratio >= 0.8 then ratio when himo = imo and imo <> '' then 0.85 when himo is not null and imo <> '' then 0 when vimo is not null and vessel_name is null then 0.9 when himo is not null then 0.75 when vimo is not null then 0.5 else 0 end :: double as confidence,
-    case when imo = '' and vessel_name is null then null when ratio >= 0.8 then vimo when himo = imo and imo <> '' then himo when himo is not null and imo <> '' then null when vimo is not null and vessel_name is null then vimo when himo is not null then himo when vimo is not null then vimo end as confirmed_imo,
-    case when imo = '' and vessel_name is null then 'missing_vessel_identity' when ratio >= 0.8 then case when ratio < 1 then 'vessel_name_fuzzy_match' end when himo = imo and imo <> '' then null when himo is not null and imo <> '' then 'vessel_identity_unresolved' when vimo is not null and vessel_name is null then null
+    case when imo = '' and vessel_name is null then 0 when ratio >= 0.8 then ratio when es >= 0.72 then es when himo = imo and imo <> '' then 0.85 when himo is not null and imo <> '' then 0 when vimo is not null and vessel_name is null then 0.9 when himo is not null then 0.75 when vimo is not null then 0.5 else 0 end :: double as confidence,
+    case when imo = '' and vessel_name is null then null when ratio >= 0.8 then vimo when es >= 0.72 then vimo when himo = imo and imo <> '' then himo when himo is not null and imo <> '' then null when vimo is not null and vessel_name is null then vimo when himo is not null then himo when vimo is not null then vimo end as confirmed_imo,
+    case when imo = '' and vessel_name is null then 'missing_vessel_identity' when ratio >= 0.8 then case when ratio < 1 then 'vessel_name_fuzzy_match' end when es >= 0.72 then 'vessel_name_embedding_match' when himo = imo and imo <> '' then null when himo is not null and imo <> '' then 'vessel_identity_unresolved' when vimo is not null and vessel_name is null then null
       when himo is not null then 'imo_missing_on_bdn' when vimo is not null then 'vessel_name_mismatch' else 'vessel_not_in_registry' end as flag from j)"""
 
 
-@query(f"with {_IDENT} select note_id, method, confidence, confirmed_imo, flag from ident")
+_IDENT = _LADDER.replace("VECTOR", "cast(null as double)").replace("JOINS", "")
+_COSINE = "case when mv.embedding is not null and tv.embedding is not null then " + sql_round("greatest(0e0, least(1e0, list_cosine_similarity(cast(mv.embedding as double[]), cast(tv.embedding as double[]))))", 3) + " end"
+_IDENT_VECTORS = _LADDER.replace("VECTOR", _COSINE).replace("JOINS", "left join name_vectors mv on mv.name = vessel_name left join name_vectors tv on tv.name = v.name")
+
+
+@query(f"with {_IDENT_VECTORS} select note_id, method, confidence, confirmed_imo, flag from ident")
 def jn_04_vessel_identity(spark: SparkSession, d: str) -> DataFrame:
-    return R.vessel_identity(_notes(spark, d), frame(spark, d, "vessel_registry")).select("note_id", "method", "confidence", "confirmed_imo", F.get("flags", F.lit(0)).alias("flag"))
+    return R.vessel_identity(_notes(spark, d), frame(spark, d, "vessel_registry"), vectors=frame(spark, d, "name_vectors")).select("note_id", "method", "confidence", "confirmed_imo", F.get("flags", F.lit(0)).alias("flag"))
 
 
 @query(f"with {_IDENT} select note_id, 1 + least(h.c, 3) as candidates from ident join n using (note_id) join (select {SLUG.format('name')} as s, count(*) as c from vessel_registry group by 1) h on h.s = {SLUG.format('vessel_name')} where flag = 'vessel_identity_unresolved'")

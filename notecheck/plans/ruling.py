@@ -215,7 +215,7 @@ def judged_notes(spark: SparkSession, d: str, notes: DataFrame) -> DataFrame:
     x = R.resolve_port(x.withColumn("t", times), t("ports")).join(t("ports").select(F.col("port").alias("port_name"), "timezone", "utc_offset", "lat", "lon"), "port_name", "left")
     utc = lambda c: X.to_utc(F.col(f"t.{c}"), F.col("timezone"), F.col("utc_offset"))
     x = staged(x.withColumns({"start_s": utc("start_s"), "end_s": utc("end_s")}).withColumnRenamed("port_name", "place"), "credibility")
-    ident = staged(R.vessel_identity(x.select("note_id", "vessel_name", "imo"), t("vessel_registry")), "vessels")
+    ident = staged(R.vessel_identity(x.select("note_id", "vessel_name", "imo"), t("vessel_registry"), vectors=t("name_vectors")), "vessels")
     barge = staged(R.barge_identity(x.select("note_id", "barge_name", "barge_sb_number", "place", "lat", "lon"), t("barge_registry"), t("barge_history"), t("vessel_registry"), t("ships")), "barges")
     asked = x.join(ident.select("note_id", F.col("confirmed_mmsi").alias("vessel_mmsi")), "note_id").join(barge.select("note_id", "barge_mmsi"), "note_id").where("start_s is not null").select(F.col("note_id").alias("id"), "vessel_mmsi", "barge_mmsi", "start_s", "end_s", "quantity_mt")
     feats = staged(T.build_features(staged(asked, "asked"), t("positions")), "features")

@@ -59,6 +59,7 @@ TABLES: dict[str, str] = {
         case when id % 23 = 0 then end_s else start_s end as from_s, case when id % 23 = 0 then start_s else end_s end as to_s, cast(quantity_mt as bigint) as q,
         case when id % 4 = 0 then 'HANDWRITTEN' else 'DIGITAL' end as doc_type, 0.6e0 + (id % 40) / 100e0 as ocr_confidence, cast((id * 13) % 500 as double) as font_variance, custkey, d.start_s, d.end_s, d.vessel_mmsi, d.barge_mmsi
         from (select *, 1 + (id * 7 + 3) % (select s from {{suppliers}}) as sk from {{deliveries}}) d join {{vessel_registry}} v on v.imo = cast(1000000 + custkey as string) join {{barge_registry}} b on b.suppkey = sk""",
+    "name_vectors": """select name, embedding from (select *, (length(name) * 31 + ascii(substr(name, 3, 1))) % (select count(*) from {embeddings}) as vid from (select vessel_name as name from {note_fields} union select name from {vessel_registry}) n) x join {embeddings} e on vec_id = vid""",
     "notes": f"""select id as note_id, doc_type, ocr_confidence, font_variance, custkey, start_s, end_s, vessel_mmsi, barge_mmsi,
         'BUNKER DELIVERY NOTE' || chr(10) || 'BDN No: BDN-' || cast(id as string) || chr(10) || 'Vessel Name: ' || vessel_name || chr(10) || 'IMO No: ' || imo || chr(10)
         || case when barge_name is null then '' else 'Barge Name: ' || barge_name || chr(10) end || 'SB No: ' || sb_number || chr(10) || 'Port: ' || port || chr(10)
