@@ -200,15 +200,30 @@ def compliance(density: Column, sulphur: Column, flashpoint: Column) -> Column:
     return F.struct(d.alias("density"), s.alias("sulphur"), f.alias("flashpoint"), rounded(points, 2).alias("score"))
 
 
+#: Checks that a flag of the document fails.
+FLAG_CHECKS = {
+    "no corrections": "contains_correction_keywords",
+    "seals given": "missing_seal_numbers",
+    "time order": "reversed_timestamps",
+    "pumping time": "suspicious_pumping_duration",
+    "pump rate": "quantity_physically_impossible",
+    "viscosity limit": "marpol_viscosity_violation",
+    "water limit": "marpol_water_content_violation",
+    "no duplicate": "duplicate_bdn_detected",
+}
+
+
 def check_list(rows: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """note_id, category, check, status: a row per check of each note."""
+    """note_id, category, check, status, detail: 18 rows of checks for each note."""
     seven = (*p.required_fields, "imo")
-    checks = [("document", f"{c} present", _unless_empty(c)) for c in seven] + [
-        ("document", "OCR readable", F.col("ocr_confidence") >= p.ocr_threshold),
-        ("document", "credible", (F.col("credibility_score") >= 70) & (F.size("credibility_flags") == 0)),
-        ("document", "quantity given", F.col("quantity_mt").isNotNull()),
+    missing = F.lit("missing")
+    checks = [("document", f"{c} present", _unless_empty(c), missing) for c in seven] + [
+        ("document", "OCR readable", F.col("ocr_confidence") >= p.ocr_threshold, F.lit("low_ocr_confidence")),
+        ("document", "credible", (F.col("credibility_score") >= 70) & (F.size("credibility_flags") == 0), F.array_join("credibility_flags", ",")),
+        ("document", "quantity given", F.col("quantity_mt").isNotNull(), missing),
     ]
-    made = F.array(*[F.struct(F.lit(a).alias("category"), F.lit(b).alias("check"), F.when(c, "ok").otherwise("attention").alias("status")) for a, b, c in checks])
+    checks += [("rules", name, ~F.array_contains("credibility_flags", flag), F.lit(flag)) for name, flag in FLAG_CHECKS.items()]
+    made = F.array(*[F.struct(F.lit(a).alias("category"), F.lit(b).alias("check"), F.when(c, "ok").otherwise("attention").alias("status"), F.when(c, "").otherwise(d).alias("detail")) for a, b, c, d in checks])
     return rows.select("note_id", F.explode(made).alias("x")).select("note_id", "x.*")
 
 

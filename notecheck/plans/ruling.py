@@ -184,8 +184,12 @@ def rl_10_badges(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy("badge").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""with {_CRED}, c as (select note_id, unnest(['vessel_name present', 'barge_name present', 'delivery_date present', 'start_time present', 'end_time present', 'port present', 'imo present', 'OCR readable', 'credible', 'quantity given']) as "check",
-  unnest([true, barge_name is not null, true, true, true, true, true, ocr_confidence >= 0.85e0, score >= 70 and flags = '', true]) as ok from cred) select note_id, 'document' as category, "check", case when ok then 'ok' else 'attention' end as status from c""")
+_RULE_CHECKS = "[" + ", ".join(f"['rules', '{n}', case when list_contains(string_split(flags, ','), '{f}') then '{f}' else '' end]" for n, f in U.FLAG_CHECKS.items()) + "]"
+
+
+@query(f"""with {_CRED}, c as (select note_id, unnest(list_concat([['document', 'vessel_name present', ''], ['document', 'barge_name present', case when barge_name is null then 'missing' else '' end], ['document', 'delivery_date present', ''], ['document', 'start_time present', ''], ['document', 'end_time present', ''], ['document', 'port present', ''], ['document', 'imo present', ''],
+  ['document', 'OCR readable', case when ocr_confidence >= 0.85e0 then '' else 'low_ocr_confidence' end], ['document', 'credible', case when score >= 70 and flags = '' then '' when flags = '' then '-' else flags end], ['document', 'quantity given', '']], {_RULE_CHECKS})) as x from cred)
+  select note_id, x[1] as category, x[2] as "check", case when x[3] = '' then 'ok' else 'attention' end as status, case when x[3] = '-' then '' else x[3] end as detail from c""")
 def rl_11_check_list(spark: SparkSession, d: str) -> DataFrame:
     return U.check_list(U.credibility(_fields(spark, d)))
 
