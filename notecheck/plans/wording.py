@@ -70,10 +70,16 @@ def wn_07_retry_choice(spark: SparkSession, d: str) -> DataFrame:
     return frame(spark, d, "orders").select(k.alias("id"), O.retry_choice(F.when(k % 2 == 0, "DIGITAL").otherwise("HANDWRITTEN"), (k % 100) / 100.0, (k % 37) / 37.0).alias("second_wins"))
 
 
-_VALUES = "vals as (select note_id, 'f' || cast(pos % 4 as string) as field, pos, regexp_replace(text, '\\s', '', 'g') || ' ' || regexp_replace(nxt, '\\s', '', 'g') as value from (select note_id, pos, text, lead(text) over (partition by note_id order by pos) as nxt from ocr_words) x where pos in (8, 13, 26, 31) and nxt is not null)"
+# Eight values a note, spread over its whole text: two words with others between, one word, the beginning of one, one that is not there.
+_VALUE = "case k % 4 when 0 then regexp_replace(text, '\\s', '', 'g') || ' ' || regexp_replace(nxt, '\\s', '', 'g') when 1 then regexp_replace(text, '\\s', '', 'g') when 2 then substr(regexp_replace(text, '\\s', '', 'g'), 1, 3) else regexp_replace(text, '\\s', '', 'g') || ' zzqq' end"
+_VALUES = f"""vals as (select note_id, 'f' || cast(k as string) as field, pos, {_VALUE} as value from (select note_id, pos, text, lead(text, 3) over (partition by note_id order by pos) as nxt, count(*) over (partition by note_id) as c from ocr_words) x
+  join (select unnest(range(8)) as k) y on pos = cast(floor(c * k / 8) as bigint) where nxt is not null)"""
 _PLACED = f"""t as (select note_id, pos, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') as tok, left_px, top_px, width_px, height_px from ocr_words),
-  v2 as (select note_id, field, list_filter(list_transform(regexp_split_to_array(value, '\\s+'), lambda x: regexp_replace(lower(x), '[^a-z0-9]', '', 'g')), lambda x: x <> '') as tk from vals),
-  boxes as (select v2.note_id, field, min(a.pos) as at from v2 join t a on a.note_id = v2.note_id and a.tok = tk[1] left join t b on b.note_id = a.note_id and b.pos = a.pos + 1 where len(tk) > 0 and (len(tk) = 1 or b.tok = tk[2]) group by 1, 2)"""
+  v2 as (select note_id, field, value, list_filter(list_transform(regexp_split_to_array(value, '\\s+'), lambda x: regexp_replace(lower(x), '[^a-z0-9]', '', 'g')), lambda x: x <> '') as tk from vals),
+  s1 as (select v2.note_id, field, any_value(tk) as tk, min(a.pos) as at from v2 join t a on a.note_id = v2.note_id and a.tok = tk[1] where len(tk) > 0 group by 1, 2),
+  s2 as (select s1.note_id, field, s1.at from s1 where len(tk) = 1 or exists (select 1 from t b where b.note_id = s1.note_id and b.pos > s1.at and b.tok = tk[2])),
+  s3 as (select v2.note_id, field, arg_max(pos, (length(tok), -pos)) as at from v2 join t on t.note_id = v2.note_id where tok <> '' and len(tk) = 1 and not regexp_full_match(trim(value), '[0-9]{{7}}') and (contains(tok, tk[1]) or contains(tk[1], tok)) and not exists (select 1 from s2 where s2.note_id = v2.note_id and s2.field = v2.field) group by 1, 2),
+  boxes as (select * from s2 union all select * from s3)"""
 
 
 @query(f"with {_VALUES}, {_PLACED} select * from boxes")
@@ -84,8 +90,12 @@ def arr_02_value_boxes(spark: SparkSession, d: str) -> DataFrame:
 def _values(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window as W
 
-    w = _w(spark, d).withColumn("nxt", F.lead("text").over(W.partitionBy("note_id").orderBy("pos"))).where("pos in (8, 13, 26, 31) and nxt is not null")
-    return w.select("note_id", F.concat(F.lit("f"), (F.col("pos") % 4).cast("string")).alias("field"), F.concat_ws(" ", F.regexp_replace("text", r"\s", ""), F.regexp_replace("nxt", r"\s", "")).alias("value"))
+    w = _w(spark, d).withColumn("nxt", F.lead("text", 3).over(W.partitionBy("note_id").orderBy("pos"))).withColumn("c", F.count(F.lit(1)).over(W.partitionBy("note_id")))
+    k = F.explode(F.filter(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.when(F.floor(F.col("c") * k / 8) == F.col("pos"), k)), lambda k: k.isNotNull())).alias("k")
+    at = w.where("nxt is not null").select("note_id", "text", "nxt", k)
+    bare = lambda c: F.regexp_replace(c, r"\s", "")
+    value = F.when(F.col("k") % 4 == 0, F.concat_ws(" ", bare("text"), bare("nxt"))).when(F.col("k") % 4 == 1, bare("text")).when(F.col("k") % 4 == 2, F.substring(bare("text"), 1, 3)).otherwise(F.concat(bare("text"), F.lit(" zzqq")))
+    return at.select("note_id", F.concat(F.lit("f"), F.col("k").cast("string")).alias("field"), value.alias("value"))
 
 
 @query(f"with {_VALUES}, {_PLACED} select vals.note_id, vals.field, boxes.at is not null as found from vals left join boxes on boxes.note_id = vals.note_id and boxes.field = vals.field")
