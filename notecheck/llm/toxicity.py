@@ -211,7 +211,9 @@ def tokens_of(text: str, lexicon: LexiconAutomaton) -> list[tuple[str, int, int
 def features(text: object, lexicon: LexiconAutomaton, window: int) -> tuple[float, ...]:
     """The FEATURES of a whole text."""
     text = text.lower() if isinstance(text, str) else ""
-    tokens = tokens_of(text, lexicon)
+    # Most texts hold nothing; each of their different words is asked for once.
+    plain = any(lexicon.match(w) is not None for w in set(TOKEN.findall(text)))
+    tokens = tokens_of(text, lexicon) if plain or MARKED.search(text) or SPACED.search(text) else []
     if all(hit is None for _, _, hit in tokens):
         return (0.0,) * len(FEATURES)
     spans = [m.span() for m in QUOTED.finditer(text)]
