@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .secret_scan import ALLOWED, BEFORE, CLASSES
+
 WORD = "[^\\x20\\x09-\\x0D]+"
 SPACE = "[\\x20\\x09-\\x0D]+"
 
@@ -91,4 +93,70 @@ lim as (select stratum, {', '.join(f"max(cutoff) filter (rule = '{x}') as c_{x}"
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not ({' or '.join(f'coalesce({x} >= c_{x}, false)' for x in _RULES)}) as kept from r left join lim on lim.stratum is not distinct from r.stratum
 """
 
-ORACLES: dict[str, str] = {"op2_url_filter": _op2(), "op3_mixing": _OP3.strip(), "op6_chat": _OP6.strip(), "op10_quality_rules": _OP10.strip()}
+_CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+LOWERED = f"'{_CAPITALS}', '{_CAPITALS.lower()}'"
+_OP11 = f"""
+with d as (select row_number() over () as u, doc_id, regexp_extract_all(translate(coalesce(text, ''), {LOWERED}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents),
+b as (select regexp_extract_all(translate(coalesce(text, ''), {LOWERED}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from benchmark),
+fd as (select u, unnest(w) as f from d union all select u, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) from d),
+fb as (select unnest(w) as f from b union all select unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) from b),
+cd as materialized (select u, f, count(*) as n from fd group by u, f),
+cb as (select f, count(*) as n from fb group by f),
+tab as (select list(list_reduce(list_prepend(i, range(8)), lambda a, x: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end) order by i) as t from (select unnest(range(256)) as i)),
+crc as materialized (select f, cast(xor(list_reduce(list_prepend(4294967295, list_transform(range(octet_length(encode(f))), lambda k: cast('0x' || substr(hex(f), 2 * k + 1, 2) as bigint))), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) as bigint) % 10000 as bucket
+  from (select f from cd union select f from cb) z, tab),
+s as (select bucket, sum(n) as s from cd join crc using (f) group by bucket),
+t as (select bucket, sum(n) as t from cb join crc using (f) group by bucket),
+g as (select i as bucket, floor(1000 * ln(cast(coalesce(t, 0) + 1 as double) * cast((select coalesce(sum(s), 0) from s) + 10000 as double) / (cast(coalesce(s, 0) + 1 as double) * cast((select coalesce(sum(t), 0) from t) + 10000 as double)))) as gain
+  from (select unnest(range(10000)) as i) r left join s on s.bucket = i left join t on t.bucket = i),
+w as (select u, cast(floor(sum(n * gain) / sum(n)) as bigint) as weight from cd join crc using (f) join g using (bucket) group by u),
+x as (select u, doc_id, len(w) as n_words, cast(len(w) + greatest(len(w) - 1, 0) as bigint) as n_features, coalesce(weight, 0) as weight,
+  coalesce(weight, 0) + cast(floor(-1000 * ln(-ln((cast(cast('0x' || substr(sha256('7:' || coalesce(cast(doc_id as varchar), '')), 1, 8) as bigint) as double) + 0.5e0) / 4294967296e0))) as bigint) as score from d left join w using (u)),
+r as (select *, case when n_words >= 20 then row_number() over (partition by n_words >= 20 order by score desc, doc_id nulls last, n_features) end as place from x)
+select doc_id, n_features, weight, score, case when place <= 25 * (select count(*) from x where n_words >= 20) // 100 then place end as rank, cast(n_words as bigint) as n_words from r
+"""
+
+_OP13 = f"""
+with d as (select row_number() over () as u, doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda x: translate(x, {LOWERED})) as w from documents),
+q as (select row_number() over () as item, item_id, list_transform(regexp_extract_all(coalesce(text, ''), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda x: translate(x, {LOWERED})) as w from benchmark),
+c as (select count(*) as n_all, sum(len(w)) as l_all from d where len(w) > 0),
+tf as (select u, t, count(*) as tf from (select u, unnest(w) as t from d) z group by u, t),
+m as (select u, doc_id, 25 + (75 * cast(len(w) as bigint) * n_all) // cast(l_all as bigint) as m from d, c where len(w) > 0),
+df as (select t, cast(floor(1000 * ln(cast(2 * n_all + 2 as double) / cast(2 * count(*) + 1 as double))) as bigint) as weight from tf, c group by t, n_all),
+qt as (select item, t, count(*) as times from (select item, unnest(w) as t from q) z group by item, t),
+s as (select item, u, cast(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) as bigint) as score from qt join df using (t) join tf using (t) join m using (u) group by item, u),
+r as (select item, doc_id, score, row_number() over (partition by item order by score desc, doc_id nulls last, u) as rank from s join m using (u) where score > 0)
+select item_id, cast(rank as int) as rank, doc_id, score from r join q using (item) where rank <= 10
+"""
+
+
+def _any_case(words: tuple[str, ...]) -> str:
+    return "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in words)
+
+
+def _op12() -> str:
+    """Matches and the pieces between them give places; every window of a candidate is counted anew."""
+    assign = f"(?:{_any_case(('password', 'passwd', 'secret', 'token', 'api_?key'))})[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"
+    patterns = {"assign": assign, "access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]{24,}", "run": "[A-Za-z0-9+/_-]{16,}={0,2}"}
+    quoted = lambda p: p.replace("'", "''")
+    out = ["t as (select row_number() over () as u, doc_id, coalesce(text, '') as t from documents)"]
+    for k, p in patterns.items():
+        out.append(f"{k}_m as (select u, regexp_extract_all(t, '{p}') as found, string_split_regex(t, '{p}') as pieces from t where regexp_matches(t, '{p}'))")
+        out.append(f"""{k}_s as materialized (select u, found[i] as s, cast(list_sum(list_transform(found[1:i], lambda x: len(x))) + list_sum(list_transform(pieces[1:i], lambda x: len(x))) as bigint) as e, right(pieces[i], 64) as before
+  from (select *, unnest(range(1, len(found) + 1)) as i from {k}_m) z)""")
+    out.append(f"base as (select u, e - len(s) as b, 0 as ord, e from assign_s where len(regexp_extract(s, '{assign}', 1)) >= 6 union all select u, e - len(s), 1, e from access_s where len(s) >= 20 union all select u, e - len(s), 2, e from hex_s)")
+    fine = " and ".join(f"not regexp_matches(s, '{quoted(p)}')" for p in ALLOWED)
+    kind = " ".join(f"when regexp_matches(s, '{c.pattern}') then {i}" for i, c in enumerate(CLASSES))
+    out.append(f"cand as (select u, e - len(s) as b, s, case {kind} end as c from run_s where regexp_matches(s, '[0-9]') and regexp_matches(s, '[A-Za-z]') and not regexp_matches(before, '{quoted(BEFORE)}') and {fine})")
+    windows = [f"select u, b, {3 + i} as ord, {c.window} as size, {c.most()} as most, unnest(range(len(s) - {c.window} + 1)) as j, {'lower(s)' if c.fold else 's'} as s from cand where c = {i}" for i, c in enumerate(CLASSES)]
+    out.append(f"win as ({' union all '.join(windows)})")
+    out.append("""hot as (select u, b + min(j) as b, ord, b + max(j) + any_value(size) as e from win
+  where list_sum(list_transform(map_values(list_histogram(string_split(substr(s, cast(j + 1 as bigint), size), ''))), lambda n: cast(round(n * log2(n) * 1000000) as bigint))) <= most group by u, win.b, ord)""")
+    out.append("spans as (select * from base union all select * from hot where not exists (select 1 from base where base.u = hot.u and base.b <= hot.b and hot.e <= base.e))")
+    name = "['assign', 'access', 'hex', " + ", ".join(f"'{c.kind}'" for c in CLASSES) + "][ord + 1] || ':' || b || ':' || e"
+    out.append(f"""j as (select u, count(*) filter (ord = 0) as n0, count(*) filter (ord = 1) as n1, count(*) filter (ord = 2) as n2, count(*) filter (ord > 2) as n3, string_agg({name}, ',' order by b, ord, e) as spans,
+  string_agg({name}, ',' order by b, ord, e) filter (ord < 3) as based from spans group by u)""")
+    return "with " + ",\n".join(out) + "\nselect doc_id, coalesce(n0, 0) as n_assign, coalesce(n1, 0) as n_access, coalesce(n2, 0) as n_hex, sha256(coalesce(based, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n3, 0) as n_entropy from t left join j using (u)"
+
+
+ORACLES: dict[str, str] = {"op2_url_filter": _op2(), "op3_mixing": _OP3.strip(), "op6_chat": _OP6.strip(), "op10_quality_rules": _OP10.strip(), "op11_importance": _OP11.strip(), "op12_secret_scan": _op12(), "op13_lexical_search": _OP13.strip()}

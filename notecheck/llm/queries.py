@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio_prints, chat, importance, jaccard_join, lexical_search, license_scan, mixing, packing, quality_cnn, quality_rules, toxicity, url_filter
+from . import audio_prints, chat, importance, jaccard_join, lexical_search, license_scan, mixing, packing, quality_cnn, quality_rules, secret_scan, toxicity, url_filter
 from .common import table
 from .oracles import ORACLES  # noqa: F401
 
@@ -63,8 +63,12 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_audio_prints, op2_url_filter, op3_mixing, op4_toxicity, op5_packing, op6_chat, op7_jaccard_join, op8_license_scan, op9_quality_cnn, op10_quality_rules, op11_importance, op13_lexical_search)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_audio_prints, op2_url_filter, op3_mixing, op4_toxicity, op5_packing, op6_chat, op7_jaccard_join, op8_license_scan, op9_quality_cnn, op10_quality_rules, op11_importance, op12_secret_scan, op13_lexical_search)}
