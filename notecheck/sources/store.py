@@ -28,12 +28,6 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def write_verdicts(verdicts: DataFrame, path: str) -> None:
-    """Verdict rows by day of validation; rows without a confirmed vessel stay out; a day's folder is overwritten as a whole."""
-    rows = verdicts.where(F.col("confirmed_imo").isNotNull()).withColumn("validated_date", F.to_date(F.timestamp_seconds("validated_s")))
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("validated_date").parquet(path)
-
-
 def archive_positions(positions: DataFrame, path: str) -> None:
     """Positions by day, each file sorted by ship and time."""
     rows = positions.withColumn("position_date", F.to_date(F.timestamp_seconds("ts")))
