@@ -28,8 +28,8 @@ ASSIGN = "(?i:password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?
 ACCESS = "AKIA[A-Z0-9]+"
 HEX = "[0-9a-f]+"
 LEAST = {"assign": 6, "access": 20, "hex": 24}
-#: The same matches: a run of hex digits ends where its class ends, whatever its length.
-_LONG_HEX = "[0-9a-f]{24,}"
+#: The same matches, found sooner: a name begins with one of few letters; a run of hex digits ends where its class ends.
+_ASSIGN, _LONG_HEX = "(?=[pPsStTaA])" + ASSIGN, "[0-9a-f]{24,}+"
 
 #: A maximal run with a digit; `=` only closes it.
 RUN = "(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
@@ -126,7 +126,7 @@ def _judged(run: Column, params: SecretParams) -> Column:
 
 def find_secrets(documents: DataFrame, keep: list[str], params: SecretParams = SecretParams(), text: str = "text") -> DataFrame:
     """The `keep` columns of every row and `spans`: start, ord (the place in KINDS), end and kind, in order."""
-    patterns = {"assign": ASSIGN, "access": ACCESS, "hex": _LONG_HEX, "run": RUN}
+    patterns = {"assign": _ASSIGN, "access": ACCESS, "hex": _LONG_HEX, "run": RUN}
     rows = documents.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
     kept = [f"k{i}" for i in range(len(keep))]
     rows = rows.select(*kept, "t", *[F.regexp_extract_all("t", F.lit(p), F.lit(0)).alias(f"m_{k}") for k, p in patterns.items()])
