@@ -212,10 +212,33 @@ def similarity(a: Column, b: Column) -> Column:
     return F.coalesce(1 - F.levenshtein(s, t) / F.greatest(F.length(s), F.length(t), F.lit(1)), F.lit(0.0))
 
 
-def token_sort_ratio(a: Column, b: Column) -> Column:
-    """200 * longest common subsequence / total length of the sorted tokens, by dynamic programming over one row, as a column."""
-    tokens = lambda x: F.array_join(F.array_sort(F.split(F.trim(x), r"\s+")), " ")
-    s, t = tokens(F.coalesce(a, F.lit(""))), tokens(F.coalesce(b, F.lit("")))
+#: Letters of the first text that one number's bits can stand for, with room for a carry.
+_BITS = 62
+
+
+def _common_by_bits(s: Column, t: Column) -> Column:
+    """Length of the longest common subsequence: a bit for each letter of s, all columns of the classic table in one sum a letter of t."""
+    letters = lambda x: F.filter(F.split(x, ""), lambda c: c != "")
+    every = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.length(s)) - 1
+    places = F.transform(letters(s), lambda c, i: F.struct(c.alias("c"), i.alias("i")))
+
+    def mask(c: Column) -> Column:
+        return F.aggregate(F.filter(places, lambda x: x["c"] == c), F.lit(0).cast("bigint"), lambda m, x: m + F.call_function("shiftleft", F.lit(1).cast("bigint"), x["i"]))
+
+    masks = F.map_from_entries(F.transform(F.array_distinct(letters(s)), lambda c: F.struct(c, mask(c))))
+
+    def column(held: Column) -> Column:
+        def step(v: Column, c: Column) -> Column:
+            hit = v.bitwiseAND(F.coalesce(F.try_element_at(held["masks"], c), F.lit(0).cast("bigint")))
+            return let(hit, lambda u: (v + u).bitwiseOR(v - u).bitwiseAND(held["every"]))
+
+        return F.length(s) - F.bit_count(F.aggregate(letters(t), held["every"], step))
+
+    return let(F.struct(masks.alias("masks"), every.alias("every")), column)
+
+
+def _common_by_rows(s: Column, t: Column) -> Column:
+    """The same by dynamic programming over one row, for texts of any length."""
     letters = F.filter(F.split(t, ""), lambda c: c != "")
     start = F.transform(F.concat(F.array(F.lit("")), letters), lambda c: F.lit(0))
 
@@ -227,6 +250,17 @@ def token_sort_ratio(a: Column, b: Column) -> Column:
             lambda done, j: F.concat(done, F.array(F.when(F.get(letters, j - 1) == ch, F.get(above, j - 1) + 1).otherwise(F.greatest(F.get(above, j), F.get(done, j - 1))))),
         )
 
-    lcs = F.element_at(F.aggregate(F.filter(F.split(s, ""), lambda c: c != ""), start, row), -1)
-    total = F.length(s) + F.length(t)
-    return F.when((F.length(s) == 0) | (F.length(t) == 0), F.when(total == 0, 100.0).otherwise(0.0)).otherwise(200.0 * lcs / total)
+    return F.element_at(F.aggregate(F.filter(F.split(s, ""), lambda c: c != ""), start, row), -1)
+
+
+def indel_ratio(s: Column, t: Column) -> Column:
+    """200 * longest common subsequence / total length."""
+    n, m = F.length(s), F.length(t)
+    common = F.when(n <= _BITS, _common_by_bits(s, t)).when(m <= _BITS, _common_by_bits(t, s)).otherwise(_common_by_rows(s, t))
+    return F.when((n == 0) | (m == 0), F.when(n + m == 0, 100.0).otherwise(0.0)).otherwise(200.0 * common / (n + m))
+
+
+def token_sort_ratio(a: Column, b: Column) -> Column:
+    """The indel ratio of the sorted tokens; null counts as empty."""
+    tokens = lambda x: F.array_join(F.array_sort(F.split(F.trim(F.coalesce(x, F.lit(""))), r"\s+")), " ")
+    return let(F.struct(tokens(a).alias("s"), tokens(b).alias("t")), lambda x: indel_ratio(x["s"], x["t"]))

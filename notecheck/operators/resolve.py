@@ -36,12 +36,44 @@ def by_name(notes: DataFrame, registry: DataFrame, most: int = 3) -> DataFrame:
 
 
 def containing(queries: DataFrame, registry: DataFrame) -> DataFrame:
-    """query, imo: registry names that contain the query's key or lie in it; they meet on a token that both hold."""
-    words = lambda c: F.explode(F.array_distinct(F.split(F.upper(c), r"\s+"))).alias("token")
-    q = queries.select("query", X.name_key(F.col("query")).alias("qk"), words(F.col("query")))
-    r = registry.select("imo", X.name_key(F.col("name")).alias("rk"), words(F.col("name")))
-    fit = (F.col("qk") != "") & (F.contains("rk", "qk") | F.contains("qk", "rk"))
-    return q.join(r, "token").where(fit).select("query", "imo").distinct()
+    """query, imo: registry names whose key contains the query's key or lies in it, wherever tokens end.
+
+    Of the key that lies inside, its rarest piece of three letters (all of it, if it is shorter) stands among the other key's pieces of that
+    length: the two meet there, and the keys decide.
+    """
+    q = queries.select("query").distinct().withColumn("k", X.name_key(F.col("query"))).where("k <> ''")
+    r = registry.select("imo", X.name_key(F.col("name")).alias("k")).where("k <> ''")
+    inside_r = _inside(q.select("query", "k"), r.withColumnRenamed("k", "other"))
+    inside_q = _inside(r.select("imo", "k"), q.withColumnRenamed("k", "other"))
+    return inside_r.select("query", "imo").unionByName(inside_q.select("query", "imo")).distinct()
+
+
+def _inside(small: DataFrame, large: DataFrame) -> DataFrame:
+    """Rows of both where the key k of `small` lies in the key `other` of `large`."""
+    grams = lambda c, n: F.when(F.length(c) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substr(F.col(c), i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+    pieces = large.select("*", F.explode(F.concat(*[grams("other", n) for n in (1, 2, 3)])).alias("piece"))
+    often = pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    own = F.when(F.length("k") >= 3, grams("k", 3)).otherwise(F.array("k"))
+    asked = small.select("*", F.explode(own).alias("piece")).join(often, "piece", "left")
+    # A piece that the other side lacks is the rarest: then nothing is found.
+    rarest = asked.groupBy(*small.columns).agg(F.min_by("piece", F.struct(F.coalesce("n", F.lit(0)), "piece")).alias("piece"))
+    return join_dealt(rarest, pieces, ["piece"]).where(F.contains("other", "k"))
+
+
+def join_dealt(left: DataFrame, right: DataFrame, keys: list[str], most: int = 4000) -> DataFrame:
+    """Inner equi-join in which a key with more than `most` rows of `right` is dealt over tasks; rows of `left` have a copy in each part of their key."""
+    hot = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > most).orderBy(F.desc("c")).limit(50_000)
+    hot = staged(hot.select(*keys, F.ceil(F.col("c") / most).cast("int").alias("__parts")), "hot-keys")
+    if hot.isEmpty():
+        return left.join(right, keys)
+    parts = lambda df: df.join(F.broadcast(hot), keys, "left").withColumn("__parts", F.coalesce("__parts", F.lit(1)))
+    dealt = parts(right).withColumn("__part", F.pmod(F.xxhash64(*[c for c in right.columns]), F.col("__parts")).cast("int")).drop("__parts")
+    copied = parts(left).withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).drop("__parts")
+    return copied.join(dealt, [*keys, "__part"]).drop("__part")
+
+
+#: What letter counts tell apart; all else counts as one more. Thirteen to a number, four bits each.
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 
 
 def _forms(name: Column, prefixes: bool) -> Column:
@@ -51,44 +83,80 @@ def _forms(name: Column, prefixes: bool) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("kind"), k.alias("form")) for i, k in enumerate(kinds)])
 
 
-def _pairs_of_letters(form: Column) -> Column:
-    return F.when(F.length(form) > 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(form) - 1), lambda i: F.substr(form, i, F.lit(2))))).otherwise(F.array().cast("array<string>"))
+def _counts(form: str) -> list[Column]:
+    """How often each letter stands in the form, up to four, a bit for each time: numbers whose differing bits bound the edits from below."""
+    c = F.col(form)
+    each = [F.length(c) - F.length(F.translate(c, x, "")) for x in LETTERS] + [F.length(F.translate(c, LETTERS, ""))]
+    bits = [(F.pow(F.lit(2), F.least(n, F.lit(4))) - 1).cast("bigint") for n in each]
+    return [sum((F.shiftleft(b, 4 * i) for i, b in enumerate(bits[k : k + 13])), F.lit(0).cast("bigint")) for k in range(0, len(bits), 13)]
+
+
+def _edits(a: Column, b: Column, t: float, indel: bool) -> Column:
+    """The most edits between forms of these lengths whose score reaches t."""
+    return F.floor((1 - t) * ((a + b) if indel else F.greatest(a, b)) + 1e-9).cast("int")
 
 
-def candidates_by_letters(queries: DataFrame, registry: DataFrame, threshold: float, indel: bool, prefixes: bool) -> DataFrame:
-    """query, key, name: all pairs that may reach the threshold, and others.
+def _segment(length: Column, parts: Column, i: Column) -> tuple[Column, Column]:
+    """Where segment i (from 0) of a form cut into even parts begins, and its length; the longer ones come last."""
+    base, longer = F.floor(length / parts).cast("int"), (length % parts).cast("int")
+    return i * base + F.greatest(F.lit(0), i - (parts - longer)), base + F.when(i >= parts - longer, 1).otherwise(0)
 
-    A form of n letters that is similar enough differs by d edits at most, which a bound on the other's length gives. Each edit breaks two letter
-    pairs at most, so of any 2 * d + 1 different ones the other name holds one: the query asks with those that stand in fewest names of the
-    registry. Forms with too few letter pairs meet the forms of all lengths that may be similar.
+
+def _reach(n: Column, t: float, indel: bool) -> tuple[Column, Column]:
+    """The lengths that a form similar to one of n letters may have."""
+    f = t / (2 - t) if indel else t
+    return F.greatest(F.lit(1), F.ceil(n * f - 1e-9).cast("int")), F.floor(n / f + 1e-9).cast("int")
+
+
+def candidates_by_segments(queries: DataFrame, registry: DataFrame, threshold: float, indel: bool, prefixes: bool) -> DataFrame:
+    """query, key, kind, form, other: all pairs of forms that may reach the threshold, and few others; a pair may come more than once.
+
+    Forms of lengths l and n that are similar enough differ by d(l, n) edits at most. Of the d + 1 segments of the registry's form one stands
+    unedited in the query's, and edits before and after it bound where: the two meet on (kind, length, d, number of the segment, its
+    letters). Pairs whose letter counts already differ by more than d edits go at once.
     """
     t = threshold / 100 - 1e-5  # scores are rounded before they are compared
-    most = F.floor(F.length("form") * ((2 if indel else 1) * (1 - t) / t) + 1e-9).cast("int")
-    r = registry.select("key", "name", F.explode(_forms(F.col("name"), prefixes)).alias("f")).select("key", "name", "f.*")
-    grams = r.select("key", "name", "kind", F.explode(_pairs_of_letters(F.col("form"))).alias("gram"))
-    often = grams.groupBy("kind", "gram").agg(F.count(F.lit(1)).alias("n"))
-    q = queries.select("query").distinct().select("query", F.explode(_forms(F.col("query"), prefixes)).alias("f")).select("query", "f.*").where("form <> ''").withColumn("need", 2 * most + 1).withColumn("grams", _pairs_of_letters(F.col("form")))
-    asked = q.where(F.size("grams") >= F.col("need")).select("query", "kind", "need", F.explode("grams").alias("gram")).join(often, ["kind", "gram"], "left")
-    seldom = asked.withColumn("place", F.row_number().over(W.partitionBy("query", "kind").orderBy(F.coalesce("n", F.lit(0)), "gram"))).where("place <= need and n is not null")
-    by_gram = seldom.select("query", "kind", "gram").join(grams, ["kind", "gram"]).select("query", "key", "name")
-    reach = F.sequence(F.greatest(F.lit(1), F.floor(F.length("form") * t / (2 - t if indel else 1)).cast("int")), F.ceil(F.length("form") * ((2 - t) if indel else 1) / t).cast("int"))
-    short = q.where(F.size("grams") < F.col("need")).select("query", "kind", F.explode(reach).alias("length"))
-    by_length = short.join(r.withColumn("length", F.length("form")), ["kind", "length"]).select("query", "key", "name")
-    return by_gram.unionByName(by_length).distinct()
+    forms = lambda df, c: df.select("*", F.explode(_forms(F.col(c), prefixes)).alias("f")).select(*df.columns, "f.*").where("form <> ''").withColumn("n", F.length("form"))
+    masks = lambda df, to: df.select("*", *[m.alias(f"{to}{i}") for i, m in enumerate(_counts("form"))])
+    q = masks(forms(queries.select("query").distinct(), "query"), "q")
+    r = masks(forms(registry.select("key", "name"), "name"), "r")
+    n = F.col("n")
+    mark = lambda length, d, i, piece: F.xxhash64("kind", length, d, i, piece)
+
+    def cut(d: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), d), lambda i: mark(n, d, i, F.substr("form", _segment(n, d + 1, i)[0] + 1, _segment(n, d + 1, i)[1])))
+
+    low, high = _reach(n, t, indel)
+    kept = F.flatten(F.transform(F.sequence(_edits(n, low, t, indel), _edits(n, high, t, indel)), cut))
+    index = r.select("key", "kind", F.col("form").alias("other"), F.col("n").alias("m"), "r0", "r1", "r2", F.explode(F.array_distinct(kept)).alias("mark"))
+
+    def asked(length: Column) -> Column:
+        d, shift = _edits(n, length, t, indel), n - length
+
+        def around(i: Column) -> Column:
+            at, size = _segment(length, d + 1, i)
+            first = F.greatest(F.lit(0), at - i, at + shift - (d - i))
+            last = F.least(n - size, at + i, at + shift + (d - i))
+            return F.when(first <= last, F.transform(F.sequence(first, F.greatest(first, last)), lambda p: mark(length, d, i, F.substr("form", p + 1, size)))).otherwise(F.array().cast("array<bigint>"))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), d), around))
+
+    probes = q.select("query", "form", "n", "q0", "q1", "q2", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(low, high), asked)))).alias("mark"))
+    only = lambda a, b: sum((F.bit_count(F.col(f"{a}{i}").bitwiseAND(F.bitwise_not(F.col(f"{b}{i}")))) for i in range(3)), F.lit(0))
+    least = only("q", "r") + only("r", "q") if indel else F.greatest(only("q", "r"), only("r", "q"))
+    met = join_dealt(probes, index, ["mark"]).where(least <= _edits(F.col("n"), F.col("m"), t, indel))
+    return met.select("query", "key", "kind", "form", "other")
 
 
 def similar_names(queries: DataFrame, registry: DataFrame, threshold: float, most: int | None = 5, indel: bool = False, prefixes: bool = True) -> DataFrame:
     """query, key, name, score (0..100), place: registry names (key, name) at least that similar, best first, ties by key.
 
-    The score is the better of the raw and the stripped name. No pair that reaches the threshold is lost (`candidates_by_letters`).
+    The score is the better of the raw and the stripped name. No pair that reaches the threshold is lost (`candidates_by_segments`).
     """
-    score = X.token_sort_ratio if indel else lambda a, b: 100 * X.similarity(a, b)
-    pairs = candidates_by_letters(queries, registry, threshold, indel, prefixes)
-    best = score(F.upper("query"), F.upper("name"))
-    if prefixes:
-        best = F.greatest(best, score(X.barge_key(F.col("query")), X.barge_key(F.col("name"))))
-    scored = pairs.withColumn("score", rounded(best, 3)).where(F.col("score") >= threshold)
-    placed = scored.withColumn("place", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "key")))
+    ratio = X.indel_ratio(F.col("form"), F.col("other")) if indel else 100 * (1 - F.levenshtein("form", "other") / F.greatest(F.length("form"), F.length("other"), F.lit(1)))
+    pairs = candidates_by_segments(queries, registry, threshold, indel, prefixes)
+    scored = pairs.withColumn("score", rounded(ratio, 3)).where(F.col("score") >= threshold).groupBy("query", "key").agg(F.max("score").alias("score"))
+    placed = scored.join(registry.select("key", "name"), "key").withColumn("place", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "key"))).select("query", "key", "name", "score", "place")
     return placed if most is None else placed.where(F.col("place") <= most)
 
 
@@ -113,7 +181,10 @@ def radius_search(queries: DataFrame, ships: DataFrame, radius_km: float = 5.0,
     """query, place, name, mmsi, score: the nearest ship (mmsi, name, lat, lon) around a place (query, place, lat, lon) whose name is similar enough; ties by MMSI."""
     places = queries.select(F.col("place").alias("point_id"), "lat", "lon").distinct()
     near = within_radius(places, ships.select(F.col("mmsi").alias("ship_id"), F.col("lat").alias("ship_lat"), F.col("lon").alias("ship_lon")), radius_km, p).select(F.col("point_id").alias("place"), F.col("ship_id").alias("key"), "km")
-    named = similar_names(queries.select("query"), ships.select(F.col("mmsi").alias("key"), "name"), 100 * p.search_threshold, None, indel, prefixes=False).select("query", "key", "name", "score")
+    near = staged(near, "near-ships")
+    # Only ships near one of the places are searched by name.
+    there = ships.select(F.col("mmsi").alias("key"), "name").join(near.select("key").distinct(), "key", "left_semi")
+    named = similar_names(queries.select("query"), there, 100 * p.search_threshold, None, indel, prefixes=False).select("query", "key", "name", "score")
     hits = queries.select("query", "place").distinct().join(named, "query").join(near, ["place", "key"])
     return hits.groupBy("query", "place").agg(F.min_by(F.struct("name", F.col("key").alias("mmsi"), "score"), F.struct("km", "key")).alias("s")).select("query", "place", "s.*")
 
