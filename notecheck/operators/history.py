@@ -53,6 +53,40 @@ def duplicates(notes: DataFrame, most: int = 5, p: Params = DEFAULT) -> DataFram
     return out.select("note_id", (F.col("n") - 1).alias("duplicates"), F.slice(F.array_except("ids", F.array("note_id")), 1, most).alias("others"))
 
 
+def earlier_within(rows: DataFrame, keys: list[str], at: str, days: int, most: int = 5, row_id: str = "note_id") -> DataFrame:
+    """row_id, earlier, others: how many other rows of the same keys came at most `days` days before a row, and the ids of the first of them.
+
+    Of equal times the smaller id came before. Rows with a null key or time are neither counted nor answered. A key's rows are never gathered,
+    however many it has: rows, and a probe for the beginning of each row's window, are sorted together in ranges; what stands before a row
+    less what stands before its probe is the count. row_id is unique.
+    """
+    known = rows.where(" and ".join(f"`{c}` is not null" for c in [*keys, at])).select(F.col(row_id).alias("i"), *[F.col(k).alias(f"k{n}") for n, k in enumerate(keys)], F.col(at).alias("t"))
+    both = known.withColumn("kind", F.lit(1)).unionByName(known.withColumns({"t": F.col("t") - days * 86400, "kind": F.lit(0)}))
+    order = [F.col(c) for c in (*[f"k{n}" for n in range(len(keys))], "t", "kind", "i")]
+    placed = staged(both.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "window-ranges")
+    inside = F.coalesce(F.sum("kind").over(W.partitionBy("__range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = placed.groupBy("__range").agg(F.sum("kind").alias("n"))
+    starts = sizes.select("__range", F.coalesce(F.sum("n").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"))  # a row per range
+    counted = staged(placed.withColumn("c", inside).join(F.broadcast(starts), "__range").select("i", "kind", (F.col("c") + F.col("start")).alias("c")), "window-counts")
+    spans = counted.groupBy("i").agg(F.max(F.when(F.col("kind") == 0, F.col("c"))).alias("low"), F.max(F.when(F.col("kind") == 1, F.col("c"))).alias("high")).where("high > low")
+    first = spans.select("i", F.explode(F.sequence("low", F.least("high", F.col("low") + most) - 1)).alias("c"))
+    named = first.join(counted.where("kind = 1").select(F.col("i").alias("other"), "c"), "c").groupBy("i").agg(F.array_sort(F.collect_list(F.struct("c", "other"))).alias("o"))
+    return spans.join(named, "i").select(F.col("i").alias(row_id), (F.col("high") - F.col("low")).alias("earlier"), F.transform("o", lambda x: x["other"]).alias("others"))
+
+
+def repeats_within(notes: DataFrame, p: Params = DEFAULT, most: int = 5) -> DataFrame:
+    """note_id, duplicates, others, reference_uses, reused_reference: the notes of the same vessel, port and day, and those with the same
+    reference, that came within the window before. Only notes with either.
+
+    notes: note_id, vessel_name, port, delivery_date, bdn_reference, received_s.
+    """
+    named = notes.select("note_id", F.upper("vessel_name").alias("v"), F.upper("port").alias("w"), F.col("delivery_date").alias("d"), F.upper("bdn_reference").alias("r"), "received_s")
+    same = earlier_within(named, ["v", "w", "d"], "received_s", p.duplicate_window_days, most)
+    uses = earlier_within(named, ["r"], "received_s", p.duplicate_window_days, 1).select("note_id", F.col("earlier").alias("uses"))
+    both = same.join(uses, "note_id", "full")
+    return both.select("note_id", F.coalesce("earlier", F.lit(0)).alias("duplicates"), F.coalesce("others", F.array().cast(same.schema["others"].dataType)).alias("others"), F.coalesce("uses", F.lit(0)).alias("reference_uses"), (F.coalesce("uses", F.lit(0)) > p.max_reuse_count).alias("reused_reference"))
+
+
 def upsert_vessels(old: DataFrame, new: DataFrame) -> DataFrame:
     """imo, name, mmsi, vessel_type: new non-empty values win; new rows need a 7-character IMO and a name."""
     fresh = new.groupBy("imo").agg(*[F.max_by(c, F.struct("seq")).alias(c) for c in ("name", "mmsi", "vessel_type")]).select("imo", *[F.nullif(c, F.lit("")).alias(f"n_{c}") for c in ("name", "mmsi", "vessel_type")])

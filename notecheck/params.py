@@ -28,6 +28,7 @@ class Params:
     digital_max_variance: float = 350.0
     handwritten_variance_floor: float = 400.0
     duplicate_window_days: int = 90
+    max_reuse_count: int = 1
     anomaly_threshold: float = 0.55
     correction_keywords: tuple[str, ...] = ("whiteout", "correction", "amended", "revised", "corrected", "overwritten", "cancelled")
     name_prefixes: tuple[str, ...] = ("MT ", "MV ", "M/V ", "M/T ", "BT ")

@@ -126,6 +126,28 @@ def jn_15_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return H.duplicates(n).select("note_id", "duplicates", F.array_join(F.transform("others", lambda x: x.cast("string")), ",").alias("others"))
 
 
+#: Notes over two thirds of a year, each reference used by up to four of them.
+_RECEIVED = "select id as note_id, vessel_name, port, floor(from_s / 86400) as delivery_date, 'REF-' || cast(id % (select count(*) / 4 + 1 from deliveries) as string) as bdn_reference, end_s + id % 8 * 30 * 86400 as received_s from note_fields"
+
+
+def _received(spark: SparkSession, d: str) -> DataFrame:
+    n, total = frame(spark, d, "note_fields"), frame(spark, d, "deliveries").count()
+    reference = F.concat(F.lit("REF-"), F.col("id") % F.lit(total // 4 + 1))
+    return n.select(F.col("id").alias("note_id"), "vessel_name", "port", F.floor(F.col("from_s") / 86400).alias("delivery_date"), reference.alias("bdn_reference"), (F.col("end_s") + F.col("id") % 8 * 30 * 86400).alias("received_s"))
+
+
+_BEFORE = "b.received_s >= a.received_s - 90 * 86400 and (b.received_s < a.received_s or (b.received_s = a.received_s and b.note_id < a.note_id))"
+_SAME = f"""n as ({_RECEIVED.replace('count(*) / 4', 'count(*) // 4')}), same as (select a.note_id, count(*) as duplicates, array_to_string(list(b.note_id order by b.received_s, b.note_id)[1:5], ',') as others
+  from n a join n b on upper(a.vessel_name) = upper(b.vessel_name) and upper(a.port) = upper(b.port) and a.delivery_date = b.delivery_date and {_BEFORE} group by 1)"""
+
+
+@query(f"""with {_SAME}, uses as (select a.note_id, count(*) as reference_uses from n a join n b on upper(a.bdn_reference) = upper(b.bdn_reference) and {_BEFORE} group by 1)
+  select coalesce(same.note_id, uses.note_id) as note_id, coalesce(duplicates, 0) as duplicates, coalesce(others, '') as others, coalesce(reference_uses, 0) as reference_uses, coalesce(reference_uses, 0) > 1 as reused_reference from same full join uses on uses.note_id = same.note_id""")
+def jn_15_within_window(spark: SparkSession, d: str) -> DataFrame:
+    """Duplicates and reused references of the 90 days before a note."""
+    return H.repeats_within(_received(spark, d)).withColumn("others", F.array_join(F.transform("others", lambda x: x.cast("string")), ","))
+
+
 @query("""with v as (select imo, arg_max(id, validated_s * 100000000 + id) as id from (select confirmed_imo as imo, id, validated_s from verdicts union all select extracted_imo, id, validated_s from verdicts where extracted_imo is not null and extracted_imo <> confirmed_imo) x group by imo)
   select r.imo, v.id as verdict_id, case when v.id is null then 'local_registry' else 'verdict' end as source from vessel_registry r left join v using (imo)""")
 def jn_16_vessel_lookup(spark: SparkSession, d: str) -> DataFrame:
@@ -154,7 +176,7 @@ def snk_01_verdict_rows(spark: SparkSession, d: str) -> DataFrame:
     path = f"{store.shared_folder(spark)}/verdicts/{uuid.uuid4().hex}"
     rows = _v(spark, d).select("id", "classification", "confirmed_imo", "validated_s")
     for number in (0, 1, 1, 2):
-        merging.merge_batch(rows.where(F.col("id") % 3 == number), path, "thirds", number)
+        merging.merge_batch(rows.where(F.col("id") % 3 == number), path, "thirds", number, period="yyyy-MM")
     return merging.read_table(spark, path).select("id", "classification", "confirmed_imo", F.floor(F.col("validated_s") / 86400).alias("validated_day"))
 
 

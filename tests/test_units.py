@@ -102,3 +102,26 @@ def test_written_documents_are_bounded(spark):
     docs = spark.read.text(rest._as_documents(spark, v, "vessels-test")).select(F.size(F.from_json("value", "array<struct<imo:string>>")))
     sizes = [r[0] for r in docs.collect()]
     assert max(sizes) <= 6000 and sum(sizes) == 120000
+
+
+def test_earlier_within(spark):
+    """Counts and first ids against all pairs: ties, both ends of the window, null keys and times, a key of many rows."""
+    import random
+
+    rng = random.Random(7)
+    day = 86400
+    rows = [(i, rng.choice(["a", "b", None]), rng.choice(["p", "q"]), rng.choice([None, *(90 * day * k + rng.choice([-1, 0, 1, 50 * day]) for k in range(5))])) for i in range(300)] + [(1000 + i, "hot", "p", 7 * i) for i in range(400)]
+    got = {r.note_id: (r.earlier, r.others) for r in history.earlier_within(spark.createDataFrame(rows, "note_id long, v string, w string, t long").repartition(5), ["v", "w"], "t", 90, 3).collect()}
+    want = {}
+    for i, v, w, t in rows:
+        found = sorted((u, j) for j, x, y, u in rows if j != i and v is not None and (x, y) == (v, w) and None not in (t, u) and t - 90 * day <= u and (u, j) < (t, i))
+        if found:
+            want[i] = (len(found), [j for _, j in found[:3]])
+    assert got == want and got[1399][0] == 399
+
+
+def test_repeats_within(spark):
+    day = 86400
+    notes = spark.createDataFrame([(1, "A", "P", "d", "r1", 0), (2, "a", "p", "d", "R1", 90 * day), (3, "a", "p", "d", "r1", 90 * day + 1), (4, "b", "p", "d", "r1", 90 * day + 2), (5, None, "p", "d", None, 5)], "note_id long, vessel_name string, port string, delivery_date string, bdn_reference string, received_s long")
+    got = {r.note_id: tuple(r)[1:] for r in history.repeats_within(notes).collect()}
+    assert got == {2: (1, [1], 1, False), 3: (1, [2], 1, False), 4: (0, [], 2, True)}
