@@ -118,8 +118,10 @@ def candidates_by_segments(queries: DataFrame, registry: DataFrame, threshold: f
     t = threshold / 100 - 1e-5  # scores are rounded before they are compared
     forms = lambda df, c: df.select("*", F.explode(_forms(F.col(c), prefixes)).alias("f")).select(*df.columns, "f.*").where("form <> ''").withColumn("n", F.length("form"))
     masks = lambda df, to: df.select("*", *[m.alias(f"{to}{i}") for i, m in enumerate(_counts("form"))])
-    q = masks(forms(queries.select("query").distinct(), "query"), "q")
-    r = masks(forms(registry.select("key", "name"), "name"), "r")
+    # A name becomes some dozens of marks: names are few bytes, so their number, not their size, says how many tasks make them.
+    tasks = max(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), queries.sparkSession.sparkContext.defaultParallelism)
+    q = masks(forms(queries.select("query").distinct().repartition(tasks), "query"), "q")
+    r = masks(forms(registry.select("key", "name").repartition(tasks), "name"), "r")
     n = F.col("n")
     mark = lambda length, d, i, piece: F.xxhash64("kind", length, d, i, piece)
 
