@@ -90,7 +90,7 @@ def _checked(value: Column, check: Callable[[Column, str], Column], field: str)
     return X.let(value, lambda x: check(x, field))
 
 
-def extract(notes: DataFrame, fields: dict[str, list[str]] = FIELDS, keep: tuple[str, ...] = ("note_id", "doc_type", "ocr_confidence", "font_variance", "raw_text")) -> DataFrame:
+def extract(notes: DataFrame, fields: dict[str, list[str]] = FIELDS, keep: tuple[str, ...] = ("note_id", "doc_type", "ocr_confidence", "font_variance", "raw_text", "received_s")) -> DataFrame:
     """The kept columns and each field as text or number; a note without a field has null there."""
     kept = [c for c in keep if c in notes.columns]
     # Three projections: captures, first captures, checked values; each names what the one before computed.

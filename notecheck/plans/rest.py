@@ -13,13 +13,13 @@ from ..operators import extract as E
 from ..operators import resolve as R
 from ..operators import rules as U
 from ..operators import tracks as T
+from ..sources import merging, store
 from ..sources import readers as S
-from ..sources import store
 from ..sources.adapters import frame
 from ..streaming import jobs as J
 from .base import query
 from .resolving import _IDENT, NOTES
-from .ruling import _CRED
+from .ruling import _CRED, SEEN, judged_notes, read_notes, received_notes, references, track_model, verdict_columns
 
 
 def _features(spark: SparkSession, d: str) -> DataFrame:
@@ -113,6 +113,22 @@ def sm_04_judge_notes(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema("note_id long, score double, method string").parquet(f"{folder}/out").select("note_id", "score", "method")
 
 
+@query()
+def sm_04_verdict_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The flagship as a stream: notes arrive in three parts by time, the stream is started anew for each, and its sink is read back."""
+    folder = f"{store.shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+    notes = store.staged(received_notes(spark, d), "received")
+    refs, model = references(spark, d), track_model(spark, d, f"{folder}/model")
+    ends = notes.agg(F.min("received_s").alias("first"), F.max("received_s").alias("last")).first()
+    third = F.floor((F.col("received_s") - F.lit(ends.first)) * 3 / F.lit((ends.last or 0) - (ends.first or 0) + 1))
+    for part in range(3):
+        notes.where(third == part).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(notes.schema).parquet(f"{folder}/in")
+        judge = lambda fields, seen: verdict_columns(judged_notes(refs, fields, model, seen), "received_s")
+        J.verdict_stream(stream, read_notes, judge, SEEN, f"{folder}/verdicts", f"{folder}/seen", f"{folder}/checkpoint").awaitTermination()
+    return merging.read_table(spark, f"{folder}/verdicts").drop("received_s")
+
+
 DOCUMENT_ROWS = 5000  # rows that a written document holds
 
 

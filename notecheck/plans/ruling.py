@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from ..operators import resolve as R
 from ..operators import rules as U
 from ..operators import tracks as T
 from ..sources.adapters import frame
-from ..sources.store import staged
+from ..sources.store import shared_folder, staged
 from .base import query, sql_round
 
 
@@ -209,11 +211,36 @@ def rl_14_descriptions(spark: SparkSession, d: str) -> DataFrame:
     return codes.select("code", U.describe_flag(F.col("code")).alias("description"))
 
 
-def judged_notes(spark: SparkSession, d: str, notes: DataFrame) -> DataFrame:
-    """Notes to verdicts: fields, duplicates, credibility, vessel, barge, tracks in the port's delivery window, anomaly score, alerts, verdict."""
-    t = lambda name: frame(spark, d, name)
-    fields = staged(E.extract(notes).withColumn("extraction_confidence", E.extraction_confidence()), "fields")
-    again = H.duplicates(fields).select("note_id", F.lit(True).alias("again"))
+def references(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The registries, ports, tracks and past barges that notes are judged against; small derived ones written once."""
+    large = {x: frame(spark, d, x) for x in ("positions", "name_vectors")}
+    return large | {x: staged(frame(spark, d, x), x) for x in ("ports", "vessel_registry", "barge_registry", "barge_history", "ships")}
+
+
+def track_model(spark: SparkSession, d: str, path: str) -> A.Model:
+    """A stored forest, fitted on deliveries that have tracks."""
+    f = staged(T.build_features(frame(spark, d, "deliveries"), frame(spark, d, "positions")).where("n_vessel > 0"), "model-features")
+    return A.fit_model(f, "id", T.FEATURES, path)
+
+
+#: What a note is compared with among those before it.
+SEEN = ["note_id", "vessel_name", "port", "delivery_date", "bdn_reference", "received_s"]
+
+
+def read_notes(notes: DataFrame) -> DataFrame:
+    """Fields of notes, by patterns and else by labels that look alike, and how sure they are; written once."""
+    return staged(E.routed(notes).withColumn("extraction_confidence", E.extraction_confidence()), "fields")
+
+
+def judged_notes(refs: dict[str, DataFrame], fields: DataFrame, model: A.Model | None, seen: DataFrame | None = None) -> DataFrame:
+    """Notes to verdicts: duplicates, credibility, vessel, barge, tracks in the port's delivery window, anomaly score, alerts, verdict.
+
+    fields: of `read_notes`. A note is a duplicate of those of the same vessel, port and day received within the window before it, among
+    the fields and those in `seen`, notes that were judged earlier.
+    """
+    t = refs.__getitem__
+    known = fields.select(SEEN) if seen is None else fields.select(SEEN).unionByName(seen.select(SEEN))
+    again = H.repeats_within(known).where("duplicates > 0").select("note_id", F.lit(True).alias("again"))
     x = U.credibility(fields.join(again, "note_id", "left"), duplicate=F.col("again"))
     times = X.parse_pumping_times(F.col("start_time"), F.col("end_time"), F.lit(None).cast("string"))
     x = R.resolve_port(x.withColumn("t", times), t("ports")).join(t("ports").select(F.col("port").alias("port_name"), "timezone", "utc_offset", "lat", "lon"), "port_name", "left")
@@ -224,9 +251,9 @@ def judged_notes(spark: SparkSession, d: str, notes: DataFrame) -> DataFrame:
     asked = x.join(ident.select("note_id", F.col("confirmed_mmsi").alias("vessel_mmsi")), "note_id").join(barge.select("note_id", "barge_mmsi"), "note_id").where("start_s is not null").select(F.col("note_id").alias("id"), "vessel_mmsi", "barge_mmsi", "start_s", "end_s", "quantity_mt")
     feats = staged(T.build_features(staged(asked, "asked"), t("positions")), "features")
     ais = T.ais_outcome(feats, ident.select(F.col("note_id").alias("id"), F.col("unresolved").alias("vessel_identity_unresolved")))
-    # Only tracks that are there are scored, by a forest of their own kind.
-    tracked = staged(feats.join(ais.where("not ais_unavailable").select("id"), "id", "left_semi"), "tracked")
-    scores = A.anomaly_scores(staged(A.raw_scores(tracked, "id", T.FEATURES, A.fit_forest(tracked, "id", T.FEATURES)), "raw-scores")).select("id", "anomaly_score", "is_anomaly")
+    # Only tracks that are there are scored.
+    tracked = feats.join(ais.where("not ais_unavailable").select("id"), "id", "left_semi")
+    scores = A.score(tracked, "id", model).select("id", "anomaly_score", "is_anomaly")
     outcome = ais.join(scores, "id", "left").withColumnRenamed("id", "note_id")
     rows = (
         x.join(ident.select("note_id", F.col("method").alias("identity_method"), F.col("flags").alias("identity_flags"), F.col("unresolved").alias("identity_unresolved"), F.col("confidence").alias("identity_confidence")), "note_id")
@@ -237,10 +264,19 @@ def judged_notes(spark: SparkSession, d: str, notes: DataFrame) -> DataFrame:
     return U.verdicts(U.with_alerts(rows))
 
 
+def received_notes(spark: SparkSession, d: str) -> DataFrame:
+    """Notes with the time at which they came in."""
+    return frame(spark, d, "notes").withColumnRenamed("end_s", "received_s")
+
+
+def verdict_columns(v: DataFrame, *more: str) -> DataFrame:
+    return v.select(*more, "note_id", "classification", "confidence", "human_review_required", "overall_fraud_risk", "credibility_score", "verdict_reason", "identity_method", "identity_confidence", "identity_unresolved", "barge_method", "barge_confidence", "barge_missing", "ais_unavailable", "is_anomaly", "anomaly_score", "ocr_confidence", "extraction_confidence", F.array_join("anomaly_flags", ",").alias("anomaly_flags"), F.array_contains("credibility_flags", "duplicate_bdn_detected").alias("duplicate"))
+
+
 def rl_15_note_to_verdict(spark: SparkSession, d: str) -> DataFrame:
     """One verdict per note, with what it rests on."""
-    v = judged_notes(spark, d, frame(spark, d, "notes"))
-    return v.select("note_id", "classification", "confidence", "human_review_required", "overall_fraud_risk", "credibility_score", "verdict_reason", "identity_method", "identity_confidence", "identity_unresolved", "barge_method", "barge_confidence", "barge_missing", "ais_unavailable", "is_anomaly", "anomaly_score", "ocr_confidence", "extraction_confidence", F.array_join("anomaly_flags", ",").alias("anomaly_flags"), F.array_contains("credibility_flags", "duplicate_bdn_detected").alias("duplicate"))
+    model = track_model(spark, d, f"{shared_folder(spark)}/models/{uuid.uuid4().hex}")
+    return verdict_columns(judged_notes(references(spark, d), read_notes(received_notes(spark, d)), model))
 
 
 query()(rl_15_note_to_verdict)

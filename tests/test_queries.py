@@ -27,7 +27,7 @@ def plain(v):
 
 
 #: The flagship has a test of its own; the other slow ones run in bench and in the correctness gate.
-SLOW = {"rl_15_note_to_verdict", "ml_02_scores", "ml_03_plain_scores", "ag_14_score_range", "jn_04_indel"}
+SLOW = {"rl_15_note_to_verdict", "sm_04_verdict_stream", "ml_02_scores", "ml_03_plain_scores", "ag_14_score_range", "jn_04_indel"}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW))
@@ -70,6 +70,9 @@ def test_note_to_verdict(spark):
         assert r.duplicate or r.credibility_score == notes[r.note_id].score
         label[r.classification] += 1
     assert len(label) >= 3, label
+    # The stream over the same notes in parts, started anew for each, gives the same rows.
+    streamed = entry.queries()["sm_04_verdict_stream"](spark, SF).collect()
+    assert streamed[0].__fields__ == rows[0].__fields__ and sorted(map(repr, streamed)) == sorted(map(repr, rows))
 
 
 def test_every_query_is_named():

@@ -125,3 +125,51 @@ def test_repeats_within(spark):
     notes = spark.createDataFrame([(1, "A", "P", "d", "r1", 0), (2, "a", "p", "d", "R1", 90 * day), (3, "a", "p", "d", "r1", 90 * day + 1), (4, "b", "p", "d", "r1", 90 * day + 2), (5, None, "p", "d", None, 5)], "note_id long, vessel_name string, port string, delivery_date string, bdn_reference string, received_s long")
     got = {r.note_id: tuple(r)[1:] for r in history.repeats_within(notes).collect()}
     assert got == {2: (1, [1], 1, False), 3: (1, [2], 1, False), 4: (0, [], 2, True)}
+
+
+def test_stored_forest(spark, tmp_path):
+    """Fitted once, read back and scoring other batches: the scores of plain walks through the stored nodes."""
+    path, columns = f"file://{tmp_path}/model", ["a", "b"]
+    p = anomaly.ForestParams(trees=12, psi=32)
+    frame = lambda rows: spark.createDataFrame(rows, "id long, a double, b double")
+    assert anomaly.load_model(spark, path) is None and [tuple(r) for r in anomaly.score(frame([(1, 0.0, 0.0)]), "id", None).collect()] == [(1, None, 0.5, False)]
+    train = [(i, (i * 37 % 100) / 100.0, (i * 61 % 100) / 100.0) for i in range(300)]
+    assert anomaly.fit_model(frame(train), "id", columns, path, p).version == 1
+    model = anomaly.load_model(spark, path)
+    assert (model.columns, model.params, model.version) == (tuple(columns), p, 1)
+    nodes = {(n.tree, n.node): n for n in model.nodes.collect()}
+    trees = sorted({t for t, _ in nodes})
+    norm = anomaly._c(max(n.size for (_, k), n in nodes.items() if k == 0))
+
+    def walk(x):
+        total = 0.0
+        for t in trees:
+            n = nodes[t, 0]
+            while n.feature >= 0:
+                n = nodes[t, n.left if x[n.feature] < n.cut else n.right]
+            total += n.depth + anomaly._c(n.size)
+        return 2.0 ** -(total / len(trees) / norm)
+
+    low, high = model.ends
+    assert low == pytest.approx(min(walk(r[1:]) for r in train)) and high == pytest.approx(max(walk(r[1:]) for r in train))
+    for batch in ([(1, 9.0, 9.0), (2, 0.5, 0.5)], [(i, i / 7.0 - 2, 0.3) for i in range(40)]):
+        for r in anomaly.score(frame(batch), "id", model).collect():
+            x = next(b[1:] for b in batch if b[0] == r.id)
+            want = max(0.0, min(1.0, (walk(x) - low) / (high - low)))
+            assert r.raw == pytest.approx(walk(x)) and r.anomaly_score == pytest.approx(want, abs=6e-5) and r.is_anomaly == (r.anomaly_score >= 0.55)
+    assert anomaly.fit_model(frame(train[:50]), "id", columns, path, p).version == 2 and anomaly.load_model(spark, path, 1).ends == model.ends and anomaly.load_model(spark, path, 7) is None
+    with pytest.raises(ValueError):
+        anomaly.score(frame(train).drop("b"), "id", model)
+
+
+def test_stream_state(spark, tmp_path):
+    from notecheck.streaming import jobs
+
+    path, schema, day = f"file://{tmp_path}/seen", "note_id long, received_s long", 86400
+    assert jobs.remembered(spark, path, schema, 0, None).count() == 0
+    for number, rows in enumerate([[(1, 0), (2, 5 * day)], [(3, 6 * day)], []]):
+        jobs.remember(spark.createDataFrame(rows, schema), path, number, "received_s")
+    jobs.remember(spark.createDataFrame([(3, 6 * day), (4, 6 * day)], schema), path, 1, "received_s")
+    ids = lambda *a: sorted(r.note_id for r in jobs.remembered(spark, path, schema, *a).collect())
+    assert ids(1, None) == [1, 2] and ids(2, None) == [1, 2, 3, 4] and ids(2, 5 * day + 7) == [2, 3, 4]
+    assert jobs.forget(spark, path, 6 * day) == 2 and ids(9, None) == [3, 4]
