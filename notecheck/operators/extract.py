@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.numbers import rounded
+from ..sources.store import staged
 
 
 def _line(labels: str, value: str = r"([^\n]*[^\s])") -> str:
-    return rf"(?im)^[ \t]*(?:{labels})[ \t]*[:#.]?[ \t]*{value}[ \t]*$"
+    """A label at the beginning of a line, a mark or two blanks, and the value; without either the words may go on to another label."""
+    return rf"(?im)^[ \t]*(?:{labels})(?:[ \t]*[:#.][ \t]*|[ \t][ \t]+){value}[ \t]*$"
 
 
 _NUMBER = r"([0-9][0-9,]*\.?[0-9]*)[^\n]*"
@@ -31,7 +33,7 @@ FIELDS: dict[str, list[str]] = {
     "end_time": [_line("completed pumping|pumping (?:end(?:ed)?|completed)|(?:end|finish)(?: time)?|completed", r"([0-9][^\n]*[^\s])")],
     "port": [_line("port(?: of delivery| name)?|delivery port|place of delivery")],
     "supplier": [_line("supplier(?: name)?|supplied by|bunker supplier")],
-    "quantity_mt": [_line("quantity(?: delivered)?|(?:total )?(?:quantity|mass)(?: \\(?mt\\)?)?", _NUMBER), r"(?i)\b([0-9][0-9,]*\.?[0-9]*)\s*(?:mt|metric tons?)\b"],
+    "quantity_mt": [_line("quantity(?: delivered)?|(?:total )?(?:quantity|mass)(?: \\(?mt\\)?)?", _NUMBER), r"(?i)\b([0-9][0-9,]*\.?[0-9]*)[ \t]*(?:mt|metric tons?)\b"],
     "fuel_type": [_line("(?:fuel|product)(?: type| grade| name)?|grade")],
     "density": [_line(r"density(?: (?:at|@) 15 ?.?c)?", _NUMBER)],
     "sulphur_content": [_line(r"sul(?:ph|f)ur(?: content)?", _NUMBER)],
@@ -54,6 +56,8 @@ LEGACY: dict[str, list[str]] = {
     "quantity_mt": [r"(?i)\b([0-9][0-9,]*\.?[0-9]*)\s*mt\b"],
     "density": [_line("density", _NUMBER)],
 }
+#: A time may go on after its clock.
+TIMES = ("delivery_date", "start_time", "end_time")
 NUMERIC = ("quantity_mt", "density", "sulphur_content", "flashpoint", "viscosity", "water_content")
 #: Plausible ranges; outside them a number is dropped.
 RANGES = {"density": (0.5, 1100.0), "sulphur_content": (0.0, 5.0), "flashpoint": (0.0, 200.0), "viscosity": (0.1, 800.0), "water_content": (0.0, 2.0)}
@@ -67,6 +71,17 @@ def cap_words(value: Column, most: int) -> Column:
     return X.some(F.regexp_replace(cut, r"^[\s,;:.\-]+|[\s,;:\-]+$", ""))
 
 
+#: What ends a value, and words that are a heading rather than a value.
+STOP = r"(?i)\s*(?:next\s+port|ticketing\s+number|bunker\s+metering|metering|[;|]{2}|[0-9]{2}:[0-9]{2}\s+\S)"
+HEADERS = ("name", "no", "no.", "number", "date", "time", "note", "quantity", "volume", "mass", "total", "amount", "ref", "reference", "vessel", "barge", "ship", "tanker", "buyer", "receiver", "n/a", "-", "/")
+
+
+def cap_value(value: Column, most: int, stop: bool = True) -> Column:
+    """A value up to the first phrase that ends it, of at most so many words; null where that leaves nothing or a heading."""
+    cut = F.get(F.split(value, STOP, 2), F.lit(0)) if stop else value
+    return X.let(cap_words(F.trim(cut), most), lambda x: F.when(~F.lower(x).isin(*HEADERS), x))
+
+
 def is_garbage(value: Column) -> Column:
     """Too short, full of marks, or mostly neither letters nor digits."""
     meaning = F.length(F.regexp_replace(value, r"[^A-Za-z0-9]", "")) / F.greatest(F.length(value), F.lit(1))
@@ -79,10 +94,12 @@ def plausible(value: Column, field: str) -> Column:
 
 
 def plausible_text(value: Column, field: str) -> Column:
-    """Null where a name has too few letters, a place too many digits, or a time no valid hour."""
+    """Null where a name has too few letters, a place or supplier too many digits, a supplier is a licence, a day has no digit, or a time an hour beyond 23."""
     n = F.greatest(F.length(value), F.lit(1))
     alpha, digits = F.length(F.regexp_replace(value, "[^A-Za-z]", "")) / n, F.length(F.regexp_replace(value, "[^0-9]", "")) / n
-    keep = {"vessel_name": (alpha >= 0.5) & (F.length(value) >= 2), "barge_name": alpha >= 0.4, "port": digits <= 0.4, "supplier": digits <= 0.4, "delivery_date": digits > 0}
+    keep = {"vessel_name": (alpha >= 0.5) & (F.length(value) >= 2), "barge_name": alpha >= 0.4, "port": digits <= 0.4, "supplier": (digits <= 0.4) & ~value.rlike(r"(?i)licence|license|lic\s*no"), "delivery_date": digits > 0}
+    hour = F.regexp_extract(value, "([0-9]{2}):[0-9]{2}", 1)
+    keep |= {f: (hour == "") | (hour < "24") for f in ("start_time", "end_time")}
     return F.when(keep[field], value) if field in keep else value
 
 
@@ -103,7 +120,7 @@ def extract(notes: DataFrame, fields: dict[str, list[str]] = FIELDS, keep: tuple
             v = X.to_number(c)
             changes[f] = _checked(v, plausible, f) if f in RANGES else v
         else:
-            capped = cap_words(c, LONGEST[f]) if f in LONGEST else c
+            capped = cap_value(c, LONGEST[f], f not in TIMES) if f in LONGEST else c
             changes[f] = _checked(capped, plausible_text, f)
     return found.withColumns(changes)
 
@@ -125,20 +142,92 @@ def anchored_times(extracted: DataFrame) -> DataFrame:
     return extracted.withColumns({c: F.when(bare(c), F.concat_ws(" ", "delivery_date", X.normalize_time_only(F.col(c)))).otherwise(F.col(c)) for c in ("start_time", "end_time")})
 
 
-def find_fuzzy(notes: DataFrame, labels: dict[str, list[str]], threshold: float | Column = 80.0, ahead: int = 3) -> DataFrame:
+#: The labels of each field.
+LABELS: dict[str, tuple[str, ...]] = {
+    "vessel_name": ("vessel name", "vessel's name", "ship name", "receiving vessel", "receiving vessel name", "mv", "m.v.", "motor vessel", "name of vessel", "name of ship"),
+    "imo": ("imo number", "imo no", "imo no.", "imo", "imo#", "vessel imo", "vessel imo number", "vessel's imo no", "vessel's imo no."),
+    "barge_name": ("barge name", "name of barge", "bunker barge", "bunker barge name", "bunker tanker", "bunker tanker name", "bunker tanker's name", "delivering vessel", "bunker vessel", "bunker craft", "barge", "craft"),
+    "barge_sb_number": ("sb number", "sb no", "sb no.", "sb#", "small boat no", "craft no"),
+    "delivery_date": ("delivery date", "date of delivery", "bunkering date", "date of bunkering", "date"),
+    "start_time": ("commenced pumping", "commencement of pumping", "pumping start time", "pumping start", "start time", "start of pumping", "start of delivery", "hose on", "hose connected", "commencement"),
+    "end_time": ("completed pumping", "completion of pumping", "pumping end time", "pumping end", "pumping stop", "pumping finish", "end time", "end of delivery", "hose off", "hose disconnected", "completion"),
+    "port": ("port of delivery", "port", "bunkering port", "delivery port", "location", "delivery location", "anchorage", "place", "place of delivery"),
+    "supplier": ("supplier", "supplier name", "supplied by", "seller", "bunker company", "bunker supplier", "physical supplier", "bunker trader"),
+    "quantity_mt": ("quantity delivered", "quantity", "total quantity", "volume", "net volume", "mass", "metric tons delivered", "metric tons", "mt delivered"),
+    "fuel_type": ("fuel type", "fuel grade", "grade", "product grade", "grade of product", "product"),
+    "density": ("density", "density at 15c", "density at 15 degc", "specific gravity"),
+    "sulphur_content": ("sulphur content", "sulphur", "sulfur", "s content", "sulphur %"),
+    "flashpoint": ("flashpoint", "flash point", "fp", "flash pt"),
+    "viscosity": ("viscosity", "viscosity at 50c", "viscosity at 40c", "kinematic viscosity"),
+    "water_content": ("water content", "water", "h2o content", "water % v/v", "water content % v/v"),
+    "seal_number_vessel": ("vessel seal", "ship seal", "seal vessel"),
+    "seal_number_marpol": ("marpol seal", "seal marpol", "marpol"),
+    "seal_number_barge": ("barge seal", "seal barge"),
+    "bdn_reference": ("bdn no", "bdn no.", "bdn number", "bdn reference", "bdn ref"),
+}
+#: A label of so few letters must stand as it is.
+SHORT = 4
+_MARKS = "abcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def _letters(x: Column) -> Column:
+    """A bit for each letter and digit of a lower-case text."""
+    return sum((F.when(F.contains(x, F.lit(c)), 1 << i).otherwise(0).cast("bigint") for i, c in enumerate(_MARKS)), F.lit(0).cast("bigint"))
+
+
+def _keyed_lines(notes: DataFrame, ahead: int, layouts: bool) -> DataFrame:
+    """note_id, limit, line, key, value, sure: what may be label and value of each line.
+
+    `label: value`, with `;`, `|` or a tab as well; where nothing follows, the next line with text within `ahead` that is no bare label is the
+    value. With layouts also `label    value`, a label alone on its line, and the first words of a line; the last two count
+    only as they stand (sure), the first words of two or more also where they look alike.
+    """
+    lines = F.transform(F.split(F.coalesce("raw_text", F.lit("")), "\n"), lambda x: F.regexp_replace(x, "^[\\x20\\t\\r]+|[\\x20\\t\\r]+$", ""))
+    at = notes.select("note_id", lines.alias("lines"), "limit").select("note_id", "lines", "limit", F.posexplode("lines").alias("line", "text")).where("text <> ''")
+    bare = lambda x: x.rlike(r"^[^:;|\t]+[:;|\t]+$")
+    after = None
+    for k in range(1, ahead + 1):  # the first line with text decides: it is the value, unless it is a label of its own
+        x = F.get("lines", F.col("line") + k)
+        after = F.when(x != "", F.when(~bare(x), F.struct(x.alias("v")))) if after is None else after.when(x != "", F.when(~bare(x), F.struct(x.alias("v"))))
+    at = at.select("note_id", "limit", "line", "text", after["v"].alias("next"))
+    low = lambda c: F.lower(F.trim(c))
+    key, rest = F.regexp_extract("text", r"^([^:;|\t]+)[:;|\t]+(.*)$", 1), F.trim(F.regexp_extract("text", r"^([^:;|\t]+)[:;|\t]+(.*)$", 2))
+    pair = lambda k, v, sure: F.struct(low(k).alias("key"), v.alias("value"), F.lit(sure).alias("sure"))
+    own = F.array(pair(key, F.coalesce(X.some(rest), "next"), False))
+    if not layouts:
+        found = F.when(key != "", own)
+    else:
+        gap = r"^(\S(?:.*?\S)?)[\x20\t]{2,}(\S.*)$"
+        aligned_ = F.array(pair(F.regexp_extract("text", gap, 1), F.regexp_extract("text", gap, 2), False))
+        words = F.split("text", " +")
+        first = lambda n: pair(F.array_join(F.slice(words, 1, n), " "), X.some(F.array_join(F.slice(words, n + 1, 10), " ")), n == 1)
+        plain = F.array(pair(F.col("text"), F.col("next"), True), *[first(n) for n in (1, 2, 3, 4)])
+        # Two blanks before the first mark: what stands behind them is the value, marks and all.
+        found = F.when((key != "") & ~key.rlike(r"\S[\x20]{2,}\S"), own).when(F.col("text").rlike(gap), aligned_).when(key != "", own).when(F.size(words) <= 14, plain)
+    return at.select("note_id", "limit", "line", F.explode(found).alias("x")).select("note_id", "limit", "line", "x.*").where("key <> '' and value is not null")
+
+
+def find_fuzzy(notes: DataFrame, labels: dict[str, list[str]] | dict[str, tuple[str, ...]], threshold: float | Column = 80.0, ahead: int = 3, layouts: bool = False) -> DataFrame:
     """note_id, field, value, score, line: for each field the line whose label is most like one of its labels; the first of equals.
 
-    A line is `label: value`; where the value is empty, the next non-empty line within `ahead` stands for it. Labels are a short literal list.
+    Labels are a literal dictionary. A line's label meets those of lengths that the limit allows, and of them it is compared
+    only with those whose letters differ by no more than the edits that the limit allows; short labels must be equal, and a line whose
+    label is one as it stands is no misread other one.
     """
-    lines = F.split(F.coalesce("raw_text", F.lit("")), "\n")
-    limit = threshold if isinstance(threshold, Column) else F.lit(threshold)
-    at = notes.select("note_id", lines.alias("lines"), limit.alias("limit")).select("note_id", "lines", "limit", F.posexplode("lines").alias("line", "text"))
-    own = X.some(F.trim(F.regexp_extract("text", r"^[^:]*:(.*)$", 1)))
-    later = [F.when(F.trim(F.get("lines", F.col("line") + k)) != "", F.trim(F.get("lines", F.col("line") + k))) for k in range(1, ahead + 1)]
-    split = at.select("note_id", "line", "limit", F.lower(F.trim(F.regexp_extract("text", "^([^:]*):", 1))).alias("label"), F.coalesce(own, *later).alias("value")).where("label <> ''")
-    known = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(x).alias("known")) for f, xs in labels.items() for x in xs])
-    tried = split.withColumn("k", F.explode(known)).select("note_id", "line", "value", "limit", "k.field", (100 * (1 - F.levenshtein("label", "k.known") / F.greatest(F.length("label"), F.length("k.known")))).alias("score"))
-    best = tried.where((F.col("score") >= F.col("limit")) & F.col("value").isNotNull()).groupBy("note_id", "field").agg(F.max_by(F.struct("value", "score", "line"), F.struct("score", (-F.col("line")).alias("l"))).alias("b"))
+    limit = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
+    keyed = _keyed_lines(notes.withColumn("limit", limit), ahead, layouts).withColumn("n", F.length("key")).withColumn("marks", _letters(F.col("key")))
+    low = threshold if not isinstance(threshold, Column) else 50.0
+    known = [(f, x, len(x), n, sum(1 << i for i, c in enumerate(_MARKS) if c in x)) for f, xs in labels.items() for x in xs for n in range(1, 3 * len(x) + 3) if n == len(x) or (len(x) > SHORT and 100 * (1 - abs(n - len(x)) / max(n, len(x))) >= low)]
+    table = notes.sparkSession.createDataFrame(known, "field string, known string, m int, n int, known_marks long")
+    most = F.floor((1 - F.col("limit") / 100) * F.greatest("n", "m") + 1e-9).cast("int")
+    only = lambda a, b: F.bit_count(F.col(a).bitwiseAND(F.bitwise_not(F.col(b))))
+    near = (only("marks", "known_marks") <= most) & (only("known_marks", "marks") <= most)
+    exact = F.col("key") == F.col("known")
+    # A line that bears one field's label as it stands is not a misread label of another.
+    own = F.col("key").isin(*[x for xs in labels.values() for x in xs])
+    met = keyed.join(F.broadcast(table), "n").where(exact | (near & ~F.col("sure") & ~own & (F.col("m") > SHORT)))
+    tried = met.withColumn("score", 100 * (1 - F.levenshtein("key", "known") / F.greatest("n", "m", F.lit(1)))).where(F.col("score") >= F.col("limit"))
+    best = tried.groupBy("note_id", "field").agg(F.max_by(F.struct("value", "score", "line"), F.struct("score", (-F.col("line")).alias("l"), (-F.length("value")).alias("w"))).alias("b"))
     return best.select("note_id", "field", "b.value", rounded(F.col("b.score"), 3).alias("score"), "b.line")
 
 
@@ -147,15 +236,25 @@ def aligned(notes: DataFrame, labels: dict[str, str]) -> DataFrame:
     return notes.select("note_id", *[X.some(F.regexp_extract("raw_text", rf"(?im)^[ \t]*(?:{p})[ \t]{{2,}}([^\n]*[^\s])[ \t]*$", 1)).alias(f) for f, p in labels.items()])
 
 
-#: Labels that a misread label is compared with.
-FUZZY = {"vessel_name": ["vessel name", "name of vessel"], "barge_name": ["barge name", "name of barge"], "port": ["port", "port of delivery"], "supplier": ["supplier", "supplied by"], "delivery_date": ["delivery date", "date of delivery"], "start_time": ["commenced pumping", "start time"], "end_time": ["completed pumping", "end time"]}
-
-
 def routed(notes: DataFrame, digital: float = 80.0, handwritten: float = 65.0) -> DataFrame:
-    """Fields by patterns; text fields that no pattern finds by the most similar label, with the limit of the note's kind; bare times of
-    handwritten notes take the delivery date."""
+    """Fields by patterns; fields that no pattern finds by the most similar label, in any layout, with the limit of the note's kind; bare
+    times of handwritten notes take the delivery date. Only notes that lack a field are read by lines."""
+    x = staged(extract(notes), "by-patterns")
+    lacking = F.lit(False)
+    for f in LABELS:
+        lacking = lacking | F.col(f).isNull()
     limit = F.when(F.col("doc_type") == "HANDWRITTEN", handwritten).otherwise(digital)
-    found = find_fuzzy(notes, FUZZY, limit).groupBy("note_id").pivot("field", sorted(FUZZY)).agg(F.first("value"))
-    found = found.select("note_id", *[_checked(cap_words(F.col(f), LONGEST[f]), plausible_text, f).alias(f"__{f}") for f in FUZZY])
-    x = extract(notes).join(found, "note_id", "left")
-    return anchored_times(x.withColumns({f: F.coalesce(f, f"__{f}") for f in FUZZY}).drop(*[f"__{f}" for f in FUZZY]))
+    found = find_fuzzy(x.where(lacking), LABELS, limit, layouts=True).groupBy("note_id").pivot("field", list(LABELS)).agg(F.first("value"))
+    checked: dict[str, Column] = {}
+    for f in LABELS:
+        c = F.col(f)
+        if f in NUMERIC:
+            v = X.to_number(F.regexp_extract(c, "([0-9][0-9,]*\\.?[0-9]*)", 1))
+            checked[f] = _checked(v, plausible, f) if f in RANGES else v
+        elif f == "imo":
+            checked[f] = X.some(F.regexp_extract(c, "([0-9]{7})", 1))
+        else:
+            checked[f] = _checked(cap_value(c, LONGEST.get(f, 8), f not in TIMES), plausible_text, f)
+    found = found.select("note_id", *[v.alias(f"__{f}") for f, v in checked.items()])
+    x = x.join(found, "note_id", "left")
+    return anchored_times(x.withColumns({f: F.coalesce(f, f"__{f}") for f in LABELS}).drop(*[f"__{f}" for f in LABELS]))

@@ -135,6 +135,36 @@ def ex_04_route(spark: SparkSession, d: str) -> DataFrame:
     return E.routed(n).select("note_id", "vessel_name", "barge_name", "port")
 
 
+_VALUES = ["vessel_name", "imo", "barge_name", "barge_sb_number", "delivery_date", "start_time", "end_time", "port", "supplier", "cast(q + 0.5e0 as double) as quantity_mt", "fuel_type", *[f"cast({f} as double) as {f}" for f in E.NUMERIC[1:]], "seal_number_vessel", "seal_number_marpol", "seal_number_barge", "bdn_reference"]
+_WORN = "case when note_id % 2 = 1 or doc_type = 'HANDWRITTEN' then {0} end as {0}"
+
+
+@query(f"select note_id, {', '.join(_VALUES)} from note_values")
+def ex_02_layouts(spark: SparkSession, d: str) -> DataFrame:
+    """All fields of notes in four layouts, under labels that no pattern knows: beside a colon or bar, two lines below, and aligned."""
+    return E.routed(frame(spark, d, "laid_notes")).select("note_id", *E.LABELS)
+
+
+@query(f"select note_id, {', '.join(_WORN.format(v) if v in ('vessel_name', 'supplier') else v for v in _VALUES)} from note_values")
+def ex_01_misread_labels(spark: SparkSession, d: str) -> DataFrame:
+    """All fields under misread labels, some so far off that only the limit of handwritten notes lets them pass."""
+    return E.routed(frame(spark, d, "misread_notes")).select("note_id", *E.LABELS)
+
+
+@query("select o_orderkey, case when o_orderkey % 30 < 24 then '2024-01-02 ' || lpad(cast(o_orderkey % 30 as string), 2, '0') || ':15' end as at, case when o_orderkey % 4 <> 1 and o_orderkey % 4 <> 2 then case o_orderkey % 4 when 0 then 'Eastern Fuels' else 'Police Notes' end end as supplier from orders")
+def dq_05_hours_and_licences(spark: SparkSession, d: str) -> DataFrame:
+    """Times with an hour beyond 23 and suppliers that are a licence are no values."""
+    x = frame(spark, d, "orders").selectExpr("o_orderkey", "'2024-01-02 ' || lpad(cast(o_orderkey % 30 as string), 2, '0') || ':15' as at", "case o_orderkey % 4 when 0 then 'Eastern Fuels' when 1 then 'Licence No 2252' when 2 then 'LIC  NO: X' else 'Police Notes' end as supplier")
+    return x.select("o_orderkey", E.plausible_text(F.col("at"), "start_time").alias("at"), E.plausible_text(F.col("supplier"), "supplier").alias("supplier"))
+
+
+@query("""select o_orderkey, case o_orderkey % 6 when 0 then 'OP BRAZIL ' || cast(o_orderkey as string) when 1 then 'STAR' when 2 then null when 3 then null when 4 then 'ONE TWO THREE FOUR' else null end as out from orders""")
+def dq_07_values(spark: SparkSession, d: str) -> DataFrame:
+    """Values end at a stop phrase, have at most four words, and are no heading."""
+    x = frame(spark, d, "orders").selectExpr("o_orderkey", "case o_orderkey % 6 when 0 then 'OP BRAZIL ' || cast(o_orderkey as string) || ' Next  Port: X' when 1 then 'STAR;;noise' when 2 then 'Reference' when 3 then 'metering 12' when 4 then ' ONE TWO THREE FOUR FIVE 12:30 later' else ' n/a ' end as x")
+    return x.select("o_orderkey", E.cap_value(F.col("x"), 4).alias("out"))
+
+
 @query(f"select note_id, {sql_round('0.7e0 * (7 + case when contains(raw_text, ' + chr(39) + 'Barge Name' + chr(39) + ') then 1 else 0 end) / 9 + 0.3e0 * ocr_confidence', 3)} as confidence from notes")
 def ex_05_confidence(spark: SparkSession, d: str) -> DataFrame:
     return _extracted(spark, d).select("note_id", E.extraction_confidence().alias("confidence"))

@@ -130,6 +130,14 @@ def dq_01_vessels(spark: SparkSession, d: str) -> DataFrame:
     return Q.violations(v, Q.vessel_rules(), {"imo_unique": ["imo"], "mmsi_unique": ["mmsi"]}).select("imo", F.array_join("violations", ",").alias("broken"), "name")
 
 
+@query("""select imo, mmsi, array_to_string(list_filter([case when mmsi is not null and count(*) over (partition by mmsi) > 1 then 'mmsi_unique' end, case when mmsi is not null and flag is not null and count(*) over (partition by mmsi, flag) > 1 then 'pair_unique' end], lambda x: x is not null), ',') as broken
+  from (select imo, case when cast(imo as bigint) % 3 = 0 then null when cast(imo as bigint) % 3 = 1 then '000000000' else mmsi end as mmsi, case when cast(imo as bigint) % 7 = 0 then null else flag end as flag from vessel_registry) x""")
+def dq_01_null_and_default_keys(spark: SparkSession, d: str) -> DataFrame:
+    """A third of the vessels without a number, a third with the same: unknown keys equal nothing, and the frequent one is dealt."""
+    v = frame(spark, d, "vessel_registry").selectExpr("imo", "case when cast(imo as bigint) % 3 = 0 then null when cast(imo as bigint) % 3 = 1 then '000000000' else mmsi end as mmsi", "case when cast(imo as bigint) % 7 = 0 then null else flag end as flag")
+    return Q.violations(v, {}, {"mmsi_unique": ["mmsi"], "pair_unique": ["mmsi", "flag"]}).select("imo", "mmsi", F.array_join("violations", ",").alias("broken"))
+
+
 @query("""select seq, broken from (select seq, array_to_string(list_filter([case when speed - 1 < 0 then 'speed_sign' end, case when heading not between 0 and 360 then 'heading_range' end, case when (seq % 300) + 90 > 360 then 'course_range' end, case when count(*) over (partition by mmsi, cast(floor(ts / 600) as bigint)) > 1 then 'position_unique' end], lambda x: x is not null), ',') as broken from positions) x where broken <> ''""")
 def dq_02_positions(spark: SparkSession, d: str) -> DataFrame:
     p = frame(spark, d, "positions").select("seq", "mmsi", "lat", "lon", "heading", (F.col("speed") - 1).alias("speed"), ((F.col("seq") % 300) + 90).alias("course"), F.floor(F.col("ts") / 600).alias("recorded_at"))

@@ -32,6 +32,17 @@ def _time_text(at: str) -> str:
     )
 
 
+def _laid(labels: dict[str, str], separator: str) -> str:
+    """A note's text: each label, the separator and the value of `note_values`; fields without a value are left out."""
+    return " || ".join(f"coalesce({label} || {separator} || {field} || chr(10), '')" for field, label in labels.items())
+
+
+#: How the labels of laid-out notes read: other words than those of `notes`.
+_OTHER_WORDS = {"vessel_name": "'Receiving Vessel'", "imo": "'Vessel IMO Number'", "barge_name": "'Bunker Craft'", "barge_sb_number": "'Craft No'", "delivery_date": "'Bunkering Date'", "start_time": "'Hose On'", "end_time": "'Hose Off'", "port": "'Anchorage'", "supplier": "'Seller'", "quantity_text": "'Metric Tons Delivered'", "fuel_type": "'Product Grade'", "density": "'Specific Gravity'", "sulphur_content": "'Sulfur'", "flashpoint": "'Flash Pt'", "viscosity": "'Kinematic Viscosity'", "water_content": "'Water % V/V'", "seal_number_vessel": "'Ship Seal'", "seal_number_marpol": "'Marpol'", "seal_number_barge": "'Seal Barge'", "bdn_reference": "'BDN Ref'"}
+#: Labels as a scan misreads them: by a letter or two, and those of vessel and supplier by more in notes with even numbers.
+_MISREAD = {"vessel_name": "case when note_id % 2 = 0 then 'Vesl Nam' else 'Vesse1 Nane' end", "imo": "'IM0 Nunber'", "barge_name": "'Barqe Nane'", "barge_sb_number": "'S8 Number'", "delivery_date": "'Delivery Dale'", "start_time": "'Commenccd Pumpinq'", "end_time": "'Complcted Pumpinq'", "port": "'Port of Delivcry'", "supplier": "case when note_id % 2 = 0 then 'Spplir' else 'Suppller' end", "quantity_text": "'Quantity Delivcred'", "fuel_type": "'Fuel Typc'", "density": "'Densily'", "sulphur_content": "'Sulphur Contcnt'", "flashpoint": "'Flashpolnt'", "viscosity": "'Viscosily'", "water_content": "'Water Contenl'", "seal_number_vessel": "'Vessel Seai'", "seal_number_marpol": "'Marpol Seai'", "seal_number_barge": "'Barqe Seal'", "bdn_reference": "'BDN Nunber'"}
+
+
 TABLES: dict[str, str] = {
     "users": "select max(user_id) + 1 as u from {events}",
     "positions": """select cast(200000000 + user_id as string) as mmsi, EPOCH(ts) as ts, event_id as seq,
@@ -70,6 +81,14 @@ TABLES: dict[str, str] = {
         || 'Flashpoint: ' || cast(50 + id % 40 as string) || chr(10) || 'Viscosity: ' || cast(300 + id % 500 as string) || '.5' || chr(10) || 'Water Content: 0.' || cast(id % 9 as string) || chr(10)
         || case when id % 3 = 0 then '' else 'Vessel Seal: V' || cast(id as string) || chr(10) end || case when id % 17 = 0 then 'Remarks: quantity AMENDED by hand' else 'Remarks: none' end as raw_text
         from {{note_fields}}""",
+    "note_values": f"""select id as note_id, doc_type, ocr_confidence, font_variance, vessel_name, imo, barge_name, sb_number as barge_sb_number, {_two(f"cast(floor((start_s - {EPOCH0}) / 86400) as bigint) + 1")} || '/01/2024' as delivery_date,
+        '2024-01-15 ' || {_two('id % 24')} || ':' || {_two('id % 60')} as start_time, '2024-01-16 ' || {_two('(id + 5) % 24')} || ':' || {_two('id % 60')} as end_time,
+        case cast(floor(id / 4) as bigint) % 4 when 0 then 'Singapore' when 1 then 'ROTTERDAM' when 2 then 'Hong Kong' else 'Fujairah' end as port, 'Eastern ' || supplier as supplier,
+        case when q >= 1000 then cast(cast(floor(q / 1000) as bigint) as string) || ',' || {_two('q % 1000', 3)} else cast(q as string) end || '.50 MT' as quantity_text, q, case when id % 2 = 0 then 'VLSFO' else 'MGO' end as fuel_type,
+        '0.9' || cast(500 + id % 400 as string) as density, '0.' || cast(1 + id % 8 as string) as sulphur_content, cast(50 + id % 40 as string) as flashpoint, cast(300 + id % 400 as string) || '.5' as viscosity, '0.' || cast(1 + id % 8 as string) as water_content,
+        'V' || cast(id as string) as seal_number_vessel, 'M' || cast(id as string) as seal_number_marpol, 'B' || cast(id as string) as seal_number_barge, 'BDN-' || cast(id as string) as bdn_reference from {{note_fields}}""",
+    "laid_notes": f"""select note_id, doc_type, ocr_confidence, font_variance, 'BUNKER DELIVERY NOTE' || chr(10) || {_laid(_OTHER_WORDS, "case note_id % 4 when 0 then ': ' when 1 then ':' || chr(10) || chr(10) when 2 then '    ' else ' | ' end")} || 'Remarks: none' as raw_text from {{note_values}}""",
+    "misread_notes": f"""select note_id, doc_type, ocr_confidence, font_variance, 'BUNKER DELIVERY NOTE' || chr(10) || {_laid(_MISREAD, "': '")} || 'Remarks: none' as raw_text from {{note_values}}""",
     "ocr_words": """select doc_id as note_id, pos, cast(1 + floor(pos / 600) as bigint) as page, cast(floor(pos % 600 / 200) as bigint) as block_num, cast(floor(pos % 200 / 50) as bigint) as par_num,
         cast(floor(pos % 50 / 10) as bigint) as line_num, pos % 10 as word_num, word as text, (doc_id * 31 + pos * 17) % 101 - 1 as conf, 40 + (pos % 10) * 90 as left_px, 30 + cast(floor(pos / 10) as bigint) * 14 as top_px,
         8 * length(word) as width_px, 12 as height_px from (WORDS(doc_id, text, {documents})) t""",

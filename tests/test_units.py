@@ -173,3 +173,36 @@ def test_stream_state(spark, tmp_path):
     ids = lambda *a: sorted(r.note_id for r in jobs.remembered(spark, path, schema, *a).collect())
     assert ids(1, None) == [1, 2] and ids(2, None) == [1, 2, 3, 4] and ids(2, 5 * day + 7) == [2, 3, 4]
     assert jobs.forget(spark, path, 6 * day) == 2 and ids(9, None) == [3, 4]
+
+
+def test_repeated_keys(spark):
+    """Null keys equal nothing; the rows of a frequent key are dealt and all found."""
+    from notecheck.operators import quality
+
+    rows = [(i, "hot", 1) for i in range(500)] + [(1000, None, 1), (1001, None, 1), (1002, "a", None), (1003, "a", None), (1004, "b", 2), (1005, "c", 3), (1006, "c", 3), (1006, "c", 3)]
+    d = spark.createDataFrame(rows, "id long, `k.x` string, v int").repartition(3)
+    got = sorted((r.id, r.again) for r in quality.repeated(d, ["k.x", "v"], "again", most=50).collect())
+    assert got == sorted((i, k == "hot" or i in (1005, 1006)) for i, k, _ in rows)
+    assert quality.repeated(d, ["k.x"], "again").columns == ["id", "k.x", "v", "again"]
+
+
+def test_values(spark):
+    from notecheck.operators import extract
+
+    for given, want in [("OP BRAZIL Next Port: X", "OP BRAZIL"), ("Number", None), ("A B C D E", "A B C D"), ("Metering 3", None), ("SEA ; | x", "SEA ; | x"), ("SEA ;| x", "SEA")]:
+        assert one(spark, extract.cap_value(F.lit(given), 4)) == want
+    assert one(spark, extract.plausible_text(F.lit("29:75"), "start_time")) is None and one(spark, extract.plausible_text(F.lit("09:75"), "start_time")) == "09:75" and one(spark, extract.plausible_text(F.lit("soon"), "end_time")) == "soon"
+    assert one(spark, extract.plausible_text(F.lit("LICENCE NO 2"), "supplier")) is None
+
+
+def test_label_search(spark):
+    """Every label of the dictionary finds its field, as it stands and misread; bare labels are no values; prose is no label."""
+    from notecheck.operators import extract
+
+    rows = [(i, f"Heading\n{x.title()}: value {i}\nend") for i, (f, x) in enumerate((f, x) for f, xs in extract.LABELS.items() for x in xs)]
+    fields = [f for f, xs in extract.LABELS.items() for _ in xs]
+    found = {(r.note_id, r.field): r.value for r in extract.find_fuzzy(spark.createDataFrame(rows, "note_id long, raw_text string"), extract.LABELS).collect() if r.score == 100}
+    assert all(found.get((i, f)) == f"value {i}" for i, f in enumerate(fields))
+    text = "Vessel Name:\nPort:\n\nSingapore\nQuantity Delivered   12.5 MT\nBunker Tanker\nSEA STAR\nSupplier Eastern Fuels\nthe ship is a good ship to be in for the whole of the long day at sea and more\nDnsity\tx"
+    got = {r.field: (r.value, r.score) for r in extract.find_fuzzy(spark.createDataFrame([(1, text)], "note_id long, raw_text string"), extract.LABELS, layouts=True).collect()}
+    assert "vessel_name" not in got and got["port"] == ("Singapore", 100) and got["quantity_mt"] == ("12.5 MT", 100) and got["barge_name"] == ("SEA STAR", 100) and got["supplier"] == ("Eastern Fuels", 100) and got["density"] == ("x", 85.714)
