@@ -40,7 +40,9 @@ from .quality_cnn import bounded_sample, held_out, labelled
 TOKEN = re.compile(r"\w+")
 SPAN = 400
 QUOTED = re.compile("|".join([rf'(?:(?<=[\s(\[])|^)"(?=\S)[^"]{{1,{SPAN}}}?(?<=\S)"(?!\w)', *(rf"{a}[^{a}{b}]{{1,{SPAN}}}{b}" for a, b in ("“”", "„“", "«»"))]))
-MARKED = re.compile(r"\w+(?:[*@$#!.+-]\w+)+")
+# A match takes whole runs of letters, so none is tried from within one; most texts lack a mark between letters.
+MARKED = re.compile(r"(?<!\w)\w++(?:[*@$#!.+-]\w++)+")
+MARK = re.compile(r"(?<=\w)[*@$#!.+-](?=\w)")
 SPACED = re.compile(r"\b(?:\w[ .*_-]){3,}\w\b")
 # Words of saying.
 SAYING = frozenset("said says say saying quote quoted quotes called calls wrote word term sagte sagt nannte zitat wort dit disait cite citation mot dijo dice cita palabra".split())
@@ -213,7 +215,7 @@ def features(text: object, lexicon: LexiconAutomaton, window: int) -> tuple[floa
     text = text.lower() if isinstance(text, str) else ""
     # Most texts hold nothing; each of their different words is asked for once.
     plain = any(lexicon.match(w) is not None for w in set(TOKEN.findall(text)))
-    tokens = tokens_of(text, lexicon) if plain or MARKED.search(text) or SPACED.search(text) else []
+    tokens = tokens_of(text, lexicon) if plain or MARK.search(text) or SPACED.search(text) else []
     if all(hit is None for _, _, hit in tokens):
         return (0.0,) * len(FEATURES)
     spans = [m.span() for m in QUOTED.finditer(text)]
