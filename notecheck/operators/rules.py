@@ -200,6 +200,33 @@ def compliance(density: Column, sulphur: Column, flashpoint: Column) -> Column:
     return F.struct(d.alias("density"), s.alias("sulphur"), f.alias("flashpoint"), rounded(points, 2).alias("score"))
 
 
+#: What each broken limit takes from the share of limits that hold, and the weights of document, data and limits.
+BROKEN, BLEND = {"density": 0.33, "sulphur": 0.33, "flashpoint": 0.34}, {"document": 0.40, "data": 0.35, "limits": 0.25}
+
+
+def compliance_review(rows: DataFrame) -> DataFrame:
+    """rows judged again after an edit: limits, data, overall, new_classification, new_reason and violations.
+
+    rows: density, sulphur_content, flashpoint, ocr_confidence, anomaly_flags, barge_ais_missing, barge_missing, is_anomaly,
+    classification, verdict_reason. A broken limit makes a verdict HIGH_RISK; a barge without positions, where it is known which barge it
+    is and nothing is unusual, sends a VALID or SUSPICIOUS one to review; all else stays.
+    """
+    c = compliance(F.col("density"), F.col("sulphur_content"), F.col("flashpoint"))
+    r = rows.withColumn("__c", c)
+    failed = {k: F.col(f"__c.{k}") == "FAIL" for k in BROKEN}
+    any_failed = failed["density"] | failed["sulphur"] | failed["flashpoint"]
+    limits = F.greatest(F.lit(0.0), 1 - sum((F.when(x, BROKEN[k]).otherwise(0.0) for k, x in failed.items()), F.lit(0.0)))
+    absent = F.coalesce("barge_ais_missing", F.lit(False))
+    others = F.size(F.filter(F.coalesce("anomaly_flags", F.array().cast("array<string>")), lambda f: f != "ais_unavailable"))
+    data = F.greatest(F.lit(0.0), 1 - F.when(absent, 0.5).otherwise(0.0) - 0.2 * others)
+    gap = absent & ~F.coalesce("barge_missing", F.lit(False)) & ~F.coalesce("is_anomaly", F.lit(False))
+    label = F.when(any_failed, "HIGH_RISK").when(gap & F.col("classification").isin("VALID", "SUSPICIOUS"), "REVIEW_REQUIRED").otherwise(F.col("classification"))
+    overall = F.coalesce("ocr_confidence", F.lit(0.95)) * BLEND["document"] + data * BLEND["data"] + limits * BLEND["limits"]
+    reason_ = F.when(any_failed, "A limit for marine fuel is broken.").when(gap & (label == "REVIEW_REQUIRED"), "The barge has no positions for the delivery; nothing unusual was found.").otherwise(F.col("verdict_reason"))
+    broken = F.filter(F.array(*[F.when(x, f"marpol_{k}_violation") for k, x in failed.items()]), lambda x: x.isNotNull())
+    return r.select(*rows.columns, rounded(limits, 2).alias("limits"), rounded(data, 2).alias("data"), rounded(overall, 4).alias("overall"), label.alias("new_classification"), reason_.alias("new_reason"), broken.alias("violations"))
+
+
 #: Checks that a flag of the document fails.
 FLAG_CHECKS = {
     "no corrections": "contains_correction_keywords",
@@ -227,6 +254,39 @@ def check_list(rows: DataFrame, p: Params = DEFAULT) -> DataFrame:
     return rows.select("note_id", F.explode(made).alias("x")).select("note_id", "x.*")
 
 
+def verdict_checks(rows: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """note_id, category, check, status, detail: up to 18 rows for each judged note, from its document, identity, positions and times.
+
+    rows: the required fields, imo, ocr_confidence, credibility_score and flags, quantity_mt, located and highlighted (fields found on the page, of
+    how many; null without boxes), identity_unresolved, identity_confidence, identity_method, ais_unavailable, anomaly_flags, overlap_percent,
+    avg_distance_m, port_coordinate_match, anomaly_score, is_anomaly, start_s. A check whose input is null is left out; of the checks of
+    positions a note without them has one.
+    """
+    flag = lambda f: F.array_contains(F.coalesce("anomaly_flags", F.array().cast("array<string>")), f)
+    tracked, unresolved = ~F.coalesce("ais_unavailable", F.lit(True)), F.coalesce("identity_unresolved", F.lit(True)) | flag("vessel_identity_unresolved")
+    text = lambda x: x.cast("string")
+    credible = (F.col("credibility_score") >= 70) & (F.size("credibility_flags") == 0)
+    alongside = ~flag("barge_ais_missing") & (F.coalesce("overlap_percent", F.lit(0.0)) >= p.min_overlap_percent)
+    # category, check, present, passed, detail
+    checks = [("document", f"{c} read", F.lit(True), _unless_empty(c), F.when(_unless_empty(c), F.concat(F.lit("read: "), text(F.col(c)))).otherwise("not read")) for c in (*p.required_fields, "imo")]
+    checks += [
+        ("document", "text readable", F.lit(True), F.coalesce(F.col("ocr_confidence") >= p.ocr_threshold, F.lit(False)) & ~F.array_contains("credibility_flags", "low_ocr_confidence"), F.concat(F.lit("confidence in percent: "), text(F.floor(F.coalesce("ocr_confidence", F.lit(0.0)) * 100 + 1e-9)))),
+        ("document", "credible", F.col("credibility_score").isNotNull(), credible, F.concat_ws("; ", F.concat(F.lit("score "), text(F.col("credibility_score"))), F.nullif(F.array_join(F.array_sort("credibility_flags"), ", "), F.lit("")))),
+        ("document", "quantity possible", F.col("quantity_mt").isNotNull(), ~flag("quantity_infeasible"), F.when(flag("quantity_infeasible"), "too much or too little for the time").otherwise("fits the time")),
+        ("document", "fields located", F.coalesce("highlighted", F.lit(0)) > 0, F.col("located") >= F.col("highlighted") - 2, F.concat(text(F.col("located")), F.lit(" of "), text(F.col("highlighted")), F.lit(" found on the page"))),
+        ("identity", "IMO and name agree", F.lit(True), ~unresolved, F.when(unresolved, "a reviewer must decide").otherwise("one vessel")),
+        ("identity", "identity sure", F.col("identity_confidence").isNotNull(), (F.col("identity_confidence") >= p.name_threshold) & ~unresolved, F.concat(text(F.floor(F.col("identity_confidence") * 100 + 1e-9)), F.lit(" percent by "), F.coalesce("identity_method", F.lit("unknown")))),
+        ("positions", "positions there", ~tracked, F.lit(False), F.lit("none for the delivery")),
+        ("positions", "vessel at rest", tracked, ~flag("vessel_speed_anomaly"), F.when(flag("vessel_speed_anomaly"), "moved too fast").otherwise("track as expected")),
+        ("positions", "barge alongside", tracked, alongside, F.when(flag("barge_ais_missing"), "no positions of the barge").otherwise(F.concat(text(F.col("overlap_percent")), F.lit(" percent together, "), text(F.col("avg_distance_m")), F.lit(" m apart")))),
+        ("positions", "port as stated", tracked, F.coalesce("port_coordinate_match", F.lit(False)), F.when(F.coalesce("port_coordinate_match", F.lit(False)), "near the port").otherwise("elsewhere or unknown")),
+        ("positions", "usual pattern", tracked & F.col("anomaly_score").isNotNull(), ~F.coalesce("is_anomaly", F.lit(False)), F.concat(F.lit("score "), text(F.col("anomaly_score")))),
+        ("positions", "times in UTC", F.col("start_s").isNotNull(), F.lit(True), F.lit("by the port's time zone")),
+    ]
+    made = [F.when(there, F.struct(F.lit(a).alias("category"), F.lit(b).alias("check"), F.when(F.coalesce(ok, F.lit(False)), "ok").otherwise("attention").alias("status"), F.coalesce(d, F.lit("")).alias("detail"))) for a, b, there, ok, d in checks]
+    return rows.select("note_id", F.explode(F.filter(F.array(*made), lambda x: x.isNotNull())).alias("x")).select("note_id", "x.*")
+
+
 #: Texts for codes; others are shown with blanks for underscores.
 DESCRIPTIONS = {
     "VESSEL_NOT_FOUND": "Vessel is in no registry",
@@ -252,6 +312,18 @@ DESCRIPTIONS = {
     "handwritten_document": "Note is handwritten",
     "missing_seal_numbers": "No seal numbers",
     "duplicate_bdn_detected": "Another note is the same",
+    "barge_ais_missing": "The barge has no positions for the delivery",
+    "vessel_speed_anomaly": "The vessel moved faster than a bunkering allows",
+    "co_location_duration_mismatch": "Vessel and barge were not side by side as long as stated",
+    "port_coordinate_mismatch": "Positions lie far from the stated port",
+    "quantity_infeasible": "No usual pump delivers the quantity in the time",
+    "ais_gap_exceeded": "Positions are missing for longer than allowed",
+    "ais_unavailable": "No positions could be had, so the place is unverified",
+    "vessel_identity_unresolved": "The IMO and the name point to different vessels",
+    "pipeline_error": "A step of the check failed",
+    "synthetic_ais_demo": "Positions are made up for a demonstration",
+    "vessel_name_fuzzy_match": "The name resembles the registered one",
+    "vessel_name_embedding_match": "The name means what the registered one means",
 }
 
 

@@ -155,9 +155,9 @@ def prj_01_normalized_positions(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select md5(text) as digest, length(text) as n, count(*) as files from benchmark group by all")
 def src_08_note_files(spark: SparkSession, d: str) -> DataFrame:
-    """Texts written as a folder of files, one each, and read by kind."""
+    """Texts written as files, one each in one folder, and read by kind."""
     path = f"{store.shared_folder(spark)}/notes/{uuid.uuid4().hex}"
-    frame(spark, d, "benchmark").select("item_id", "text").write.partitionBy("item_id").text(path)
+    frame(spark, d, "benchmark").select("text").write.option("maxRecordsPerFile", 1).text(path)
     text = F.regexp_replace("raw_text", "\n$", "")
     return S.read_notes(spark, path).select(F.md5(text).alias("digest"), F.length(text).alias("n")).groupBy("digest", "n").agg(F.count(F.lit(1)).alias("files"))
 

@@ -201,6 +201,66 @@ def rl_12_barge_missing(spark: SparkSession, d: str) -> DataFrame:
     return U.verdicts(U.with_alerts(_staged(spark, d))).select("id", "barge_missing")
 
 
+#: Judged notes from plain arithmetic, for the checks alone; both engines read this text.
+_JUDGED = """select o_orderkey as note_id, case when o_orderkey % 9 = 0 then '' else 'SEA ' || cast(o_orderkey as string) end as vessel_name, case when o_orderkey % 5 = 0 then null else 'B' end as barge_name, '01/02/2024' as delivery_date, '10:00' as start_time, case when o_orderkey % 8 = 0 then null else '12:00' end as end_time,
+  'Singapore' as port, case when o_orderkey % 7 = 0 then null else '1234567' end as imo, cast(o_orderkey % 100 as double) / 100 as ocr_confidence, case when o_orderkey % 13 = 0 then null else cast(o_orderkey % 201 as double) / 2 end as credibility_score, o_orderkey % 3 = 1 as corrected, o_orderkey % 100 < 85 as blurred,
+  case when o_orderkey % 4 = 0 then null else 12.5e0 end as quantity_mt, o_orderkey % 6 as located, case when o_orderkey % 2 = 0 then 5 end as highlighted, o_orderkey % 11 = 0 as identity_unresolved, case when o_orderkey % 12 = 0 then null else cast(o_orderkey % 10 as double) / 10 end as identity_confidence,
+  case when o_orderkey % 10 < 8 then 'fuzzy' else 'exact' end as identity_method, o_orderkey % 3 = 0 as ais_unavailable, o_orderkey % 5 as flag, cast(o_orderkey % 200 as double) / 2 as overlap_percent, cast(o_orderkey % 77 as double) + 0.5e0 as avg_distance_m,
+  o_orderkey % 2 = 0 as port_coordinate_match, case when o_orderkey % 14 = 1 then null else cast(o_orderkey % 8 as double) / 8 end as anomaly_score, o_orderkey % 8 > 5 as is_anomaly, case when o_orderkey % 15 = 0 then null else o_orderkey end as start_s,
+  case when o_orderkey % 17 = 0 then null else cast(700 + o_orderkey % 400 as double) / 1000 end as density, case when o_orderkey % 19 = 0 then null else cast(o_orderkey % 9 as double) / 10 end as sulphur_content, cast(40 + o_orderkey % 50 as double) as flashpoint, o_orderkey % 4 = 1 as barge_ais_missing, o_orderkey % 6 = 5 as barge_missing,
+  case o_orderkey % 4 when 0 then 'VALID' when 1 then 'SUSPICIOUS' when 2 then 'HIGH_RISK' else 'REVIEW_REQUIRED' end as classification, 'as before' as verdict_reason from """
+_FLAGS = ["ais_unavailable", "barge_ais_missing", "vessel_speed_anomaly", "quantity_infeasible", "port_coordinate_mismatch"]
+
+
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    x = spark.sql(_JUDGED + "{orders}", orders=frame(spark, d, "orders"))
+    some = lambda *fs: F.filter(F.array(*fs), lambda f: f.isNotNull())
+    flags = some(F.element_at(F.array(*[F.lit(f) for f in _FLAGS]), (F.col("flag") + 1).cast("int")), F.when(F.col("note_id") % 16 == 0, "quantity_infeasible"))
+    return x.withColumns({"credibility_flags": some(F.when(F.col("corrected"), "contains_correction_keywords"), F.when(F.col("blurred"), "low_ocr_confidence")), "anomaly_flags": flags})
+
+
+_J = f"""j as (select *, list_filter([case when corrected then 'contains_correction_keywords' end, case when blurred then 'low_ocr_confidence' end], lambda x: x is not null) as cf, list_filter([['{"', '".join(_FLAGS)}'][flag + 1], case when note_id % 16 = 0 then 'quantity_infeasible' end], lambda x: x is not null) as af from ({_JUDGED} orders) y)"""
+_READ = " union all ".join(f"""select note_id, 'document', '{c} read', coalesce({c}, '') <> '', case when coalesce({c}, '') <> '' then 'read: ' || {c} else 'not read' end from j""" for c in ("vessel_name", "barge_name", "delivery_date", "start_time", "end_time", "port", "imo"))
+
+
+@query(f"""with {_J}, c(note_id, category, "check", ok, detail) as ({_READ}
+  union all select note_id, 'document', 'text readable', ocr_confidence >= 0.85e0 and not blurred, 'confidence in percent: ' || cast(floor(ocr_confidence * 100 + 1e-9) as bigint) from j
+  union all select note_id, 'document', 'credible', credibility_score >= 70 and len(cf) = 0, 'score ' || credibility_score || case when len(cf) > 0 then '; ' || array_to_string(list_sort(cf), ', ') else '' end from j where credibility_score is not null
+  union all select note_id, 'document', 'quantity possible', not list_contains(af, 'quantity_infeasible'), case when list_contains(af, 'quantity_infeasible') then 'too much or too little for the time' else 'fits the time' end from j where quantity_mt is not null
+  union all select note_id, 'document', 'fields located', located >= 3, located || ' of 5 found on the page' from j where highlighted is not null
+  union all select note_id, 'identity', 'IMO and name agree', not identity_unresolved, case when identity_unresolved then 'a reviewer must decide' else 'one vessel' end from j
+  union all select note_id, 'identity', 'identity sure', identity_confidence >= 0.8e0 and not identity_unresolved, cast(floor(identity_confidence * 100 + 1e-9) as bigint) || ' percent by ' || identity_method from j where identity_confidence is not null
+  union all select note_id, 'positions', 'positions there', false, 'none for the delivery' from j where ais_unavailable
+  union all select note_id, 'positions', 'vessel at rest', not list_contains(af, 'vessel_speed_anomaly'), case when list_contains(af, 'vessel_speed_anomaly') then 'moved too fast' else 'track as expected' end from j where not ais_unavailable
+  union all select note_id, 'positions', 'barge alongside', not list_contains(af, 'barge_ais_missing') and overlap_percent >= 70, case when list_contains(af, 'barge_ais_missing') then 'no positions of the barge' else overlap_percent || ' percent together, ' || avg_distance_m || ' m apart' end from j where not ais_unavailable
+  union all select note_id, 'positions', 'port as stated', port_coordinate_match, case when port_coordinate_match then 'near the port' else 'elsewhere or unknown' end from j where not ais_unavailable
+  union all select note_id, 'positions', 'usual pattern', not is_anomaly, 'score ' || anomaly_score from j where not ais_unavailable and anomaly_score is not null
+  union all select note_id, 'positions', 'times in UTC', true, 'by the port''s time zone' from j where start_s is not null)
+  select note_id, category, "check", case when ok then 'ok' else 'attention' end as status, detail from c""")
+def rl_11_verdict_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Checks of document, identity, positions and times of judged notes."""
+    return U.verdict_checks(_judged(spark, d))
+
+
+@query(f"""with {_J}, b as (select *, coalesce(density not between 0.82e0 and 1.01e0, false) as fd, coalesce(sulphur_content > 0.5e0, false) as fs, flashpoint < 60 as ff, barge_ais_missing and not barge_missing and not is_anomaly as gap, len(list_filter(af, lambda f: f <> 'ais_unavailable')) as others from j),
+  c as (select *, greatest(0e0, 1 - case when fd then 0.33e0 else 0 end - case when fs then 0.33e0 else 0 end - case when ff then 0.34e0 else 0 end) as lim, greatest(0e0, 1 - case when barge_ais_missing then 0.5e0 else 0 end - 0.2e0 * others) as dat,
+    case when fd or fs or ff then 'HIGH_RISK' when gap and classification in ('VALID', 'SUSPICIOUS') then 'REVIEW_REQUIRED' else classification end as label from b)
+  select note_id, {sql_round('lim', 2)} as limits, {sql_round('dat', 2)} as data, {sql_round('ocr_confidence * 0.4e0 + dat * 0.35e0 + lim * 0.25e0', 4)} as overall, label as new_classification,
+    case when fd or fs or ff then 'A limit for marine fuel is broken.' when gap and label = 'REVIEW_REQUIRED' then 'The barge has no positions for the delivery; nothing unusual was found.' else 'as before' end as new_reason,
+    array_to_string(list_filter([case when fd then 'marpol_density_violation' end, case when fs then 'marpol_sulphur_violation' end, case when ff then 'marpol_flashpoint_violation' end], lambda x: x is not null), ',') as violations from c""")
+def rl_09_compliance_override(spark: SparkSession, d: str) -> DataFrame:
+    """Verdicts judged again after an edit, by the limits for fuel and what is known of the barge."""
+    return U.compliance_review(_judged(spark, d)).select("note_id", "limits", "data", "overall", "new_classification", "new_reason", F.array_join("violations", ",").alias("violations"))
+
+
+@query("""select id, code, description from (select o_orderkey as id, unnest([case o_orderkey % 4 when 1 then 'ais_unavailable' when 2 then 'barge_ais_missing' when 3 then 'port_coordinate_mismatch' end, case o_orderkey % 5 when 2 then 'vessel_name_fuzzy_match' end]) as code from orders) x join (values
+  ('ais_unavailable', 'No positions could be had, so the place is unverified'), ('barge_ais_missing', 'The barge has no positions for the delivery'), ('port_coordinate_mismatch', 'Positions lie far from the stated port'), ('vessel_name_fuzzy_match', 'The name resembles the registered one')) as t(code, description) using (code)""")
+def rl_14_flag_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of the flags of positions and identity."""
+    codes = _staged(spark, d).select("id", F.explode(F.concat("anomaly_flags", F.filter("identity_flags", lambda f: f == "vessel_name_fuzzy_match"))).alias("code"))
+    return codes.select("id", "code", U.describe_flag(F.col("code")).alias("description"))
+
+
 _TEXTS = " ".join(f"when '{k}' then '{v}'" for k, v in U.DESCRIPTIONS.items())
 
 
