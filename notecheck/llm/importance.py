@@ -215,8 +215,9 @@ def kth_key(keys: DataFrame, k: int, few: int = FEW, chunk: int = CHUNK) -> tupl
     stored, live = keys, F.lit(True)
     while left > few:
         medians = _fold(stored.where(live).withColumn("n", F.lit(1).cast("long")), chunk)
-        while (medians := materialize(medians, "importance-medians")).count() > few:
-            medians = _fold(medians, chunk)
+        # Few enough tasks that each has a chunk of medians to fold.
+        while (n := (medians := materialize(medians, "importance-medians")).count()) > few:
+            medians = _fold(medians.coalesce(-(-n // chunk)), chunk)
         found = sorted((r.down, r.last, r.id, r.n) for r in medians.collect())
         half, run = (sum(r[3] for r in found) + 1) // 2, 0
         for *key, n in found:
