@@ -16,7 +16,8 @@ are documents:
    become pivots, every member is measured against them exactly and goes to its nearest pivot's Voronoi region; it has a copy in each
    other whose pivot is no further than the nearest plus twice the radius. Inside, rings of one radius around the pivot hold a document and
    a copy of it in the next ring. Members within the radius of a pivot join its cell. What is still crowded is split again, with other
-   pivots, as long as the pairs left become fewer; after that the pairs are made in blocks.
+   pivots, as long as the pairs left become fewer. Regions left then that have nearly the same members become one family, whose pairs
+   are made once, in tiles.
 5. Remaining pairs are compared exactly, text against text. Links join cells into components.
 
 No step drops a pair that could link: all bounds are exact. Frequent shingles, pivots and regions are split over tasks. Where many
@@ -46,6 +47,8 @@ from .common import _hot_keys, _with_parts, join_small, join_split, materialize,
 BROADCAST_IDS = 200_000
 PIVOTS = 8
 BLOCK = 2000  # documents of a region that one task holds against the others
+TILES = 8  # blocks of a family at least, so that several tasks share it
+ENTRIES = 1_000_000  # places in regions that a block of a family has on average at most
 
 
 @dataclass(frozen=True)
@@ -232,6 +235,69 @@ def _met(members: DataFrame, crowds: DataFrame, num: int) -> DataFrame:
     return met.select("g", pick("x", "y").alias("a"), pick("y", "x").alias("b"), pick("nx", "ny").alias("na"), pick("ny", "nx").alias("nb"))
 
 
+def _families(members: DataFrame, crowds: DataFrame, name: str) -> DataFrame:
+    """family, id, n, cell, kind, block, blocks, gs, places: the members of regions, once in each family, with their regions there.
+
+    Regions that agree on their member of the smallest hash are one family if together they have at most twice the members of the largest;
+    any other region is a family of its own. A family's regions all hold one document, so that document's length bounds their number.
+    """
+    inside = materialize(_in_regions(members, crowds).select("g", "id", "n", "cell", "place", "kind", "size"), f"{name}-inside")
+    heads = materialize(inside.groupBy("g").agg(F.min_by("id", F.xxhash64("id")).alias("head"), F.first("size").alias("size")), f"{name}-heads")
+    headed = join_split(heads.select("g", "head", "size"), inside.drop("size"), ["g"], "size")
+    union = headed.select("head", "id").distinct().groupBy("head").agg(F.count(F.lit(1)).alias("held"))
+    union = union.join(heads.groupBy("head").agg(F.max("size").alias("largest")), "head")
+    alike = F.col("held") <= 2 * F.col("largest")
+    family = F.when(alike, F.xxhash64(F.lit(0), "head")).otherwise(F.xxhash64(F.lit(1), "g"))
+    named = materialize(heads.join(union, "head").select("g", "size", family.alias("family"), F.when(alike, F.col("held")).otherwise(F.col("size")).alias("held")), f"{name}-families")
+    blocks = F.greatest(F.lit(TILES), F.ceil(F.max("held") / BLOCK), F.ceil(F.sum("size") / ENTRIES)).cast("int")
+    sized = named.groupBy("family").agg(blocks.alias("blocks"), F.max("held").alias("held"))
+    at = join_split(named.select("g", "family", "size"), inside.drop("size"), ["g"], "size")
+    once = at.groupBy("family", "id").agg(*[F.first(c).alias(c) for c in ("n", "cell", "kind")], F.collect_list(F.struct("g", "place")).alias("at"))
+    once = once.select("family", "id", "n", "cell", "kind", F.col("at.g").alias("gs"), F.col("at.place").alias("places"))
+    dealt = join_split(materialize(sized, f"{name}-sized"), once, ["family"], "held").drop("held")
+    return materialize(dealt.withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int")), f"{name}-members")
+
+
+def _by_region(rows: pd.DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The rows of each region and their places there."""
+    if rows.empty:
+        return {}
+    g, place = np.concatenate(rows["gs"].to_list()), np.concatenate(rows["places"].to_list())
+    owner = np.repeat(np.arange(len(rows)), [len(x) for x in rows["gs"]])
+    order = np.argsort(g, kind="stable")
+    found, starts = np.unique(g[order], return_index=True)
+    return {int(r): (owner[i], place[i]) for r, i in zip(found, np.split(order, starts[1:]), strict=True)}
+
+
+def _met_in_families(members: DataFrame, crowds: DataFrame, num: int, name: str) -> DataFrame:
+    """a, b: the pairs of `_met`, each once a family instead of once a region in which its documents meet."""
+    held = _families(members, crowds, name)
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    tiles = held.withColumn("other", other).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+
+    def met(tile: pd.DataFrame) -> pd.DataFrame:
+        lo, hi = tile["lo"].iloc[0], tile["hi"].iloc[0]
+        x, y = tile[tile["block"] == lo], tile[tile["block"] == hi]
+        nx, ny = x["n"].to_numpy(np.int64)[:, None], y["n"].to_numpy(np.int64)[None, :]
+        slack = nx + ny - 2 * -(-num * (nx + ny) // (100 + num))  # shingles that one of the two may have alone
+        ok = np.zeros(slack.shape, bool)
+        there = _by_region(y)
+        for g, (i, px) in _by_region(x).items():
+            if g in there:
+                j, py = there[g]
+                at = np.ix_(i, j)
+                px, py = px[:, None].astype(np.int64), py[None, :].astype(np.int64)
+                ok[at] |= px + py + np.abs((nx[i] - px) - (ny[:, j] - py)) <= slack[at]
+        ok &= (100 * np.minimum(nx, ny) >= num * np.maximum(nx, ny)) & (x["cell"].to_numpy()[:, None] != y["cell"].to_numpy()[None, :])
+        ok &= (x["kind"].to_numpy()[:, None] != 2) | (y["kind"].to_numpy()[None, :] != 2)
+        i, j = np.nonzero(np.triu(ok, 1) if lo == hi else ok)
+        p, q = x["id"].to_numpy()[i], y["id"].to_numpy()[j]
+        return pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q)})
+
+    sent = tiles.select("family", "lo", "hi", "block", "id", "n", "cell", "kind", "gs", "places")
+    return sent.groupBy("family", "lo", "hi").applyInPandas(met, "a long, b long")
+
+
 def region_join(documents: DataFrame, members: DataFrame, classes: DataFrame, links: DataFrame, params: JoinParams, name: str, counted: bool) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) of different cells that may link, and the links found on the way.
 
@@ -257,7 +323,7 @@ def region_join(documents: DataFrame, members: DataFrame, classes: DataFrame, li
         if now is None:
             return pairs, links
         if now > before / 2:
-            return pairs.unionByName(_met(members, left, num).select("a", "b")), links
+            return pairs.unionByName(_met_in_families(members, left, num, f"{name}-left")), links
         before, level = now, level + 1
         members, links = _split(documents, materialize(_in_regions(members, left), f"{name}-crowded"), classes, links, params, f"{name}-{level}", level)
         crowds = _crowds(members, name)

@@ -87,6 +87,23 @@ def test_jaccard_crowds(spark, hot, crowd, monkeypatch):
     assert [got[i] for i in range(len(texts))] == brute_components(texts, 4, 85)
 
 
+@pytest.mark.parametrize("own", [0, 400])
+def test_jaccard_families(spark, own, monkeypatch):
+    """Families make the pairs of all their regions, each once a family; with many own members a region stays alone."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 7)
+    rng = random.Random(own)
+    who = [(i, rng.randrange(40, 60), rng.randrange(25) if i % 3 else 100 + i, 1 + (i % 5 == 0)) for i in range(60)]
+    rows = [(g, i, n, c, rng.randrange(4), k) for g in range(9) for i, n, c, k in who if rng.random() < 0.85]
+    rows += [(g, 1000 * (g + 1) + i, 50, 1000 * (g + 1) + i, 1, 1) for g in range(9) for i in range(own // 8)]
+    members = spark.createDataFrame(rows, "g long, id long, n int, cell long, place int, kind int")
+    crowds = jaccard_join._crowds(members, "t")
+    plain = {(r.a, r.b) for r in jaccard_join._met(members, crowds, 85).collect()}
+    got = [(r.a, r.b) for r in jaccard_join._met_in_families(members, crowds, 85, "t").collect()]
+    families = jaccard_join._families(members, crowds, "t").select("family").distinct().count()
+    assert plain and set(got) == plain and len(got) <= families * len(plain)
+    assert families <= 4 if not own else families >= 1
+
+
 def test_jaccard_ids(spark):
     long = " ".join(f"w{i}" for i in range(40))
     rows = [(1, long), (1, "x"), (2, "x"), (3, long + " y"), (None, "a b c d e f"), (4, "a b c d e f"), (5, None)]
