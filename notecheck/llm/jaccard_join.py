@@ -194,17 +194,30 @@ def _frequent(postings: DataFrame) -> DataFrame:
 
 
 def _regions(postings: DataFrame) -> DataFrame:
-    """h, id, n, rank, pivot, pivot_n: postings (h, id, n, rank) of shingles with more than one class, and the smallest class there."""
+    """h, id, n, rank, pivot, pivot_n: postings (h, id, n, rank) of shingles with more than one class, and the smallest class there.
+
+    Those of frequent shingles have a null pivot.
+    """
     marked = postings.join(F.broadcast(_frequent(postings).withColumn("often", F.lit(True))), "h", "left")
     least = F.min(F.struct("id", "n"))
     region = W.partitionBy("h")
     seldom = marked.where("often is null").drop("often").withColumn("size", F.count(F.lit(1)).over(region)).withColumn("pivot", least.over(region)).where("size > 1").drop("size")
-    often = marked.where("often").drop("often")
-    pivots = often.groupBy("h").agg(least.alias("pivot"))  # a row per frequent shingle
-    every = seldom.unionByName(often.join(F.broadcast(pivots), "h"))
+    often = marked.where("often").drop("often").withColumn("pivot", F.lit(None).cast(seldom.schema["pivot"].dataType))
+    every = seldom.unionByName(often)
     return every.select("h", "id", "n", "rank", F.col("pivot.id").alias("pivot"), F.col("pivot.n").alias("pivot_n"))
 
 
+def _to_pivots(shared: DataFrame, num: int) -> DataFrame:
+    """id, n, pivot: a row for every region of `_regions` in which a class meets a pivot, not itself, that it fits in size."""
+    fit = (F.col("id") != F.col("pivot")) & _sizes_fit(F.col("n"), F.col("pivot_n"), num)
+    often = shared.where("pivot is null").select("h", "id", "n")
+    pivots = often.groupBy("h").agg(F.min(F.struct("id", "n")).alias("x"))  # a row per frequent shingle
+    pivots = materialize(pivots.select(F.col("h").alias("at"), F.col("x.id").alias("pivot"), F.col("x.n").alias("pivot_n")), "jaccard-pivots")
+    # The join itself drops what does not fit, most of the rows of a shingle that stands in texts of all lengths.
+    met = often.join(F.broadcast(pivots), (F.col("h") == F.col("at")) & fit)
+    return shared.where(fit).select("id", "n", "pivot").unionByName(met.select("id", "n", "pivot"))
+
+
 def _crowds(members: DataFrame, name: str) -> DataFrame:
     """g, size, pairs (of different cells), big (the largest cell) of every region with two cells or more."""
     cells = members.groupBy("g", "cell").agg(F.count(F.lit(1)).alias("c"))
@@ -367,7 +380,7 @@ def link_documents(documents: DataFrame, params: JoinParams = JoinParams()) -> D
     shared = materialize(_regions(postings), "jaccard-regions")
 
     # Cells around pivots. The share asked for only saves comparisons: what it leaves out is met again below.
-    near = shared.where("id <> pivot").where(_sizes_fit(F.col("n"), F.col("pivot_n"), num)).groupBy("pivot", "id").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
+    near = _to_pivots(shared, num).groupBy("pivot", "id").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
     near = near.where(F.col("c") >= 0.4 * F.col("n") * (100 - num) / 100).select(F.col("pivot").alias("a"), F.col("id").alias("b"))
     links = compare(documents, materialize(near, "jaccard-near"), classes, params, "jaccard-cells").select("a", "b").unionByName(same)
     links = materialize(links, "jaccard-links")
@@ -391,9 +404,7 @@ def link_documents(documents: DataFrame, params: JoinParams = JoinParams()) -> D
     both = plain.unionByName(wanted.select(F.col("h").alias("g"), "id", "n", "cell", F.lit(0).alias("place"), F.lit(2).alias("kind")))
     first, links = region_join(documents, materialize(both, "jaccard-plain"), classes, links, params, "jaccard-plain", True)
     # ... and against each other, rarest among themselves first.
-    sizes = materialize(full.groupBy("h").agg(F.count(F.lit(1)).alias("c")), "jaccard-dense-sizes")
-    rarest = W.partitionBy("id").orderBy("c", "h")
-    ordered = join_split(sizes, full, ["h"], "c").withColumn("place", F.row_number().over(rarest) - 1).where((F.col("place") < _need(F.col("n"), num)) & (F.col("c") > 1))
+    ordered = _rarest_first(full, num)
     second, links = region_join(documents, materialize(ordered.select(F.col("h").alias("g"), "id", "n", "cell", "place", F.lit(1).alias("kind")), "jaccard-ordered"), classes, links, params, "jaccard-dense", False)
 
     pairs = materialize(first.unionByName(second).distinct(), "jaccard-pairs")
@@ -409,6 +420,20 @@ def link_documents(documents: DataFrame, params: JoinParams = JoinParams()) -> D
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(known_id, F.coalesce("least", "doc_id")).alias("class_id"), F.when(known_id, F.coalesce("smallest", "doc_id")).alias("component_id"))
 
 
+def _rarest_first(full: DataFrame, num: int) -> DataFrame:
+    """id, n, cell, h, c, place: the regions that whole sets (id, n, cell, h) need, in the order of the sets c that hold a shingle, those of one set left out.
+
+    Shingles that only one set holds come first in its order and are counted by set; a set with as many of them as it needs regions shares none
+    of those.
+    """
+    sizes = materialize(full.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")), "jaccard-dense-sizes")
+    alone = materialize(sizes.where("c = 1").groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("alone")), "jaccard-dense-alone")
+    left = full.join(_small(alone), "id", "left").withColumn("alone", F.coalesce("alone", F.lit(0))).where(F.col("alone") < _need(F.col("n"), num))
+    shared = join_split(sizes.where("c > 1").select("h", "c"), left, ["h"], "c")
+    place = F.col("alone") + F.row_number().over(W.partitionBy("id").orderBy("c", "h")) - 1
+    return shared.withColumn("place", place).where(F.col("place") < _need(F.col("n"), num)).drop("alone")
+
+
 def _same_documents(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """a, b: classes of which rows have the same doc_id; none where ids are unique."""
     several = materialize(rows.groupBy("doc_id").agg(F.min(F.struct("n", "d1", "d2")).alias("lo"), F.max(F.struct("n", "d1", "d2")).alias("hi")).where("lo <> hi").select("doc_id"), "jaccard-several")

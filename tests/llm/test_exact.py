@@ -104,6 +104,38 @@ def test_jaccard_families(spark, own, monkeypatch):
     assert families <= 4 if not own else families >= 1
 
 
+def test_jaccard_frequent_pivots(spark, monkeypatch):
+    """Regions of frequent shingles keep all rows, and only classes that fit their pivot in size come out of the join with it."""
+    monkeypatch.setattr(jaccard_join, "_frequent", lambda p: p.groupBy("h").count().where("count > 20").select("h"))
+    rng = random.Random(3)
+    size = {i: rng.randrange(20, 200) for i in range(60)}
+    rows = [(h, i, size[i], h) for i in size for h in range(40) if h < 2 or rng.random() < 0.1]
+    shared = jaccard_join._regions(spark.createDataFrame(rows, "h long, id long, n int, rank int"))
+    held = Counter(h for h, *_ in rows)
+    assert sorted((r.h, r.id, r.n, r.rank) for r in shared.collect()) == sorted(r for r in rows if held[r[0]] > 1)
+    assert {r.h for r in shared.where("pivot is null").collect()} == {h for h, c in held.items() if c > 20}
+    first = {h: min(i for g, i, *_ in rows if g == h) for h in held}
+    fit = lambda a, b: 100 * min(a, b) >= 85 * max(a, b)
+    want = Counter((first[h], i) for h, i, *_ in rows if i != first[h] and fit(size[i], size[first[h]]))
+    assert Counter((r.pivot, r.id) for r in jaccard_join._to_pivots(shared, 85).collect()) == want
+
+
+def test_jaccard_rarest_first(spark, monkeypatch):
+    """The order of whole sets is that of all their shingles, though those of one set do not go through the join."""
+    seen, join = [], jaccard_join.join_split
+    monkeypatch.setattr(jaccard_join, "join_split", lambda left, right, *a: seen.append((left, right)) or join(left, right, *a))
+    rng = random.Random(5)
+    sets = {i: rng.sample(range(50), 20) + [1000 * i + j for j in range(1, 1 + i % 7)] for i in range(1, 30)}
+    full = spark.createDataFrame([(i, len(s), i % 4, h) for i, s in sets.items() for h in s], "id long, n int, cell long, h long")
+    got = {(r.id, r.n, r.cell, r.h, r.c, r.place) for r in jaccard_join._rarest_first(full, 85).collect()}
+    c, want = Counter(h for s in sets.values() for h in s), set()
+    for i, s in sets.items():
+        need = len(s) - -(-85 * len(s) // 100) + 1
+        want |= {(i, len(s), i % 4, h, c[h], k) for k, h in enumerate(sorted(s, key=lambda h: (c[h], h))[:need]) if c[h] > 1}
+    assert got == want and want
+    assert seen[0][0].where("c = 1").isEmpty() and not {r.id for r in seen[0][1].select("id").distinct().collect()} >= set(sets)
+
+
 def test_jaccard_ids(spark):
     long = " ".join(f"w{i}" for i in range(40))
     rows = [(1, long), (1, "x"), (2, "x"), (3, long + " y"), (None, "a b c d e f"), (4, "a b c d e f"), (5, None)]
