@@ -375,7 +375,11 @@ def link_documents(documents: DataFrame, params: JoinParams = JoinParams()) -> D
     same = _same_documents(able, classes)
 
     # Regions of the lowest hashes.
-    firsts = able if classes.where("rows > 1").isEmpty() else able.join(_small(classes.select(F.col("id").alias("uid"))), "uid", "left_semi")
+    firsts = able
+    if not classes.where("rows > 1").isEmpty():
+        # Further rows of a class are fewer than classes; lows are shuffled only where even those are too many to broadcast.
+        again = materialize(able.select("uid").join(classes.select(F.col("id").alias("uid")), "uid", "left_anti"), "jaccard-again")
+        firsts = able.join(_small(again), "uid", "left_anti")
     postings = firsts.select(F.col("uid").alias("id"), "n", F.posexplode("lows").alias("rank", "h"))
     shared = materialize(_regions(postings), "jaccard-regions")
 

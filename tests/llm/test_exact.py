@@ -136,6 +136,15 @@ def test_jaccard_rarest_first(spark, monkeypatch):
     assert seen[0][0].where("c = 1").isEmpty() and not {r.id for r in seen[0][1].select("id").distinct().collect()} >= set(sets)
 
 
+def test_jaccard_firsts(spark, monkeypatch):
+    """Of classes only the further rows are sent to the lowest hashes, which need no shuffle where those are few."""
+    sent, small = [], jaccard_join._small
+    monkeypatch.setattr(jaccard_join, "_small", lambda df: (df.columns == ["uid"] and sent.append(df.count())) or small(df))
+    texts = [f"a{i} b c d{i} e f" for i in range(28)] + ["a3 b c d3 e f"] * 2
+    got = {r.doc_id: r.component_id for r in jaccard_join.link_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: i if i < 28 else 3 for i in range(30)} and sent == [2]
+
+
 def test_jaccard_ids(spark):
     long = " ".join(f"w{i}" for i in range(40))
     rows = [(1, long), (1, "x"), (2, "x"), (3, long + " y"), (None, "a b c d e f"), (4, "a b c d e f"), (5, None)]
