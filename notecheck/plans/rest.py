@@ -54,11 +54,11 @@ def ag_14_score_range(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, d: str) -> tuple[DataFrame, str]:
-    """Positions as a stream over files of the events table, and a new folder for its output."""
+    """Positions, in whole seconds as the table has them, as a stream over files of the events table, and a new folder for its output."""
     folder = f"{store.shared_folder(spark)}/streams/{uuid.uuid4().hex}"
     raw = frame(spark, d, "events")
     rows = spark.readStream.schema(raw.schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events*")
-    made = rows.select((200000000 + F.col("user_id")).cast("string").alias("mmsi"), F.col("ts").cast("timestamp").alias("recorded_at"), (F.col("value") / 100).alias("speed"))
+    made = rows.select((200000000 + F.col("user_id")).cast("string").alias("mmsi"), F.date_trunc("second", F.col("ts").cast("timestamp")).alias("recorded_at"), (F.col("value") / 100).alias("speed"))
     return made, folder
 
 
