@@ -24,7 +24,7 @@ def events(spark, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["sm_01_distinct_positions", "sm_02_interval_statistics"])
+@pytest.mark.parametrize("name", ["sm_01_distinct_positions", "sm_02_interval_statistics", "sm_03_sessions"])
 def test_times_within_a_second(spark, events, name):
     got = entry.queries()[name](spark, events)
     cols = sorted(got.columns)
