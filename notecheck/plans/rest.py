@@ -23,7 +23,7 @@ from .ruling import _CRED, SEEN, judged_notes, read_notes, received_notes, refer
 
 
 def _features(spark: SparkSession, d: str) -> DataFrame:
-    return store.staged(T.build_features(frame(spark, d, "deliveries"), frame(spark, d, "positions")), "features")
+    return store.staged(T.build_features(frame(spark, d, "deliveries"), frame(spark, d, "positions")).select("id", *T.FEATURES), "features")
 
 
 def _raw(spark: SparkSession, d: str) -> DataFrame:
