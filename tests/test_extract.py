@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from notecheck.operators import extract as E
 
 NOTE = "note_id long, doc_type string, raw_text string"
@@ -13,6 +14,12 @@ def test_notes_are_spread_over_tasks(spark):
     assert E.extract(notes).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
 
 
+def test_flags_are_exploded_once(spark):
+    """The optimizer does not work out fields anew for a condition on the flags."""
+    plan = entry.queries()["rl_14_descriptions"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("completed pumping|") <= 2
+
+
 CASES = [
     (["Vesse1 Nane: SEA STAR"], "DIGITAL", "SEA STAR"),  # misread by two letters
     (["Vesl Nam: SEA STAR"], "DIGITAL", None),  # by too many for a printed note
